@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.constants import TENANT
-from tillcast.operators.forecast import daily_plan, nest_forecast
+from tillcast.operators.forecast import daily_plan, forecast_days, nest_forecast, with_forecast
+from tillcast.operators.insight import ask, build_prompts, parse_answers
 
 
 def current_or_recomputed(current: DataFrame, recomputed: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,6 +35,22 @@ def dashboard_days(fc: DataFrame, insight: DataFrame) -> DataFrame:
     )
 
 
+def dashboard_from_profiles(
+    profiles: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """One row per tenant and day from tenant profiles.
+
+    Forecast, prompt, answer and plans all follow from the tenant's own row, so nothing is joined
+    and nothing is shuffled here. The provider must keep the columns it is given.
+    """
+    prompts = build_prompts(with_forecast(profiles))
+    answered = parse_answers(ask(prompts, provider), "forecast")
+    advice = ["insight_status", "risk_level", "n_actions"]
+    return daily_plan(
+        forecast_days(answered.withColumn("n_actions", F.size("actions")), *advice), *advice
+    )
+
+
 def dashboard_records(forecasts: DataFrame, insight: DataFrame) -> DataFrame:
     """One row per tenant with nested plans, from forecast arrays."""
     advice = insight.select(*TENANT, "insight_status", "insight_json", "risk_level", "actions")

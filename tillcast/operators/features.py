@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.constants import FEATURE_NAMES, MONEY, SALES_KEY, TENANT
@@ -18,13 +18,13 @@ def daily_sales(order_lines: DataFrame) -> DataFrame:
 def hourly_profile(events: DataFrame) -> DataFrame:
     """Share of a tenant's value that falls into each hour of the day.
 
-    The tenant total is a sum over at most 24 hourly rows, so the second aggregation is small
-    however many events a tenant has.
+    Events are read once and summed by hour first, so the window over a tenant has at most 24 rows
+    however many events it has.
     """
     hourly = events.groupBy(*TENANT, F.hour("ts").alias("hour")).agg(F.sum("value").alias("value"))
-    total = hourly.groupBy(*TENANT).agg(F.sum("value").alias("total"))
-    share = F.try_divide(F.col("value"), F.col("total"))
-    return hourly.join(total, TENANT).select(*TENANT, "hour", F.round(share, 6).alias("share"))
+    total = F.sum("value").over(Window.partitionBy(*TENANT))
+    share = F.try_divide(F.col("value"), total)
+    return hourly.select(*TENANT, "hour", F.round(share, 6).alias("share"))
 
 
 def usage_rate(inventory: DataFrame) -> DataFrame:

@@ -39,20 +39,27 @@ def next_day_prediction(models: DataFrame, growth: Decimal = DAILY_GROWTH) -> Da
     )
 
 
-def forecast_arrays(models: DataFrame, horizon: int = HORIZON_DAYS, growth: Decimal = DAILY_GROWTH) -> DataFrame:
-    """One row per tenant with the whole forecast as an array."""
-    return models.where(F.col("avg_daily_sales").isNotNull()).select(
-        *TENANT, forecast_path(F.col("avg_daily_sales"), horizon, growth).alias("forecast")
+def with_forecast(models: DataFrame, horizon: int = HORIZON_DAYS, growth: Decimal = DAILY_GROWTH) -> DataFrame:
+    """Adds the whole forecast of a tenant as an array; tenants without an average drop out."""
+    return models.where(F.col("avg_daily_sales").isNotNull()).withColumn(
+        "forecast", forecast_path(F.col("avg_daily_sales"), horizon, growth)
     )
 
 
 def forecast(models: DataFrame, horizon: int = HORIZON_DAYS, growth: Decimal = DAILY_GROWTH) -> DataFrame:
     """One row per tenant and coming day; a row-local expansion, so no shuffle."""
-    return (
-        forecast_arrays(models, horizon, growth)
-        .select(*TENANT, F.posexplode("forecast").alias("pos", "predicted_sales"))
-        .select(*TENANT, (F.col("pos") + 1).alias("day_index"), "predicted_sales")
-    )
+    return forecast_days(with_forecast(models, horizon, growth))
+
+
+def forecast_days(forecasts: DataFrame, *keep: str) -> DataFrame:
+    """Forecast arrays as rows, with further columns carried along.
+
+    The outer form gives the same rows, as a forecast is never empty, and spares the size filter
+    Spark would derive from a plain explode by computing the forecast a second time.
+    """
+    return forecasts.select(
+        *TENANT, *keep, F.posexplode_outer("forecast").alias("pos", "predicted_sales")
+    ).select(*TENANT, (F.col("pos") + 1).alias("day_index"), "predicted_sales", *keep)
 
 
 def staff_needed(predicted: Column, sales_per_staff: int = SALES_PER_STAFF) -> Column:
@@ -85,8 +92,8 @@ def inventory_plan(fc: DataFrame, cost_ratio: Decimal = INGREDIENT_RATIO, meal_p
     )
 
 
-def daily_plan(fc: DataFrame) -> DataFrame:
-    """Forecast, staffing and inventory in one projection."""
+def daily_plan(fc: DataFrame, *keep: str) -> DataFrame:
+    """Forecast, staffing and inventory in one projection, with further columns carried along."""
     amount = F.col("predicted_sales")
     return fc.select(
         *DAY,
@@ -94,6 +101,7 @@ def daily_plan(fc: DataFrame) -> DataFrame:
         staff_needed(amount).alias("recommended_staff"),
         ingredients_needed(amount).alias("ingredients_needed"),
         estimated_meals(amount).alias("estimated_meals"),
+        *keep,
     )
 
 

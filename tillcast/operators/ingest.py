@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -110,22 +110,22 @@ def upsert_counts(classified: DataFrame, batch: str = "batch") -> DataFrame:
     """Inserted, updated and skipped rows per batch when the batches are applied in order.
 
     A key is inserted once, by the first batch that has a valid row for it; every other valid row
-    is an update.
+    is an update. The rows are read once and counted per key and batch before anything else, with
+    all rejects of a batch under one empty key, so a repeated key or a bad batch stays small.
     """
-    inserted = (
-        classified.where(F.col("reason").isNull())
-        .groupBy(*SALES_KEY)
-        .agg(F.min(batch).alias(batch))
-        .groupBy(batch)
-        .agg(F.count(F.lit(1)).alias("inserted"))
-    )
-    rows = classified.groupBy(batch).agg(
-        F.count_if(F.col("reason").isNull()).alias("valid"),
-        F.count_if(F.col("reason").isNotNull()).alias("skipped"),
+    valid = F.col("reason").isNull()
+    per_key = classified.groupBy(
+        *[F.when(valid, F.col(c)).alias(c) for c in SALES_KEY], batch, valid.alias("valid")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    first_batch = F.min(batch).over(Window.partitionBy(*SALES_KEY))
+    counted = per_key.select(
+        batch, "valid", "n", (F.col("valid") & (F.col(batch) == first_batch)).alias("is_first")
     )
-    found = F.coalesce(F.col("inserted"), F.lit(0))
-    return rows.join(inserted, batch, "left").select(
-        batch, found.alias("inserted"), (F.col("valid") - found).alias("updated"), "skipped"
+    inserted = F.count_if("is_first")
+    return counted.groupBy(batch).agg(
+        inserted.alias("inserted"),
+        (F.sum(F.when(F.col("valid"), F.col("n")).otherwise(F.lit(0))) - inserted).alias("updated"),
+        F.sum(F.when(F.col("valid"), F.lit(0)).otherwise(F.col("n"))).alias("skipped"),
     )
 
 

@@ -91,11 +91,11 @@ def context_columns(context: Column) -> list[Column]:
     prediction = payload.prediction_payload(context)
     ingestion = payload.object_or_null(payload.field(context, "$['1_data_ingestion']", "variant"))
     amounts = "array<struct<predicted_sales decimal(18,2)>>"
-    empty = F.array().cast(amounts)
+    empty = F.array().cast(f"array<{MONEY}>")
 
     def filled_array(name: str) -> Column:
         found = payload.field(prediction, f"$.{name}", amounts)
-        return F.when(F.size(found) > 0, found)
+        return F.when(F.size(found) > 0, F.transform(found, lambda d: d["predicted_sales"]))
 
     forecast = F.coalesce(filled_array("forecast"), filled_array("forecast_intervals"), empty)
     sales = payload.field(
@@ -127,26 +127,29 @@ def prompts_from_context(contexts: DataFrame) -> DataFrame:
             "horizon": F.col("horizon").cast("string"),
             "model_used": F.col("model_used"),
             "recent_sales": F.to_json("recent_sales"),
-            "forecast": F.to_json("forecast"),
+            "forecast": F.to_json(
+                F.transform("forecast", lambda amount: F.struct(amount.alias("predicted_sales")))
+            ),
         }
     )
     return contexts.withColumn("prompt", text)
 
 
-def build_prompts(forecasts: DataFrame, recent: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
-    """One prompt per tenant from its forecast array and its recent sales."""
+def build_prompts(forecasts: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
+    """Adds the prompt to tenants with ``forecast`` and ``recent_sales``; row-local."""
     model = json.dumps(
         {"model_name": AVERAGE_MODEL_NAME, "model_version": AVERAGE_MODEL_VERSION}, separators=(",", ":")
     )
-    empty = F.array().cast(recent.schema["recent_sales"].dataType)
-    contexts = forecasts.join(recent, TENANT, "left").select(
-        *TENANT,
-        F.lit(horizon).alias("horizon"),
-        F.lit(model).alias("model_used"),
-        F.coalesce("recent_sales", empty).alias("recent_sales"),
-        F.transform("forecast", lambda a: F.struct(a.alias("predicted_sales"))).alias("forecast"),
+    empty = F.array().cast(forecasts.schema["recent_sales"].dataType)
+    return prompts_from_context(
+        forecasts.withColumns(
+            {
+                "horizon": F.lit(horizon),
+                "model_used": F.lit(model),
+                "recent_sales": F.coalesce("recent_sales", empty),
+            }
+        )
     )
-    return prompts_from_context(contexts)
 
 
 def prompt_preview(prompt: Column) -> Column:
@@ -157,7 +160,7 @@ def _risk(next_day: Column, recent_sum: Column, recent_count: Column) -> Column:
     """Risk of over-preparing: how far the forecast lies above the recent average."""
     scaled = next_day * recent_count
     return (
-        F.when(recent_count == 0, F.lit("unknown"))
+        F.when((recent_count == 0) | next_day.isNull(), F.lit("unknown"))
         .when(scaled >= recent_sum * F.lit(Decimal("1.25")), F.lit("high"))
         .when(scaled >= recent_sum * F.lit(Decimal("1.05")), F.lit("medium"))
         .otherwise(F.lit("low"))
@@ -184,7 +187,7 @@ def rule_provider(prompts: DataFrame) -> DataFrame:
         "recent_sales", zero, lambda acc, s: (acc + s["daily_sales_total"]).cast("decimal(28,2)")
     )
     risk = _risk(
-        F.col("forecast")[0]["predicted_sales"], total, F.size("recent_sales").cast("decimal(10,0)")
+        F.get(F.col("forecast"), F.lit(0)), total, F.size("recent_sales").cast("decimal(10,0)")
     )
     answers = F.create_map(
         *[
@@ -193,13 +196,13 @@ def rule_provider(prompts: DataFrame) -> DataFrame:
             for part in (F.lit(level), F.lit(json.dumps(_advice(level), separators=(",", ":"))))
         ]
     )
-    return prompts.select(
-        *TENANT,
-        "prompt",
-        F.lit("ok").alias("status"),
-        F.lit(None).cast("string").alias("reason"),
-        F.lit(LOCAL_MODEL).alias("model"),
-        F.element_at(answers, risk).alias("raw_json"),
+    return prompts.withColumns(
+        {
+            "status": F.lit("ok"),
+            "reason": F.lit(None).cast("string"),
+            "model": F.lit(LOCAL_MODEL),
+            "raw_json": F.element_at(answers, risk),
+        }
     )
 
 
@@ -210,7 +213,7 @@ def answer_from_prompt(prompt: str) -> dict:
     )
     recent = json.loads(context["recent_sales"], parse_float=Decimal, parse_int=Decimal)
     coming = json.loads(context["forecast"], parse_float=Decimal, parse_int=Decimal)
-    if not recent:
+    if not recent or not coming:
         risk = "unknown"
     else:
         scaled = coming[0]["predicted_sales"] * len(recent)
@@ -265,18 +268,13 @@ def ask(
     if provider is not None:
         return provider(prompts)
     absent = F.lit(None).cast("string")
-    return prompts.select(
-        *TENANT,
-        "prompt",
-        F.lit("skipped").alias("status"),
-        F.lit(reason).alias("reason"),
-        absent.alias("model"),
-        absent.alias("raw_json"),
+    return prompts.withColumns(
+        {"status": F.lit("skipped"), "reason": F.lit(reason), "model": absent, "raw_json": absent}
     )
 
 
-def parse_answers(answers: DataFrame) -> DataFrame:
-    """Status, parsed answer and warnings per tenant.
+def parse_answers(answers: DataFrame, *keep: str) -> DataFrame:
+    """Status, parsed answer and warnings per tenant, with further columns carried along.
 
     An answer that is not a JSON object stays ``ok`` with a warning and without content.
     """
@@ -299,6 +297,7 @@ def parse_answers(answers: DataFrame) -> DataFrame:
         F.when(answered & (verdict != "ok"), F.array(warning)).otherwise(no_warning).alias("warnings"),
         risk_level(value).alias("risk_level"),
         actions(value).alias("actions"),
+        *keep,
     )
 
 

@@ -19,6 +19,7 @@ from tillcast.constants import (
     PRIOR_RIPPLE_SIZE,
     PRIOR_WEEK_SWING,
     RATE,
+    RECENT_DAYS,
     TENANT,
 )
 from tillcast.functions.values import is_number
@@ -44,6 +45,26 @@ def fit_average(sales: DataFrame) -> DataFrame:
     )
 
 
+def tenant_profiles(sales: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
+    """Average model and latest sales of each tenant in one pass over the sales table.
+
+    ``sales`` holds one row per tenant and date, so a tenant's window is never longer than the
+    calendar. Everything a forecast or a prompt needs is on the tenant's one row afterwards.
+    """
+    amount = F.col("daily_sales_total").cast("decimal(18,2)")
+    latest = Window.partitionBy(*TENANT).orderBy(F.col("date").desc())
+    ranked = numeric_rows(sales).select(
+        *TENANT, "date", amount.alias("daily_sales_total"), F.row_number().over(latest).alias("rank")
+    )
+    recent = F.when(F.col("rank") <= days, F.struct("date", "daily_sales_total"))
+    rows = F.count(F.lit(1))
+    return ranked.groupBy(*TENANT).agg(
+        F.round(F.sum("daily_sales_total") / rows, 4).cast(RATE).alias("avg_daily_sales"),
+        rows.alias("training_rows"),
+        F.sort_array(F.collect_list(recent)).alias("recent_sales"),
+    )
+
+
 def average_model_records(models: DataFrame, trained_at: Column | None = None) -> DataFrame:
     """The stored form of the average model."""
     return models.select(
@@ -56,15 +77,28 @@ def average_model_records(models: DataFrame, trained_at: Column | None = None) -
     )
 
 
-def model_status(tenants: DataFrame, sales: DataFrame, models: DataFrame) -> DataFrame:
-    """What became of each tenant: was a model registered, and can it be used to predict."""
-    counts = sales.groupBy(*TENANT).agg(F.count(F.lit(1)).alias("sales_rows"))
-    known = models.select(*TENANT, F.lit(True).alias("found"), "avg_daily_sales")
+def training_outcome(sales: DataFrame) -> DataFrame:
+    """Rows seen and average fitted per tenant; the average is NULL without numeric rows."""
+    floating = isinstance(sales.schema["daily_sales_total"].dataType, (DoubleType, FloatType))
+    usable = is_number(F.col("daily_sales_total"), floating)
+    amount = F.when(usable, F.col("daily_sales_total")).cast("decimal(18,2)")
+    average = F.try_divide(F.sum(amount), F.count(amount))
+    return sales.groupBy(*TENANT).agg(
+        F.count(F.lit(1)).alias("sales_rows"), F.round(average, 4).cast(RATE).alias("avg_daily_sales")
+    )
+
+
+def model_status(tenants: DataFrame, outcome: DataFrame) -> DataFrame:
+    """What became of each tenant: was a model registered, and can it be used to predict.
+
+    ``outcome`` has one row per tenant with sales, as :func:`training_outcome` gives it; ``tenants``
+    may name more.
+    """
+    known = outcome.select(*TENANT, F.lit(True).alias("found"), "sales_rows", "avg_daily_sales")
     rows = F.coalesce(F.col("sales_rows"), F.lit(0))
     average = F.col("avg_daily_sales")
     return (
-        tenants.join(counts, TENANT, "left")
-        .join(known, TENANT, "left")
+        tenants.join(known, TENANT, "left")
         .select(
             *TENANT,
             F.when(rows == 0, F.lit("skipped"))

@@ -70,9 +70,10 @@ def unknown_step_counts(requests: DataFrame, steps: DataFrame) -> DataFrame:
 
     Names are counted before the anti join, so a name that fills the request log is one row there.
     """
-    asked = requests.select(F.explode(comma_list(F.col("steps"))).alias("step"))
+    asked = requests.select(F.explode_outer(comma_list(F.col("steps"))).alias("step"))
     return (
-        asked.groupBy("step")
+        asked.where(F.col("step").isNotNull())
+        .groupBy("step")
         .agg(F.count(F.lit(1)).alias("requests"))
         .join(steps.select("step"), "step", "left_anti")
     )
@@ -80,9 +81,10 @@ def unknown_step_counts(requests: DataFrame, steps: DataFrame) -> DataFrame:
 
 def known_step_counts(requests: DataFrame, steps: DataFrame) -> DataFrame:
     """The same for names that are in the step table."""
-    asked = requests.select(F.explode(comma_list(F.col("steps"))).alias("step"))
+    asked = requests.select(F.explode_outer(comma_list(F.col("steps"))).alias("step"))
     return (
-        asked.groupBy("step")
+        asked.where(F.col("step").isNotNull())
+        .groupBy("step")
         .agg(F.count(F.lit(1)).alias("requests"))
         .join(steps.select("step"), "step", "left_semi")
     )

@@ -157,8 +157,9 @@ def extract_sales(runs: DataFrame, strict: bool = True) -> DataFrame:
         decoded.select(
             "run_id",
             *ingestion_tenant(payload.unwrap_result(F.col("payload"))),
-            F.explode(stored_sales(F.col("payload"), strict)).alias("entry"),
+            F.explode_outer(stored_sales(F.col("payload"), strict)).alias("entry"),
         )
+        .where(entry.isNotNull())
         .select(
             "run_id",
             *TENANT,

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from tillcast.constants import TENANT
 from tillcast.functions import payload
 from tillcast.operators import envelope, features, insight, models, requests, runlog
-from tillcast.operators.dashboard import dashboard_days
+from tillcast.operators.dashboard import dashboard_from_profiles
 from tillcast.operators.forecast import (
     forecast,
-    forecast_arrays,
     inventory_plan,
     join_plans,
     next_day_prediction,
     staffing_plan,
+    with_forecast,
 )
 from tillcast.operators.ingest import (
     accepted_rows,
@@ -126,8 +126,8 @@ def avg_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_status(spark: SparkSession, sf: str) -> DataFrame:
-    sparse = testbed.sales_sparse(spark, sf)
-    return models.model_status(testbed.sales_tenants(spark, sf), sparse, models.fit_average(sparse))
+    outcome = models.training_outcome(testbed.sales_sparse(spark, sf))
+    return models.model_status(testbed.tenants(spark, sf), outcome)
 
 
 def next_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +144,7 @@ def trend_model(spark: SparkSession, sf: str) -> DataFrame:
 
 def trend_model_cold_start(spark: SparkSession, sf: str) -> DataFrame:
     fitted = models.fit_trend_with_prior(
-        testbed.sales_tenants(spark, sf), testbed.sales_sparse(spark, sf), spark
+        testbed.tenants(spark, sf), testbed.sales_sparse(spark, sf), spark
     )
     return fitted.select(
         *TENANT,
@@ -193,15 +193,12 @@ def plans_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, sf: str) -> DataFrame:
-    sales = testbed.sales(spark, sf)
-    return insight.build_prompts(
-        forecast_arrays(models.fit_average(sales)), insight.recent_arrays(sales)
-    )
+    return insight.build_prompts(with_forecast(models.tenant_profiles(testbed.sales(spark, sf))))
 
 
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    answers = insight.ask(_prompts(spark, sf), insight.rule_provider)
-    return dashboard_days(_forecast(spark, sf), insight.parse_answers(answers)).select(
+    profiles = models.tenant_profiles(testbed.sales(spark, sf))
+    return dashboard_from_profiles(profiles, insight.rule_provider).select(
         *TENANT,
         "day_index",
         _double("predicted_sales"),

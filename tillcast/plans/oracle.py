@@ -17,14 +17,14 @@ _SALES = f"""sales as (
 
 _SPARSE = f"""{_SALES},
 sparse as (select * from sales where date >= date '{SPARSE_FROM}'),
-tenants as (select distinct restaurant_id, location_id from sales)"""
+tenants as (select distinct n_name as restaurant_id, c_mktsegment as location_id
+            from customer join nation on c_nationkey = n_nationkey)"""
 
 
 def _average(source: str) -> str:
     """Average rounded half up at four decimals, in whole numbers."""
     return f"""avg_model as (
   select restaurant_id, location_id, n as training_rows,
-         cast(((2 * s + n) // (2 * n)) as decimal(38,4)) / 10000 as unused,
          cast(cast((2 * s + n) // (2 * n) as decimal(22,0)) * cast(0.0001 as decimal(5,4)) as decimal(22,4)) as avg4
   from (select restaurant_id, location_id, count(*) as n,
                sum(cast(daily_sales_total * 10000 as hugeint)) as s
