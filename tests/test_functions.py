@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillcast.functions import payload, text, values
+
+
+def column(spark, raw, expr, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], f"i int, v {kind}")
+    return [r[0] for r in df.orderBy("i").select(expr(F.col("v"))).collect()]
+
+
+def test_safe_id(spark):
+    assert column(spark, [" a/b\\c d ", "x", None], text.safe_id) == ["a_b_c_d", "x", None]
+
+
+def test_truncate(spark):
+    raw = ["\n short\t", "x" * 10, "x" * 11, None, " " + "y" * 10 + " "]
+    assert column(spark, raw, lambda c: text.truncate(c, 10)) == [
+        "short", "x" * 10, "x" * 7 + "...", "", "y" * 10,
+    ]
+
+
+def test_parse_bool(spark):
+    raw = ["1", " TRUE ", "yes", "Y", "on", "0", "False", "no", "n", "OFF", "t", "", None]
+    expected = [True] * 5 + [False] * 5
+    assert column(spark, raw, text.parse_bool) == expected + [None, None, None]
+    assert column(spark, raw, lambda c: text.parse_bool(c, True)) == expected + [True, True, True]
+
+
+def test_comma_list(spark):
+    raw = ["a, b ,,c", " ", "", ",,", None, "a,a"]
+    assert column(spark, raw, text.comma_list) == [["a", "b", "c"], None, None, None, None, ["a", "a"]]
+
+
+def test_stripped_or(spark):
+    assert column(spark, [" x ", "  ", None], lambda c: text.stripped_or(c, "d")) == ["x", "d", "d"]
+
+
+def test_base_name(spark):
+    assert column(spark, ["/a/b.csv", "b.csv"], text.base_name) == ["b.csv", "b.csv"]
+
+
+AMOUNTS = {
+    "12": 12.0, " 12.5 ": 12.5, "-5": -5.0, "+.5": 0.5, "5.": 5.0, "1e3": 1000.0, "1_000": 1000.0,
+    "abc": None, "": None, "nan": None, "inf": None, "-Infinity": None, "1.5d": None, "0x1p3": None,
+    "1__0": None, "_1": None, "1_": None, "1e999": None, "1,5": None, None: None,
+}
+
+
+def test_finite_number(spark):
+    assert column(spark, list(AMOUNTS), values.finite_number) == list(AMOUNTS.values())
+
+
+def test_money_rounds_half_up_and_bounds(spark):
+    got = column(spark, ["1.005", "1.004", "-0.005", "1e17", "99999999999999999"], values.money)
+    assert [None if v is None else str(v) for v in got] == ["1.01", "1.00", "-0.01", None, None]
+
+
+DATES = {
+    "2025-01-01": "2025-01-01", "2025-01-01T10:00:00": "2025-01-01", "2025-01-01 10:00": "2025-01-01",
+    "2025-01-01T10:00:00.123456+02:00": "2025-01-01", "2024-02-29": "2024-02-29",
+    "2025-02-29": None, "2025-13-01": None, "2025-1-1": None, "2025": None, "20250101": None,
+    "2025-01-01x": None, "2025-01-01T25:00": None, "0000-01-01": None, "": None, None: None,
+}
+
+
+def test_iso_date(spark):
+    got = column(spark, list(DATES), lambda c: values.iso_date(c).cast("string"))
+    assert got == list(DATES.values())
+
+
+def test_parse_verdict(spark):
+    raw = ['{"a":1}', "[1]", "3", "null", '{"a":', "", "text"]
+    assert column(spark, raw, payload.parse_verdict) == [
+        "ok", "json_not_object", "json_not_object", "json_not_object",
+        "json_parse_failed", "json_parse_failed", "json_parse_failed",
+    ]
+
+
+def test_unwrap_result(spark):
+    raw = ['{"result":{"x":1}}', '{"result":[1]}', '{"x":2}']
+    got = column(spark, raw, lambda c: F.to_json(payload.unwrap_result(payload.parsed(c))))
+    assert got == ['{"x":1}', '{"result":[1]}', '{"x":2}']
+
+
+@pytest.mark.parametrize(
+    ("context", "expected"),
+    [
+        ('{"5_ml_prediction":{"a":1},"forecast":[]}', '{"a":1}'),
+        ('{"data":{"forecast":[1]}}', '{"forecast":[1]}'),
+        ('{"data":{"other":1},"model_used":{}}', '{"data":{"other":1},"model_used":{}}'),
+        ('{"data":{"other":1}}', None),
+    ],
+)
+def test_prediction_payload(spark, context, expected):
+    assert column(spark, [context], lambda c: F.to_json(payload.prediction_payload(payload.parsed(c)))) == [expected]

@@ -171,23 +171,14 @@ def prior_curve(spark: SparkSession, days: int = PRIOR_DAYS) -> DataFrame:
 def fit_trend_with_prior(tenants: DataFrame, sales: DataFrame, spark: SparkSession) -> DataFrame:
     """Trend per tenant; tenants with too little history take the line of the prior curve.
 
-    The prior is fitted once. Its single row (one constant key) is joined on the training source,
-    so no tenant is multiplied by the days of the curve.
+    The prior is fitted once and enters as a scalar subquery, so no tenant is multiplied by the days
+    of the curve and nothing is joined for it.
     """
-    prior = _fit(prior_curve(spark), ["training_source"]).select(
-        "training_source",
-        *[F.col(c).alias(f"prior_{c}") for c in ("intercept", "slope", "std_error", "rows")],
-    )
-    enough = F.coalesce(F.col("rows"), F.lit(0)) >= MIN_HISTORY
-    own = tenants.join(fit_trend(sales), TENANT, "left").withColumn(
-        "training_source", F.when(enough, F.lit(REAL_SOURCE)).otherwise(F.lit(PRIOR_SOURCE))
-    )
-    cold = F.col("training_source") == PRIOR_SOURCE
-    return own.join(F.broadcast(prior), "training_source", "left").select(
+    fitted = ["intercept", "slope", "std_error", "rows"]
+    prior = _fit(prior_curve(spark), ["training_source"]).select(F.struct(*fitted)).scalar()
+    cold = F.coalesce(F.col("rows"), F.lit(0)) < MIN_HISTORY
+    return tenants.join(fit_trend(sales), TENANT, "left").select(
         *TENANT,
-        *[
-            F.when(cold, F.col(f"prior_{c}")).otherwise(F.col(c)).alias(c)
-            for c in ("intercept", "slope", "std_error", "rows")
-        ],
-        "training_source",
+        *[F.when(cold, prior.getField(c)).otherwise(F.col(c)).alias(c) for c in fitted],
+        F.when(cold, F.lit(PRIOR_SOURCE)).otherwise(F.lit(REAL_SOURCE)).alias("training_source"),
     )

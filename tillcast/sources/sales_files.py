@@ -140,22 +140,18 @@ def rows_of_good_files(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 def resolve_tenant_files(tenants: DataFrame, files: DataFrame) -> DataFrame:
     """The best file of each tenant: its own (1), its restaurant's (2) or the default (3).
 
-    Equality joins on the file name only. The default file is found by a one-row aggregate, so
-    tenants without a file of their own do not meet in one join partition.
+    Equality joins on the file name only. The default file is a scalar subquery, so tenants without
+    a file of their own do not meet in one join partition.
     """
     names = files.select("file_name").distinct()
-    # One row by construction (a constant key), whatever the number of files.
     default = (
-        names.where(F.col("file_name") == DEFAULT_SALES_FILE)
-        .groupBy(F.lit(DEFAULT_SALES_FILE).alias("default_name"))
-        .agg(F.max("file_name").alias("default_file"))
+        files.where(F.col("file_name") == DEFAULT_SALES_FILE).agg(F.max("file_name")).scalar()
     )
     restaurant, location = safe_id(F.col("restaurant_id")), safe_id(F.col("location_id"))
     wanted = tenants.select(
         *TENANT,
         F.concat(restaurant, F.lit("__"), location, F.lit("__sales.csv")).alias("own_name"),
         F.concat(restaurant, F.lit("__sales.csv")).alias("restaurant_name"),
-        F.lit(DEFAULT_SALES_FILE).alias("default_name"),
     )
     own = names.select(F.col("file_name").alias("own_name"), F.col("file_name").alias("own_file"))
     shared = names.select(
@@ -164,7 +160,7 @@ def resolve_tenant_files(tenants: DataFrame, files: DataFrame) -> DataFrame:
     return (
         wanted.join(own, "own_name", "left")
         .join(shared, "restaurant_name", "left")
-        .join(F.broadcast(default), "default_name", "left")
+        .withColumn("default_file", default)
         .select(
             *TENANT,
             F.coalesce("own_file", "restaurant_file", "default_file").alias("file_name"),
