@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.constants import DEFAULT_SALES_FILE, MONEY, TENANT
-from tillcast.functions.text import first_filled, safe_id
+from tillcast.functions.text import base_name, first_filled, safe_id
 from tillcast.functions.values import money
 from tillcast.operators.ingest import classify_uploads, tenant_columns
 
+Paths = str | list[str]
+
 SALES_COLUMNS = ["restaurant_id", "location_id", "date", "daily_sales_total"]
 
 CSV_SOURCE = "csv_file"
@@ -21,16 +24,25 @@ BAD_HEADERS = "invalid_csv_headers"
 UPLOAD_STATUS_SCHEMA = "file_name string, ingestion_status string, reason string"
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the files at a path, also of empty ones. The content is not read."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
-    )
+def file_name_of(encoded_path: Column) -> Column:
+    """File name of a URL-encoded path."""
+    return F.url_decode(F.replace(base_name(encoded_path), F.lit("+"), F.lit("%2B")))
+
+
+def list_files(spark: SparkSession, path: Paths) -> DataFrame:
+    """Names of the files at a path, also of empty ones. The content is not read.
+
+    A scan never opens a file of zero bytes, so the names come from the file index that Spark builds
+    on the driver for any read of the path.
+    """
+    listed = spark.read.text(path).inputFiles()
+    if not listed:
+        return spark.createDataFrame([], "file_path string, file_name string")
+    found = spark.createDataFrame(pd.DataFrame({"file_path": listed}))
+    return found.withColumn("file_name", file_name_of(F.col("file_path")))
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
+def file_headers(spark: SparkSession, path: Paths) -> DataFrame:
     """The first line of every file. Combines on the map side to one row per file and split."""
     place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     return (
@@ -43,7 +55,7 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_by_name(spark: SparkSession, path: str, columns: list[str] = SALES_COLUMNS) -> DataFrame:
+def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_COLUMNS) -> DataFrame:
     """Rows of CSV files with the wanted columns found by header name, whatever their order.
 
     Spark maps a user schema by position, so the files are read by position once and each row picks
@@ -75,7 +87,7 @@ def scan_by_name(spark: SparkSession, path: str, columns: list[str] = SALES_COLU
         .select(
             F.array(*cells).alias("cells"),
             F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file_name"),
+            file_name_of(F.col("_metadata.file_path")).alias("file_name"),
             F.struct(
                 F.col("_metadata.file_modification_time").alias("written"),
                 F.col("_metadata.file_name").alias("file"),
@@ -102,7 +114,7 @@ def amount_or_zero(amount: Column, has_column: Column) -> Column:
     return F.when(has_column, money(amount)).otherwise(F.lit(0).cast(MONEY))
 
 
-def read_sales_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_sales_rows(spark: SparkSession, path: Paths) -> DataFrame:
     """Typed rows of sales files; ``valid`` is false where the amount is not a finite number."""
     amount = amount_or_zero(F.col("daily_sales_total"), F.col("has_daily_sales_total"))
     return scan_by_name(spark, path).select(
@@ -172,7 +184,7 @@ def resolve_tenant_files(tenants: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def load_tenant_sales(spark: SparkSession, path: str, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_tenant_sales(spark: SparkSession, path: Paths, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sales rows served to every tenant, and the source verdict per tenant.
 
     A row keeps the tenant ids it carries itself; missing ones are those of the tenant it is served
@@ -216,7 +228,7 @@ def load_tenant_sales(spark: SparkSession, path: str, tenants: DataFrame) -> tup
 
 
 def read_upload(
-    spark: SparkSession, path: str, restaurant_id: str = "", location_id: str = ""
+    spark: SparkSession, path: Paths, restaurant_id: str = "", location_id: str = ""
 ) -> tuple[DataFrame, DataFrame]:
     """Classified rows of uploaded files, and a status per file.
 
@@ -245,7 +257,7 @@ def read_upload(
     return classify_uploads(raw), upload_status(spark, path, files)
 
 
-def upload_status(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+def upload_status(spark: SparkSession, path: Paths, files: DataFrame) -> DataFrame:
     """Header check per uploaded file; a file without a header line fails it."""
     cells = F.transform(F.split("header", ","), lambda c: F.btrim(c, F.lit(' "\r')))
     complete = F.array_contains(cells, "date") & F.array_contains(cells, "daily_sales_total")
