@@ -43,7 +43,7 @@ def test_undecodable_payload_is_null(spark):
     assert [r[0] for r in got] == [False, True]
 
 
-def test_run_tenant(spark):
+def test_run_tenants(spark):
     cases = [
         ({"restaurant_id": "r", "location_id": "l"}, ("r", "l")),
         ({"restaurant_id": "r"}, ("r", "location_001")),
@@ -54,7 +54,7 @@ def test_run_tenant(spark):
         ("broken", ("restaurant_001", "location_001")),
     ]
     df = runlog.decode_payload(runs(spark, [c[0] for c in cases]))
-    got = df.orderBy("seq").select(*runlog.run_tenant(F.col("payload"))).collect()
+    got = runlog.run_tenants(df).orderBy("seq").select("restaurant_id", "location_id").collect()
     assert [tuple(r) for r in got] == [c[1] for c in cases]
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tillcast.constants import MONEY
 
-# Fixed value: a finite decimal number; single underscores may group digits.
-_DIGITS = r"[0-9]+(_[0-9]+)*"
-NUMBER_PATTERN = rf"^\s*[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\s*$"
+# A finite decimal number, and the same with single underscores grouping its digits.
+NUMBER_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_GROUPED = r"[0-9]+(_[0-9]+)*"
+GROUPED_PATTERN = rf"^\s*[+-]?({_GROUPED}(\.({_GROUPED})?)?|\.{_GROUPED})([eE][+-]?{_GROUPED})?\s*$"
 
 # Fixed value: an ISO date with an optional time of day and offset.
 ISO_DATE_PATTERN = (
@@ -23,19 +24,26 @@ ISO_DATE_PATTERN = (
 )
 
 
-def _digits_only(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")))
+def number_text(text: Column) -> Column:
+    """The text in a form every numeric cast reads, or NULL where it is not a finite number."""
+    grouped = text.contains("_") & text.rlike(GROUPED_PATTERN)
+    return F.when(text.rlike(NUMBER_PATTERN), text).when(grouped, F.replace(text, F.lit("_"), F.lit("")))
 
 
 def finite_number(text: Column) -> Column:
     """The text as a double, or NULL where it is not a finite number."""
-    value = _digits_only(text).try_cast("double")
+    return finite(number_text(text))
+
+
+def finite(number: Column) -> Column:
+    """A number text as a double; NULL where it is too large for one."""
+    value = number.try_cast("double")
     return F.when(F.abs(value) < float("inf"), value)
 
 
 def money(text: Column) -> Column:
     """The text as an amount, or NULL where it is not a finite number or does not fit."""
-    return _digits_only(text).try_cast(MONEY)
+    return number_text(text).try_cast(MONEY)
 
 
 def iso_date(text: Column) -> Column:

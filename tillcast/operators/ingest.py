@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tillcast.constants import DEFAULT_LOCATION_ID, DEFAULT_RESTAURANT_ID, MONEY, SALES_KEY
+from tillcast.functions.staging import computed_once
 from tillcast.functions.text import first_filled
-from tillcast.functions.values import finite_number, iso_date, money
+from tillcast.functions.values import finite, iso_date, number_text
 
 
 def tenant_columns(
@@ -33,22 +34,28 @@ def classify_uploads(raw: DataFrame) -> DataFrame:
 
     Expects ``restaurant_id, location_id, date_text, sales_text``; other columns are carried along.
     """
-    number = finite_number(F.col("sales_text"))
-    amount = money(F.col("sales_text"))
-    day = iso_date(F.col("date_text"))
+    checked = raw.withColumns(
+        {"date": iso_date(F.col("date_text")), "_number": number_text(F.col("sales_text"))}
+    )
+    number = finite(F.col("_number"))
+    amount = F.col("_number").try_cast(MONEY)
     reason = (
-        F.when(day.isNull(), F.lit("invalid_date"))
+        F.when(F.col("date").isNull(), F.lit("invalid_date"))
         .when(number.isNull(), F.lit("invalid_sales"))
         .when(number < 0, F.lit("negative_sales"))
         .when(amount.isNull(), F.lit("invalid_sales"))
     )
-    taken = {"restaurant_id", "location_id"}
-    return raw.select(
-        *[c for c in raw.columns if c not in taken],
-        *tenant_columns(F.col("restaurant_id"), F.col("location_id")),
-        day.alias("date"),
-        amount.alias("daily_sales_total"),
-        reason.alias("reason"),
+    restaurant, location = tenant_columns(F.col("restaurant_id"), F.col("location_id"))
+    return computed_once(
+        checked,
+        [c for c in raw.columns if c not in ("restaurant_id", "location_id")],
+        {
+            "restaurant_id": restaurant,
+            "location_id": location,
+            "date": F.col("date"),
+            "daily_sales_total": amount,
+            "reason": reason,
+        },
     )
 
 

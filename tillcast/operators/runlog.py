@@ -76,39 +76,48 @@ def _first(matches: Column) -> Column:
     return F.get(matches, F.lit(0))
 
 
-def run_tenant(run: Column) -> list[Column]:
-    """Tenant of a stored run.
+def run_tenants(decoded: DataFrame) -> DataFrame:
+    """Tenant of each stored run.
 
     The ids of the run itself, unless both are the defaults; then those of the first step that
     carries either id.
     """
-    restaurant = F.coalesce(filled(payload.field(run, "$.restaurant_id")), F.lit(DEFAULT_RESTAURANT_ID))
-    location = F.coalesce(filled(payload.field(run, "$.location_id")), F.lit(DEFAULT_LOCATION_ID))
-    own = (restaurant != DEFAULT_RESTAURANT_ID) | (location != DEFAULT_LOCATION_ID)
-    steps = _results(payload.object_or_null(payload.field(run, "$.result", "variant")))
+    run = F.col("payload")
+    carried = [c for c in decoded.columns if c not in TENANT]
 
-    def step_id(step: Column, name: str) -> Column:
-        return filled(payload.field(step, f"$.data.{name}"))
+    def ids(step: Column) -> Column:
+        return F.struct(
+            filled(payload.field(step, "$.data.restaurant_id")).alias("restaurant_id"),
+            filled(payload.field(step, "$.data.location_id")).alias("location_id"),
+        )
 
-    step = _first(
-        F.filter(
-            steps,
-            lambda s: step_id(s, "restaurant_id").isNotNull() | step_id(s, "location_id").isNotNull(),
+    own = decoded.select(
+        *carried,
+        F.coalesce(filled(payload.field(run, "$.restaurant_id")), F.lit(DEFAULT_RESTAURANT_ID)).alias("own_restaurant"),
+        F.coalesce(filled(payload.field(run, "$.location_id")), F.lit(DEFAULT_LOCATION_ID)).alias("own_location"),
+    )
+    named = (F.col("own_restaurant") != DEFAULT_RESTAURANT_ID) | (F.col("own_location") != DEFAULT_LOCATION_ID)
+    steps = _results(payload.object_or_null(payload.field(run, "$.result", "variant")))
+    either = F.filter(
+        F.transform(steps, ids), lambda s: s["restaurant_id"].isNotNull() | s["location_id"].isNotNull()
+    )
+    return (
+        own.withColumn("named", named)
+        .withColumn("step_ids", F.when(~F.col("named"), _first(either)))
+        .select(
+            *carried,
+            F.when(F.col("named"), F.col("own_restaurant"))
+            .otherwise(F.coalesce("step_ids.restaurant_id", F.lit(DEFAULT_RESTAURANT_ID)))
+            .alias("restaurant_id"),
+            F.when(F.col("named"), F.col("own_location"))
+            .otherwise(F.coalesce("step_ids.location_id", F.lit(DEFAULT_LOCATION_ID)))
+            .alias("location_id"),
         )
     )
-    return [
-        F.when(own, restaurant)
-        .otherwise(F.coalesce(step_id(step, "restaurant_id"), F.lit(DEFAULT_RESTAURANT_ID)))
-        .alias("restaurant_id"),
-        F.when(own, location)
-        .otherwise(F.coalesce(step_id(step, "location_id"), F.lit(DEFAULT_LOCATION_ID)))
-        .alias("location_id"),
-    ]
 
 
-def ingestion_tenant(run: Column) -> list[Column]:
-    """Tenant named by the ingestion step of a run result, else the defaults."""
-    step = _first(F.filter(_results(run), _is_ingestion))
+def _step_tenant(step: Column) -> list[Column]:
+    """Tenant named by an ingestion step, else the defaults."""
     return [
         F.coalesce(filled(payload.field(step, "$.data.restaurant_id")), F.lit(DEFAULT_RESTAURANT_ID))
         .alias("restaurant_id"),
@@ -127,19 +136,30 @@ def _sales_list(step: Column) -> Column:
     return F.when(payload.is_array(listed), payload.field(step, "$.data.sales", "array<variant>"))
 
 
-def stored_sales(run: Column, strict: bool) -> Column:
-    """Sales entries of a stored run as an array of variants.
+def stored_sales(decoded: DataFrame, strict: bool) -> DataFrame:
+    """Adds the ingestion step of a stored run and its sales entries, an array of variants.
 
     Strict takes the first ingestion step whose entries are all objects; otherwise the first
-    ingestion step counts and entries that are no objects are dropped.
+    ingestion step counts and entries that are no objects are dropped. Each stage is a column of its
+    own, so that no part of a payload is searched twice.
     """
-    steps = F.filter(_results(payload.unwrap_result(run)), _is_ingestion)
-    if strict:
-        whole = F.filter(
-            steps, lambda s: F.coalesce(F.forall(_sales_list(s), payload.is_object), F.lit(False))
-        )
-        return _sales_list(_first(whole))
-    return F.filter(_sales_list(_first(steps)), payload.is_object)
+    staged = decoded.withColumn("run", payload.unwrap_result(F.col("payload"))).withColumn(
+        "steps", F.filter(_results(F.col("run")), _is_ingestion)
+    )
+    if not strict:
+        first = staged.withColumn("step", _first(F.col("steps"))).withColumn("listed", _sales_list(F.col("step")))
+        return first.withColumn("sales", F.filter("listed", payload.is_object))
+    with_lists = staged.withColumn(
+        "candidates", F.transform("steps", lambda s: F.struct(s.alias("step"), _sales_list(s).alias("sales")))
+    )
+    whole = F.filter(
+        "candidates", lambda c: F.coalesce(F.forall(c["sales"], payload.is_object), F.lit(False))
+    )
+    return (
+        with_lists.withColumn("found", _first(whole))
+        .withColumn("step", _first(F.col("steps")))
+        .withColumn("sales", F.col("found.sales"))
+    )
 
 
 def _amount(entry: Column) -> Column:
@@ -151,14 +171,10 @@ def _amount(entry: Column) -> Column:
 
 def extract_sales(runs: DataFrame, strict: bool = True) -> DataFrame:
     """Sales rows stored inside run payloads, with the tenant of the ingestion step."""
-    decoded = decode_payload(runs)
     entry = F.col("entry")
     return (
-        decoded.select(
-            "run_id",
-            *ingestion_tenant(payload.unwrap_result(F.col("payload"))),
-            F.explode_outer(stored_sales(F.col("payload"), strict)).alias("entry"),
-        )
+        stored_sales(decode_payload(runs), strict)
+        .select("run_id", *_step_tenant(F.col("step")), F.explode_outer("sales").alias("entry"))
         .where(entry.isNotNull())
         .select(
             "run_id",
@@ -175,14 +191,14 @@ def sales_of_latest_run(runs: DataFrame, strict: bool = True, order: str = "seq"
 
 def step_durations(lines: DataFrame) -> DataFrame:
     """Durations per step from parsed log lines."""
-    took = F.col("duration_ms")
+    took = F.when(F.col("event") == "step_done", F.col("duration_ms"))
     return (
-        lines.where((F.col("event") == "step_done") & took.isNotNull())
-        .groupBy("step")
+        lines.groupBy("step")
         .agg(
-            F.count(F.lit(1)).alias("runs"),
+            F.count(took).alias("runs"),
             F.avg(took).alias("avg_ms"),
             F.max(took).alias("max_ms"),
             F.percentile_approx(took, 0.95, 10000).alias("p95_ms"),
         )
+        .where(F.col("runs") > 0)
     )

@@ -258,7 +258,7 @@ def latest_run_overall(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_tenants(spark: SparkSession, sf: str) -> DataFrame:
     decoded = runlog.decode_payload(testbed.wrapped_runs(spark, sf))
-    return decoded.select("run_id", *runlog.run_tenant(F.col("payload")))
+    return runlog.run_tenants(decoded).select("run_id", *TENANT)
 
 
 def run_sales_extract(spark: SparkSession, sf: str) -> DataFrame:

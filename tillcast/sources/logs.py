@@ -14,19 +14,25 @@ JSON_LOG_SCHEMA = (
 
 
 def log_field(line: Column, key: str) -> Column:
-    """One ``key=value`` of a log line, or NULL. The first of a repeated key counts."""
-    return filled(F.regexp_extract(line, rf"(?:^|\s){key}=(\S*)", 1))
+    """One ``key=value`` of a log line, or NULL. The first of a repeated key counts.
+
+    Plain text search: every field after the time stamp follows a blank.
+    """
+    mark = f" {key}="
+    return filled(F.substring_index(F.split_part(line, F.lit(mark), F.lit(2)), " ", 1))
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
     """Columns of ``[time] event=… run_id=… step=… key=value …`` lines held in ``value``."""
     line = F.col("value")
-    return lines.select(
-        filled(F.regexp_extract(line, r"^\[([^\]]*)\]", 1)).try_cast("timestamp").alias("logged_at"),
+    return lines.where(line.contains(" event=")).select(
+        F.when(line.startswith("["), F.substring_index(F.substring(line, 2, 40), "]", 1))
+        .try_cast("timestamp")
+        .alias("logged_at"),
         *[log_field(line, k).alias(k) for k in ("event", "run_id", "step", "status", "reason", "error_type")],
         log_field(line, "duration_ms").try_cast("bigint").alias("duration_ms"),
         line.alias("line"),
-    ).where(F.col("event").isNotNull())
+    )
 
 
 def read_text_log(spark: SparkSession, path: str) -> DataFrame:
