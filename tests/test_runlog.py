@@ -138,3 +138,32 @@ def test_json_log_keeps_corrupt_lines(spark, tmp_path):
     rows = read_json_log(spark, str(path)).cache().collect()
     assert (rows[0].level, rows[0].event, rows[0].duration_ms, rows[0]._corrupt_record) == ("INFO", "e", 3, None)
     assert rows[1]._corrupt_record == "broken {"
+
+
+def test_summary_covers_planned_runs(spark):
+    steps = spark.createDataFrame([("a", "ok"), ("a", "error")], "run_id string, status string")
+    plans = spark.createDataFrame([("a", 3), ("dry", 2)], "run_id string, steps_planned int")
+    got = {r.run_id: (r.ok_count, r.error_count, r.steps_returned, r.steps_planned, r.has_errors)
+           for r in runlog.run_summary(steps, plans).collect()}
+    assert got == {"a": (1, 1, 2, 3, True), "dry": (0, 0, 0, 2, False)}
+
+
+def test_model_from_latest_stored_run(spark):
+    from conftest import SAMPLE
+    from tillcast.operators.ingest import typed_sales
+    from tillcast.operators.models import fit_average
+
+    sales = [{"date": f"2025-01-{i + 1:02d}", "daily_sales_total": a} for i, a in enumerate(SAMPLE)]
+    df = runs(spark, [{"results": [step([A])]}, {"result": {"results": [step(sales, restaurant_id="r")]}}])
+    model = fit_average(typed_sales(runlog.sales_of_latest_run(df))).first()
+    assert (model.restaurant_id, model.location_id, float(model.avg_daily_sales)) == ("r", "location_001", 1519.0)
+
+
+def test_tenant_filter_reaches_the_scan(spark, tmp_path):
+    from plan_text import pushed_filters
+
+    path = str(tmp_path / "runs")
+    rows = [(1, "r", "l"), (2, "r", "m")]
+    spark.createDataFrame(rows, "seq bigint, restaurant_id string, location_id string").write.parquet(path)
+    found = runlog.latest_run(runlog.runs_of_tenant(spark.read.parquet(path), "r", "m"))
+    assert "EqualTo(restaurant_id,r)" in pushed_filters(found) and found.first().seq == 2

@@ -163,3 +163,25 @@ def test_absent_upload(spark, tmp_path):
     classified, status = sf.read_upload(spark, str(tmp_path / "upload_sales.csv"))
     assert classified.count() == 0
     assert rows(status, "ingestion_status", "reason") == [("error", "upload_sales.csv_not_found")]
+
+
+def test_repeated_and_padded_header_names(spark, tmp_path):
+    path = write(tmp_path, a="daily_sales_total,daily_sales_total, date\n1,2,2025-01-01\n")
+    assert rows(sf.read_sales_rows(spark, path), "daily_sales_total", "date_text") == [(Decimal("2.00"), None)]
+
+
+def test_file_names_with_blanks_and_signs(spark, tmp_path):
+    names = ["a b.csv", "c+d%20e.csv"]
+    for n in names:
+        (tmp_path / n).write_text("date,daily_sales_total\n2025-01-01,1\n")
+    path = str(tmp_path)
+    assert sorted(r.file_name for r in sf.list_files(spark, path).collect()) == names
+    assert sorted(r.file_name for r in sf.read_sales_rows(spark, path).collect()) == names
+    _, status = sf.read_upload(spark, path)
+    assert {r.ingestion_status for r in status.collect()} == {"ok"}
+
+
+def test_header_scan_keeps_no_rows_in_the_shuffle(spark, tmp_path):
+    path = write(tmp_path, **{f"f{i}": "date,daily_sales_total\n" + "2025-01-01,1\n" * 50 for i in range(6)})
+    got = sf.file_headers(spark, path).collect()
+    assert len(got) == 6 and {r.header for r in got} == {"date,daily_sales_total"}

@@ -94,6 +94,7 @@ def test_model_version_text(spark):
     df = spark.range(1)
     assert df.select(tables.model_version(at, F.lit("abcdef"))).first()[0] == "20250102_030405_abcdef"
     assert len(df.select(tables.model_version(at)).first()[0]) == 22
+    assert df.select(tables.new_run_id(at, F.lit("01234567"))).first()[0] == "run_20250102_030405_01234567"
 
 
 def test_model_json(spark, tmp_path):

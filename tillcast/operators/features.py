@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.constants import FEATURE_NAMES, MONEY, SALES_KEY, TENANT
@@ -45,14 +45,19 @@ def waste_rate(inventory: DataFrame) -> DataFrame:
 
 def labor_hours(attendance: DataFrame) -> DataFrame:
     """Hours between clock-in and clock-out, summed per person and day."""
-    micros = F.unix_micros(F.col("clock_out").cast("timestamp")) - F.unix_micros(
-        F.col("clock_in").cast("timestamp")
-    )
+    micros = local_micros(F.col("clock_out")) - local_micros(F.col("clock_in"))
     return attendance.groupBy("employee_id", "work_date").agg(
         F.round(F.sum(micros) / F.lit(3_600_000_000), 6).alias("labor_hours")
     )
 
 
+def local_micros(ts: Column) -> Column:
+    """Microseconds of a wall-clock time, whatever the session time zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    return days * F.lit(86_400_000_000) + (seconds * 1_000_000).cast("bigint")
+
+
 def feature_lists(tenants: DataFrame, names: list[str] | None = None) -> DataFrame:
     """The generated feature names of each tenant as an array."""
     kept = F.array(*[F.lit(n) for n in (FEATURE_NAMES if names is None else names)])

@@ -82,7 +82,7 @@ def arrival_order(rows: DataFrame, batch: str = "batch", seq: str = "ingest_seq"
     types = {f.name: f.dataType for f in rows.schema.fields}
     if isinstance(types[batch], IntegralType) and isinstance(types[seq], IntegralType):
         shift = F.lit(Decimal(10**19))
-        return F.col(batch).cast("decimal(10,0)") * shift + F.col(seq).cast("decimal(19,0)")
+        return F.col(batch).cast("decimal(18,0)") * shift + F.col(seq).cast("decimal(19,0)")
     return F.struct(batch, seq)
 
 

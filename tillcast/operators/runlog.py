@@ -27,17 +27,30 @@ def with_run_defaults(runs: DataFrame) -> DataFrame:
     return out
 
 
-def run_summary(steps: DataFrame) -> DataFrame:
-    """Step outcomes per run; combinable counts, so a run with many steps is no hot spot."""
+def run_summary(steps: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Step outcomes per run; combinable counts, so a run with many steps is no hot spot.
+
+    With ``plans`` (``run_id, steps_planned``) the summary covers every planned run, also one of
+    which no step returned.
+    """
     status = F.col("status")
     errors = F.count_if(status == "error")
-    return with_run_defaults(steps).groupBy("run_id").agg(
+    outcome = with_run_defaults(steps).groupBy("run_id").agg(
         F.count_if(status == "ok").alias("ok_count"),
         errors.alias("error_count"),
         F.count_if(status == "skipped").alias("skipped_count"),
         (errors > 0).alias("has_errors"),
         F.count(F.lit(1)).alias("steps_returned"),
     )
+    if plans is None:
+        return outcome
+    counts = ["ok_count", "error_count", "skipped_count", "steps_returned"]
+    return plans.select("run_id", "steps_planned").join(outcome, "run_id", "left").select(
+        "run_id",
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce("has_errors", F.lit(False)).alias("has_errors"),
+        "steps_planned",
+    )
 
 
 def latest_run(runs: DataFrame, order: str = "seq") -> DataFrame:

@@ -57,14 +57,17 @@ class _Steps:
 
 
 def keyed_sales(served: DataFrame) -> DataFrame:
-    """Served file rows as the keyed sales table of the tenants they were served to."""
+    """Served file rows as the keyed sales table of the tenants they were served to.
+
+    A tenant is served one file, so the place of a row in its file is its whole arrival order.
+    """
     rows = served.select(
         F.col("for_restaurant_id").alias("restaurant_id"),
         F.col("for_location_id").alias("location_id"),
         iso_date(F.col("date_text")).alias("date"),
         "daily_sales_total",
-        F.lit(0).alias("batch"),
-        "ingest_seq",
+        F.col("ingest_seq.start").alias("batch"),
+        F.col("ingest_seq.n").alias("ingest_seq"),
     )
     return latest_by_key(rows.where(F.col("date").isNotNull()))
 

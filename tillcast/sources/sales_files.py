@@ -43,18 +43,46 @@ def list_files(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def file_headers(spark: SparkSession, path: Paths) -> DataFrame:
-    """The first line of every file. Combines on the map side to one row per file and split."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    """The first line of every file. Combines on the map side to one row per file."""
     return (
         spark.read.text(path)
-        .where(F.col("_metadata.file_block_start") == 0)
-        .where(F.trim("value") != "")
-        .select(F.col("_metadata.file_path").alias("file_path"), "value", place.alias("place"))
+        .select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            "value",
+            F.monotonically_increasing_id().alias("n"),
+        )
+        .where((F.col("start") == 0) & (F.trim("value") != ""))
         .groupBy("file_path")
-        .agg(F.min_by("value", "place").alias("header"))
+        .agg(F.min_by("value", "n").alias("header"))
     )
 
 
+def header_places(headers: DataFrame, width: int, columns: list[str]) -> DataFrame:
+    """Position of each wanted column in each file, from 1; 0 where a file lacks it.
+
+    The last of several columns with the same name counts.
+    """
+    cells = F.from_csv("header", _cell_schema(width))
+    backwards = F.array(*[F.coalesce(cells[f"c{i}"], F.lit("")) for i in reversed(range(width))])
+
+    def place(name: str) -> Column:
+        found = F.array_position(backwards, F.lit(name))
+        return F.when(found > 0, width + 1 - found).otherwise(F.lit(0)).cast("int")
+
+    return headers.select("file_path", *[place(c).alias(f"at_{c}") for c in columns])
+
+
+def _cell_schema(width: int) -> str:
+    return ", ".join(f"c{i} string" for i in range(width))
+
+
+def header_width(headers: DataFrame) -> int:
+    """An upper bound of the columns in any file (one number for the driver)."""
+    commas = F.length("header") - F.length(F.replace(F.col("header"), F.lit(","), F.lit("")))
+    return (headers.agg(F.max(commas)).first()[0] or 0) + 1
+
+
 def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_COLUMNS) -> DataFrame:
     """Rows of CSV files with the wanted columns found by header name, whatever their order.
 
@@ -64,28 +92,17 @@ def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_CO
     header shapes.
     """
     headers = file_headers(spark, path)
-    commas = F.length("header") - F.length(F.replace(F.col("header"), F.lit(","), F.lit("")))
-    width = (headers.agg(F.max(commas)).first()[0] or 0) + 1
-    cells = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{c} string" for c in cells)
-
-    names = F.from_csv("header", schema)
-    places = headers.select(
-        "file_path",
-        *[
-            F.array_position(F.array(*[F.coalesce(F.trim(names[c]), F.lit("")) for c in cells]), F.lit(w)).alias(f"at_{w}")
-            for w in columns
-        ],
-    )
+    width = header_width(headers)
+    places = header_places(headers, width, columns)
     rows = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", True)
         .option("emptyValue", "")
-        .schema(schema)
+        .schema(_cell_schema(width))
         .csv(path)
         .select(
-            F.array(*cells).alias("cells"),
+            F.array(*[f"c{i}" for i in range(width)]).alias("cells"),
             F.col("_metadata.file_path").alias("file_path"),
             file_name_of(F.col("_metadata.file_path")).alias("file_name"),
             F.struct(
@@ -98,7 +115,7 @@ def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_CO
     )
 
     def cell(name: str) -> Column:
-        return F.when(F.col(f"at_{name}") > 0, F.get(F.col("cells"), F.col(f"at_{name}").cast("int") - 1))
+        return F.when(F.col(f"at_{name}") > 0, F.get(F.col("cells"), F.col(f"at_{name}") - 1))
 
     return rows.join(places, "file_path").select(
         "file_path",
@@ -259,9 +276,11 @@ def read_upload(
 
 def upload_status(spark: SparkSession, path: Paths, files: DataFrame) -> DataFrame:
     """Header check per uploaded file; a file without a header line fails it."""
-    cells = F.transform(F.split("header", ","), lambda c: F.btrim(c, F.lit(' "\r')))
-    complete = F.array_contains(cells, "date") & F.array_contains(cells, "daily_sales_total")
-    checked = file_headers(spark, path).select("file_path", complete.alias("complete"))
+    headers = file_headers(spark, path)
+    places = header_places(headers, header_width(headers), ["date", "daily_sales_total"])
+    checked = places.select(
+        "file_path", ((F.col("at_date") > 0) & (F.col("at_daily_sales_total") > 0)).alias("complete")
+    )
     # Listing and scan spell a path differently (file:/ and file:///), so compare it without scheme.
     bare = F.regexp_replace("file_path", "^[a-z0-9]+:/+", "/")
     ok = F.coalesce(F.col("complete"), F.lit(False))

@@ -79,9 +79,11 @@ def sales_of_key(
 def compact_sales(spark: SparkSession, root: str, through: int) -> None:
     """Fold all batches up to ``through`` into one state, so that readers skip their history.
 
-    The commit row is written last: an interrupted compaction is never read.
+    The commit row is written last: an interrupted compaction is never read. Files are laid out by
+    date, so that lookups of a few dates skip most of them; the tenant splits a date that holds many
+    rows.
     """
-    state = sales_state(spark, root, before=through + 1)
+    state = sales_state(spark, root, before=through + 1).repartitionByRange("date", *TENANT)
     write_batch(state, f"{root}/base", through)
     rows = spark.range(1).select(F.lit(through).cast("bigint").alias("rows"))
     write_batch(rows, f"{root}/base_commits", through)
@@ -98,6 +100,12 @@ def model_version(trained_at: Column, suffix: Column | None = None) -> Column:
     return F.concat(F.date_format(trained_at, "yyyyMMdd_HHmmss_"), tail)
 
 
+def new_run_id(at: Column, suffix: Column | None = None) -> Column:
+    """``run_yyyyMMdd_HHmmss_`` and eight hex digits."""
+    tail = F.substring(F.expr("uuid()"), 1, 8) if suffix is None else suffix
+    return F.concat(F.lit("run_"), F.date_format(at, "yyyyMMdd_HHmmss_"), tail)
+
+
 def append_model_version(models: DataFrame, path: str, version: str) -> None:
     """Store one training run of all its tenants; the same version again replaces it."""
     models.drop("model_version").write.mode("overwrite").parquet(f"{path}/model_version={version}")

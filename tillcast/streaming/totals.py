@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillcast.constants import MONEY, TENANT
+from tillcast.session import require_utc
 
 
 def daily_totals(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Daily total per tenant from ``restaurant_id, location_id, ts, amount``.
 
     State is one sum per open tenant day; rows later than ``lateness`` behind the newest event are
-    dropped. Works the same on a batch frame, where nothing is late.
+    dropped. Works the same on a batch frame, where nothing is late. Day windows are aligned to UTC,
+    so wall-clock times only fall into their own day in a UTC session.
     """
+    require_utc(events.sparkSession)
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return (
         stamped.groupBy(*TENANT, F.window("ts", "1 day").alias("day"))
