@@ -49,7 +49,7 @@ def test_repeat_is_stable_and_external_provider_works(spark, tmp_path):
     tenants, root = inputs(spark, tmp_path / "in"), str(tmp_path / "out")
 
     def provider(prompts):
-        return insight.call_provider(prompts, insight.answer_from_prompt, max_parallel=2)
+        return insight.call_provider(prompts, insight.prompt_rule(), max_parallel=2)
 
     daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "v1", provider=provider)
     first = sorted(spark.read.parquet(f"{root}/dashboard").collect())

@@ -50,7 +50,7 @@ def test_local_providers_agree(make_sales):
     })
     asked = prompts(sales)
     rules = insight.parse_answers(insight.ask(asked, insight.rule_provider))
-    calls = insight.parse_answers(insight.call_provider(asked, insight.answer_from_prompt, max_parallel=3))
+    calls = insight.parse_answers(insight.call_provider(asked, insight.prompt_rule(), max_parallel=3))
     columns = ["location_id", "insight_status", "model", "insight_json_raw", "risk_level", "actions"]
     left = sorted(rules.select(columns).collect())
     assert left == sorted(calls.select(columns).collect())

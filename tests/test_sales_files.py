@@ -185,3 +185,16 @@ def test_header_scan_keeps_no_rows_in_the_shuffle(spark, tmp_path):
     path = write(tmp_path, **{f"f{i}": "date,daily_sales_total\n" + "2025-01-01,1\n" * 50 for i in range(6)})
     got = sf.file_headers(spark, path).collect()
     assert len(got) == 6 and {r.header for r in got} == {"date,daily_sales_total"}
+
+
+def test_one_shared_header_needs_no_join_and_reads_wanted_cells(spark, tmp_path):
+    from plan_text import formatted
+
+    header = "note,daily_sales_total,other,date,date\n"
+    path = write(tmp_path, a=header + "x,1,y,bad,2025-01-01\n", b=header + '"p,q",2,y,bad,2025-01-02\n')
+    df = sf.read_sales_rows(spark, path)
+    assert rows(df, "date_text", "daily_sales_total", "restaurant_id") == [
+        ("2025-01-01", Decimal("1.00"), None), ("2025-01-02", Decimal("2.00"), None),
+    ]
+    plan = formatted(df.select("date_text", "daily_sales_total"))
+    assert "Join" not in plan and "ReadSchema: struct<c1:string,c4:string>" in plan

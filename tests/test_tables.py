@@ -123,3 +123,14 @@ def test_run_log_grows_columns(spark, tmp_path):
     assert [r.payload is None for r in rows] == [False, False, True]
     pruned = tables.read_runs(spark, path).where(F.col("stored_day") == F.lit("2025-01-02").cast("date"))
     assert "PartitionFilters: [isnotnull(stored_day" in formatted(pruned) and pruned.count() == 1
+
+
+def test_model_json_round_trip(spark, tmp_path, make_sales):
+    path = str(tmp_path / "json")
+    models_ = models.fit_average(make_sales({T: SAMPLE, ("r", "old"): [1]}))
+    tables.write_model_json(models.average_model_records(models_), path)
+    tables.write_model_json(models.average_model_records(models_), path)
+    back = tables.read_model_json(spark, path)
+    columns = ["restaurant_id", "location_id", "avg_daily_sales", "training_rows"]
+    assert sorted(back.select(columns).collect()) == sorted(models_.select(columns).collect())
+    assert {(r.version, r.reason) for r in back.collect()} == {("1.0", None)}

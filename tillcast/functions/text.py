@@ -56,7 +56,7 @@ def parse_bool(text: Column, default: bool | None = None) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Non-empty stripped parts of a comma list, or NULL where there is none."""
-    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
+    parts = F.array_remove(F.transform(F.split(text, ","), strip), "")
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -33,6 +33,7 @@ NO_KEY_REASON = "OPENAI_API_KEY_not_set"
 CALL_FAILED = "openai_call_failed"
 
 LOCAL_MODEL = "local_rules"
+RISK_LEVELS = ["unknown", "high", "medium", "low"]
 ANSWER_SCHEMA = (
     "restaurant_id string, location_id string, prompt string, "
     "status string, reason string, model string, raw_json string"
@@ -192,7 +193,7 @@ def rule_provider(prompts: DataFrame) -> DataFrame:
     answers = F.create_map(
         *[
             part
-            for level in ("unknown", "high", "medium", "low")
+            for level in RISK_LEVELS
             for part in (F.lit(level), F.lit(json.dumps(_advice(level), separators=(",", ":"))))
         ]
     )
@@ -206,29 +207,35 @@ def rule_provider(prompts: DataFrame) -> DataFrame:
     )
 
 
-def answer_from_prompt(prompt: str) -> dict:
-    """The same rule for one prompt text, as a stand-in for a network call."""
-    context = dict(
-        line[2:].split(": ", 1) for line in prompt.splitlines() if line.startswith("- ") and ": " in line
-    )
-    recent = json.loads(context["recent_sales"], parse_float=Decimal, parse_int=Decimal)
-    coming = json.loads(context["forecast"], parse_float=Decimal, parse_int=Decimal)
-    if not recent or not coming:
-        risk = "unknown"
-    else:
-        scaled = coming[0]["predicted_sales"] * len(recent)
-        total = sum(day["daily_sales_total"] for day in recent)
-        if scaled >= total * Decimal("1.25"):
-            risk = "high"
-        elif scaled >= total * Decimal("1.05"):
-            risk = "medium"
+def prompt_rule() -> Callable[[str], dict]:
+    """The same rule for one prompt text, as a stand-in for a network call.
+
+    The returned function carries all it needs, so workers do not import this package for it.
+    """
+    answers = {level: json.dumps(_advice(level), separators=(",", ":")) for level in RISK_LEVELS}
+
+    def answer(prompt: str) -> dict:
+        context = dict(
+            line[2:].split(": ", 1)
+            for line in prompt.splitlines()
+            if line.startswith("- ") and ": " in line
+        )
+        recent = json.loads(context["recent_sales"], parse_float=Decimal, parse_int=Decimal)
+        coming = json.loads(context["forecast"], parse_float=Decimal, parse_int=Decimal)
+        if not recent or not coming:
+            risk = "unknown"
         else:
-            risk = "low"
-    return {
-        "status": "ok",
-        "model": LOCAL_MODEL,
-        "raw_json": json.dumps(_advice(risk), separators=(",", ":")),
-    }
+            scaled = coming[0]["predicted_sales"] * len(recent)
+            total = sum(day["daily_sales_total"] for day in recent)
+            if scaled >= total * Decimal("1.25"):
+                risk = "high"
+            elif scaled >= total * Decimal("1.05"):
+                risk = "medium"
+            else:
+                risk = "low"
+        return {"status": "ok", "model": LOCAL_MODEL, "raw_json": answers[risk]}
+
+    return answer
 
 
 def call_provider(

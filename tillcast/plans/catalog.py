@@ -225,7 +225,7 @@ def insight_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 def insight_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The provider called once per prompt, outside the JVM."""
-    answers = insight.call_provider(_prompts(spark, sf), insight.answer_from_prompt)
+    answers = insight.call_provider(_prompts(spark, sf), insight.prompt_rule())
     return insight.parse_answers(answers).select(
         *TENANT, "insight_status", "model", "risk_level", F.size("actions").alias("n_actions")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,23 +79,32 @@ def _cell_schema(width: int) -> str:
     return ", ".join(f"c{i} string" for i in range(width))
 
 
-def header_width(headers: DataFrame) -> int:
-    """An upper bound of the columns in any file (one number for the driver)."""
+def header_shape(headers: DataFrame) -> tuple[int, str | None]:
+    """An upper bound of the columns in any file, and the header if all files share one.
+
+    Both come from one aggregate; the driver sees a number and a line.
+    """
     commas = F.length("header") - F.length(F.replace(F.col("header"), F.lit(","), F.lit("")))
-    return (headers.agg(F.max(commas)).first()[0] or 0) + 1
+    widest, first, last = headers.agg(F.max(commas), F.min("header"), F.max("header")).first()
+    return (widest or 0) + 1, first if first == last else None
+
+
+def shared_places(header: str, columns: list[str]) -> dict[str, int]:
+    names = next(csv.reader([header]), [])
+    return {c: len(names) - names[::-1].index(c) if c in names else 0 for c in columns}
 
 
 def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_COLUMNS) -> DataFrame:
     """Rows of CSV files with the wanted columns found by header name, whatever their order.
 
-    Spark maps a user schema by position, so the files are read by position once and each row picks
-    its cells through its own file's header. Every wanted column comes as text, together with
-    ``has_<column>`` telling an absent column from an empty cell. One pass serves any number of
-    header shapes.
+    Spark maps a user schema by position, so the files are read by position once. Where all files
+    share one header the wanted columns are known up front and only they are parsed. Otherwise each
+    row picks its cells through its own file's header, which takes a join on the file but still one
+    pass for any number of header shapes. Every wanted column comes as text, together with
+    ``has_<column>`` telling an absent column from an empty cell.
     """
     headers = file_headers(spark, path)
-    width = header_width(headers)
-    places = header_places(headers, width, columns)
+    width, shared = header_shape(headers)
     rows = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
@@ -101,23 +112,32 @@ def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_CO
         .option("emptyValue", "")
         .schema(_cell_schema(width))
         .csv(path)
-        .select(
-            F.array(*[f"c{i}" for i in range(width)]).alias("cells"),
-            F.col("_metadata.file_path").alias("file_path"),
-            file_name_of(F.col("_metadata.file_path")).alias("file_name"),
-            F.struct(
-                F.col("_metadata.file_modification_time").alias("written"),
-                F.col("_metadata.file_name").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("n"),
-            ).alias("ingest_seq"),
-        )
     )
+    cells = [f"c{i}" for i in range(width)]
+    file = [
+        F.col("_metadata.file_path").alias("file_path"),
+        file_name_of(F.col("_metadata.file_path")).alias("file_name"),
+        F.struct(
+            F.col("_metadata.file_modification_time").alias("written"),
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("n"),
+        ).alias("ingest_seq"),
+    ]
+    if shared is not None:
+        at = shared_places(shared, columns)
+        absent = F.lit(None).cast("string")
+        return rows.select(
+            *file,
+            *[(F.col(cells[at[c] - 1]) if at[c] else absent).alias(c) for c in columns],
+            *[F.lit(at[c] > 0).alias(f"has_{c}") for c in columns],
+        )
 
     def cell(name: str) -> Column:
         return F.when(F.col(f"at_{name}") > 0, F.get(F.col("cells"), F.col(f"at_{name}") - 1))
 
-    return rows.join(places, "file_path").select(
+    places = header_places(headers, width, columns)
+    return rows.select(*file, F.array(*cells).alias("cells")).join(places, "file_path").select(
         "file_path",
         "file_name",
         "ingest_seq",
@@ -277,7 +297,7 @@ def read_upload(
 def upload_status(spark: SparkSession, path: Paths, files: DataFrame) -> DataFrame:
     """Header check per uploaded file; a file without a header line fails it."""
     headers = file_headers(spark, path)
-    places = header_places(headers, header_width(headers), ["date", "daily_sales_total"])
+    places = header_places(headers, header_shape(headers)[0], ["date", "daily_sales_total"])
     checked = places.select(
         "file_path", ((F.col("at_date") > 0) & (F.col("at_daily_sales_total") > 0)).alias("complete")
     )

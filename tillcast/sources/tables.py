@@ -138,6 +138,11 @@ def latest_models(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_model_json(records: DataFrame, path: str) -> None:
+    """Average model records as JSON lines for readers outside Spark; replaces what is there."""
+    records.write.mode("overwrite").json(path)
+
+
 def read_model_json(spark: SparkSession, path: str) -> DataFrame:
     """Average models kept as JSON lines, with a reason where a line is not usable."""
     text = F.col("value")
