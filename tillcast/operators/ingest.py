@@ -137,24 +137,27 @@ def upsert_counts(classified: DataFrame, batch: str = "batch") -> DataFrame:
 
 
 def count_against(current_keys: DataFrame, classified: DataFrame) -> DataFrame:
-    """Inserted, updated and skipped rows of one upload against the keys stored so far."""
-    per_key = (
-        classified.where(F.col("reason").isNull())
-        .groupBy(*SALES_KEY)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    new_keys = per_key.join(current_keys, SALES_KEY, "left_anti").agg(
-        F.count(F.lit(1)).alias("inserted"), F.lit(0).alias("valid"), F.lit(0).alias("skipped")
+    """Inserted, updated and skipped rows of one upload against the keys stored so far.
+
+    Stored keys, which may repeat, and uploaded rows meet in one aggregation by key: both combine
+    before the shuffle, all rejects under one empty key.
+    """
+    valid = F.col("reason").isNull()
+    uploaded = classified.select(
+        *[F.when(valid, F.col(c)).alias(c) for c in SALES_KEY], valid.alias("valid"), F.lit(False).alias("stored")
     )
-    totals = classified.agg(
-        F.lit(0).alias("inserted"),
-        F.count_if(F.col("reason").isNull()).alias("valid"),
-        F.count_if(F.col("reason").isNotNull()).alias("skipped"),
+    stored = current_keys.select(*SALES_KEY, F.lit(None).cast("boolean").alias("valid"), F.lit(True).alias("stored"))
+    per_key = uploaded.unionByName(stored).groupBy(*SALES_KEY).agg(
+        F.bool_or("stored").alias("stored"),
+        F.count_if("valid").alias("valid"),
+        F.count_if(~F.col("valid")).alias("skipped"),
     )
-    return totals.unionByName(new_keys).agg(
-        F.sum("inserted").alias("inserted"),
-        (F.sum("valid") - F.sum("inserted")).alias("updated"),
-        F.sum("skipped").alias("skipped"),
+    total = F.coalesce(F.sum("valid"), F.lit(0))
+    inserted = F.count_if((F.col("valid") > 0) & ~F.col("stored"))
+    return per_key.agg(
+        inserted.alias("inserted"),
+        (total - inserted).alias("updated"),
+        F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"),
     )
 
 

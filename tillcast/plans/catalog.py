@@ -11,14 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.constants import TENANT
+from tillcast.constants import MONEY, SALES_KEY, TENANT
 from tillcast.functions import payload
+from tillcast.functions.values import money
 from tillcast.operators import envelope, features, insight, models, requests, runlog
-from tillcast.operators.dashboard import dashboard_from_profiles
+from tillcast.operators.dashboard import current_or_recomputed, dashboard_from_profiles
 from tillcast.operators.forecast import (
+    DAY,
+    daily_plan,
     forecast,
     inventory_plan,
     join_plans,
+    nest_plans,
     next_day_prediction,
     staffing_plan,
     with_forecast,
@@ -26,13 +30,15 @@ from tillcast.operators.forecast import (
 from tillcast.operators.ingest import (
     accepted_rows,
     classify_uploads,
+    count_against,
     latest_by_key,
     upsert_counts,
+    upsert_sales,
 )
 from tillcast.sources import testbed
 from tillcast.sources.logs import parse_log_lines
 from tillcast.sources.sales_files import file_verdicts, resolve_tenant_files
-from tillcast.functions.values import money
+from tillcast.streaming.totals import daily_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +83,30 @@ def upload_counts(spark: SparkSession, sf: str) -> DataFrame:
     return upsert_counts(classify_uploads(testbed.raw_upload(spark, sf)))
 
 
+def upload_against_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of batch 1 against the keys that batch 0 left in the table."""
+    classified = classify_uploads(testbed.raw_upload(spark, sf))
+    stored = accepted_rows(classified.where(F.col("batch") == 0)).select(*SALES_KEY)
+    return count_against(stored, classified.where(F.col("batch") == 1))
+
+
+def upload_applied_to_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of batch 0 with batch 1 applied to it."""
+    accepted = accepted_rows(classify_uploads(testbed.raw_upload(spark, sf)))
+    table = latest_by_key(accepted.where(F.col("batch") == 0), seq="upload_id")
+    return upsert_sales(table, accepted.where(F.col("batch") == 1), seq="upload_id").select(
+        *TENANT, _text("date"), _double("daily_sales_total")
+    )
+
+
+def running_daily_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming aggregation on a batch frame."""
+    events = testbed.tenant_events(spark, sf).select(
+        *TENANT, "ts", F.col("value").cast(MONEY).alias("amount")
+    )
+    return daily_totals(events).select(*TENANT, _text("date"), _double("daily_sales_total"))
+
+
 def tenant_file_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_tenant_files(testbed.tenants(spark, sf), testbed.sales_files(spark, sf))
 
@@ -192,6 +222,21 @@ def plans_joined(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_plans(spark: SparkSession, sf: str) -> DataFrame:
+    return nest_plans(daily_plan(_forecast(spark, sf))).select(
+        *TENANT,
+        *[F.to_json(c).alias(c) for c in ("forecast", "staffing_plan", "inventory_plan")],
+    )
+
+
+def forecast_current_or_recomputed(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecast of the latest sales where a tenant has any, else that of all its sales."""
+    current = forecast(models.fit_average(testbed.sales_sparse(spark, sf)))
+    return current_or_recomputed(current, _forecast(spark, sf), DAY).select(
+        *DAY, _double("predicted_sales")
+    )
+
+
 def _prompts(spark: SparkSession, sf: str) -> DataFrame:
     return insight.build_prompts(with_forecast(models.tenant_profiles(testbed.sales(spark, sf))))
 
@@ -223,6 +268,23 @@ def insight_prompt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def insight_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenant without a provider."""
+    return insight.parse_answers(insight.ask(_prompts(spark, sf))).select(
+        *TENANT, "insight_status", "reason", "prompt_preview", F.size("actions").alias("n_actions")
+    )
+
+
+def insight_context(spark: SparkSession, sf: str) -> DataFrame:
+    contexts = testbed.run_contexts(spark, sf)
+    context = payload.parsed(F.col("context_json"))
+    return (
+        contexts.withColumn("context", context)
+        .select("seq", *insight.context_columns(F.col("context")))
+        .select("seq", *TENANT, "horizon", F.size("forecast").alias("n_forecast"))
+    )
+
+
 def insight_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The provider called once per prompt, outside the JVM."""
     answers = insight.call_provider(_prompts(spark, sf), insight.prompt_rule())
@@ -332,6 +394,9 @@ QUERIES: dict[str, Query] = {
     "upload_file_verdict": upload_file_verdict,
     "upload_upsert": upload_upsert,
     "upload_counts": upload_counts,
+    "upload_against_table": upload_against_table,
+    "upload_applied_to_table": upload_applied_to_table,
+    "running_daily_totals": running_daily_totals,
     "tenant_file_resolution": tenant_file_resolution,
     "warehouse_tables": warehouse_tables,
     "hourly_sales_profile": hourly_sales_profile,
@@ -348,9 +413,13 @@ QUERIES: dict[str, Query] = {
     "staffing_plan": staffing,
     "inventory_plan": inventory,
     "plans_joined": plans_joined,
+    "nested_plans": nested_plans,
+    "forecast_current_or_recomputed": forecast_current_or_recomputed,
     "dashboard": dashboard,
     "recent_sales": recent_sales,
     "insight_prompt": insight_prompt,
+    "insight_skipped": insight_skipped,
+    "insight_context": insight_context,
     "insight_answers": insight_answers,
     "insight_parse": insight_parse,
     "run_summary": run_summary,

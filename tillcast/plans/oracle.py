@@ -198,6 +198,22 @@ trend as (
 _PLANNED = f"with {_SALES}, {_average('sales')}, {_FORECAST}"
 _ADVISED = f"{_PLANNED}, {_RECENT}, {_RISK}"
 
+_PROMPTED = f"""{_PLANNED}, {_RECENT},
+r as (
+  select restaurant_id, location_id, string_agg(concat('{{"date":"', cast(date as varchar),
+    '","daily_sales_total":', cast(daily_sales_total as varchar), '}}'), ',' order by date) as sales
+  from recent group by 1, 2),
+f as (
+  select restaurant_id, location_id, string_agg(concat('{{"predicted_sales":',
+    cast(predicted_sales as varchar), '}}'), ',' order by day_index) as days
+  from forecast group by 1, 2),
+p as (
+  select restaurant_id, location_id, concat('{_ADVICE_PROMPT}', chr(10), '- restaurant_id: ', restaurant_id,
+    chr(10), '- location_id: ', location_id, chr(10), '- horizon: 7', chr(10),
+    '- model_used: {_MODEL_USED}', chr(10), '- recent_sales: [', sales, ']', chr(10),
+    '- forecast: [', days, ']') as prompt
+  from f join r using (restaurant_id, location_id))"""
+
 ORACLE: dict[str, str] = {
     "daily_sales": f"""with {_SALES}
 select restaurant_id, location_id, cast(date as varchar) as date,
@@ -229,6 +245,24 @@ counted as (
 refused as (select batch, count(*) filter (where reason is not null) as skipped from checked group by 1)
 select batch, coalesce(inserted, 0) as inserted, coalesce(updated, 0) as updated, skipped
 from refused left join counted using (batch)""",
+    "upload_against_table": f"""with {_CHECKED},
+stored as (select distinct restaurant_id, location_id, date from good where batch = 0),
+hits as (
+  select g.*, s.date is not null as known,
+    row_number() over (partition by g.restaurant_id, g.location_id, g.date order by g.upload_id) as r
+  from good g left join stored s using (restaurant_id, location_id, date) where g.batch = 1)
+select count(*) filter (where not known and r = 1) as inserted,
+  count(*) filter (where known or r > 1) as updated,
+  (select count(*) from checked where batch = 1 and reason is not null) as skipped
+from hits""",
+    "upload_applied_to_table": f"""with {_CHECKED}
+select restaurant_id, location_id, cast(date as varchar) as date,
+  cast(arg_max(daily_sales_total, batch * 1000000000 + upload_id) as double) as daily_sales_total
+from good group by restaurant_id, location_id, date""",
+    "running_daily_totals": f"""
+with e as (select {_TENANT_OF_EVENT}, cast(ts as date) as d, cast(value as decimal(18,2)) as v from events)
+select restaurant_id, location_id, cast(d as varchar) as date, cast(sum(v) as double) as daily_sales_total
+from e group by 1, 2, 3""",
     "tenant_file_resolution": """
 select distinct n_name as restaurant_id, c_mktsegment as location_id,
   case when n_nationkey % 3 = 0 then concat(replace(n_name, ' ', '_'), '__', c_mktsegment, '__sales.csv')
@@ -295,6 +329,30 @@ from (select restaurant_id, location_id, day_index, {_PLAN_COLUMNS} from forecas
 select restaurant_id, location_id, day_index, predicted_sales, ingredients_needed, estimated_meals
 from (select restaurant_id, location_id, day_index, {_PLAN_COLUMNS} from forecast)""",
     "plans_joined": f"{_PLANNED} select restaurant_id, location_id, day_index, {_PLAN_COLUMNS} from forecast",
+    "nested_plans": f"""{_PLANNED},
+p as (
+  select restaurant_id, location_id, day_index, cast(predicted_sales as varchar) as x,
+    cast(cast(case when predicted_sales <= 0 then 1
+         else greatest(1, floor(predicted_sales / 600)) end as integer) as varchar) as staff,
+    cast(cast(round(predicted_sales * 0.45, 2) as decimal(18,2)) as varchar) as ingredients,
+    cast(cast(round(predicted_sales * cast(0.04 as decimal(3,2)), 2) as decimal(18,2)) as varchar) as meals
+  from forecast)
+select restaurant_id, location_id,
+  concat('[', string_agg(x, ',' order by day_index), ']') as forecast,
+  concat('[', string_agg(concat('{{"day_index":', cast(day_index as varchar), ',"predicted_sales":', x,
+    ',"recommended_staff":', staff, '}}'), ',' order by day_index), ']') as staffing_plan,
+  concat('[', string_agg(concat('{{"day_index":', cast(day_index as varchar), ',"predicted_sales":', x,
+    ',"ingredients_needed":', ingredients, ',"estimated_meals":', meals, '}}'), ',' order by day_index),
+    ']') as inventory_plan
+from p group by 1, 2""",
+    "forecast_current_or_recomputed": f"""with {_SPARSE},
+chosen as (
+  select s.* from sales s
+  where s.date >= date '{SPARSE_FROM}' or not exists (
+    select 1 from sparse p where p.restaurant_id = s.restaurant_id and p.location_id = s.location_id)),
+{_average('chosen')}, {_FORECAST}
+select restaurant_id, location_id, day_index, cast(predicted_sales as double) as predicted_sales
+from forecast""",
     "dashboard": f"""{_ADVISED}
 select restaurant_id, location_id, day_index, {_PLAN_COLUMNS},
   'ok' as insight_status, risk_level, cast(3 as integer) as n_actions
@@ -302,24 +360,23 @@ from forecast left join risk using (restaurant_id, location_id)""",
     "recent_sales": f"""with {_SALES}, {_RECENT}
 select restaurant_id, location_id, cast(date as varchar) as date,
   cast(daily_sales_total as double) as daily_sales_total from recent""",
-    "insight_prompt": f"""{_PLANNED}, {_RECENT},
-r as (
-  select restaurant_id, location_id, string_agg(concat('{{"date":"', cast(date as varchar),
-    '","daily_sales_total":', cast(daily_sales_total as varchar), '}}'), ',' order by date) as sales
-  from recent group by 1, 2),
-f as (
-  select restaurant_id, location_id, string_agg(concat('{{"predicted_sales":',
-    cast(predicted_sales as varchar), '}}'), ',' order by day_index) as days
-  from forecast group by 1, 2),
-p as (
-  select restaurant_id, location_id, concat('{_ADVICE_PROMPT}', chr(10), '- restaurant_id: ', restaurant_id,
-    chr(10), '- location_id: ', location_id, chr(10), '- horizon: 7', chr(10),
-    '- model_used: {_MODEL_USED}', chr(10), '- recent_sales: [', sales, ']', chr(10),
-    '- forecast: [', days, ']') as prompt
-  from f join r using (restaurant_id, location_id))
+    "insight_prompt": f"""{_PROMPTED}
 select restaurant_id, location_id, prompt,
   case when length(prompt) <= 600 then prompt else concat(substr(prompt, 1, 597), '...') end as prompt_preview
 from p""",
+    "insight_skipped": f"""{_PROMPTED}
+select restaurant_id, location_id, 'skipped' as insight_status, 'OPENAI_API_KEY_not_set' as reason,
+  case when length(prompt) <= 600 then prompt else concat(substr(prompt, 1, 597), '...') end as prompt_preview,
+  cast(0 as integer) as n_actions from p""",
+    "insight_context": """
+select event_id as seq,
+  case when event_id % 4 = 0 then concat('restaurant_', cast(user_id % 5 as varchar))
+       else 'restaurant_001' end as restaurant_id,
+  case when event_id % 4 = 0 then concat('location_', cast(user_id % 3 as varchar))
+       else 'location_001' end as location_id,
+  cast(case event_id % 4 when 0 then 1 when 1 then 2 when 2 then 5 else 0 end as integer) as horizon,
+  cast(case event_id % 4 when 0 then 1 when 1 then 2 else 0 end as integer) as n_forecast
+from events""",
     "insight_answers": f"""{_ADVISED}
 select restaurant_id, location_id, 'ok' as insight_status, 'local_rules' as model, risk_level,
   cast(3 as integer) as n_actions from risk""",

@@ -245,6 +245,33 @@ def wrapped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run contexts that hold their prediction under its step, under ``data``, at the top, or not at all."""
+    event, user = F.col("event_id"), F.col("user_id")
+    amount = F.concat(
+        F.lit('{"predicted_sales":'), F.col("value").cast(MONEY).cast("string"), F.lit("}")
+    )
+    under_step = F.concat(
+        F.lit('{"5_ml_prediction":{"restaurant_id":"restaurant_'),
+        (user % 5).cast("string"),
+        F.lit('","forecast":['),
+        amount,
+        F.lit(']},"1_data_ingestion":{"restaurant_id":"other","location_id":"location_'),
+        (user % 3).cast("string"),
+        F.lit('"}}'),
+    )
+    under_data = F.concat(
+        F.lit('{"data":{"model_used":{},"forecast_intervals":['), amount, F.lit(","), amount, F.lit("]}}")
+    )
+    context = (
+        F.when(event % 4 == 0, under_step)
+        .when(event % 4 == 1, under_data)
+        .when(event % 4 == 2, F.lit('{"model_used":{},"horizon":5}'))
+        .otherwise(F.lit('{"x":1}'))
+    )
+    return table(spark, sf_dir, "events").select(event.alias("seq"), context.alias("context_json"))
+
+
 def step_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     return table(spark, sf_dir, "events").select(
