@@ -148,3 +148,15 @@ def test_plan_forms_agree(make_sales):
     assert sorted(flat.collect()) == sorted(joined.select(*flat.columns).collect())
     nested = fc.nest_plans(flat)
     assert sorted(nested.collect()) == sorted(fc.nest_forecast(arrays).select(*nested.columns).collect())
+
+
+@pytest.mark.parametrize(("amounts", "first", "staff"), [([0, 0], "0.00", 1), ([-100, -50], "-76.50", 1), (["-0.75"], "-0.77", 1)])
+def test_average_of_zero_or_less(make_sales, amounts, first, staff):
+    row = fc.daily_plan(fc.forecast(models.fit_average(make_sales({T: amounts})))).orderBy("day_index").first()
+    assert (str(row.predicted_sales), row.recommended_staff) == (first, staff)
+
+
+def test_results_do_not_depend_on_partitioning(make_sales):
+    sales = make_sales({("r", str(i)): SAMPLE[i:] for i in range(6)})
+    for build in (models.tenant_profiles, models.fit_average, models.training_outcome):
+        assert sorted(build(sales.repartition(7)).collect()) == sorted(build(sales.coalesce(1)).collect())

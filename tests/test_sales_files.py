@@ -198,3 +198,14 @@ def test_one_shared_header_needs_no_join_and_reads_wanted_cells(spark, tmp_path)
     ]
     plan = formatted(df.select("date_text", "daily_sales_total"))
     assert "Join" not in plan and "ReadSchema: struct<c1:string,c4:string>" in plan
+
+
+def test_doubled_quotes(spark, tmp_path):
+    path = write(
+        tmp_path,
+        a='"the ""day""",note,daily_sales_total\nx,"say ""hi"", twice",7\n',
+        b='note,daily_sales_total\n"a,""b""",8\n',
+    )
+    assert rows(sf.scan_by_name(spark, path, ["note", "daily_sales_total"]), "note", "daily_sales_total") == [
+        ('a,"b"', "8"), ('say "hi", twice', "7"),
+    ]

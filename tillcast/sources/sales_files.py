@@ -65,7 +65,7 @@ def header_places(headers: DataFrame, width: int, columns: list[str]) -> DataFra
 
     The last of several columns with the same name counts.
     """
-    cells = F.from_csv("header", _cell_schema(width))
+    cells = F.from_csv("header", _cell_schema(width), {"escape": '"'})
     backwards = F.array(*[F.coalesce(cells[f"c{i}"], F.lit("")) for i in reversed(range(width))])
 
     def place(name: str) -> Column:
@@ -110,6 +110,7 @@ def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_CO
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", True)
         .option("emptyValue", "")
+        .option("escape", '"')
         .schema(_cell_schema(width))
         .csv(path)
     )
