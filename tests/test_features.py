@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from tillcast.operators import features
@@ -39,8 +38,12 @@ def test_labor_hours_in_any_time_zone(spark):
             spark.conf.set("spark.sql.session.timeZone", name)
             got = {r.employee_id: r.labor_hours for r in features.labor_hours(df).collect()}
             assert got == {1: round(2.5 + 4.25 + 0.5 / 3600, 6), 2: 0.0}
-        with pytest.raises(ValueError):
-            daily_totals(df)
+            late = df.select(
+                F.lit("r").alias("restaurant_id"), F.lit("l").alias("location_id"), F.col("clock_out").alias("ts"),
+                F.lit(1).cast("decimal(18,2)").alias("amount"),
+            )
+            days = {str(r.date): int(r.daily_sales_total) for r in daily_totals(late).collect()}
+            assert days == {"2025-03-09": 2, "2025-03-10": 1}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.constants import FEATURE_NAMES, MONEY, SALES_KEY, TENANT
+from tillcast.functions.values import local_micros
 
 
 def daily_sales(order_lines: DataFrame) -> DataFrame:
@@ -51,13 +52,6 @@ def labor_hours(attendance: DataFrame) -> DataFrame:
     )
 
 
-def local_micros(ts: Column) -> Column:
-    """Microseconds of a wall-clock time, whatever the session time zone."""
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
-    days = F.unix_date(ts.cast("date")).cast("bigint")
-    return days * F.lit(86_400_000_000) + (seconds * 1_000_000).cast("bigint")
-
-
 def feature_lists(tenants: DataFrame, names: list[str] | None = None) -> DataFrame:
     """The generated feature names of each tenant as an array."""
     kept = F.array(*[F.lit(n) for n in (FEATURE_NAMES if names is None else names)])

@@ -37,9 +37,3 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         raise ValueError("spark.checkpoint.dir is not set; pass a shared checkpoint path")
     return path.rstrip("/")
-
-
-def require_utc(spark: SparkSession) -> None:
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")

@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillcast.constants import MONEY, TENANT
-from tillcast.session import require_utc
+from tillcast.functions.values import local_micros
 
 
 def daily_totals(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Daily total per tenant from ``restaurant_id, location_id, ts, amount``.
 
     State is one sum per open tenant day; rows later than ``lateness`` behind the newest event are
-    dropped. Works the same on a batch frame, where nothing is late. Day windows are aligned to UTC,
-    so wall-clock times only fall into their own day in a UTC session.
+    dropped. Works the same on a batch frame, where nothing is late. Event time must be an instant and
+    its day windows are cut in UTC, so a wall-clock time is read as UTC and the day taken back from
+    there: each row counts for the day on its clock, whatever the session time zone.
     """
-    require_utc(events.sparkSession)
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    clock = F.timestamp_micros(local_micros(F.col("ts")))
+    stamped = events.select(*TENANT, "amount", clock.alias("ts")).withWatermark("ts", lateness)
+    day = F.floor(F.unix_micros("day.start") / F.lit(86_400_000_000)).cast("int")
     return (
         stamped.groupBy(*TENANT, F.window("ts", "1 day").alias("day"))
         .agg(F.sum("amount").cast(MONEY).alias("daily_sales_total"))
-        .select(*TENANT, F.col("day.start").cast("date").alias("date"), "daily_sales_total")
+        .select(*TENANT, F.date_from_unix_date(day).alias("date"), "daily_sales_total")
     )
 
 
