@@ -71,9 +71,9 @@ def test_iso_date(spark):
     assert got == list(DATES.values())
 
 
-def test_parse_verdict(spark):
+def test_verdict(spark):
     raw = ['{"a":1}', "[1]", "3", "null", '{"a":', "", "text"]
-    assert column(spark, raw, payload.parse_verdict) == [
+    assert column(spark, raw, lambda c: payload.verdict(payload.parsed(c))) == [
         "ok", "json_not_object", "json_not_object", "json_not_object",
         "json_parse_failed", "json_parse_failed", "json_parse_failed",
     ]

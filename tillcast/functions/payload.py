@@ -28,9 +28,8 @@ def field(value: Column, path: str, as_type: str = "string") -> Column:
     return F.try_variant_get(value, path, as_type)
 
 
-def parse_verdict(raw: Column) -> Column:
-    """``ok`` for an object, else why the text is not one."""
-    value = parsed(raw)
+def verdict(value: Column) -> Column:
+    """``ok`` for a parsed object, else why the text was not one."""
     return (
         F.when(value.isNull(), F.lit("json_parse_failed"))
         .when(is_object(value), F.lit("ok"))

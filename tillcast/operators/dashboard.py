@@ -21,7 +21,11 @@ def current_or_recomputed(current: DataFrame, recomputed: DataFrame, keys: list[
     now = current.select(*keys, F.struct(*values).alias("now"))
     other = recomputed.select(*keys, F.struct(*values).alias("other"))
     return now.join(other, keys, "full").select(
-        *keys, *[F.when(F.col("now").isNotNull(), F.col(f"now.{v}")).otherwise(F.col(f"other.{v}")).alias(v) for v in values]
+        *keys,
+        *[
+            F.when(F.col("now").isNotNull(), F.col(f"now.{v}")).otherwise(F.col(f"other.{v}")).alias(v)
+            for v in values
+        ],
     )
 
 

@@ -62,27 +62,33 @@ def coerce_output(outputs: DataFrame, raw: str = "raw_json") -> DataFrame:
     An object gives its ``data``, or everything outside the envelope keys; any other value, also
     text that is not JSON, is wrapped as ``{"value": ...}``.
     """
-    text = F.col(raw)
-    value = payload.parsed(text)
-    data = payload.field(value, "$.data", "variant")
-    has_data = data.isNotNull() & (F.schema_of_variant(data) != "VOID")
+    text, value, data = F.col(raw), F.col("_value"), F.col("_data")
+    staged = (
+        outputs.withColumn("_value", payload.parsed(text))
+        .withColumn("_object", payload.object_or_null(value))
+        .withColumn("_data", payload.field(F.col("_object"), "$.data", "variant"))
+    )
     members = F.from_json(text, "map<string,variant>")
     rest = F.map_filter(members, lambda k, _: ~k.isin([*ENVELOPE_KEYS, "data"]))
-    metrics = payload.object_or_null(payload.field(value, "$.metrics", "variant"))
-    wrapped = (
-        F.when(value.isNotNull(), F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}")))
-        .otherwise(F.to_json(F.struct(text.alias("value"))))
-    )
-    is_object = payload.is_object(value)
+    wrapped = F.when(
+        value.isNotNull(), F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}"))
+    ).otherwise(F.to_json(F.struct(text.alias("value"))))
+    is_object = F.col("_object").isNotNull()
+    has_data = data.isNotNull() & (F.schema_of_variant(data) != "VOID")
+
+    def part(name: str) -> Column:
+        return payload.field(F.col("_object"), f"$.{name}", "variant")
+
+    metrics = F.to_json(payload.object_or_null(part("metrics")))
     return (
-        outputs.withColumn(
-            "data_json",
-            F.when(is_object & has_data, F.to_json(data))
-            .when(is_object, F.to_json(rest))
-            .otherwise(wrapped),
+        staged.withColumns(
+            {
+                "data_json": F.when(has_data, F.to_json(data)).when(is_object, F.to_json(rest)).otherwise(wrapped),
+                "errors": _listed(part("errors")),
+                "warnings": _listed(part("warnings")),
+                "metrics_json": F.coalesce(metrics, F.lit("{}")),
+            }
         )
-        .withColumn("errors", _listed(F.when(is_object, payload.field(value, "$.errors", "variant"))))
-        .withColumn("warnings", _listed(F.when(is_object, payload.field(value, "$.warnings", "variant"))))
-        .withColumn("metrics_json", F.coalesce(F.to_json(metrics), F.lit("{}")))
         .withColumn("status", step_status(F.col("errors")))
+        .drop("_value", "_object", "_data")
     )

@@ -287,11 +287,16 @@ def parse_answers(answers: DataFrame, *keep: str) -> DataFrame:
     """
     answered = F.col("status") == "ok"
     raw = F.when(answered, F.coalesce("raw_json", F.lit("{}")))
-    value = payload.object_or_null(payload.parsed(raw))
-    verdict = payload.parse_verdict(raw)
-    warning = F.struct(F.lit("JsonParseWarning").alias("type"), verdict.alias("message"))
+    staged = (
+        answers.withColumn("insight_json_raw", raw)
+        .withColumn("parsed", payload.parsed(F.col("insight_json_raw")))
+        .withColumn("verdict", payload.verdict(F.col("parsed")))
+        .withColumn("insight_json", payload.object_or_null(F.col("parsed")))
+    )
+    value = F.col("insight_json")
+    warning = F.struct(F.lit("JsonParseWarning").alias("type"), F.col("verdict").alias("message"))
     no_warning = F.array().cast("array<struct<type string, message string>>")
-    return answers.select(
+    return staged.select(
         *TENANT,
         F.when(F.col("status").isin("ok", "skipped"), F.col("status"))
         .otherwise(F.lit("error"))
@@ -299,9 +304,9 @@ def parse_answers(answers: DataFrame, *keep: str) -> DataFrame:
         "model",
         F.when(~answered, F.col("reason")).alias("reason"),
         F.when(~answered, prompt_preview(F.col("prompt"))).alias("prompt_preview"),
-        raw.alias("insight_json_raw"),
-        value.alias("insight_json"),
-        F.when(answered & (verdict != "ok"), F.array(warning)).otherwise(no_warning).alias("warnings"),
+        "insight_json_raw",
+        "insight_json",
+        F.when(answered & (F.col("verdict") != "ok"), F.array(warning)).otherwise(no_warning).alias("warnings"),
         risk_level(value).alias("risk_level"),
         actions(value).alias("actions"),
         *keep,

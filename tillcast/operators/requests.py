@@ -31,7 +31,8 @@ def audit_requests(requests: DataFrame, known_steps: list[str] | None = None) ->
     start, stop = filled(strip(F.col("start_at"))), filled(strip(F.col("stop_after")))
 
     def unknown_one(name: Column) -> Column:
-        return F.when(name.isNotNull() & ~F.array_contains(known, F.coalesce(name, F.lit(""))), F.array(name)).otherwise(none)
+        is_unknown = name.isNotNull() & ~F.array_contains(known, F.coalesce(name, F.lit("")))
+        return F.when(is_unknown, F.array(name)).otherwise(none)
 
     named = requests.select(
         "request_id",

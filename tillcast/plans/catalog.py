@@ -294,11 +294,11 @@ def insight_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def insight_parse(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.col("payload_json")
-    return testbed.run_log(spark, sf).select(
+    value = F.col("payload")
+    return runlog.decode_payload(testbed.run_log(spark, sf)).select(
         "seq",
-        payload.parse_verdict(raw).alias("verdict"),
-        payload.field(payload.object_or_null(payload.parsed(raw)), "$.k", "bigint").alias("k"),
+        payload.verdict(value).alias("verdict"),
+        payload.field(payload.object_or_null(value), "$.k").alias("k"),
     )
 
 

@@ -384,7 +384,7 @@ select restaurant_id, location_id, 'ok' as insight_status, 'local_rules' as mode
 select seq,
   case when not json_valid(payload_json) then 'json_parse_failed'
        when json_type(payload_json) <> 'OBJECT' then 'json_not_object' else 'ok' end as verdict,
-  case when json_valid(payload_json) then cast(json_extract_string(payload_json, '$.k') as bigint) end as k
+  case when json_valid(payload_json) then json_extract_string(payload_json, '$.k') end as k
 from run_log""",
     "run_summary": f"""with {_RUN_LOG}
 select run_id, count(*) filter (where status = 'ok') as ok_count,
