@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.decontaminate import contamination
+from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
 from tillcast.llm.tables import read
@@ -42,6 +44,18 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mix(read(spark, sf, "documents").select("doc_id", "source", "text"), repetition_limit=2.0)
+    return mixed.select("doc_id", "source", "epoch", "block", "block_rank", F.round("weight", 9).alias("weight"), F.round("alpha", 6).alias("alpha"))
+
+
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages").select("page_id", "url")
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
@@ -57,6 +71,8 @@ def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op9_secret_scan": op9_secret_scan,
 }
