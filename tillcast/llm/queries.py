@@ -11,6 +11,7 @@ from tillcast.llm.decontaminate import contamination
 from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
+from tillcast.llm.simhash import hex_of, near_duplicates
 from tillcast.llm.tables import read
 from tillcast.llm.url_filter import host_of, judge_urls
 
@@ -36,6 +37,10 @@ def span_digest(column: str, base: list[str]) -> list[Column]:
     return [*counts, F.sha2(span_text(of(*base)), 256).alias("base_sha256"), span_text(F.col(column)).alias("spans")]
 
 
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(read(spark, sf, "documents")).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     sharded = shard_rows(docs, 16, key_columns=["doc_id", "text"])
@@ -70,6 +75,7 @@ def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op6_mixing": op6_mixing,
