@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.decontaminate import contamination
+from tillcast.llm import langid
 from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
 from tillcast.llm.simhash import hex_of, near_duplicates
-from tillcast.llm.tables import read
+from tillcast.llm.tables import held_out, read
 from tillcast.llm.url_filter import host_of, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,12 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    judged = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(read(spark, sf, "documents").select("doc_id", "source", "text"), repetition_limit=2.0)
     return mixed.select("doc_id", "source", "epoch", "block", "block_rank", F.round("weight", 9).alias("weight"), F.round("alpha", 6).alias("alpha"))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op9_secret_scan": op9_secret_scan,
