@@ -14,6 +14,7 @@ from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
 from tillcast.llm.simhash import hex_of, near_duplicates
 from tillcast.llm.tables import held_out, read
+from tillcast.llm.topk import integer_vector, top_k
 from tillcast.llm.url_filter import host_of, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,11 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), integer_vector(F.col("embedding")).alias("v"))
+    return top_k(vectors, F.col("id") % 50 == 0, 5)
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(read(spark, sf, "documents").select("doc_id", "source", "text"), repetition_limit=2.0)
     return mixed.select("doc_id", "source", "epoch", "block", "block_rank", F.round("weight", 9).alias("weight"), F.round("alpha", 6).alias("alpha"))
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op9_secret_scan": op9_secret_scan,
