@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.decontaminate import contamination
-from tillcast.llm import langid
+from tillcast.llm import langid, toxicity
 from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
@@ -82,6 +82,12 @@ def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = find_secrets(read(spark, sf, "documents").select("doc_id", "text")).drop("text")
     return found.select("doc_id", *span_digest("secrets", ["assign", "access", "hex"]))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
 }
 
