@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.decontaminate import contamination
-from tillcast.llm import langid, toxicity
+from tillcast.llm import langid, pii, toxicity
 from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
@@ -30,13 +30,13 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def span_digest(column: str, base: list[str]) -> list[Column]:
+def span_digest(base: Column, spans: Column, kinds: list[str]) -> list[Column]:
     """Counts of the base kinds, the hash of their spans, and all spans."""
-    def of(*kinds: str) -> Column:
-        return F.filter(column, lambda s: s["kind"].isin(*kinds))
+    def of(kind: str) -> Column:
+        return F.filter(base, lambda s: s["kind"] == kind)
 
-    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base]
-    return [*counts, F.sha2(span_text(of(*base)), 256).alias("base_sha256"), span_text(F.col(column)).alias("spans")]
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return [*counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(spans).alias("spans")]
 
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +90,16 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = find_secrets(read(spark, sf, "documents").select("doc_id", "text")).drop("text")
-    return found.select("doc_id", *span_digest("secrets", ["assign", "access", "hex"]))
+    kinds = ["assign", "access", "hex"]
+    base = F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select("doc_id", *span_digest(base, F.col("secrets"), kinds))
+
+
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.fit(docs)).drop("text")
+    base = F.filter("personal", lambda s: s["base"])
+    return found.select("doc_id", *span_digest(base, F.col("personal"), ["email", "ip", "card", "phone"]))
 
 
 QUERIES: dict[str, Query] = {
@@ -103,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
