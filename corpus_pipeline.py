@@ -18,8 +18,9 @@ from tillcast.llm.tables import read, staged
 
 SHARDS = 16
 REPETITION_LIMIT = 2.0  # the smallest source is used twice where the largest is used once
-# Fingerprints within four bits are what the SimHash operator links; five-word shingles.
-SHINGLE_WORDS = 5
+# Near duplicates are texts with four fifths or more of their five-word shingles in common. Their
+# fingerprints differ in about nine bits of 64, so several fingerprints are tried, each with six bits.
+SHINGLE_WORDS, BITS, PRINTS = 5, 6, 4
 
 # No SQL: language models, fingerprints and key hashes have no counterpart there; see tests/llm.
 ORACLE_SQL = None
@@ -32,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates."""
-    return keep_one_of_each(docs, width=SHINGLE_WORDS)
+    return keep_one_of_each(docs, width=SHINGLE_WORDS, budget=BITS, prints=PRINTS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

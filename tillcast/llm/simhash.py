@@ -1,11 +1,13 @@
 """Near duplicates by SimHash: fingerprints, a distributed binary-trie self-join, connected components.
 
 Fingerprints are 64 bits: a bit is set if it is set in over half of the hashes of the text's word shingles.
-Two link if they differ in at most ``BUDGET`` = 4 bits.
+Two link if they differ in at most ``budget`` bits (4 unless said otherwise). Several independent
+fingerprints of a text (``prints``) may be used: texts link if they link under any of them.
 
-The trie self-join. Bits are cut into six blocks. Two fingerprints within four bits agree on at least two
-whole blocks, so the join walks 15 tries, each with another two blocks in front: on the first levels a node
-is paired with itself only, below them with every node of the same subtrie. A subtrie is one unit of work.
+The trie self-join. Bits are cut into budget + 2 blocks. Two fingerprints within the budget agree on at
+least two whole blocks, so the join walks one trie for each two blocks (15 for four bits), with these two
+in front: on the first levels a node is paired with itself only, below them with every node of the same
+subtrie. A subtrie is one unit of work.
 Within it node pairs are traversed together from the root, jumping over levels on which neither node
 branches; the bits in which the two prefixes differ are added up, and a pair is pruned as soon as they
 exceed the budget. Units of one batch are traversed at once in numpy. A unit with more than ``UNIT_ROWS``
@@ -35,8 +37,6 @@ from pyspark.sql import functions as F
 from tillcast.llm.tables import staged
 
 BUDGET = 4
-BLOCKS = (11, 11, 11, 11, 10, 10)  # widths, from the lowest bit
-TRIES = tuple(combinations(range(len(BLOCKS)), 2))
 UNIT_ROWS = 2048
 DEEPER = 8  # levels by which a large unit is split at a time
 FRONTIER = 200_000  # node pairs held at once
@@ -63,92 +63,121 @@ def shingle_hashes(text: str, width: int, seed: int = 42) -> Iterator[np.ndarray
         yield np.fromiter((digest(line[s:e], seed) for s, e in spans), np.uint64, len(part) - width + 1)
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text or "", width):
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(hashes)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0]) if n else 0
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Independent hashes from the first ones (number 0: unchanged), by a bijective mix."""
+    if not number:
+        return hashes
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * number % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4, out: str = "fp") -> DataFrame:
-    @F.udf("bigint", useArrow=True)
-    def of(value):
-        return fingerprint(value, width)
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
-    return docs.withColumn(out, of(F.col(f"`{text}`")))
 
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set, from bit 0."""
+    parts = hashes.view(np.uint8).reshape(-1, 8)
+    if len(parts) < 512:
+        return np.unpackbits(parts, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.concatenate([np.bincount(parts[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
 
-def hex_of(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
+def fingerprints(text: str | None, width: int = 4, prints: int = 1) -> list[int]:
+    """The fingerprints as signed 64-bit numbers."""
+    counts, n = np.zeros((prints, 64), np.int64), 0
+    for hashes in shingle_hashes(text or "", width):
+        for i in range(prints):
+            counts[i] += _bit_counts(_mixed(hashes, i))
+        n += len(hashes)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.int64)[:, 0].tolist() if n else [0] * prints
 
-# The order of bits in a trie: the two blocks in front first, then the others. ``front_first`` and the SQL
-# below it move whole blocks, so that bit 63 of the moved fingerprint is the root's level.
-def _offsets() -> list[int]:
-    return [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    return fingerprints(text, width)[0]
 
-def front_first(fps: np.ndarray, trie: tuple[int, int]) -> np.ndarray:
-    order = [*trie, *[b for b in range(len(BLOCKS)) if b not in trie]]
-    moved, at, offsets = np.zeros_like(fps), 64, _offsets()
-    for b in order:
-        at -= BLOCKS[b]
-        moved |= ((fps >> np.uint64(offsets[b])) & np.uint64((1 << BLOCKS[b]) - 1)) << np.uint64(at)
-    return moved
 
+def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 4, prints: int = 1, out: str = "fps") -> DataFrame:
+    @F.udf("array<bigint>", useArrow=True)
+    def of(value):
+        return fingerprints(value, width, prints)
 
-def _moved(fp: Column, trie: tuple[int, int]) -> Column:
-    order = [*trie, *[b for b in range(len(BLOCKS)) if b not in trie]]
-    at, offsets, parts = 64, _offsets(), []
-    for b in order:
-        at -= BLOCKS[b]
-        block = F.shiftrightunsigned(fp, offsets[b]).bitwiseAND(F.lit((1 << BLOCKS[b]) - 1))
-        parts.append(F.shiftleft(block, at))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.bitwiseOR(p)
-    return whole
+    return docs.withColumn(out, of(F.col(f"`{text}`")))
 
 
-def _front_bits(trie: tuple[int, int]) -> int:
-    return BLOCKS[trie[0]] + BLOCKS[trie[1]]
+def hex_of(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def links(fps: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """``a, b``: links that connect all fingerprints within the budget. ``fps`` has distinct ``fp``."""
-    members = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("trie"), F.shiftrightunsigned(_moved(F.col("fp"), t), 64 - _front_bits(t)).alias("node"))
-        for i, t in enumerate(TRIES)])).alias("x"))
-    # A unit is named by its trie and the two nodes it pairs; side 0 and 1 are their members.
-    units = members.select(F.xxhash64("x.trie", "x.node").alias("unit"), F.col("x.trie").alias("trie"), F.lit(0).alias("side"), "fp")
+class Layout:
+    """The tries of a budget: each has two blocks in front, the others below, so that the root's level is bit 63."""
+
+    def __init__(self, budget: int = BUDGET):
+        self.budget, n = budget, budget + 2
+        self.widths = [64 // n + (i < 64 % n) for i in range(n)]  # from the lowest bit
+        self.offsets = [sum(self.widths[:i]) for i in range(n)]
+        self.tries = list(combinations(range(n), 2))
+        self.front = [self.widths[a] + self.widths[b] for a, b in self.tries]
+
+    def _moves(self, trie: int) -> Iterator[tuple[int, int, int]]:
+        """(from, mask, to) of every block."""
+        first, at = self.tries[trie], 64
+        for b in [*first, *[b for b in range(len(self.widths)) if b not in first]]:
+            at -= self.widths[b]
+            yield self.offsets[b], (1 << self.widths[b]) - 1, at
+
+    def moved(self, fps: np.ndarray, trie: int) -> np.ndarray:
+        out = np.zeros_like(fps)
+        for old, mask, new in self._moves(trie):
+            out |= ((fps >> np.uint64(old)) & np.uint64(mask)) << np.uint64(new)
+        return out
+
+    def moved_column(self, fp: Column, trie: int) -> Column:
+        parts = [F.shiftleft(F.shiftrightunsigned(fp, old).bitwiseAND(F.lit(mask)), new) for old, mask, new in self._moves(trie)]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.bitwiseOR(p)
+        return whole
+
+
+def links(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """``print, a, b``: links that connect all fingerprints within the budget. ``fps`` has distinct ``print, fp``."""
+    layout = Layout(budget)
+    n = len(layout.tries)
+    nodes = [F.struct(F.lit(i).alias("trie"), F.shiftrightunsigned(layout.moved_column(F.col("fp"), i), 64 - layout.front[i]).alias("node"))
+             for i in range(n)]
+    members = fps.select("print", "fp", F.explode(F.array(*nodes)).alias("x"))
+    # A unit is a subtrie, or a pair of them: sides 0 and 1 are their members. ``walk`` tells print and trie.
+    walk = (F.col("print") * n + F.col("x.trie")).cast("int")
+    units = members.select(F.xxhash64(walk, "x.node").alias("unit"), walk.alias("walk"), F.lit(0).alias("side"), "fp")
     counts = units.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > unit_rows)
     large = staged(counts.select("unit"), "simhash-large")
-    found = _traverse(units.join(large, "unit", "left_anti"))
+    found = _traverse(units.join(large, "unit", "left_anti"), layout)
     todo = staged(units.join(large, "unit", "left_semi"), "simhash-split")
-    depth = min(_front_bits(t) for t in TRIES)
+    depth = min(layout.front)
     while depth < 64 and not todo.isEmpty():
         depth = min(64, depth + DEEPER)
-        small, todo = _split(todo, depth, unit_rows)
-        found = found.union(_traverse(small))
+        small, todo = _split(todo, layout, depth, unit_rows)
+        found = found.union(_traverse(small, layout))
     return found
 
 
-def _split(units: DataFrame, depth: int, unit_rows: int) -> tuple[DataFrame, DataFrame]:
+def _split(units: DataFrame, layout: Layout, depth: int, unit_rows: int) -> tuple[DataFrame, DataFrame]:
     """Pair the nodes at ``depth`` of every unit; the pairs are the new units, small and still too large."""
-    moved = F.when(F.col("trie") == 0, _moved(F.col("fp"), TRIES[0]))
-    for i, t in enumerate(TRIES[1:], 1):
-        moved = moved.when(F.col("trie") == i, _moved(F.col("fp"), t))
+    trie = F.col("walk") % len(layout.tries)
+    moved = F.when(trie == 0, layout.moved_column(F.col("fp"), 0))
+    for i in range(1, len(layout.tries)):
+        moved = moved.when(trie == i, layout.moved_column(F.col("fp"), i))
     rows = units.withColumn("child", F.shiftrightunsigned(moved, 64 - depth))
-    nodes = rows.groupBy("unit", "trie", "side", "child").agg(F.count("*").alias("n"))
+    nodes = rows.groupBy("unit", "side", "child").agg(F.count("*").alias("n"))
     # A unit of one side pairs its nodes among themselves, one of two sides those of side 0 with side 1.
     sides = nodes.groupBy("unit").agg(F.max("side").alias("last"))
-    left = nodes.join(sides, "unit").select("unit", "trie", F.col("side").alias("sa"), F.col("child").alias("a"), F.col("n").alias("na"), "last")
+    left = nodes.join(sides, "unit").select("unit", F.col("side").alias("sa"), F.col("child").alias("a"), F.col("n").alias("na"), "last")
     right = nodes.select(F.col("unit").alias("ub"), F.col("side").alias("sb"), F.col("child").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, (F.col("unit") == F.col("ub")) & (F.col("sb") == F.col("last")) & (F.col("sa") == 0)
                       & ((F.col("last") == 1) | (F.col("a") <= F.col("b")))
-                      & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BUDGET))
+                      & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= layout.budget))
     own = (F.col("last") == 0) & (F.col("a") == F.col("b"))
     pairs = staged(pairs.where(~own | (F.col("na") > 1)).select(
         "unit", F.xxhash64("unit", "a", "b").alias("pair"), "sa", "a", "sb", "b", "last", own.alias("own"),
@@ -158,11 +187,11 @@ def _split(units: DataFrame, depth: int, unit_rows: int) -> tuple[DataFrame, Dat
             F.struct(F.lit(0).alias("to"), F.lit(0).alias("side"), F.col("a").alias("child")),
             F.struct(F.lit(1).alias("to"), F.col("sb").alias("side"), F.col("b").alias("child"))))).alias("e"))
     ends = ends.select("unit", "pair", "n", "e.*")
-    dealt = staged(rows.join(ends, ["unit", "side", "child"]).select(F.col("pair").alias("unit"), "trie", F.col("to").alias("side"), "fp", "n"), "simhash-units")
+    dealt = staged(rows.join(ends, ["unit", "side", "child"]).select(F.col("pair").alias("unit"), "walk", F.col("to").alias("side"), "fp", "n"), "simhash-units")
     return dealt.where(F.col("n") <= unit_rows).drop("n"), dealt.where(F.col("n") > unit_rows).drop("n")
 
 
-def _traverse(units: DataFrame) -> DataFrame:
+def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
     """Links found in each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -174,23 +203,23 @@ def _traverse(units: DataFrame) -> DataFrame:
             done = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             rest = [x[done:] for x in now]
             if done:
-                yield _links_of([x[:done] for x in now])
+                yield _links_of([x[:done] for x in now], layout)
         if rest is not None and len(rest[0]):
-            yield _links_of(rest)
+            yield _links_of(rest, layout)
 
-    arranged = units.select("unit", "trie", "side", "fp").repartition("unit").sortWithinPartitions("unit")
-    return arranged.mapInArrow(run, "a bigint, b bigint")
+    arranged = units.select("unit", "walk", "side", "fp").repartition("unit").sortWithinPartitions("unit")
+    return arranged.mapInArrow(run, "print int, a bigint, b bigint")
 
 
-def _links_of(columns: list[np.ndarray]) -> pa.RecordBatch:
-    unit, trie, side, fp = columns
+def _links_of(columns: list[np.ndarray], layout: Layout) -> pa.RecordBatch:
+    unit, walk, side, fp = columns
     fp = fp.view(np.uint64) if fp.dtype == np.int64 else fp.astype(np.uint64)
     moved = np.empty_like(fp)
-    for i, t in enumerate(TRIES):
-        of = trie == i
-        moved[of] = front_first(fp[of], t)
+    for i in range(len(layout.tries)):
+        of = walk % len(layout.tries) == i
+        moved[of] = layout.moved(fp[of], i)
     order = np.lexsort((moved, side, unit))
-    unit, side, fp, moved = unit[order], side[order], fp[order], moved[order]
+    unit, walk, side, fp, moved = (x[order] for x in (unit, walk, side, fp, moved))
     change = np.flatnonzero((unit[1:] != unit[:-1]) | (side[1:] != side[:-1])) + 1
     low = np.concatenate(([0], change))
     high = np.concatenate((change, [len(unit)]))
@@ -203,10 +232,11 @@ def _links_of(columns: list[np.ndarray]) -> pa.RecordBatch:
     begin = np.concatenate((np.stack((low[alone], high[alone], low[alone], high[alone])),
                             np.stack((low[first], high[first], low[first + 1], high[first + 1]))), axis=1)
     label = np.arange(len(fp))
-    for i, j in linked_pairs(moved, begin):
+    for i, j in linked_pairs(moved, begin, layout.budget):
         _union(label, i, j)
     child = np.flatnonzero(label != np.arange(len(fp)))
-    return pa.RecordBatch.from_arrays([pa.array(fp[child].view(np.int64)), pa.array(fp[label[child]].view(np.int64))], names=["a", "b"])
+    which = (walk[child] // len(layout.tries)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(which), pa.array(fp[child].view(np.int64)), pa.array(fp[label[child]].view(np.int64))], names=["print", "a", "b"])
 
 
 def linked_pairs(keys: np.ndarray, roots: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -311,21 +341,33 @@ def components(edges: DataFrame) -> DataFrame:
         edges = staged(small.union(least.select("u", "m")).distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET,
+                    prints: int = 1, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its place in the stored table), ``doc_id``, ``fp``, ``root``, ``component_id``."""
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    prints = staged(with_fingerprint(narrow, "text", width).drop("text"), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), unit_rows)).withColumnRenamed("node", "fp")
+    taken = staged(with_fingerprints(narrow, "text", width, prints).select("row", "doc_id", F.col("fps")[0].alias("fp"), "fps"), "fingerprints")
+    # A first fingerprint stands for its texts: those of equal fingerprints are linked anyhow.
+    distinct = staged(taken.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    if prints == 1:
+        edges = links(distinct.select(F.lit(0).alias("print"), "fp"), budget, unit_rows).select("a", "b")
+    else:
+        of = staged(taken.select(F.col("fp").alias("node"), F.posexplode("fps").alias("print", "fp")).distinct(), "print-members")
+        heads = staged(of.groupBy("print", "fp").agg(F.min("node").alias("head")), "print-heads")
+        found = links(heads.select("print", "fp"), budget, unit_rows)
+        a, b = heads.toDF("print", "a", "head_a"), heads.toDF("print", "b", "head_b")
+        across = found.join(a, ["print", "a"]).join(b, ["print", "b"]).select("head_a", "head_b")
+        within = of.join(heads, ["print", "fp"]).where("node <> head").select("node", "head")
+        edges = across.union(within).toDF("a", "b")
+    roots = components(edges).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root")
-    return prints.join(named, "fp").select("row", "doc_id", "fp", "root", "component_id")
+    return taken.join(named, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET, prints: int = 1) -> DataFrame:
     """``docs`` with one row of every component: the smallest id, the first row of that id."""
-    found = staged(near_duplicates(docs, doc_id=doc_id, text=text, width=width), "near-duplicates")
+    found = staged(near_duplicates(docs, doc_id=doc_id, text=text, width=width, budget=budget, prints=prints), "near-duplicates")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("kept"))
     gone = staged(found.join(first, "root").where(F.col("row") != F.col("kept.row")).select("row"), "near-duplicates-gone")
     if gone.count() * 16 <= MAX_BROADCAST_BYTES:
