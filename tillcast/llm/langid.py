@@ -18,7 +18,7 @@ one result each, empty tables give empty results; columns called ``lang_pred`` o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,9 @@ START = "▁"  # marks the begin of a word in the vocabulary
 SCALE = 16.0  # per letter, keeps the products near one
 RESCALE = 16  # positions between exact rescalings
 UNKNOWN = 1e-9
-CELLS = 200_000  # letters of one batch of words
-CACHE = 300_000  # words a worker keeps
+CELLS = 100_000  # letters of one batch of words
+CACHE = 500_000  # words a worker keeps
+WORDS_AT_ONCE = 200_000  # words of the texts scored together
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -51,25 +52,91 @@ def letter_pieces(path: str) -> list[str]:
     return sorted(p for p in pieces if p == START or p.removeprefix(START).isalpha())
 
 
+class Trie:
+    """The vocabulary's pieces by their letters: sorted keys (node, letter), looked up for many places at once."""
+
+    def __init__(self, pieces: list[str]):
+        children: dict[tuple[int, int], int] = {}
+        piece_of = [0]
+        for number, piece in enumerate(pieces, 1):
+            node = 0
+            for c in piece:
+                key = (node, ord(c))
+                if key not in children:
+                    children[key] = len(piece_of)
+                    piece_of.append(0)
+                node = children[key]
+            piece_of[node] = number
+        keys = np.array([(n << 21) | c for n, c in children] or [0], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], np.array(list(children.values()) or [0], np.int64)[order]
+        self.piece_of = np.array(piece_of, np.int32)
+        self.longest = max(map(len, pieces), default=1)
+
+    def pieces_at(self, letters: np.ndarray) -> np.ndarray:
+        """``out[w, i, k]``: the piece of word ``w`` that covers ``k + 1`` letters from ``i`` on; -1: none.
+
+        A single letter that is no piece is piece 0. ``letters`` is padded with zeros.
+        """
+        n, size = letters.shape
+        out = np.full((n, size, self.longest), -1, np.int32)
+        padded = np.concatenate((letters, np.zeros((n, self.longest), letters.dtype)), axis=1)
+        w, i = np.nonzero(letters)
+        node = np.zeros(len(w), np.int64)
+        out[w, i, 0] = 0
+        for k in range(self.longest):
+            key = (node << 21) | padded[w, i + k]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            alive = self.keys[at] == key
+            w, i, node = w[alive], i[alive], self.nodes[at[alive]]
+            piece = self.piece_of[node]
+            some = piece > 0
+            out[w[some], i[some], k] = piece[some]
+            if not len(w):
+                break
+        return out
+
+
 class Lattice:
     """All segmentations of many words: piece ``pid`` of word ``w`` leads from letter ``start`` to ``end``."""
 
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int):
-        w, start, end, pid = [], [], [], []
-        get = ids.get
-        for k, word in enumerate(words):
-            word = START + word
-            n = len(word)
-            for i in range(n):
-                found = get(word[i], 0)
-                w.append(k), start.append(i), end.append(i + 1), pid.append(found)
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    found = get(word[i:j])
-                    if found is not None:
-                        w.append(k), start.append(i), end.append(j), pid.append(found)
-        self.w, self.start, self.end, self.pid = (np.array(x, np.int64) for x in (w, start, end, pid))
+    def __init__(self, words: list[str], trie: Trie):
         self.lengths = np.array([len(x) + 1 for x in words], np.int64)
-        self.longest = longest
+        self.longest = trie.longest
+        letters = np.zeros((len(words), int(self.lengths.max())), np.int64)
+        line = START + START.join(words)
+        letters[np.arange(letters.shape[1]) < self.lengths[:, None]] = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.at = trie.pieces_at(letters)
+
+    def log_probability(self, prob: np.ndarray) -> np.ndarray:
+        """The forward algorithm, letter by letter over all words at once."""
+        n, size, longest = self.at.shape
+        table = np.concatenate((prob, np.zeros((1, prob.shape[1]))))  # row -1: no piece
+        tables = [table * SCALE ** (k + 1) for k in range(longest)]
+        used = [[k for k in range(longest) if k <= e and (self.at[:, e - k, k] >= 0).any()] for e in range(size)]
+        value = [np.ones((n, prob.shape[1]))]
+        total, scale = np.zeros((n, prob.shape[1])), np.zeros((n, prob.shape[1]))
+        for e in range(size):
+            now = np.zeros((n, prob.shape[1]))
+            for k in used[e]:
+                now += value[e - k] * tables[k][self.at[:, e - k, k]]
+            value.append(now)
+            if (e + 1) % RESCALE == 0:
+                back = range(max(0, e + 1 - longest), e + 2)
+                top = np.maximum.reduce([value[i] for i in back])
+                top[top == 0] = 1.0
+                for i in back:
+                    value[i] = value[i] / top
+                scale = scale + np.log(top)
+            ends = self.lengths == e + 1
+            if ends.any():
+                with np.errstate(divide="ignore"):
+                    total[ends] = np.log(value[e + 1][ends]) + scale[ends]
+        return total - (self.lengths * np.log(SCALE))[:, None]
+
+    def _steps(self) -> None:
+        self.w, self.start, k = np.nonzero(self.at >= 0)
+        self.pid, self.end = self.at[self.w, self.start, k].astype(np.int64), self.start + k + 1
 
     def _sums(self, prob: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values at every letter, the logs of their scales, and the log of each word's total."""
@@ -105,11 +172,9 @@ class Lattice:
         total = np.log(value[rows, self.lengths]) + scale[rows, self.lengths]
         return value, scale, total
 
-    def log_probability(self, prob: np.ndarray) -> np.ndarray:
-        return self._sums(prob, True)[2] - (self.lengths * np.log(SCALE))[:, None]
-
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used in ``counts`` occurrences of the words, by language."""
+        self._steps()
         alpha, a_scale, total = self._sums(prob, True)
         beta, b_scale, _ = self._sums(prob, False)
         rest = self.lengths[self.w] - self.end
@@ -138,8 +203,7 @@ class Model:
         self._ready()
 
     def _ready(self) -> None:
-        self.ids = {p: i for i, p in enumerate(self.pieces, 1)}
-        self.longest = max(map(len, self.pieces), default=1)
+        self.trie = Trie(self.pieces)
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(self.langs)))
 
@@ -151,11 +215,11 @@ class Model:
         self._ready()
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        return Lattice(words, self.ids, self.longest).log_probability(self.prob)
+        return Lattice(words, self.trie).log_probability(self.prob)
 
     def learn_words(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE:
+        if self.known and len(self.known) + len(fresh) > CACHE:
             self.known, self.table, fresh = {}, np.zeros((0, len(self.langs))), list(words)
         new = [self.table]
         for batch in batches_of_words(fresh):
@@ -164,15 +228,29 @@ class Model:
         if len(new) > 1:
             self.table = np.concatenate(new)
 
-    def text_score(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        self.learn_words(set(words))
-        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        logs = self.table[places].sum(axis=0)
-        best = int(logs.argmax())
-        return self.langs[best], float(1 / np.exp(logs - logs[best]).sum())
+    def text_scores(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Prediction and score of every text; the new words of many texts are computed together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(WORD.findall((text or "").lower()))
+            size += len(held[-1])
+            if size > WORDS_AT_ONCE:
+                yield from self._scored(held)
+                held, size = [], 0
+        yield from self._scored(held)
+
+    def _scored(self, held: list[list[str]]) -> Iterator[tuple[str, float]]:
+        if self.langs:
+            self.learn_words(set().union(*held))
+        for words in held:
+            if not words or not self.langs:
+                yield "und", 0.0
+                continue
+            places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            logs = self.table[places].sum(axis=0)
+            best = int(logs.argmax())
+            yield self.langs[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
 def fit(docs: DataFrame, path: str | None = None, *, docs_per_language: int = 2000, iterations: int = 4,
@@ -214,7 +292,7 @@ def _expected(spark: SparkSession, words: DataFrame, model: Model) -> np.ndarray
         for frame in frames:
             counts = dict(zip(frame["word"], frame[columns].to_numpy()))
             for batch in batches_of_words(list(counts)):
-                total += Lattice(batch, own.ids, own.longest).expected(own.prob, np.stack([counts[w] for w in batch]))
+                total += Lattice(batch, own.trie).expected(own.prob, np.stack([counts[w] for w in batch]))
         used = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame({"pid": used, **{c: total[used, i] for i, c in enumerate(columns)}})
 
@@ -242,9 +320,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     docs = without(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.udf("struct<lang_pred:string,score:double>", useArrow=True)
-    def judge(value):
-        return shared.value.text_score(value)
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(shared.value.text_scores(texts), columns=["lang_pred", "score"])
 
     return docs.withColumn("_judged", judge(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_judged.lang_pred", "_judged.score")
 

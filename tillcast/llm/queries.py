@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, and their DuckDB counterparts."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -115,4 +115,3 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
