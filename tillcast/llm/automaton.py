@@ -55,6 +55,8 @@ class Nfa:
 def _bytes_of(op, value, ignore_case: bool) -> frozenset:
     if op is ops.LITERAL:
         found, negated = {value}, False
+    elif op is ops.NOT_LITERAL:
+        found, negated = {value}, True
     elif op is ops.IN:
         negated = value[0][0] is ops.NEGATE
         found = set()

@@ -279,6 +279,8 @@ def fit(docs: DataFrame, path: str | None = None, *, docs_per_language: int = 20
     words = staged(counted, "language-words")
     for _ in range(iterations):
         prob = _maximise(_expected(spark, words, Model(langs, pieces, prob)))
+    if START in pieces:  # a bare begin says nothing, so words of unknown letters count alike everywhere
+        prob[pieces.index(START) + 1] = prob[pieces.index(START) + 1].mean()
     return Model(langs, pieces, prob)
 
 

@@ -88,7 +88,8 @@ def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def _grams(text: str) -> np.ndarray:
     c = classes_of("   " + text + " ").astype(np.int32)
     codes = ((c[:-3] * CLASSES + c[1:-2]) * CLASSES + c[2:-1]) * CLASSES + c[3:]
-    return np.bincount(codes, minlength=CLASSES ** 4)
+    # The gap between words counts once, however long, and whichever texts are met together.
+    return np.bincount(codes[(c[2:-1] > 0) | (c[3:] > 0)], minlength=CLASSES ** 4)
 
 
 class CharacterModel:

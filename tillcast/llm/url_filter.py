@@ -63,7 +63,7 @@ class Cascade:
         counts = self.universe.agg(F.count_if("listed").alias("r"), F.count_if(~F.col("listed")).alias("s")).first()
         n_in, n_out, keep_in = counts.r, counts.s, True
         # The first level refuses most of the unlisted keys, later ones half of what is left.
-        rate = min(0.5, n_in / (math.sqrt(2) * n_out)) if n_out else 0.5
+        rate = min(0.5, n_in / (math.sqrt(2) * n_out)) if n_in and n_out else 0.5
         self.segments = max(1, math.ceil(_bits(n_in, rate) / max_bits))
         while n_in:
             self._add(n_in, rate, keep_in)
