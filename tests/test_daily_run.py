@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from conftest import SAMPLE
 from test_models import PLAN
+import local_provider
 from tillcast.operators import insight, runlog
 from tillcast.plans.daily_run import daily_run
 from tillcast.sources.tables import latest_models
@@ -22,7 +23,8 @@ def inputs(spark, folder):
 
 def test_nine_steps_end_ok(spark, tmp_path):
     tenants, root = inputs(spark, tmp_path / "in"), str(tmp_path / "out")
-    steps = daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "20250101_000000_aaaaaa")
+    steps = daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "20250101_000000_aaaaaa",
+                      provider=local_provider.rule_provider)
     rows = steps.collect()
     assert [r.step for r in rows] == STEPS
     assert [r.errors for r in rows] == [[]] * 9 and all(r.duration_ms >= 0 for r in rows)
@@ -49,16 +51,20 @@ def test_repeat_is_stable_and_external_provider_works(spark, tmp_path):
     tenants, root = inputs(spark, tmp_path / "in"), str(tmp_path / "out")
 
     def provider(prompts):
-        return insight.call_provider(prompts, insight.prompt_rule(), max_parallel=2)
+        return insight.call_provider(prompts, local_provider.prompt_rule(), parallel=2)
 
     daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "v1", provider=provider)
     first = sorted(spark.read.parquet(f"{root}/dashboard").collect())
-    daily_run(spark, str(tmp_path / "in"), tenants, root, "run_2", "v1")
+    daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "v1", provider=provider)
     assert sorted(spark.read.parquet(f"{root}/dashboard").collect()) == first
+    daily_run(spark, str(tmp_path / "in"), tenants, root, "run_2", "v1", provider=local_provider.rule_provider)
+    second = spark.read.parquet(f"{root}/dashboard").where("run_id = 'run_2'").drop("run_id")
+    assert sorted(second.collect()) == sorted(r[:-1] for r in first)
+    assert spark.read.parquet(f"{root}/answers").count() == 4
     assert latest_models(spark, f"{root}/average_models").count() == 2
     logged = spark.read.parquet(f"{root}/run_log")
     assert {(r.run_id, r.n) for r in logged.groupBy("run_id").count().withColumnRenamed("count", "n").collect()} == {
-        ("run_1", 9), ("run_2", 9)}
+        ("run_1", 18), ("run_2", 9)}
 
 
 def test_failed_stage_is_reported(spark, tmp_path):
@@ -67,3 +73,28 @@ def test_failed_stage_is_reported(spark, tmp_path):
     got = runlog.run_summary(steps).first()
     assert got.has_errors and got.ok_count == 0
     assert "PATH_NOT_FOUND" in steps.first().errors[0]
+
+
+def test_failed_run_leaves_the_last_one_alone(spark, tmp_path):
+    tenants, root = inputs(spark, tmp_path / "in"), str(tmp_path / "out")
+    daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "v1")
+    board = sorted(spark.read.parquet(f"{root}/dashboard").collect())
+    steps = daily_run(spark, str(tmp_path / "nowhere"), tenants, root, "run_2", "v2").collect()
+    assert [r.status for r in steps] == ["error"] + ["skipped"] * 8
+    assert steps[5].warnings == ["needs model_registry"]
+    assert sorted(spark.read.parquet(f"{root}/dashboard").collect()) == board and {r.run_id for r in board} == {"run_1"}
+    assert {r.model_version for r in latest_models(spark, f"{root}/average_models").collect()} == {"v1"}
+    assert {r.insight_status for r in board} == {"skipped"}
+
+
+def test_rows_without_a_date_are_kept_aside(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "upload_sales.csv").write_text("date,daily_sales_total\n2025-01-01,100\nsoon,200\n2025-01-02,200\n,1400\n")
+    tenants = spark.createDataFrame([("restaurant_001", "location_001")], "restaurant_id string, location_id string")
+    root = str(tmp_path / "out")
+    daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "v1")
+    rejects = spark.read.parquet(f"{root}/sales_rejects").collect()
+    assert sorted((r.date_text or "", r.reason) for r in rejects) == [("", "invalid_date"), ("soon", "invalid_date")]
+    status = spark.read.parquet(f"{root}/sales_status").first()
+    assert (status.sales_rows_loaded, status.rows_rejected) == (4, 2)
+    assert spark.read.parquet(f"{root}/sales").count() == status.sales_rows_loaded - status.rows_rejected

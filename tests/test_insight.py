@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SAMPLE
 from tillcast.constants import INSIGHT_KEYS
 from tillcast.functions import payload
+import local_provider
 from tillcast.operators import dashboard, insight
 from tillcast.operators.forecast import forecast, with_forecast
 from tillcast.operators.models import tenant_profiles
@@ -49,8 +50,8 @@ def test_local_providers_agree(make_sales):
         ("r", "one"): [5],
     })
     asked = prompts(sales)
-    rules = insight.parse_answers(insight.ask(asked, insight.rule_provider))
-    calls = insight.parse_answers(insight.call_provider(asked, insight.prompt_rule(), max_parallel=3))
+    rules = insight.parse_answers(insight.ask(asked, local_provider.rule_provider))
+    calls = insight.parse_answers(insight.call_provider(asked, local_provider.prompt_rule(), parallel=3))
     columns = ["location_id", "insight_status", "model", "insight_json_raw", "risk_level", "actions"]
     left = sorted(rules.select(columns).collect())
     assert left == sorted(calls.select(columns).collect())
@@ -66,7 +67,7 @@ def test_failing_call_marks_its_own_row(make_sales):
         return {"status": "ok", "model": "m", "raw_json": "{}"}
 
     asked = prompts(make_sales({("r", "bad"): SAMPLE, ("r", "good"): SAMPLE}))
-    got = {r.location_id: r for r in insight.parse_answers(insight.call_provider(asked, call)).collect()}
+    got = {r.location_id: r for r in insight.parse_answers(insight.call_provider(asked, call, parallel=2)).collect()}
     assert (got["bad"].insight_status, got["bad"].reason) == ("error", "openai_call_failed:TimeoutError:slow")
     assert got["bad"].prompt_preview is not None
     assert (got["good"].insight_status, got["good"].reason, got["good"].prompt_preview) == ("ok", None, None)
@@ -96,20 +97,21 @@ def test_context_columns(spark):
         "{}",
     ]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(contexts)], "i int, c string")
-    rows = df.orderBy("i").select(*insight.context_columns(payload.parsed(F.col("c")))).collect()
+    parsed = df.orderBy("i").withColumn("v", payload.parsed(F.col("c")))
+    rows = insight.read_contexts(parsed, "v", "i").orderBy("i").collect()
     assert (rows[0].restaurant_id, rows[0].location_id, rows[0].horizon) == ("p", "il", 1)
     assert [int(s.daily_sales_total) for s in rows[0].recent_sales] == list(range(3, 10))
     assert (rows[1].restaurant_id, rows[1].location_id, rows[1].horizon) == ("restaurant_001", "location_001", 9)
     assert [float(x) for x in rows[1].forecast] == [2.0] and rows[1].recent_sales == []
     assert (rows[2].horizon, rows[2].forecast, rows[2].model_used) == (0, [], "{}")
-    assert insight.prompts_from_context(df.select(*insight.context_columns(payload.parsed(F.col("c"))))).count() == 3
+    assert insight.prompts_from_context(insight.read_contexts(parsed, "v")).count() == 3
 
 
 def test_dashboard_forms_agree(make_sales):
     sales = make_sales({("r", str(i)): SAMPLE[i:] for i in range(4)})
     profiles = tenant_profiles(sales)
-    single = dashboard.dashboard_from_profiles(profiles, insight.rule_provider)
-    answers = insight.parse_answers(insight.ask(prompts(sales), insight.rule_provider))
+    single = dashboard.dashboard_from_profiles(profiles, local_provider.rule_provider)
+    answers = insight.parse_answers(insight.ask(prompts(sales), local_provider.rule_provider))
     joined = dashboard.dashboard_days(forecast(profiles), answers)
     assert sorted(single.collect()) == sorted(joined.select(*single.columns).collect())
     assert single.count() == 28

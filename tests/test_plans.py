@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as contract
 from plan_text import formatted, nodes
+from tillcast.plans.catalog import QUERIES
 
 PYTHON_NODES = ["MapInPandas", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInArrow"]
-NAMES = sorted(contract.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def plans(spark, sf_small):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         built = {}
-        for name, query in contract.queries().items():
+        for name, query in QUERIES.items():
             df = query(spark, sf_small)
             text = formatted(df)
             built[name] = (df, text, text.split("\n\n")[0])
@@ -26,9 +26,8 @@ def plans(spark, sf_small):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_python_only_in_the_provider(plans, name):
-    used = [n for n in PYTHON_NODES if n in plans[name][2]]
-    assert used == (["MapInPandas"] if name == "insight_answers" else [])
+def test_no_python(plans, name):
+    assert not [n for n in PYTHON_NODES if n in plans[name][2]]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -38,8 +37,9 @@ def test_no_products_and_no_forced_broadcasts(plans, name):
         assert node not in tree
 
 
-READ_ORDERS_ONCE = ["daily_sales", "dashboard", "forecast_7d", "insight_prompt", "model_status", "recent_sales",
-                    "trend_model", "upload_counts", "upload_upsert"]
+READ_ORDERS_ONCE = ["daily_sales", "dashboard", "forecast_7d", "forecast_current_or_recomputed", "insight_prompt",
+                    "model_status", "recent_sales", "trend_model", "trend_model_cold_start", "upload_against_table",
+                    "upload_applied_to_table", "upload_counts", "upload_upsert"]
 
 
 @pytest.mark.parametrize("name", READ_ORDERS_ONCE)
@@ -56,8 +56,9 @@ def test_row_local_queries_do_not_shuffle(plans, name):
     assert "Exchange" not in plans[name][2]
 
 
-def test_latest_row_aggregate_stays_in_a_hash_table(plans):
-    assert "SortAggregate" not in plans["upload_upsert"][2]
+@pytest.mark.parametrize("name", ["upload_upsert", "upload_applied_to_table", "latest_run"])
+def test_latest_row_aggregate_stays_in_a_hash_table(plans, name):
+    assert "SortAggregate" not in plans[name][2]
 
 
 def test_recent_sales_cut_rows_before_the_shuffle(plans):

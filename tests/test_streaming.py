@@ -127,3 +127,19 @@ def test_running_totals_drop_late_rows(spark, tmp_path):
     assert got == {1: 11, 2: 4, 9: 80}
     on_time = events(spark, batches[0] + batches[1])
     assert {r.date.day: int(r.daily_sales_total) for r in totals.daily_totals(on_time).collect()} == {1: 11, 2: 4, 9: 16}
+
+
+def test_another_checkpoint_is_refused(spark, tmp_path):
+    inbox, root = tmp_path / "in", tmp_path / "out"
+    inbox.mkdir()
+    drop(inbox, 0)
+    feed(spark, inbox, root, tmp_path / "cp")
+    before = as_state(tables.sales_state(spark, str(root)))
+    for _ in range(2):
+        with pytest.raises(uploads.ForeignRoot):
+            feed(spark, inbox, root, tmp_path / "cp2")
+        assert as_state(tables.sales_state(spark, str(root))) == before
+        tables.compact_sales(spark, str(root), 0)
+    drop(inbox, 1)
+    feed(spark, inbox, root, tmp_path / "cp")
+    assert set(counts(spark, root)) == {0, 1}

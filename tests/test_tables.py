@@ -128,8 +128,9 @@ def test_run_log_grows_columns(spark, tmp_path):
 def test_model_json_round_trip(spark, tmp_path, make_sales):
     path = str(tmp_path / "json")
     models_ = models.fit_average(make_sales({T: SAMPLE, ("r", "old"): [1]}))
-    tables.write_model_json(models.average_model_records(models_), path)
-    tables.write_model_json(models.average_model_records(models_), path)
+    tables.write_model_json(models.average_model_records(models_), path, "v1")
+    tables.write_model_json(models.average_model_records(models_), path, "v1")
+    tables.write_model_json(models.average_model_records(models_.where("location_id = 'old'")), path, "v2")
     back = tables.read_model_json(spark, path)
     columns = ["restaurant_id", "location_id", "avg_daily_sales", "training_rows"]
     assert sorted(back.select(columns).collect()) == sorted(models_.select(columns).collect())

@@ -42,16 +42,15 @@ def unwrap_result(value: Column) -> Column:
     return F.coalesce(object_or_null(field(value, "$.result", "variant")), value)
 
 
-def prediction_payload(context: Column) -> Column:
-    """The prediction part of a run context.
+def chosen_prediction(named: Column, inner: Column, context: Column) -> Column:
+    """The prediction part of a run context, from the parts it may be in.
 
-    Looked up under the step name, then under ``data``, then in the context itself; the last two
-    only count where they hold a forecast or a model.
+    What stands under the step name counts, then what stands under ``data``, then the context itself;
+    the last two only where they hold a forecast or a model.
     """
-    inner = object_or_null(field(context, "$.data", "variant"))
     return F.coalesce(
-        object_or_null(field(context, "$['5_ml_prediction']", "variant")),
-        F.when(_has_prediction(inner), inner),
+        object_or_null(named),
+        F.when(_has_prediction(inner), object_or_null(inner)),
         F.when(_has_prediction(context), context),
     )
 

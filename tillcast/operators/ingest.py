@@ -147,7 +147,22 @@ def count_against(current_keys: DataFrame, classified: DataFrame) -> DataFrame:
         *[F.when(valid, F.col(c)).alias(c) for c in SALES_KEY], valid.alias("valid"), F.lit(False).alias("stored")
     )
     stored = current_keys.select(*SALES_KEY, F.lit(None).cast("boolean").alias("valid"), F.lit(True).alias("stored"))
-    per_key = uploaded.unionByName(stored).groupBy(*SALES_KEY).agg(
+    return _counted(uploaded.unionByName(stored))
+
+
+def count_batch(classified: DataFrame, is_upload: Column) -> DataFrame:
+    """The same for one frame that holds both: rows that are no upload are what the table was made of."""
+    valid = F.col("reason").isNull()
+    rows = classified.where(is_upload | valid).select(
+        *[F.when(valid, F.col(c)).alias(c) for c in SALES_KEY],
+        F.when(is_upload, valid).alias("valid"),
+        (~is_upload).alias("stored"),
+    )
+    return _counted(rows)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    per_key = rows.groupBy(*SALES_KEY).agg(
         F.bool_or("stored").alias("stored"),
         F.count_if("valid").alias("valid"),
         F.count_if(~F.col("valid")).alias("skipped"),
@@ -161,6 +176,14 @@ def count_against(current_keys: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
+def apply_batch(accepted: DataFrame, is_upload: Column, seq: str = "ingest_seq") -> DataFrame:
+    """The table after an upload, from one frame that holds the rows of both."""
+    def last(rows: Column) -> Column:
+        return F.max_by(F.when(rows, F.col("daily_sales_total")), F.when(rows, F.col(seq)))
+
+    return accepted.groupBy(*SALES_KEY).agg(F.coalesce(last(is_upload), last(~is_upload)).alias("daily_sales_total"))
+
+
 def typed_sales(sales: DataFrame) -> DataFrame:
     """The four sales columns with their table types."""
     return sales.select(

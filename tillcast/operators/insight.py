@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,14 +25,13 @@ from tillcast.constants import (
     TENANT,
 )
 from tillcast.functions import payload
+from tillcast.functions.staging import computed_once
 from tillcast.functions.text import first_filled, truncate
 
 # Reasons reported by the insight step.
 NO_KEY_REASON = "OPENAI_API_KEY_not_set"
 CALL_FAILED = "openai_call_failed"
 
-LOCAL_MODEL = "local_rules"
-RISK_LEVELS = ["unknown", "high", "medium", "low"]
 ANSWER_SCHEMA = (
     "restaurant_id string, location_id string, prompt string, "
     "status string, reason string, model string, raw_json string"
@@ -87,31 +85,47 @@ def resolve_ids(prediction: Column, ingestion: Column) -> list[Column]:
     ]
 
 
-def context_columns(context: Column) -> list[Column]:
-    """Prompt inputs of a stored run context held as a variant."""
-    prediction = payload.prediction_payload(context)
-    ingestion = payload.object_or_null(payload.field(context, "$['1_data_ingestion']", "variant"))
-    amounts = "array<struct<predicted_sales decimal(18,2)>>"
-    empty = F.array().cast(f"array<{MONEY}>")
-
-    def filled_array(name: str) -> Column:
-        found = payload.field(prediction, f"$.{name}", amounts)
-        return F.when(F.size(found) > 0, F.transform(found, lambda d: d["predicted_sales"]))
+def read_contexts(contexts: DataFrame, context: str, *keep: str) -> DataFrame:
+    """Prompt inputs of stored run contexts held as a variant.
 
-    forecast = F.coalesce(filled_array("forecast"), filled_array("forecast_intervals"), empty)
-    sales = payload.field(
-        ingestion, "$.sales", "array<struct<date string, daily_sales_total decimal(18,2)>>"
-    )
-    count = F.size(sales)
-    last = F.slice(sales, F.greatest(F.lit(1), count - (RECENT_DAYS - 1)), RECENT_DAYS)
-    return [
-        *resolve_ids(prediction, ingestion),
-        F.coalesce(payload.field(prediction, "$.horizon", "int"), F.size(forecast)).alias("horizon"),
-        F.coalesce(payload.field(prediction, "$.model_used", "string"), F.lit("{}")).alias("model_used"),
-        F.coalesce(last, F.array().cast("array<struct<date string, daily_sales_total decimal(18,2)>>"))
-        .alias("recent_sales"),
+    Every part of a context is looked up once and kept as a column before its fields are read.
+    """
+    def stage(df: DataFrame, columns: dict[str, Column], *more: str) -> DataFrame:
+        return computed_once(df, [*keep, *more], columns)
+
+    whole = F.col(context)
+    parts = stage(contexts, {
+        "_whole": whole,
+        "_named": payload.field(whole, "$['5_ml_prediction']", "variant"),
+        "_inner": payload.field(whole, "$.data", "variant"),
+        "_ingested": payload.field(whole, "$['1_data_ingestion']", "variant"),
+    })
+    objects = stage(parts, {
+        "_prediction": payload.chosen_prediction(F.col("_named"), F.col("_inner"), F.col("_whole")),
+        "_ingestion": payload.object_or_null(F.col("_ingested")),
+    })
+    prediction, ingestion = F.col("_prediction"), F.col("_ingestion")
+    amounts = "array<struct<predicted_sales decimal(18,2)>>"
+    entries = "array<struct<date string, daily_sales_total decimal(18,2)>>"
+    fields = stage(objects, {
+        **{c: ids for c, ids in zip(TENANT, resolve_ids(prediction, ingestion))},
+        "_horizon": payload.field(prediction, "$.horizon", "int"),
+        "model_used": F.coalesce(payload.field(prediction, "$.model_used", "string"), F.lit("{}")),
+        "_forecast": payload.field(prediction, "$.forecast", amounts),
+        "_intervals": payload.field(prediction, "$.forecast_intervals", amounts),
+        "_sales": payload.field(ingestion, "$.sales", entries),
+    })
+    listed = F.when(F.size("_forecast") > 0, F.col("_forecast")).when(F.size("_intervals") > 0, F.col("_intervals"))
+    forecast = F.coalesce(F.transform(listed, lambda d: d["predicted_sales"]), F.array().cast(f"array<{MONEY}>"))
+    last = F.slice("_sales", F.greatest(F.lit(1), F.size("_sales") - (RECENT_DAYS - 1)), RECENT_DAYS)
+    return fields.select(
+        *keep,
+        *TENANT,
+        F.coalesce("_horizon", F.size(forecast)).alias("horizon"),
+        "model_used",
+        F.coalesce(last, F.array().cast(entries)).alias("recent_sales"),
         forecast.alias("forecast"),
-    ]
+    )
 
 
 def prompt_text(row: dict[str, Column]) -> Column:
@@ -120,7 +134,7 @@ def prompt_text(row: dict[str, Column]) -> Column:
 
 
 def prompts_from_context(contexts: DataFrame) -> DataFrame:
-    """Prompts from columns as produced by :func:`context_columns`."""
+    """Prompts from columns as produced by :func:`read_contexts`."""
     text = prompt_text(
         {
             "restaurant_id": F.col("restaurant_id"),
@@ -157,95 +171,13 @@ def prompt_preview(prompt: Column) -> Column:
     return truncate(prompt, PREVIEW_CHARS)
 
 
-def _risk(next_day: Column, recent_sum: Column, recent_count: Column) -> Column:
-    """Risk of over-preparing: how far the forecast lies above the recent average."""
-    scaled = next_day * recent_count
-    return (
-        F.when((recent_count == 0) | next_day.isNull(), F.lit("unknown"))
-        .when(scaled >= recent_sum * F.lit(Decimal("1.25")), F.lit("high"))
-        .when(scaled >= recent_sum * F.lit(Decimal("1.05")), F.lit("medium"))
-        .otherwise(F.lit("low"))
-    )
-
-
-def _advice(risk: str) -> dict:
-    """The fixed wording of a local answer."""
-    return {
-        "summary": f"forecast risk is {risk}",
-        "staffing": "follow the staffing plan",
-        "inventory": "follow the inventory plan",
-        "waste": "check leftovers at close",
-        "notes": "rule based advice",
-        "risk_level": risk,
-        "actions": ["confirm the roster", "confirm the orders", "review the waste log"],
-    }
-
-
-def rule_provider(prompts: DataFrame) -> DataFrame:
-    """Local stand-in for a language model, as plain columns."""
-    zero = F.lit(Decimal(0)).cast("decimal(28,2)")
-    total = F.aggregate(
-        "recent_sales", zero, lambda acc, s: (acc + s["daily_sales_total"]).cast("decimal(28,2)")
-    )
-    risk = _risk(
-        F.get(F.col("forecast"), F.lit(0)), total, F.size("recent_sales").cast("decimal(10,0)")
-    )
-    answers = F.create_map(
-        *[
-            part
-            for level in RISK_LEVELS
-            for part in (F.lit(level), F.lit(json.dumps(_advice(level), separators=(",", ":"))))
-        ]
-    )
-    return prompts.withColumns(
-        {
-            "status": F.lit("ok"),
-            "reason": F.lit(None).cast("string"),
-            "model": F.lit(LOCAL_MODEL),
-            "raw_json": F.element_at(answers, risk),
-        }
-    )
-
-
-def prompt_rule() -> Callable[[str], dict]:
-    """The same rule for one prompt text, as a stand-in for a network call.
-
-    The returned function carries all it needs, so workers do not import this package for it.
-    """
-    answers = {level: json.dumps(_advice(level), separators=(",", ":")) for level in RISK_LEVELS}
-
-    def answer(prompt: str) -> dict:
-        context = dict(
-            line[2:].split(": ", 1)
-            for line in prompt.splitlines()
-            if line.startswith("- ") and ": " in line
-        )
-        recent = json.loads(context["recent_sales"], parse_float=Decimal, parse_int=Decimal)
-        coming = json.loads(context["forecast"], parse_float=Decimal, parse_int=Decimal)
-        if not recent or not coming:
-            risk = "unknown"
-        else:
-            scaled = coming[0]["predicted_sales"] * len(recent)
-            total = sum(day["daily_sales_total"] for day in recent)
-            if scaled >= total * Decimal("1.25"):
-                risk = "high"
-            elif scaled >= total * Decimal("1.05"):
-                risk = "medium"
-            else:
-                risk = "low"
-        return {"status": "ok", "model": LOCAL_MODEL, "raw_json": answers[risk]}
-
-    return answer
-
-
-def call_provider(
-    prompts: DataFrame, call: Callable[[str], dict], max_parallel: int | None = None
-) -> DataFrame:
+def call_provider(prompts: DataFrame, call: Callable[[str], dict], parallel: int) -> DataFrame:
     """Ask an external service, one call per prompt.
 
     ``call`` returns ``status`` with ``model`` and ``raw_json``, or with ``reason``. A call that
-    raises marks its own row as an error. ``max_parallel`` bounds the concurrent calls: the prompts
-    are spread by tenant over that many tasks.
+    raises marks its own row as an error. The prompts are spread by tenant over ``parallel`` tasks,
+    which is also the number of concurrent calls. A repeated task repeats its calls: store the
+    answers before anything else reads them, as ``daily_run`` does.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,9 +192,7 @@ def call_provider(
             answers = answers.reindex(columns=["status", "reason", "model", "raw_json"])
             yield pd.concat([batch, answers.astype(object).where(answers.notna(), None)], axis=1)
 
-    asked = prompts.select(*TENANT, "prompt")
-    if max_parallel:
-        asked = asked.repartition(max_parallel, *TENANT)
+    asked = prompts.select(*TENANT, "prompt").repartition(parallel, *TENANT)
     return asked.mapInPandas(ask, ANSWER_SCHEMA)
 
 

@@ -45,6 +45,23 @@ def fit_average(sales: DataFrame) -> DataFrame:
     )
 
 
+def fit_average_current_or_all(lines: DataFrame) -> DataFrame:
+    """Average daily sales per tenant from its current order lines, or from all where it has none.
+
+    ``lines`` has ``date, amount, is_current``; both averages come from one pass.
+    """
+    amount = F.col("amount").cast("decimal(18,2)")
+    current = F.when(F.col("is_current"), amount)
+    days = lines.groupBy(*TENANT, "date").agg(F.sum(current).alias("now"), F.sum(amount).alias("all"))
+
+    def average(name: str) -> Column:
+        return F.round(F.try_divide(F.sum(name), F.count(name)), 4).cast(RATE)
+
+    return days.groupBy(*TENANT).agg(
+        F.coalesce(average("now"), average("all")).alias("avg_daily_sales"), F.count(F.lit(1)).alias("training_rows")
+    ).where(F.col("avg_daily_sales").isNotNull())
+
+
 def tenant_profiles(sales: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
     """Average model and latest sales of each tenant in one pass over the sales table.
 

@@ -25,6 +25,7 @@ from tillcast.sources.tables import (
     append_model_version,
     append_runs,
     trend_model_records,
+    write_model_json,
 )
 
 STEP_SCHEMA = (
@@ -42,34 +43,50 @@ class _Steps:
         self.run_id = run_id
         self.rows: list[tuple] = []
 
-    def run(self, step: str, stage: Callable[[], None]) -> None:
+    def run(self, step: str, stage: Callable[[], None], *needs: str) -> None:
+        """Run a stage if those it needs ended well in this run; otherwise skip it and say why."""
         started, clock = datetime.now(timezone.utc), time.monotonic()
+        done = {row[1] for row in self.rows if row[2] == "ok"}
+        missing = [f"needs {n}" for n in needs if n not in done]
         errors: list[str] = []
-        try:
-            stage()
-        except Exception as e:
-            errors.append(f"{type(e).__name__}: {e}")
+        if not missing:
+            try:
+                stage()
+            except Exception as e:
+                errors.append(f"{type(e).__name__}: {e}")
         took = int((time.monotonic() - clock) * 1000)
-        status = "error" if errors else "ok"
+        status = "skipped" if missing else "error" if errors else "ok"
         self.rows.append(
-            (self.run_id, step, status, started, datetime.now(timezone.utc), took, errors, [])
+            (self.run_id, step, status, started, datetime.now(timezone.utc), took, errors, missing)
         )
 
 
-def keyed_sales(served: DataFrame) -> DataFrame:
-    """Served file rows as the keyed sales table of the tenants they were served to.
-
-    A tenant is served one file, so the place of a row in its file is its whole arrival order.
-    """
-    rows = served.select(
+def dated_rows(served: DataFrame) -> DataFrame:
+    """Served file rows with their date, NULL where the text is none."""
+    return served.select(
         F.col("for_restaurant_id").alias("restaurant_id"),
         F.col("for_location_id").alias("location_id"),
         iso_date(F.col("date_text")).alias("date"),
+        "date_text",
         "daily_sales_total",
         F.col("ingest_seq.start").alias("batch"),
         F.col("ingest_seq.n").alias("ingest_seq"),
     )
-    return latest_by_key(rows.where(F.col("date").isNotNull()))
+
+
+def keyed_sales(dated: DataFrame) -> DataFrame:
+    """The keyed sales table of the tenants that rows were served to.
+
+    A tenant is served one file, so the place of a row in its file is its whole arrival order.
+    """
+    return latest_by_key(dated.where(F.col("date").isNotNull()))
+
+
+def undated_rows(dated: DataFrame) -> DataFrame:
+    """Rows that the sales table cannot hold, with the reason."""
+    return dated.where(F.col("date").isNull()).select(
+        *TENANT, "date_text", "daily_sales_total", F.lit("invalid_date").alias("reason")
+    )
 
 
 def daily_run(
@@ -81,21 +98,30 @@ def daily_run(
     version: str,
     inventory: DataFrame | None = None,
     attendance: DataFrame | None = None,
-    provider: Provider | None = insight.rule_provider,
+    provider: Provider | None = None,
 ) -> DataFrame:
-    """Run all stages for all tenants and return their envelopes, also kept in the run log."""
+    """Run all stages for all tenants and return their envelopes, also kept in the run log.
+
+    Every table is kept by run, and a stage reads tables of its own run only. Where a stage fails,
+    those that need it are skipped, and the tables of earlier runs stay as they are.
+    """
     steps = _Steps(run_id)
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}/run_id={run_id}")
 
     def store(df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
 
     def ingest() -> None:
         served, status = load_tenant_sales(spark, sales_path, tenants)
-        store(keyed_sales(served), "sales")
-        store(status, "sales_status")
+        store(dated_rows(served), "served_sales")
+        dated = table("served_sales")
+        store(keyed_sales(dated), "sales")
+        store(undated_rows(dated), "sales_rejects")
+        rejected = table("sales_rejects").groupBy(*TENANT).agg(F.count(F.lit(1)).alias("rows_rejected"))
+        counted = status.join(rejected, TENANT, "left").withColumn("rows_rejected", F.coalesce("rows_rejected", F.lit(0)))
+        store(counted, "sales_status")
 
     def warehouse() -> None:
         loaded = {"sales": table("sales"), "inventory": inventory, "attendance": attendance}
@@ -114,6 +140,7 @@ def daily_run(
             f"{root}/average_models",
             version,
         )
+        write_model_json(models.average_model_records(this_version("average_models")), f"{root}/average_models_json", version)
         append_model_version(
             trend_model_records(models.fit_trend_with_prior(tenants, table("sales"), spark)),
             f"{root}/trend_models",
@@ -121,14 +148,16 @@ def daily_run(
         )
 
     def this_version(name: str) -> DataFrame:
-        return table(name).where(F.col("model_version") == F.lit(version))
+        return spark.read.parquet(f"{root}/{name}/model_version={version}")
 
     def predict() -> None:
-        store(with_forecast(this_version("average_models")).drop("model_version"), "forecasts")
+        store(with_forecast(this_version("average_models")), "forecasts")
 
     def advise() -> None:
         prompts = insight.build_prompts(table("forecasts"))
-        parsed = insight.parse_answers(insight.ask(prompts, provider))
+        answers = insight.ask(prompts, provider).select(*TENANT, "prompt", "status", "reason", "model", "raw_json")
+        store(answers, "answers")  # as given, before anything reads them
+        parsed = insight.parse_answers(table("answers"))
         # Variants are kept as text in the stored table.
         store(parsed.withColumn("insight_json", F.to_json("insight_json")), "insights")
 
@@ -143,14 +172,14 @@ def daily_run(
         store(dashboard_records(forecasts, advice), "dashboard_records")
 
     steps.run("1_data_ingestion", ingest)
-    steps.run("2_data_warehouse", warehouse)
-    steps.run("3_feature_engineering", build_features)
-    steps.run("4_feature_store_sync", sync_features)
-    steps.run("model_registry", register_models)
-    steps.run("5_ml_prediction", predict)
-    steps.run("gpt_insight", advise)
-    steps.run("6_optimization", optimise)
-    steps.run("8_dashboard_update", update_dashboard)
+    steps.run("2_data_warehouse", warehouse, "1_data_ingestion")
+    steps.run("3_feature_engineering", build_features, "1_data_ingestion")
+    steps.run("4_feature_store_sync", sync_features, "3_feature_engineering")
+    steps.run("model_registry", register_models, "1_data_ingestion")
+    steps.run("5_ml_prediction", predict, "model_registry")
+    steps.run("gpt_insight", advise, "5_ml_prediction")
+    steps.run("6_optimization", optimise, "5_ml_prediction")
+    steps.run("8_dashboard_update", update_dashboard, "5_ml_prediction", "gpt_insight")
 
     envelopes = spark.createDataFrame(steps.rows, STEP_SCHEMA)
     append_runs(envelopes, f"{root}/run_log")

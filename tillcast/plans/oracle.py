@@ -6,7 +6,7 @@ import json
 
 from tillcast.constants import FEATURE_NAMES
 from tillcast.operators.insight import PROMPT_HEAD
-from tillcast.sources.testbed import FILE_ROWS, REQUEST_STEPS, SPARSE_FROM
+from tillcast.sources.testbed import FILE_ROWS, REQUEST_STEPS
 
 _J = "orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 
@@ -15,10 +15,18 @@ _SALES = f"""sales as (
          cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(18,2)) as daily_sales_total
   from {_J} group by 1, 2, 3)"""
 
-_SPARSE = f"""{_SALES},
-sparse as (select * from sales where date >= date '{SPARSE_FROM}'),
-tenants as (select distinct n_name as restaurant_id, c_mktsegment as location_id
-            from customer join nation on c_nationkey = n_nationkey)"""
+_SINGLE = f"""single_lines as (
+  select n_name as restaurant_id, concat('customer_', cast(c_custkey as varchar)) as location_id,
+         cast(o_orderdate as date) as date, o_orderkey % 2 = 1 as is_current,
+         case when c_custkey % 97 <> 0 then cast(o_totalprice as decimal(18,2)) end as amount from {_J}),
+single as (
+  select restaurant_id, location_id, date, cast(sum(amount) as decimal(18,2)) as daily_sales_total
+  from single_lines group by 1, 2, 3),
+tenants as (
+  select n_name as restaurant_id, concat('customer_', cast(c_custkey as varchar)) as location_id
+  from customer join nation on c_nationkey = n_nationkey
+  union all
+  select n_name, concat('supplier_', cast(s_suppkey as varchar)) from supplier join nation on s_nationkey = n_nationkey)"""
 
 
 def _average(source: str) -> str:
@@ -52,15 +60,6 @@ _RECENT = """recent as (
   from (select *, row_number() over (partition by restaurant_id, location_id order by date desc) as r
         from sales) where r <= 7)"""
 
-_RISK = """risk as (
-  select f.restaurant_id, f.location_id,
-         case when f.predicted_sales * r.n >= r.s * 1.25 then 'high'
-              when f.predicted_sales * r.n >= r.s * 1.05 then 'medium' else 'low' end as risk_level
-  from forecast f
-  join (select restaurant_id, location_id, count(*) as n, sum(daily_sales_total) as s
-        from recent group by 1, 2) r using (restaurant_id, location_id)
-  where f.day_index = 1)"""
-
 _RAW_UPLOAD = f"""raw_upload as (
   select o_orderkey as upload_id, o_orderkey % 2 as batch,
     case when o_orderkey % 23 = 0 then '' else n_name end as restaurant_id,
@@ -98,7 +97,7 @@ _RUN_LOG = """run_log as (
   select event_id as seq, concat('run_', cast(user_id as varchar)) as run_id, event_type as step, user_id,
     case when event_type = 'error' then 'error' when event_id % 10 = 0 then 'skipped' else 'ok' end as status,
     cast(floor(value * 10) as bigint) as duration_ms,
-    case when event_id % 13 = 0 then substr(props, 1, 4) when event_id % 17 = 0 then '[1]'
+    case when event_id % 13 = 0 then concat('!', props) when event_id % 17 = 0 then '[1]'
          else props end as payload_json
   from events)"""
 
@@ -195,8 +194,35 @@ trend as (
   from series join lines using (restaurant_id, location_id) group by 1, 2)"""
 
 
+# Stored runs built as text and read back with JSON functions.
+_SALE = """concat('{"date":"', cast(cast(ts as date) as varchar), '","daily_sales_total":', cast(cast(value as decimal(18,2)) as varchar), '}')"""
+
+
+def _ingestion(entries: str) -> str:
+    return f"""concat('{{"step":"1_data_ingestion","data":{{"restaurant_id":"restaurant_', cast(user_id % 5 as varchar), '","sales":[', {entries}, ']}}}}')"""
+
+
+_OTHER = f"""concat('{{"step":"', event_type, '","data":{{"sales":[', {_SALE}, ']}}}}')"""
+_LISTED = f"""case event_id % 5 when 0 then concat({_SALE}, ',', {_SALE}) when 1 then concat({_SALE}, ',5')
+  when 2 then concat('{{"date":"', cast(cast(ts as date) as varchar), '","daily_sales_total":"', cast(cast(value as decimal(18,2)) as varchar), '"}}')
+  when 3 then '' else {_SALE} end"""
+_STORED = f"""payloads as (
+  select event_id as seq, concat('{{"results":[', case event_id % 7 when 0 then {_OTHER}
+    when 1 then concat({_ingestion("'7'")}, ',', {_ingestion(_SALE)}) else concat({_OTHER}, ',', {_ingestion(_LISTED)}) end, ']}}') as run
+  from events),
+stored as (select seq, cast(case when seq % 3 = 0 then concat('{{"result":', run, '}}') else run end as json) as payload from payloads),
+listed as (
+  select seq, cast(json_extract(coalesce(json_extract(payload, '$.result'), payload), '$.results') as json[]) as l from stored),
+numbered as (select seq, unnest(range(1, len(l) + 1)) as i, l from listed),
+steps as (
+  select seq, concat('run_', cast(seq as varchar)) as run_id, i, json_extract_string(l[i], '$.data.restaurant_id') as restaurant_id,
+         cast(json_extract(l[i], '$.data.sales') as json[]) as entries
+  from numbered where json_extract_string(l[i], '$.step') = '1_data_ingestion' and json_type(l[i], '$.data') = 'OBJECT')"""
+_ENTRY = """json_extract_string(e, '$.date') as date,
+  case when json_type(e, '$.daily_sales_total') in ('DOUBLE', 'UBIGINT', 'BIGINT')
+       then cast(json_extract_string(e, '$.daily_sales_total') as double) end as daily_sales_total"""
+
 _PLANNED = f"with {_SALES}, {_average('sales')}, {_FORECAST}"
-_ADVISED = f"{_PLANNED}, {_RECENT}, {_RISK}"
 
 _PROMPTED = f"""{_PLANNED}, {_RECENT},
 r as (
@@ -297,13 +323,13 @@ select distinct n_name as restaurant_id, c_mktsegment as location_id,
   '{_FEATURES_JSON}' as features_json from {_J}""",
     "avg_model": f"""with {_SALES}, {_average('sales')}
 select restaurant_id, location_id, cast(avg4 as double) as avg_daily_sales, training_rows from avg_model""",
-    "model_status": f"""with {_SPARSE},
-n as (select restaurant_id, location_id, count(*) as n from sparse group by 1, 2)
+    "model_status": f"""with {_SINGLE},
+n as (select restaurant_id, location_id, count(*) as n, count(daily_sales_total) as good from single group by 1, 2)
 select restaurant_id, location_id,
-  case when n is null then 'skipped' else 'ok' end as status,
-  case when n is null then 'missing_sales_data_from_1_data_ingestion' end as reason,
-  case when n is null then 'error' else 'ok' end as prediction_status,
-  case when n is null then 'model_not_found' end as prediction_reason
+  case when n is null then 'skipped' when good = 0 then 'error' else 'ok' end as status,
+  case when n is null then 'missing_sales_data_from_1_data_ingestion' when good = 0 then 'no_numeric_sales' end as reason,
+  case when coalesce(good, 0) = 0 then 'error' else 'ok' end as prediction_status,
+  case when n is null then 'model_not_found' when good = 0 then 'invalid_model_format' end as prediction_reason
 from tenants left join n using (restaurant_id, location_id)""",
     "next_day_prediction": f"""with {_SALES}, {_average('sales')}
 select restaurant_id, location_id,
@@ -311,11 +337,11 @@ select restaurant_id, location_id,
     "trend_model": f"""with {_SALES}, {_trend('sales')}
 select restaurant_id, location_id, round(intercept, 4) as intercept, round(slope, 4) as slope,
   round(std_error, 4) as std_error, n as rows from trend where n >= 2""",
-    "trend_model_cold_start": f"""with {_SPARSE}, {_trend('sparse')}, {_PRIOR}
+    "trend_model_cold_start": f"""with {_SINGLE}, priced as (select * from single where daily_sales_total is not null), {_trend('priced')}, {_PRIOR}
 select t.restaurant_id, t.location_id,
-  round(case when f.n >= 2 then f.intercept else p.intercept end, 4) as intercept,
-  round(case when f.n >= 2 then f.slope else p.slope end, 4) as slope,
-  round(case when f.n >= 2 then f.std_error else p.std_error end, 4) as std_error,
+  round(case when f.n >= 2 then f.intercept else p.intercept end + 1e-6, 4) as intercept,
+  round(case when f.n >= 2 then f.slope else p.slope end + 1e-6, 4) as slope,
+  round(case when f.n >= 2 then f.std_error else p.std_error end + 1e-6, 4) as std_error,
   case when f.n >= 2 then f.n else p.n end as rows,
   case when f.n >= 2 then 'real_pipeline_sales' else 'synthetic_fallback' end as training_source
 from tenants t left join trend f using (restaurant_id, location_id) cross join prior_fit p""",
@@ -345,18 +371,21 @@ select restaurant_id, location_id,
     ',"ingredients_needed":', ingredients, ',"estimated_meals":', meals, '}}'), ',' order by day_index),
     ']') as inventory_plan
 from p group by 1, 2""",
-    "forecast_current_or_recomputed": f"""with {_SPARSE},
+    "forecast_current_or_recomputed": f"""with {_SINGLE},
 chosen as (
-  select s.* from sales s
-  where s.date >= date '{SPARSE_FROM}' or not exists (
-    select 1 from sparse p where p.restaurant_id = s.restaurant_id and p.location_id = s.location_id)),
+  select restaurant_id, location_id, date, sum(amount) as daily_sales_total
+  from single_lines l
+  where amount is not null and (is_current or not exists (
+    select 1 from single_lines c where c.is_current and c.amount is not null
+      and c.restaurant_id = l.restaurant_id and c.location_id = l.location_id))
+  group by 1, 2, 3),
 {_average('chosen')}, {_FORECAST}
 select restaurant_id, location_id, day_index, cast(predicted_sales as double) as predicted_sales
 from forecast""",
-    "dashboard": f"""{_ADVISED}
+    "dashboard": f"""{_PLANNED}
 select restaurant_id, location_id, day_index, {_PLAN_COLUMNS},
-  'ok' as insight_status, risk_level, cast(3 as integer) as n_actions
-from forecast left join risk using (restaurant_id, location_id)""",
+  'skipped' as insight_status, cast(null as varchar) as risk_level, cast(0 as integer) as n_actions
+from forecast""",
     "recent_sales": f"""with {_SALES}, {_RECENT}
 select restaurant_id, location_id, cast(date as varchar) as date,
   cast(daily_sales_total as double) as daily_sales_total from recent""",
@@ -375,11 +404,25 @@ select event_id as seq,
   case when event_id % 4 = 0 then concat('location_', cast(user_id % 3 as varchar))
        else 'location_001' end as location_id,
   cast(case event_id % 4 when 0 then 1 when 1 then 2 when 2 then 5 else 0 end as integer) as horizon,
-  cast(case event_id % 4 when 0 then 1 when 1 then 2 else 0 end as integer) as n_forecast
+  cast(case event_id % 4 when 0 then 1 when 1 then 2 else 0 end as integer) as n_forecast,
+  case when event_id % 4 = 1 then '{"name":"m"}' else '{}' end as model_used,
+  cast(case when event_id % 4 = 0 then 7 else 0 end as integer) as n_recent
 from events""",
-    "insight_answers": f"""{_ADVISED}
-select restaurant_id, location_id, 'ok' as insight_status, 'local_rules' as model, risk_level,
-  cast(3 as integer) as n_actions from risk""",
+    "insight_answers": f"""
+with a as (
+  select event_id as seq, {_TENANT_OF_EVENT}, event_type,
+    case when event_id % 11 = 0 then 'error' when event_id % 13 = 0 then 'skipped' else 'ok' end as status,
+    case event_id % 5 when 0 then concat('{{"risk_level":"low","actions":["', event_type, '",2,"c"]}}')
+      when 1 then concat('[', props, ']') when 2 then concat('!', props)
+      when 3 then '{{"risk_level":null,"actions":"a"}}' else '{{}}' end as raw from events),
+v as (select *, case when json_valid(raw) then cast(raw as json) end as j from a)
+select seq, restaurant_id, location_id, status as insight_status, 'given' as model,
+  case when status <> 'ok' then event_type end as reason,
+  case when status = 'ok' then json_extract_string(j, '$.risk_level') end as risk_level,
+  case when status = 'ok' and json_type(j, '$.actions') = 'ARRAY'
+       then array_to_string([json_extract_string(x, '$') for x in cast(json_extract(j, '$.actions') as json[])], ',') else '' end as actions,
+  case when status <> 'ok' or json_type(j) = 'OBJECT' then '' when j is null then 'json_parse_failed' else 'json_not_object' end as warning
+from v""",
     "insight_parse": f"""with {_RUN_LOG}
 select seq,
   case when not json_valid(payload_json) then 'json_parse_failed'
@@ -406,22 +449,17 @@ select concat('run_', cast(event_id as varchar)) as run_id,
   case when event_id % 4 = 0 then concat('location_', cast(user_id % 3 as varchar))
        else 'location_001' end as location_id
 from events""",
-    "run_sales_extract": """
-with raw_runs as (
-  select concat('run_', cast(event_id as varchar)) as run_id,
-    concat('{"results":[{"step":"1_data_ingestion","data":{"sales":[{"date":"',
-      cast(cast(ts as date) as varchar), '","daily_sales_total":',
-      cast(cast(value as decimal(18,2)) as varchar), '}]}}]}') as payload_json
-  from events where event_type = 'purchase')
-select run_id, json_extract_string(payload_json, '$.results[0].data.sales[0].date') as date,
-  cast(json_extract_string(payload_json, '$.results[0].data.sales[0].daily_sales_total') as double)
-    as daily_sales_total
-from raw_runs""",
-    "latest_run_sales": """
-select 'restaurant_001' as restaurant_id, 'location_001' as location_id,
-  cast(cast(ts as date) as varchar) as date,
-  cast(cast(value as decimal(18,2)) as double) as daily_sales_total
-from events where event_type = 'purchase' order by event_id desc limit 1""",
+    "run_sales_extract": f"""with {_STORED},
+whole as (
+  select *, row_number() over (partition by seq order by i) as r from steps
+  where len(list_filter(entries, lambda e: json_type(e) <> 'OBJECT')) = 0)
+select run_id, {_ENTRY} from (select run_id, unnest(entries) as e from whole where r = 1)""",
+    "latest_run_sales": f"""with {_STORED},
+firsts as (
+  select *, row_number() over (partition by seq order by i) as r from steps
+  where seq = (select max(event_id) from events))
+select restaurant_id, 'location_001' as location_id, {_ENTRY}
+from (select restaurant_id, unnest(entries) as e from firsts where r = 1) where json_type(e) = 'OBJECT'""",
     "run_request_audit": f"""with {_AUDIT}
 select request_id, array_to_string(plan, ',') as plan, array_to_string(bad_steps, ',') as unknown_steps,
   array_to_string(bad_selectors, ',') as unknown_selectors,
@@ -442,7 +480,8 @@ where step in (select event_type from events) group by 1""",
 p as (
   select regexp_extract(line, ' step=([^ ]*)', 1) as step,
          cast(regexp_extract(line, ' duration_ms=([^ ]*)', 1) as bigint) as ms from lines)
-select step, count(*) as runs, avg(ms) as avg_ms, max(ms) as max_ms from p group by 1""",
+select step, count(*) as runs, avg(ms) as avg_ms, max(ms) as max_ms,
+  round(quantile_cont(ms, 0.95), 6) as p95_ms from p group by 1""",
     "step_output_normalise": """
 select event_id as step_id, case when event_type = 'error' then 'error' else 'ok' end as status,
   cast(event_type = 'error' as integer) as n_errors, cast(event_id % 10 = 0 as integer) as n_warnings,

@@ -94,7 +94,9 @@ def shared_places(header: str, columns: list[str]) -> dict[str, int]:
     return {c: len(names) - names[::-1].index(c) if c in names else 0 for c in columns}
 
 
-def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_COLUMNS) -> DataFrame:
+def scan_by_name(
+    spark: SparkSession, path: Paths, columns: list[str] = SALES_COLUMNS, multi_line: bool = False
+) -> DataFrame:
     """Rows of CSV files with the wanted columns found by header name, whatever their order.
 
     Spark maps a user schema by position, so the files are read by position once. Where all files
@@ -102,6 +104,8 @@ def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_CO
     row picks its cells through its own file's header, which takes a join on the file but still one
     pass for any number of header shapes. Every wanted column comes as text, together with
     ``has_<column>`` telling an absent column from an empty cell.
+
+    With ``multi_line`` quoted cells may hold line breaks; a file is then read by one task.
     """
     headers = file_headers(spark, path)
     width, shared = header_shape(headers)
@@ -111,6 +115,7 @@ def scan_by_name(spark: SparkSession, path: Paths, columns: list[str] = SALES_CO
         .option("enforceSchema", True)
         .option("emptyValue", "")
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .schema(_cell_schema(width))
         .csv(path)
     )
@@ -152,10 +157,10 @@ def amount_or_zero(amount: Column, has_column: Column) -> Column:
     return F.when(has_column, money(amount)).otherwise(F.lit(0).cast(MONEY))
 
 
-def read_sales_rows(spark: SparkSession, path: Paths) -> DataFrame:
+def read_sales_rows(spark: SparkSession, path: Paths, multi_line: bool = False) -> DataFrame:
     """Typed rows of sales files; ``valid`` is false where the amount is not a finite number."""
     amount = amount_or_zero(F.col("daily_sales_total"), F.col("has_daily_sales_total"))
-    return scan_by_name(spark, path).select(
+    return scan_by_name(spark, path, multi_line=multi_line).select(
         "file_path",
         "file_name",
         "ingest_seq",
@@ -222,7 +227,9 @@ def resolve_tenant_files(tenants: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def load_tenant_sales(spark: SparkSession, path: Paths, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_tenant_sales(
+    spark: SparkSession, path: Paths, tenants: DataFrame, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Sales rows served to every tenant, and the source verdict per tenant.
 
     A row keeps the tenant ids it carries itself; missing ones are those of the tenant it is served
@@ -230,7 +237,7 @@ def load_tenant_sales(spark: SparkSession, path: Paths, tenants: DataFrame) -> t
     """
     files = list_files(spark, path)
     resolved = resolve_tenant_files(tenants, files)
-    rows = read_sales_rows(spark, path)
+    rows = read_sales_rows(spark, path, multi_line)
     verdicts = file_verdicts(rows, files)
     served = resolved.select(
         "file_name",
@@ -266,7 +273,7 @@ def load_tenant_sales(spark: SparkSession, path: Paths, tenants: DataFrame) -> t
 
 
 def read_upload(
-    spark: SparkSession, path: Paths, restaurant_id: str = "", location_id: str = ""
+    spark: SparkSession, path: Paths, restaurant_id: str = "", location_id: str = "", multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Classified rows of uploaded files, and a status per file.
 
@@ -275,7 +282,7 @@ def read_upload(
     """
     try:
         files = list_files(spark, path)
-        scanned = scan_by_name(spark, path)
+        scanned = scan_by_name(spark, path, multi_line=multi_line)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

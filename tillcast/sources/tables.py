@@ -127,28 +127,37 @@ def read_model_versions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _of_last_version(versions: DataFrame) -> DataFrame:
+    """Rows of each tenant's greatest version, which stays in a hash table; an equality join meets them again."""
+    last = versions.groupBy(*TENANT).agg(F.max("model_version").alias("model_version"))
+    return versions.join(last, [*TENANT, "model_version"]).select(*versions.columns)
+
+
 def latest_models(spark: SparkSession, path: str) -> DataFrame:
     """The model each tenant trained last. Older versions stay readable by their version."""
-    versions = read_model_versions(spark, path)
-    values = [c for c in versions.columns if c not in TENANT]
-    return (
-        versions.groupBy(*TENANT)
-        .agg(F.max_by(F.struct(*values), "model_version").alias("latest"))
-        .select(*TENANT, "latest.*")
-    )
+    return _of_last_version(read_model_versions(spark, path))
 
 
-def write_model_json(records: DataFrame, path: str) -> None:
-    """Average model records as JSON lines for readers outside Spark; replaces what is there."""
-    records.write.mode("overwrite").json(path)
+def write_model_json(records: DataFrame, path: str, version: str) -> None:
+    """Average model records as JSON lines for readers outside Spark.
+
+    A training run of some tenants adds a version and leaves the models of all others; the same
+    version again replaces it.
+    """
+    records.write.mode("overwrite").json(f"{path}/model_version={version}")
 
 
 def read_model_json(spark: SparkSession, path: str) -> DataFrame:
-    """Average models kept as JSON lines, with a reason where a line is not usable."""
+    """Average models kept as JSON lines, with a reason where a line is not usable.
+
+    Where the path holds versions, a tenant's last one counts; lines without a tenant are all kept.
+    """
     text = F.col("value")
     value = payload.parsed(text)
     average = payload.field(value, "$.avg_daily_sales", "decimal(22,4)")
-    return spark.read.text(path).select(
+    lines = spark.read.text(path)
+    versioned = "model_version" in lines.columns
+    rows = lines.select(
         payload.field(value, "$.restaurant_id").alias("restaurant_id"),
         payload.field(value, "$.location_id").alias("location_id"),
         payload.field(value, "$.version").alias("version"),
@@ -157,7 +166,12 @@ def read_model_json(spark: SparkSession, path: str) -> DataFrame:
         F.when(~payload.is_object(value), F.lit("model_load_failed"))
         .when(average.isNull(), F.lit("invalid_model_format"))
         .alias("reason"),
+        *([F.col("model_version").cast("string").alias("model_version")] if versioned else []),
     )
+    if not versioned:
+        return rows
+    named = F.col("restaurant_id").isNotNull() & F.col("location_id").isNotNull()
+    return _of_last_version(rows.where(named)).unionByName(rows.where(~named)).drop("model_version")
 
 
 def append_runs(runs: DataFrame, path: str, stored_at: Column | None = None) -> None:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tillcast.constants import MONEY, TENANT
 from tillcast.operators.features import daily_sales
 
-SPARSE_FROM = "2001-07-20"
 FILE_ROWS = 4
 
 
@@ -61,8 +60,37 @@ def sales_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tenant_orders(spark, sf_dir).select(*TENANT).distinct()
 
 
-def sales_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(spark, sf_dir).where(F.col("date") >= F.lit(SPARSE_FROM).cast("date"))
+def _own_tenant(number: str, kind: str) -> list[Column]:
+    """A tenant for each customer or supplier: its nation, and a location of its own."""
+    location = F.concat(F.lit(f"{kind}_"), F.col(number).cast("string"))
+    return [F.col("n_name").alias("restaurant_id"), location.alias("location_id")]
+
+
+def single_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, which have many, few or no orders, and suppliers, which never have any."""
+    nation = table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    suppliers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return customers.select(*_own_tenant("c_custkey", "customer")).unionByName(
+        suppliers.select(*_own_tenant("s_suppkey", "supplier"))
+    )
+
+
+def single_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of single customers; some customers only have orders without an amount."""
+    nation = table(spark, sf_dir, "nation")
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        *_own_tenant("c_custkey", "customer"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.when(F.col("c_custkey") % 97 != 0, F.col("o_totalprice").cast(MONEY)).alias("amount"),
+        (F.col("o_orderkey") % 2 == 1).alias("is_current"),
+    )
+
+
+def single_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_sales(single_order_lines(spark, sf_dir))
 
 
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +193,7 @@ def _run_log_columns() -> list[Column]:
         .alias("status"),
         F.col("ts").alias("started_at"),
         F.floor(F.col("value") * 10).cast("bigint").alias("duration_ms"),
-        F.when(event % 13 == 0, F.substring("props", 1, 4))
+        F.when(event % 13 == 0, F.concat(F.lit("!"), "props"))
         .when(event % 17 == 0, F.lit("[1]"))
         .otherwise(F.col("props"))
         .alias("payload_json"),
@@ -200,22 +228,41 @@ REQUEST_STEPS = ["click", "error", "purchase", "signup", "view"]
 
 
 def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored runs whose payload nests one sale."""
-    payload = F.concat(
-        F.lit('{"results":[{"step":"1_data_ingestion","data":{"sales":[{"date":"'),
-        F.col("ts").cast("date").cast("string"),
-        F.lit('","daily_sales_total":'),
-        F.col("value").cast(MONEY).cast("string"),
-        F.lit("}]}}]}"),
+    """Stored runs of several steps, wrapped or not.
+
+    One in seven has no ingestion step and one in seven has two, the first without a usable entry.
+    Lists hold several sales, none, an amount as text, or an entry that is no object.
+    """
+    event = F.col("event_id")
+    amount = F.col("value").cast(MONEY).cast("string")
+    day = F.col("ts").cast("date").cast("string")
+    sale = F.concat(F.lit('{"date":"'), day, F.lit('","daily_sales_total":'), amount, F.lit("}"))
+    listed = (
+        F.when(event % 5 == 0, F.concat(sale, F.lit(","), sale))
+        .when(event % 5 == 1, F.concat(sale, F.lit(",5")))
+        .when(event % 5 == 2, F.concat(F.lit('{"date":"'), day, F.lit('","daily_sales_total":"'), amount, F.lit('"}')))
+        .when(event % 5 == 3, F.lit(""))
+        .otherwise(sale)
     )
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type") == "purchase")
-        .select(
-            F.col("event_id").alias("seq"),
-            F.concat(F.lit("run_"), F.col("event_id").cast("string")).alias("run_id"),
-            payload.alias("payload_json"),
+
+    def ingestion(entries: Column) -> Column:
+        restaurant = (F.col("user_id") % 5).cast("string")
+        return F.concat(
+            F.lit('{"step":"1_data_ingestion","data":{"restaurant_id":"restaurant_'), restaurant,
+            F.lit('","sales":['), entries, F.lit("]}}"),
         )
+
+    other = F.concat(F.lit('{"step":"'), F.col("event_type"), F.lit('","data":{"sales":['), sale, F.lit("]}}"))
+    steps = (
+        F.when(event % 7 == 0, other)
+        .when(event % 7 == 1, F.concat(ingestion(F.lit("7")), F.lit(","), ingestion(sale)))
+        .otherwise(F.concat(other, F.lit(","), ingestion(listed)))
+    )
+    run = F.concat(F.lit('{"results":['), steps, F.lit("]}"))
+    return table(spark, sf_dir, "events").select(
+        event.alias("seq"),
+        F.concat(F.lit("run_"), event.cast("string")).alias("run_id"),
+        F.when(event % 3 == 0, F.concat(F.lit('{"result":'), run, F.lit("}"))).otherwise(run).alias("payload_json"),
     )
 
 
@@ -236,7 +283,7 @@ def wrapped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(event % 4 == 0, own)
         .when(event % 4 == 1, nested)
         .when(event % 4 == 2, F.lit("{}"))
-        .otherwise(F.substring(own, 1, 9))
+        .otherwise(F.concat(F.lit("!"), own))
     )
     return table(spark, sf_dir, "events").select(
         event.alias("seq"),
@@ -251,6 +298,10 @@ def run_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.concat(
         F.lit('{"predicted_sales":'), F.col("value").cast(MONEY).cast("string"), F.lit("}")
     )
+    sale = F.concat(
+        F.lit('{"date":"'), F.col("ts").cast("date").cast("string"), F.lit('","daily_sales_total":'),
+        F.col("value").cast(MONEY).cast("string"), F.lit("}")
+    )
     under_step = F.concat(
         F.lit('{"5_ml_prediction":{"restaurant_id":"restaurant_'),
         (user % 5).cast("string"),
@@ -258,10 +309,12 @@ def run_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
         amount,
         F.lit(']},"1_data_ingestion":{"restaurant_id":"other","location_id":"location_'),
         (user % 3).cast("string"),
-        F.lit('"}}'),
+        F.lit('","sales":['),
+        F.array_join(F.array_repeat(sale, 9), ","),
+        F.lit("]}}"),
     )
     under_data = F.concat(
-        F.lit('{"data":{"model_used":{},"forecast_intervals":['), amount, F.lit(","), amount, F.lit("]}}")
+        F.lit('{"data":{"model_used":{"name":"m"},"forecast_intervals":['), amount, F.lit(","), amount, F.lit("]}}")
     )
     context = (
         F.when(event % 4 == 0, under_step)
@@ -272,6 +325,27 @@ def run_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(event.alias("seq"), context.alias("context_json"))
 
 
+def given_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a provider as it may give them."""
+    event = F.col("event_id")
+    status = F.when(event % 11 == 0, F.lit("error")).when(event % 13 == 0, F.lit("skipped")).otherwise(F.lit("ok"))
+    raw = (
+        F.when(event % 5 == 0, F.concat(F.lit('{"risk_level":"low","actions":["'), F.col("event_type"), F.lit('",2,"c"]}')))
+        .when(event % 5 == 1, F.concat(F.lit("["), F.col("props"), F.lit("]")))
+        .when(event % 5 == 2, F.concat(F.lit("!"), F.col("props")))
+        .when(event % 5 == 3, F.lit('{"risk_level":null,"actions":"a"}'))
+    )
+    return table(spark, sf_dir, "events").select(
+        event.alias("seq"),
+        *_event_tenant(),
+        F.concat(F.lit("prompt "), event.cast("string")).alias("prompt"),
+        status.alias("status"),
+        F.when(status != "ok", F.col("event_type")).alias("reason"),
+        F.lit("given").alias("model"),
+        raw.alias("raw_json"),
+    )
+
+
 def step_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     return table(spark, sf_dir, "events").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +12,7 @@ from tillcast.constants import SALES_KEY
 from tillcast.operators.ingest import accepted_rows, count_against, rejected_rows
 from tillcast.session import shared_checkpoint_dir
 from tillcast.sources.sales_files import read_upload
-from tillcast.sources.tables import sales_batches, store_sales_batch, write_batch
+from tillcast.sources.tables import read_batches, sales_batches, store_sales_batch, write_batch
 
 # Only the path of a new file is taken from the stream; its content is read by the batch reader.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -41,6 +43,31 @@ def apply_upload(spark: SparkSession, paths: list[str], root: str, batch_id: int
         classified.unpersist()
 
 
+class ForeignRoot(ValueError):
+    """The tables at a root were written under another checkpoint."""
+
+
+def _stored_id(spark: SparkSession, path: str) -> str | None:
+    rows = read_batches(spark, path, "feed_id string").head(1)
+    return rows[0].feed_id if rows else None
+
+
+def claim_root(spark: SparkSession, root: str, checkpoint: str) -> None:
+    """Tie a root to one checkpoint, as batch ids only mean something together with it.
+
+    A new or lost checkpoint counts its batches from zero and would replace stored ones, so a root
+    that belongs to another checkpoint is refused.
+    """
+    marks = f"{checkpoint}/tillcast_feed", f"{root}/feed"
+    at_checkpoint, at_root = (_stored_id(spark, m) for m in marks)
+    if at_root is not None and at_root != at_checkpoint:
+        raise ForeignRoot(f"{root} holds batches of another checkpoint than {checkpoint}")
+    if at_root is None:
+        feed_id = at_checkpoint or str(uuid.uuid4())
+        for mark in marks:  # the root last: an interrupted claim is taken up again
+            spark.createDataFrame([(feed_id,)], "feed_id string").coalesce(1).write.mode("overwrite").parquet(mark)
+
+
 def upload_feed(
     spark: SparkSession,
     directory: str,
@@ -50,8 +77,11 @@ def upload_feed(
 ) -> StreamingQuery:
     """Process all files that arrived since the last run, then stop.
 
-    ``max_files`` bounds a micro-batch and with it the list of paths the driver hands on.
+    ``max_files`` bounds a micro-batch and with it the list of paths the driver hands on. A root takes
+    batches of one checkpoint only.
     """
+    checkpoint = checkpoint or f"{shared_checkpoint_dir(spark)}/upload_feed"
+    claim_root(spark, root, checkpoint)
 
     def apply(files: DataFrame, batch_id: int) -> None:
         paths = [r.path for r in files.select("path").collect()]
@@ -66,7 +96,7 @@ def upload_feed(
         .load(directory)
         .select("path")
         .writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint or f"{shared_checkpoint_dir(spark)}/upload_feed")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
