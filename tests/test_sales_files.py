@@ -214,7 +214,7 @@ def test_doubled_quotes(spark, tmp_path):
 def test_cells_may_hold_line_breaks(spark, tmp_path):
     (tmp_path / "upload_sales.csv").write_text('date,note,daily_sales_total\n2025-01-01,"two\nlines",10\n2025-01-02,x,20\n')
     tenants = spark.createDataFrame([("r", "l")], "restaurant_id string, location_id string")
-    sales, status = load_tenant_sales(spark, str(tmp_path), tenants, multi_line=True)
+    sales, status = sf.load_tenant_sales(spark, str(tmp_path), tenants, multi_line=True)
     assert (status.first().sales_source, status.first().sales_rows_loaded, sales.count()) == ("csv_file", 2, 2)
-    classified, _ = read_upload(spark, str(tmp_path), multi_line=True)
+    classified, _ = sf.read_upload(spark, str(tmp_path), multi_line=True)
     assert [r.reason for r in classified.collect()] == [None, None]
