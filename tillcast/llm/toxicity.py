@@ -42,6 +42,7 @@ EDGES = "\"'`.,;:?()[]{}<>«»“”„¿…-–—_#%&/\\=~^"
 PARTS = re.compile(r"[^\W\d_]+")
 LONGEST_TOKEN = 64  # longer tokens (hashes, addresses) are read by their letter parts only
 CACHE = 400_000
+MAX_BROADCAST_BYTES = 32 << 20
 PREFIXES = (4, 5, 6)
 
 
@@ -242,6 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", docs_per_cl
     grain = 1 << 20
     chance = {y: int(min(1.0, docs_per_class / n) * grain) for y, n in sizes.items()}
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < F.when(F.col("y") == 1, chance[1]).otherwise(chance[0]))
+    # The drawn ids are bounded by the sample, so texts are picked without a shuffle of the corpus.
+    drawn = staged(drawn.distinct(), "toxicity-drawn")
+    if drawn.count() * 16 <= MAX_BROADCAST_BYTES:
+        drawn = F.broadcast(drawn)
     shared = spark.sparkContext.broadcast(model)
 
     @F.udf("array<struct<word:string,before:string>>", useArrow=True)
