@@ -95,4 +95,9 @@ def test_unwrap_result(spark):
     ],
 )
 def test_prediction_payload(spark, context, expected):
-    assert column(spark, [context], lambda c: F.to_json(payload.prediction_payload(payload.parsed(c)))) == [expected]
+    def chosen(text):
+        value = payload.parsed(text)
+        named, inner = (payload.field(value, p, "variant") for p in ("$['5_ml_prediction']", "$.data"))
+        return F.to_json(payload.chosen_prediction(named, inner, value))
+
+    assert column(spark, [context], chosen) == [expected]
