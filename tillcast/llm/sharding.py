@@ -1,13 +1,13 @@
 """Sharding by histogram sort: equal shards of bytes, found by counting, and one exchange of the rows.
 
-Every row has a 64-bit key, a hash of the chosen columns and of its place in the stored table, so that
+Every row has a 64-bit key, a hash of the chosen columns and of its file and place in it, so that
 copies of a row, however many, have keys of their own. Splitters are found by passes over a narrow table
 of (key, size): a pass counts the exact bytes below each probe, keeps for every splitter the gap between
 two probes that holds its target, and the next pass puts its probes into these gaps only. A splitter is
 settled once the bytes in its gap are within the tolerance, or the gap cannot be divided. The rows are then
 sent once: a shard consists of pieces (parts of its key range), sorted and numbered in their tasks.
 
-Input must be a stored table (or checkpointed), as its rows are read twice. Null texts count one byte.
+Rows are read twice; a table that is not read from Parquet files is written first. Null texts count one byte.
 Repeated rows are all kept, an empty table gives an empty result; columns called ``shard``, ``slot`` or
 ``size`` are replaced.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillcast.llm.tables import staged, without
+from tillcast.llm.tables import staged, with_row_id, without
 
 LOW, HIGH = -(1 << 63), (1 << 63)
 
@@ -30,8 +30,8 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def row_key(columns: list[str]) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id())
+def row_key(columns: list[str], row: str) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in [*columns, row]])
 
 
 def splitters(sizes: DataFrame, shards: int, tolerance: float = 0.0005, bits: int = 8) -> list[int]:
@@ -93,7 +93,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, *, key_columns: list[str], tex
                tolerance: float = 0.0005, piece_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot`` (the row's place in its shard, from 0, in key order)."""
     docs = without(docs, *({"size", "shard", "slot"} - {text.lower()}))
-    keyed = docs.withColumn("_key", row_key(key_columns)).withColumn("size", row_size(F.col(f"`{text}`")))
+    keyed = with_row_id(docs, "_row").withColumn("_key", row_key(key_columns, "_row")).drop("_row").withColumn("size", row_size(F.col(f"`{text}`")))
     sizes = staged(keyed.select(F.col("_key").alias("key"), "size"), "shard-sizes")
     cuts = splitters(sizes, shards, tolerance)
     total = sizes.agg(F.sum("size")).first()[0] or 0

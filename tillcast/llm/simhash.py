@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tables import staged
+from tillcast.llm.tables import staged, with_row_id
 
 BUDGET = 4
 UNIT_ROWS = 2048
@@ -343,8 +343,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET,
                     prints: int = 1, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (its place in the stored table), ``doc_id``, ``fp``, ``root``, ``component_id``."""
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """One row per row of ``docs``: ``row`` (its identity), ``doc_id``, ``fp``, ``root``, ``component_id``."""
+    return _near_duplicates(with_row_id(docs, "_row"), doc_id, text, width, budget, prints, unit_rows)
+
+
+def _near_duplicates(numbered: DataFrame, doc_id: str, text: str, width: int, budget: int, prints: int, unit_rows: int) -> DataFrame:
+    narrow = numbered.select(F.col("_row").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     taken = staged(with_fingerprints(narrow, "text", width, prints).select("row", "doc_id", F.col("fps")[0].alias("fp"), "fps"), "fingerprints")
     # A first fingerprint stands for its texts: those of equal fingerprints are linked anyhow.
     distinct = staged(taken.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
@@ -367,10 +371,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET, prints: int = 1) -> DataFrame:
     """``docs`` with one row of every component: the smallest id, the first row of that id."""
-    found = staged(near_duplicates(docs, doc_id=doc_id, text=text, width=width, budget=budget, prints=prints), "near-duplicates")
+    numbered = with_row_id(docs, "_row")
+    found = staged(_near_duplicates(numbered, doc_id, text, width, budget, prints, UNIT_ROWS), "near-duplicates")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("kept"))
     gone = staged(found.join(first, "root").where(F.col("row") != F.col("kept.row")).select("row"), "near-duplicates-gone")
-    if gone.count() * 16 <= MAX_BROADCAST_BYTES:
+    if gone.count() * 32 <= MAX_BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(gone, rows["_row"] == gone["row"], "left_anti").drop("_row")
+    return numbered.join(gone, numbered["_row"] == gone["row"], "left_anti").drop("_row")

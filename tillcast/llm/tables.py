@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the identity of each row, which stays the same however often ``df`` is read.
+
+    A row of plain Parquet files is named by file and place, which do not depend on how files are split. Any
+    other table is written once, with its numbers.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
+        try:
+            return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+        except AnalysisException:  # files without row numbers
+            pass
+    return staged(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), "numbered")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())
