@@ -21,11 +21,16 @@ by star contraction over links, checkpointed in the shared folder every round. N
 Null and empty texts have fingerprint zero and link like any other. Repeated rows have one result each. A
 null doc_id takes part, but is never a component's id unless all its ids are null. Empty tables give empty
 results. Long texts are hashed whole, in blocks.
+
+``near_duplicates`` links by fingerprints alone. ``keep_one_of_each``, which drops rows, compares the shingle
+sets of the texts that fingerprints propose and links only those that reach the similarity.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +42,7 @@ from pyspark.sql import functions as F
 from tillcast.llm.tables import staged, with_row_id
 
 BUDGET = 4
+SIMILARITY = 0.8
 UNIT_ROWS = 2048
 DEEPER = 8  # levels by which a large unit is split at a time
 FRONTIER = 200_000  # node pairs held at once
@@ -142,8 +148,13 @@ class Layout:
 
 
 def links(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """``print, a, b``: links that connect all fingerprints within the budget. ``fps`` has distinct ``print, fp``."""
+    """``unit, print, a, b``: links that connect all fingerprints within the budget. ``fps`` has distinct ``print, fp``."""
     layout = Layout(budget)
+    return reduce(DataFrame.union, [_traverse(u, layout) for u in _units(fps, layout, unit_rows)])
+
+
+def _units(fps: DataFrame, layout: Layout, unit_rows: int) -> list[DataFrame]:
+    """``unit, walk, side, fp``: units of at most ``unit_rows`` fingerprints, in parts."""
     n = len(layout.tries)
     nodes = [F.struct(F.lit(i).alias("trie"), F.shiftrightunsigned(layout.moved_column(F.col("fp"), i), 64 - layout.front[i]).alias("node"))
              for i in range(n)]
@@ -153,14 +164,14 @@ def links(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> D
     units = members.select(F.xxhash64(walk, "x.node").alias("unit"), walk.alias("walk"), F.lit(0).alias("side"), "fp")
     counts = units.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > unit_rows)
     large = staged(counts.select("unit"), "simhash-large")
-    found = _traverse(units.join(large, "unit", "left_anti"), layout)
+    parts = [units.join(large, "unit", "left_anti")]
     todo = staged(units.join(large, "unit", "left_semi"), "simhash-split")
     depth = min(layout.front)
     while depth < 64 and not todo.isEmpty():
         depth = min(64, depth + DEEPER)
         small, todo = _split(todo, layout, depth, unit_rows)
-        found = found.union(_traverse(small, layout))
-    return found
+        parts.append(small)
+    return parts
 
 
 def _split(units: DataFrame, layout: Layout, depth: int, unit_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -191,35 +202,43 @@ def _split(units: DataFrame, layout: Layout, depth: int, unit_rows: int) -> tupl
     return dealt.where(F.col("n") <= unit_rows).drop("n"), dealt.where(F.col("n") > unit_rows).drop("n")
 
 
+FOUND = "unit bigint, print int, a bigint, b bigint"
+
+
 def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
-    """Links found in each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``."""
+    """Links found in each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``.
+
+    With columns ``lo`` and ``hi``, the least and greatest component of a fingerprint's texts, all pairs that
+    are not of one component are given; otherwise the links of a spanning forest.
+    """
+    names = units.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
             # The last unit may go on in the next batch.
             done = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             rest = [x[done:] for x in now]
             if done:
-                yield _links_of([x[:done] for x in now], layout)
+                yield from _links_of([x[:done] for x in now], layout)
         if rest is not None and len(rest[0]):
-            yield _links_of(rest, layout)
+            yield from _links_of(rest, layout)
 
-    arranged = units.select("unit", "walk", "side", "fp").repartition("unit").sortWithinPartitions("unit")
-    return arranged.mapInArrow(run, "print int, a bigint, b bigint")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, FOUND)
 
 
-def _links_of(columns: list[np.ndarray], layout: Layout) -> pa.RecordBatch:
-    unit, walk, side, fp = columns
+def _links_of(columns: list[np.ndarray], layout: Layout) -> Iterator[pa.RecordBatch]:
+    unit, walk, side, fp, *spans = columns
     fp = fp.view(np.uint64) if fp.dtype == np.int64 else fp.astype(np.uint64)
     moved = np.empty_like(fp)
     for i in range(len(layout.tries)):
         of = walk % len(layout.tries) == i
         moved[of] = layout.moved(fp[of], i)
     order = np.lexsort((moved, side, unit))
-    unit, walk, side, fp, moved = (x[order] for x in (unit, walk, side, fp, moved))
+    unit, walk, side, fp, moved, *spans = (x[order] for x in (unit, walk, side, fp, moved, *spans))
     change = np.flatnonzero((unit[1:] != unit[:-1]) | (side[1:] != side[:-1])) + 1
     low = np.concatenate(([0], change))
     high = np.concatenate((change, [len(unit)]))
@@ -233,10 +252,14 @@ def _links_of(columns: list[np.ndarray], layout: Layout) -> pa.RecordBatch:
                             np.stack((low[first], high[first], low[first + 1], high[first + 1]))), axis=1)
     label = np.arange(len(fp))
     for i, j in linked_pairs(moved, begin, layout.budget):
-        _union(label, i, j)
-    child = np.flatnonzero(label != np.arange(len(fp)))
-    which = (walk[child] // len(layout.tries)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(which), pa.array(fp[child].view(np.int64)), pa.array(fp[label[child]].view(np.int64))], names=["print", "a", "b"])
+        if spans:
+            lo, hi = spans
+            apart = np.minimum(lo[i], lo[j]) != np.maximum(hi[i], hi[j])
+            i, j = i[apart], j[apart]
+        else:
+            i, j = _union(label, i, j)
+        which = (walk[i] // len(layout.tries)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(unit[i]), pa.array(which), pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["unit", "print", "a", "b"])
 
 
 def linked_pairs(keys: np.ndarray, roots: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -305,15 +328,20 @@ def _fork(keys: np.ndarray, low: np.ndarray, high: np.ndarray, level: np.ndarray
         low = np.where(open_ & ~is_set, mid + 1, low)
 
 
-def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the components of linked places; ``label`` keeps every place's smallest."""
+def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join the components of linked places; ``label`` keeps every place's smallest. Gives the links that joined two."""
+    used = []
     while True:
         a, b = label[i], label[j]
         apart = a != b
         if not apart.any():
-            return
+            return tuple(np.concatenate(x) for x in zip(*used)) if used else (i[:0], j[:0])
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        np.minimum.at(label, high, low)
+        hooks = np.flatnonzero(label[high] == low)
+        hooks = hooks[np.unique(high[hooks], return_index=True)[1]]
+        used.append((i[hooks], j[hooks]))
         while True:
             up = label[label]
             if (up == label).all():
@@ -344,10 +372,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET,
                     prints: int = 1, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its identity), ``doc_id``, ``fp``, ``root``, ``component_id``."""
-    return _near_duplicates(with_row_id(docs, "_row"), doc_id, text, width, budget, prints, unit_rows)
-
-
-def _near_duplicates(numbered: DataFrame, doc_id: str, text: str, width: int, budget: int, prints: int, unit_rows: int) -> DataFrame:
+    numbered = with_row_id(docs, "_row")
     narrow = numbered.select(F.col("_row").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     taken = staged(with_fingerprints(narrow, "text", width, prints).select("row", "doc_id", F.col("fps")[0].alias("fp"), "fps"), "fingerprints")
     # A first fingerprint stands for its texts: those of equal fingerprints are linked anyhow.
@@ -369,12 +394,97 @@ def _near_duplicates(numbered: DataFrame, doc_id: str, text: str, width: int, bu
     return taken.join(named, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET, prints: int = 1) -> DataFrame:
-    """``docs`` with one row of every component: the smallest id, the first row of that id."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    parts = list(shingle_hashes(text or "", width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts``: ``node, text``."""
+    @F.udf("array<bigint>", useArrow=True)
+    def shingles(value):
+        return shingle_set(value, width).view(np.int64).tolist()
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = staged(texts.join(ends, "node", "left_semi").select("node", shingles("text").alias("s")), "shingle-sets")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    sizes = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("n"))
+    return staged(sizes.where(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b"), "similar")
+
+
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, root`` for all nodes."""
+    return staged(nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+
+
+def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, budget: int, similarity: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """``node, root``: components of the texts that are within the budget under any print and truly similar.
+
+    ``nodes`` has ``node, fps``, ``texts`` has ``node, text``. Three rounds compare texts exactly: every node with
+    the root of its unchecked component, which settles most of a dense group; then links of spanning forests
+    between what is still apart; then all pairs that are still apart, in the units in which a link was refuted.
+    So a refuted link hides no true one, and pairs of one component are never listed.
+    """
+    def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+        ends = pairs.join(rooted.toDF("a", "root_a"), "a").join(rooted.toDF("b", "root_b"), "b").where("root_a <> root_b")
+        return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    layout = Layout(budget)
+    of = staged(nodes.select("node", F.posexplode("fps").alias("print", "fp")), "print-members")
+    heads = staged(of.groupBy("print", "fp").agg(F.min("node").alias("head")), "print-heads")
+    parts = _units(heads.select("print", "fp"), layout, unit_rows)
+    found = staged(reduce(DataFrame.union, [_traverse(u, layout) for u in parts]), "simhash-links")
+    a, b = heads.toDF("print", "a", "head_a"), heads.toDF("print", "b", "head_b")
+    across = found.select("print", "a", "b").distinct().join(a, ["print", "a"]).join(b, ["print", "b"]).select("head_a", "head_b")
+    within = of.join(heads, ["print", "fp"]).where("node <> head").select("node", "head")
+    edges = staged(across.union(within).toDF("a", "b").where("a <> b").distinct(), "unchecked")
+    if edges.isEmpty():
+        return nodes.select("node", F.col("node").alias("root"))
+    first = staged(components(edges).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "checked")
+    true = similar_pairs(first, texts, width, similarity)
+    rooted = _rooted(nodes, true)
+    second = staged(apart(edges, rooted).join(first, ["a", "b"], "left_anti"), "checked")
+    true = true.union(similar_pairs(second, texts, width, similarity))
+    rooted = _rooted(nodes, true)
+
+    spans = staged(of.join(rooted, "node").groupBy("print", "fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "print-spans")
+    sa, sb = spans.toDF("print", "a", "lo_a", "hi_a"), spans.toDF("print", "b", "lo_b", "hi_b")
+    open_ = found.join(sa, ["print", "a"]).join(sb, ["print", "b"]).where(F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b"))
+    open_ = staged(open_.select("unit").distinct(), "open-units")
+    again = [u.join(open_, "unit", "left_semi").withColumn("print", (F.col("walk") / len(layout.tries)).cast("int"))
+             .join(spans, ["print", "fp"]).select("unit", "walk", "side", "fp", "lo", "hi") for u in parts]
+    met = reduce(DataFrame.union, [_traverse(u, layout) for u in again]).select("print", "a", "b")
+    met = met.union(spans.where("lo <> hi").select("print", F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
+    oa, ob = of.toDF("node_a", "print", "a"), of.toDF("node_b", "print", "b")
+    pairs = met.join(oa, ["print", "a"]).join(ob, ["print", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    third = apart(pairs, rooted).join(first.union(second), ["a", "b"], "left_anti")
+    return _rooted(nodes, true.union(similar_pairs(staged(third, "checked"), texts, width, similarity)))
+
+
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET, prints: int = 1,
+                     similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of every group of near copies: the smallest id, the first row of that id.
+
+    Fingerprints propose pairs; texts are linked only if their sets of word shingles have a Jaccard
+    similarity of ``similarity`` or more, and links are joined transitively. Texts of equal sets are one node.
+    """
+    @F.udf("struct<digest:binary,fps:array<bigint>>", useArrow=True)
+    def marks(value):
+        return hashlib.blake2b(shingle_set(value, width).tobytes(), digest_size=16).digest(), fingerprints(value, width, prints)
+
     numbered = with_row_id(docs, "_row")
-    found = staged(_near_duplicates(numbered, doc_id, text, width, budget, prints, UNIT_ROWS), "near-duplicates")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("kept"))
-    gone = staged(found.join(first, "root").where(F.col("row") != F.col("kept.row")).select("row"), "near-duplicates-gone")
+    narrow = numbered.select(F.col("_row").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    taken = staged(narrow.select("row", "doc_id", marks("text").alias("m")).select("row", "doc_id", "m.*"), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "fps"))
+    nodes = staged(taken.groupBy("digest").agg(best.alias("best")).select(
+        F.monotonically_increasing_id().alias("node"), "digest", "best", F.col("best.fps").alias("fps"), F.col("best.row").alias("row")), "shingle-nodes")
+    texts = narrow.select("row", "text").join(nodes.select("row", "node"), "row").select("node", "text")
+    groups = similar_groups(nodes, texts, width, budget, similarity)
+    rooted = nodes.select("node", "digest", "best").join(groups, "node")
+    first = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept"))
+    kept = staged(rooted.select("digest", "root").join(first, "root").select("digest", "kept"), "near-duplicates")
+    gone = staged(taken.select("row", "digest").join(kept, "digest").where("row <> kept").select("row"), "near-duplicates-gone")
     if gone.count() * 32 <= MAX_BROADCAST_BYTES:
         gone = F.broadcast(gone)
     return numbered.join(gone, numbered["_row"] == gone["row"], "left_anti").drop("_row")
