@@ -44,6 +44,12 @@ def test_spaced_words(model):
     assert "stupid" in toxicity.Restorer(model).spaced("s t u p i d")
 
 
+def test_spaced_words_are_read_to_the_end(model):
+    run = " ".join("thequickmarketandthesea" * 40 + "stupid")
+    words = toxicity.Restorer(model).spaced(run)
+    assert "".join(words[:-1]) == run.replace(" ", "") and words[-2].endswith("stupid")
+
+
 def test_plain_tokens_are_left(model):
     r = toxicity.Restorer(model)
     assert r.words("sea") == ("sea",) and r.words("2024") == () and r.words("...") == ()

@@ -21,6 +21,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,11 @@ def classes_of(text: str) -> np.ndarray:
     return np.where(codes < len(FOLD), FOLD[np.minimum(codes, len(FOLD) - 1)], 27)
 
 
+@lru_cache(maxsize=1 << 16)
+def _class_of(letter: str) -> int:
+    return int(classes_of(letter)[0])
+
+
 def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``gram, n``: four-grams of letter classes over all texts, each text between blanks."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,23 +111,31 @@ class CharacterModel:
         self.log = np.log(p).astype(np.float32)
 
     def best_reading(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """Viterbi over a lattice: one list of (text, cost) choices per place."""
+        """Viterbi over a lattice: one list of (text, cost) choices per place. Linear in its length."""
         log = self.log
-        states = {(0, 0, 0): (0.0, "")}
+        states = {(0, 0, 0): 0.0}
+        back: list[dict[tuple, tuple[tuple, str]]] = []
         for choices in [*lattice, [(" ", 0.0)]]:
-            grown: dict[tuple, tuple[float, str]] = {}
-            for (a, b, c), (score, path) in states.items():
-                for piece, cost in choices:
-                    value, x, y, z = score + cost, a, b, c
-                    for letter in piece:
-                        d = int(classes_of(letter)[0])
+            spelled = [(piece, cost, [_class_of(letter) for letter in piece]) for piece, cost in choices]
+            grown: dict[tuple, float] = {}
+            came: dict[tuple, tuple[tuple, str]] = {}
+            for state, score in states.items():
+                for piece, cost, classes in spelled:
+                    value, (x, y, z) = score + cost, state
+                    for d in classes:
                         value += float(log[x, y, z, d])
                         x, y, z = y, z, d
                     old = grown.get((x, y, z))
-                    if old is None or value > old[0]:
-                        grown[(x, y, z)] = (value, path + piece)
+                    if old is None or value > old:
+                        grown[(x, y, z)] = value
+                        came[(x, y, z)] = state, piece
             states = grown
-        return max(states.values())[1].strip()
+            back.append(came)
+        at, path = max(states, key=states.get), []
+        for came in reversed(back):
+            at, piece = came[at]
+            path.append(piece)
+        return "".join(reversed(path)).strip()
 
 
 def lattice_of(token: str) -> list[list[tuple[str, float]]]:
@@ -184,7 +198,7 @@ class Restorer:
         """Words written letter by letter; the lattice may also keep a blank as a word's end."""
         token = run.replace(" ", "")
         lattice = []
-        for choices in (lattice_of(c) for c in run[:4 * LONGEST_TOKEN:2]):
+        for choices in (lattice_of(c) for c in run[::2]):
             lattice += [*choices, [("", 0.0), (" ", REPLACED)]]
         return (*self.model.best_reading(lattice[:-1]).split(), *([token] if token.isalpha() else []))
 
