@@ -50,6 +50,22 @@ def test_spaced_words_are_read_to_the_end(model):
     assert "".join(words[:-1]) == run.replace(" ", "") and words[-2].endswith("stupid")
 
 
+@pytest.mark.parametrize("text", ["you i d i o t.", '"i d i o t"', "i  d\ti d  i  o\tt", "so i d i o t!!"])
+def test_spaced_words_with_punctuation_and_wide_blanks(model, text):
+    assert any("idiot" in w for w in toxicity.Restorer(model).in_context(text))
+
+
+@pytest.mark.parametrize("token,word", [("s/t/u/p/i/d", "stupid"), ("c,l,o,w,n", "clown"), ("stu" + 70 * "u" + "pid", "stupid"), ("stup1d" * 20, "stupid" * 20)])
+def test_separators_and_long_tokens(model, token, word):
+    assert word in toxicity.Restorer(model).words(token)
+
+
+def test_tokens_of_signs_only():
+    model = toxicity.CharacterModel(toxicity._grams("what an ass and a bigot was at sea " * 50))
+    scorer = toxicity.Scorer(model, {"ass": 3.0, "bigot": 3.0}, 1.0, 0.0)
+    assert scorer.evidence("an @$$") == scorer.evidence("a 81607") == 3.0 and scorer.evidence("in 2024") == 0.0
+
+
 def test_plain_tokens_are_left(model):
     r = toxicity.Restorer(model)
     assert r.words("sea") == ("sea",) and r.words("2024") == () and r.words("...") == ()

@@ -37,11 +37,11 @@ LOOK_ALIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
 REPLACED, DROPPED, SQUEEZED, KEPT_RUN = -1.0, -1.5, -0.6, -0.6  # log channel costs
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 RUN = re.compile(r"(.)\1\1")
 EDGES = "\"'`.,;:?()[]{}<>«»“”„¿…-–—_#%&/\\=~^"
+# Signs between blanks of any width; the first and the last may carry punctuation.
+SPACED = re.compile(rf"(?<!\S)[{re.escape(EDGES)}]*\S(?:\s+\S){{2,}}[{re.escape(EDGES)}!]*(?!\S)")
 PARTS = re.compile(r"[^\W\d_]+")
-LONGEST_TOKEN = 64  # longer tokens (hashes, addresses) are read by their letter parts only
 CACHE = 400_000
 MAX_BROADCAST_BYTES = 32 << 20
 PREFIXES = (4, 5, 6)
@@ -173,14 +173,22 @@ class Restorer:
         if bare.isalpha() and not RUN.search(bare):
             return (bare,)
         parts = tuple(PARTS.findall(plain))
-        has_letters = any(c.isalpha() for c in plain)
-        if not has_letters or len(plain) > LONGEST_TOKEN or not any(c in LOOK_ALIKE or RUN.search(plain) or c in ".-_*" for c in plain):
+        if not any(c.isalpha() for c in plain) or (plain.isalpha() and not RUN.search(plain)):
             return parts
         decoded = self.model.best_reading(lattice_of(plain))
         # A sign at the end may be punctuation or a letter.
         trimmed = self.model.best_reading(lattice_of(bare)) if bare != plain else decoded
         return tuple(dict.fromkeys(x for x in (decoded, trimmed, *parts) if x))
 
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The words a token may stand for, and the word that a token of look-alikes only may spell."""
+        plain = token.strip(EDGES)
+        if len(plain) < 3 or not all(c in LOOK_ALIKE for c in plain):
+            return self.words(token)
+        # Every sign is a letter here, so none is dropped.
+        spelled = ([[c for c in choices if c[0]] for choices in lattice_of(t)] for t in (plain, plain.rstrip("!")))
+        return tuple(dict.fromkeys(x for x in map(self.model.best_reading, spelled) if x))
+
     def in_context(self, text: str | None) -> dict[str, str]:
         """Every restored word of a text with the token before its first occurrence."""
         lowered = (text or "").lower()
@@ -196,9 +204,10 @@ class Restorer:
 
     def spaced(self, run: str) -> tuple[str, ...]:
         """Words written letter by letter; the lattice may also keep a blank as a word's end."""
-        token = run.replace(" ", "")
+        first, *inner, last = run.split()
+        token = "".join([first[-1], *inner, last[0]])
         lattice = []
-        for choices in (lattice_of(c) for c in run[::2]):
+        for choices in map(lattice_of, token):
             lattice += [*choices, [("", 0.0), (" ", REPLACED)]]
         return (*self.model.best_reading(lattice[:-1]).split(), *([token] if token.isalpha() else []))
 
@@ -225,7 +234,7 @@ class Scorer:
         if found is None:
             if len(self.known) > CACHE:
                 self.known = {}
-            found = self.known[token] = max((self.word_evidence(w) for w in self.restorer.words(token)), default=0.0)
+            found = self.known[token] = max((self.word_evidence(w) for w in self.restorer.readings(token)), default=0.0)
         return found
 
     def evidence(self, text: str | None) -> float:
