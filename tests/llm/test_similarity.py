@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
+import corpus_pipeline
 from tillcast.llm import simhash
 
 
@@ -44,3 +45,25 @@ def test_only_similar_texts_are_dropped(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in simhash.keep_one_of_each(docs, width=5, budget=10, prints=4).collect())
     assert got == want
+
+
+def recall_at(similarity, prints, budget, width, pairs=400):
+    """Share of random pairs at about the similarity that a fingerprint proposes."""
+    rng = np.random.default_rng(8)
+    found = tried = 0
+    while tried < pairs:
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        changed = list(words)
+        for at in rng.choice(120, int(rng.integers(2, 6)), replace=False):
+            changed[at] = f"new{at}"
+        a, b = " ".join(words), " ".join(changed)
+        if abs(jaccard(simhash.shingle_set(a, width), simhash.shingle_set(b, width)) - similarity) > 0.02:
+            continue
+        tried += 1
+        fps = zip(*(simhash.fingerprints(t, width, prints) for t in (a, b)))
+        found += any(((x ^ y) & (2**64 - 1)).bit_count() <= budget for x, y in fps)
+    return found / tried
+
+
+def test_prints_of_the_stage_find_copies_at_the_limit():
+    assert recall_at(0.81, corpus_pipeline.PRINTS, corpus_pipeline.BITS, corpus_pipeline.SHINGLE_WORDS) >= 0.9
