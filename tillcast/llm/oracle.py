@@ -6,6 +6,8 @@ none; tests/llm holds them against brute force, or measures them.
 
 from __future__ import annotations
 
+from tillcast.llm.quality import LEVELS, LIFT, LIMIT, RISK, RULES
+
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -97,10 +99,83 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN found USING (r)
 """
 
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occurrences AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS all_n FROM occurrences GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+cells AS (SELECT lang, source, term, count(*) AS n FROM occurrences JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(all_n) AS total FROM kept GROUP BY lang),
+grouped AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM grouped LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // CAST(g.total + v AS HUGEINT) AS p
+           FROM totals AS g JOIN kept AS k ON g.lang = k.lang JOIN sizes ON sizes.lang = g.lang
+           LEFT JOIN cells ON cells.lang = g.lang AND cells.source = g.source AND cells.term = k.term),
+whole AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (all_n + 1) // CAST(total + v AS HUGEINT) AS q FROM kept JOIN sizes USING (lang)),
+priced AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+           FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM grouped AS a JOIN grouped AS b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN priced ON priced.lang = a.lang AND priced.source = a.source AND priced.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranks WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _level(value: str, cutoffs: tuple[int, ...], small: bool) -> str:
+    met = [f"CAST(({value.replace(' div ', ' // ')}) {'<' if small else '>='} {c} AS INTEGER)" for c in cutoffs]
+    return "(" + " + ".join(met) + ")"
+
+
+# Two thirds of the labelled rows order the rungs, the rest certify them (see quality.py). DuckDB has no crc32, so the split is
+# spelled out: the table of the polynomial by recursion, then the bytes of the id.
+OP13 = rf"""
+WITH RECURSIVE tab(n, k, c) AS (
+  SELECT range, 0, CAST(range AS UBIGINT) FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END FROM tab WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM tab WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(nullif(lang, ''), 'und') AS stratum, coalesce(text, '') AS t FROM documents),
+split_ AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+wins AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split_)),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM wins) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+m AS (SELECT r, doc_id, stratum, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_distinct(w)) AS n_distinct_words, len(l) AS n_lines
+      FROM split_ LEFT JOIN repeats USING (r)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+lv AS (SELECT *, CASE WHEN NOT base_failed THEN [{", ".join(_level(v, c, s) for _, v, c, s in RULES)}] END AS levels FROM base),
+known AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(ascii(x) AS UBIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+          lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS c FROM known, crc_table),
+e AS (SELECT stratum, good, c % 3 = 1 AS holdout, levels FROM lv JOIN known USING (doc_id) JOIN crc USING (doc_id) WHERE NOT base_failed),
+pairs AS (SELECT range // {LEVELS} AS rule, range % {LEVELS} + 1 AS level FROM range({LEVELS * len(RULES)})),
+tails AS (SELECT stratum, rule, level, count(*) FILTER (good AND levels[rule + 1] >= level) AS g, count(*) FILTER (NOT good AND levels[rule + 1] >= level) AS b,
+                 count(*) FILTER (good) AS all_g, count(*) FILTER (NOT good) AS all_b FROM e, pairs WHERE NOT holdout GROUP BY ALL),
+steps AS (SELECT stratum, rule, level, row_number() OVER (PARTITION BY stratum ORDER BY (b + 1.0::DOUBLE) / (g + 1.0::DOUBLE) DESC, rule, level DESC) AS step
+          FROM tails WHERE b * all_g > {LIFT} * g * all_b),
+held AS (SELECT row_number() OVER () AS h, stratum, levels FROM e WHERE holdout AND good AND stratum IN (SELECT stratum FROM steps)),
+firsts AS (SELECT h, any_value(held.stratum) AS stratum, min(step) FILTER (levels[rule + 1] >= level) AS step FROM held JOIN steps ON held.stratum = steps.stratum GROUP BY h),
+n_held AS (SELECT stratum, count(*) AS n FROM firsts GROUP BY stratum),
+rungs AS (SELECT s.stratum, s.step, n, (SELECT count(*) FROM firsts WHERE firsts.stratum = s.stratum AND firsts.step <= s.step) AS k FROM steps AS s JOIN n_held USING (stratum)),
+bounds AS (SELECT stratum, step, CASE WHEN k >= n * {LIMIT} THEN 1.0 ELSE
+             list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({LIMIT}) + (n - i) * ln(1 - {LIMIT})) FOR i IN range(0, k + 1)]) END AS p FROM rungs),
+fails AS (SELECT stratum, min(step) FILTER (p > {RISK} / (SELECT count(DISTINCT stratum) FROM steps)) AS failed FROM bounds GROUP BY stratum),
+cut AS (SELECT steps.* FROM steps JOIN fails USING (stratum) WHERE failed IS NULL OR step < failed),
+gone AS (SELECT DISTINCT r FROM lv JOIN cut ON lv.stratum = cut.stratum AND levels[rule + 1] >= level)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM gone) AS kept FROM lv
+"""
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": OP3,
     "op5_top_k": OP5,
     "op6_mixing": OP6,
     "op7_url_filter": OP7,
     "op9_secret_scan": OP9,
+    "op12_divergence": OP12,
+    "op13_quality_rules": OP13,
 }

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.decontaminate import contamination
-from tillcast.llm import langid, pii, toxicity
+from tillcast.llm import divergence, langid, pii, quality, toxicity
 from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
 from tillcast.llm.simhash import hex_of, near_duplicates
-from tillcast.llm.tables import held_out, read
+from tillcast.llm.tables import held_out, read, staged
 from tillcast.llm.topk import integer_vector, top_k
 from tillcast.llm.url_filter import host_of, judge_urls
 
@@ -102,6 +102,21 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *span_digest(base, F.col("personal"), ["email", "ip", "card", "phone"]))
 
 
+def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    audit = divergence.Audit(read(spark, sf, "documents"))
+    pairs = divergence.ranked(audit.pairs().withColumnRenamed("other", "item"), "item")
+    terms = divergence.ranked(audit.terms().withColumnRenamed("term", "item"), "item", 200)
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    return pairs.withColumn("part", F.lit("pair")).select(columns).union(terms.withColumn("part", F.lit("term")).select(columns))
+
+
+def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    # Measured once: the cutoffs are chosen on these rows, and then applied to them.
+    measured = staged(quality.measure(read(spark, sf, "documents").select("doc_id", "lang", "text")).drop("text"), "quality-measures")
+    judged = quality.judge(measured, quality.fit(measured, read(spark, sf, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -113,5 +128,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op12_divergence": op12_divergence,
+    "op13_quality_rules": op13_quality_rules,
 }
 

@@ -69,3 +69,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns called ``names`` in any case, so that they can be added."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so in any case: for a column of the operator's own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
