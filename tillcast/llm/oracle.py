@@ -99,6 +99,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN found USING (r)
 """
 
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {LOWER}) AS t FROM documents),
+pieces AS (SELECT r, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)) GROUP BY ALL HAVING f >= 30),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase
+             FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM c))) GROUP BY ALL),
+free AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE inner_.a IS NULL OR 100 * inner_.a < 80 * c.a),
+cuts AS (SELECT *, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM free)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, fl.f AS l, fr.f AS r, CAST(2000000 AS HUGEINT) * a // (fl.f + fr.f) AS score, j
+           FROM cuts JOIN f AS fl ON fl.lang = cuts.lang AND fl.phrase = lp JOIN f AS fr ON fr.lang = cuts.lang AND fr.phrase = rp),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS x FROM scored) WHERE x = 1)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 OP12 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -176,6 +195,7 @@ ORACLE: dict[str, str] = {
     "op6_mixing": OP6,
     "op7_url_filter": OP7,
     "op9_secret_scan": OP9,
+    "op11_collocations": OP11,
     "op12_divergence": OP12,
     "op13_quality_rules": OP13,
 }

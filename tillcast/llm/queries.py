@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.decontaminate import contamination
-from tillcast.llm import divergence, langid, pii, quality, toxicity
+from tillcast.llm import collocations, divergence, langid, pii, quality, toxicity
 from tillcast.llm.mixing import mix
 from tillcast.llm.secrets_scan import find_secrets
 from tillcast.llm.sharding import shard_rows
@@ -102,6 +102,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *span_digest(base, F.col("personal"), ["email", "ip", "card", "phone"]))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
     audit = divergence.Audit(read(spark, sf, "documents"))
     pairs = divergence.ranked(audit.pairs().withColumnRenamed("other", "item"), "item")
@@ -128,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_divergence": op12_divergence,
     "op13_quality_rules": op13_quality_rules,
 }
