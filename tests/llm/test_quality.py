@@ -1,0 +1,112 @@
+"""Quality rules: measures by definition, the exact bound, and the guarantee on rows that chose nothing."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tillcast.llm import quality
+from tillcast.llm.queries import QUERIES
+from tillcast.llm.tables import held_out
+
+
+def measures_by_definition(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    often = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(set(words)), len(lines))
+
+
+TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="abé#$ \n\t\x0b\x1c |", max_size=60)), max_size=40)
+
+
+@settings(max_examples=15, deadline=None)
+@given(TEXTS)
+def test_measures(spark, texts):
+    texts = texts + ["a b a b a b a", "x y z x y z", None, "", "é " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in quality.measure(df).collect():
+        assert tuple(r[m] for m in quality.MEASURES) == measures_by_definition(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(k, n) for n in (1, 50, 700, 5000) for k in (0, 1, 5, 13, 99) if k <= n]
+    df = spark.createDataFrame(cases, "k long, n long")
+    for r in df.select("k", "n", quality._at_most(F.col("k"), F.col("n"), 0.02).alias("p")).collect():
+        want = 1.0 if r.k >= r.n * 0.02 else sum(math.comb(r.n, i) * 0.02**i * 0.98 ** (r.n - i) for i in range(r.k + 1))
+        assert r.p == pytest.approx(want, rel=1e-9)
+
+
+def corpus(spark, n, seed, bad_share=0.3):
+    """Good texts have long words; bad ones short words, but a few good ones do so too."""
+    rng = np.random.default_rng(seed)
+    rows, labels = [], []
+    for i in range(n):
+        bad = rng.random() < bad_share
+        short = rng.random() < (0.9 if bad else 0.01)
+        length = 3 if short else 6
+        words = ["".join(chr(97 + x) for x in rng.integers(0, 26, length)) for _ in range(80)]
+        rows.append((i, " ".join(words), ["en", "de", None][i % 3], "own", "steps"))
+        labels.append((i, 0 if bad else 1))
+    return (spark.createDataFrame(rows, "doc_id long, text string, lang string, KEPT string, stratum string"),
+            spark.createDataFrame(labels, "doc_id long, quality int"))
+
+
+def test_rules_keep_the_limit_and_reject_the_bad(spark):
+    docs, labels = corpus(spark, 9000, 1)
+    measured = quality.measure(docs)
+    fitted = quality.fit(measured, labels, limit=0.03)
+    assert all(r.last_step > 0 and quality._at_most is not None for r in fitted.collect())
+    judged = quality.judge(measured, fitted)
+    assert judged.columns == ["doc_id", "text", "lang", "stratum", *quality.MEASURES, "base_failed", "rejected_by", "kept"]
+    fresh, fresh_labels = corpus(spark, 6000, 2)
+    out = quality.judge(quality.measure(fresh), fitted).join(fresh_labels, "doc_id")
+    for r in out.groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect():
+        assert r.kept > 0.96 if r.quality else r.kept < 0.3
+
+
+def test_ladder_stops_at_the_first_rung_that_fails(spark):
+    # 1,200 good and 600 bad texts; the precise rung is safe, the next one rejects a tenth of the good ones.
+    ids = [i for i in range(20000)]
+    split = {r.id: r.h for r in spark.createDataFrame([(i,) for i in ids], "id long").select("id", held_out(F.col("id")).alias("h")).collect()}
+    rows = []
+    for i in ids[:6000]:
+        kind = i % 10
+        good = kind < 6
+        symbols = {6: 300, 7: 300, 8: 8, 9: 8, 0: 8}.get(kind, 0) if not (good and kind) else 0
+        rows.append((i, 1 if good else 0, symbols))
+    assert 0 < sum(split[i] for i, *_ in rows) < 6000
+    measured = spark.createDataFrame([(i, "x", 1000, 5500, s, 0, 0, 900, 10, False) for i, _, s in rows],
+                                     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct_words long, n_lines long, base_failed boolean")
+    labels = spark.createDataFrame([(i, q) for i, q, _ in rows], "doc_id long, quality int")
+    fitted = quality.fit(measured, labels)
+    [f] = fitted.collect()
+    assert 0 < f.last_step < len(f.steps) and f.n_rejected == 0
+    out = {r.doc_id: (r.kept, r.rejected_by) for r in quality.judge(measured, fitted).collect()}
+    assert all(out[i] == ((False, ["symbols"]) if s == 300 else (True, None)) for i, _, s in rows)
+
+
+def test_no_labels_odd_labels_and_no_rows(spark):
+    docs, _ = corpus(spark, 30, 3)
+    odd = docs.union(spark.createDataFrame([(None, None, "", "k", "s"), (7, "", "en", "k", "s"), (7, "", "en", "k", "s")], docs.schema))
+    measured = quality.measure(odd)
+    labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1), (99, 0)], "doc_id long, quality int")
+    for known in (labels, labels.limit(0)):
+        rows = quality.judge(measured, quality.fit(measured, known)).collect()
+        assert len(rows) == 33 and all(r.kept == (not r.base_failed) for r in rows)
+    assert quality.judge(measured.limit(0), quality.fit(measured.limit(0), labels)).count() == 0
+
+
+def test_query_runs_no_python(spark, sf_small):
+    plan = QUERIES["op13_quality_rules"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
