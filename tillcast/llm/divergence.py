@@ -22,8 +22,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -86,7 +86,8 @@ class Audit:
     """Counts of a corpus, prepared for both comparisons."""
 
     def __init__(self, docs: DataFrame, *, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS,
-                 segment_cells: int = SEGMENT_CELLS):
+                 top: int | None = None, segment_cells: int = SEGMENT_CELLS):
+        """``top``: how many terms of each source are wanted at most (None: all)."""
         rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
         counts = staged(term_counts(rows), "term-counts")
         # The terms of a language: in how many of its documents, how often, and with what segment.
@@ -102,17 +103,17 @@ class Audit:
         n_sources = present.groupBy("lang").agg(F.count("*").alias("n_sources"))
         segments = F.greatest(F.ceil(F.col("v") * (F.col("n_sources") + 1) / segment_cells), F.lit(1)).cast("int")
         self.groups = staged(groups.join(n_sources, "lang").withColumn("segments", segments), "term-groups")
-        self.prices = staged(self._priced(), "term-prices")
+        self.prices = staged(self._priced(top), "term-prices")
 
-    def _priced(self) -> DataFrame:
+    def _priced(self, top: int | None) -> DataFrame:
         """``lang, source, other, term, value``: sums of a segment where ``term`` is null, else prices against the language."""
         many = self.groups.where("v > 0").withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
         members = many.select("lang", "segment", "source", "total", "v", "all_total")
         of = self.groups.select("lang", "source", "segments")
         dealt = self.cells.join(of, ["lang", "source"]).withColumn("segment", F.pmod(F.xxhash64("term"), F.col("segments")).cast("int"))
         dealt = dealt.select("lang", "segment", "source", "term", "n", "all_n")
-        return dealt.groupBy("lang", "segment").cogroup(members.groupBy("lang", "segment")).applyInPandas(
-            _price_segment, "lang string, source string, other string, term string, value bigint")
+        return dealt.groupBy("lang", "segment").cogroup(members.groupBy("lang", "segment")).applyInArrow(
+            lambda cells, members: _price_segment(cells, members, top), "lang string, source string, other string, term string, value bigint")
 
     def pairs(self) -> DataFrame:
         """``lang, source, other, value`` for every two sources of a language."""
@@ -196,20 +197,22 @@ def price_of_pairs(trees: tuple, shares: np.ndarray, first: np.ndarray, second:
     return prices[root_of]
 
 
-def _price_segment(cells: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    columns = ["lang", "source", "other", "term", "value"]
+_PRICES = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("term", pa.string()), ("value", pa.int64())])
+
+
+def _price_segment(cells: pa.Table, members: pa.Table, top: int | None) -> pa.Table:
     if not len(cells) or not len(members):
-        return pd.DataFrame({c: [] for c in columns}).astype({"value": "int64"})
-    lang, v, all_total = members["lang"].iloc[0], int(members["v"].iloc[0]), int(members["all_total"].iloc[0])
-    sources = members["source"].to_numpy(object)
-    totals = [int(x) for x in members["total"]]
-    row = pd.Series(np.arange(len(sources)), index=sources)[cells["source"].to_numpy(object)].to_numpy()
-    column, terms = pd.factorize(cells["term"])
+        return _PRICES.empty_table()
+    lang, v, all_total = (members.column(c)[0].as_py() for c in ("lang", "v", "all_total"))
+    sources, totals = members.column("source").combine_chunks(), members.column("total").to_pylist()
+    row = pc.index_in(cells.column("source"), value_set=sources).to_numpy()
+    coded = cells.column("term").combine_chunks().dictionary_encode()
+    column, terms = coded.indices.to_numpy(), coded.dictionary
     counts = np.zeros((len(sources) + 1, len(terms)), np.int64)  # the last row: the whole language
-    counts[row, column] = cells["n"]
-    counts[-1, column] = cells["all_n"]
+    counts[row, column] = cells.column("n").to_numpy()
+    counts[-1, column] = cells.column("all_n").to_numpy()
     order = np.lexsort(counts)
-    counts, terms = counts[:, order], np.asarray(terms, object)[order]
+    counts, terms = counts[:, order], terms.take(pa.array(order))
     # Places beyond the last term have a leaf of their own (-1), which costs nothing.
     size = 1 << max(0, len(terms) - 1).bit_length()
     padded = np.full((len(counts), size), -1, np.int64)
@@ -217,20 +220,33 @@ def _price_segment(cells: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     trees = consed(padded)
     shares = np.array([[share(int(c), t, v) if c >= 0 else 1 for c in trees[0]] for t in [*totals, all_total]], np.int64)
 
+    def table(first: np.ndarray, other: pa.Array | None, term: pa.Array | None, value: np.ndarray) -> pa.Table:
+        none = pa.nulls(len(value), pa.string())
+        return pa.Table.from_arrays([pa.array([lang] * len(value), pa.string()), sources.take(pa.array(first)), none if other is None else other,
+                                     none if term is None else term, pa.array(value, pa.int64())], schema=_PRICES)
+
     s = len(sources)
     first, second = np.divmod(np.arange(s * s), s)
     first, second = first[first != second], second[first != second]
     out = []
     if s > 1:
-        values = price_of_pairs(trees, shares, first, second)
-        out.append(pd.DataFrame({"lang": lang, "source": sources[first], "other": sources[second], "term": None, "value": values}))
+        out.append(table(first, sources.take(pa.array(second)), None, price_of_pairs(trees, shares, first, second)))
     # Against the language leaves are the result: each pair of counts is priced once.
     own, at = np.nonzero(counts[:-1])
-    leaf = {int(c): i for i, c in enumerate(trees[0])}
-    pairs = np.stack((own, [leaf[int(c)] for c in counts[own, at]], [leaf[int(c)] for c in counts[-1, at]]))
+    leaf = np.searchsorted(trees[0], counts)
+    pairs = np.stack((own, leaf[own, at], leaf[-1, at]))
     distinct, where = np.unique(pairs, axis=1, return_inverse=True)
     p, q = shares[distinct[0], distinct[1]], shares[-1, distinct[2]]
     values = np.where(p > q, price(p, q), -1)[where.reshape(-1)]
     more = values >= 0
-    out.append(pd.DataFrame({"lang": lang, "source": sources[own[more]], "other": None, "term": terms[at[more]], "value": values[more]}))
-    return pd.concat(out, ignore_index=True)[columns]
+    own, at, values = own[more], at[more], values[more]
+    if top is not None and len(values):
+        # What is beyond the limit in its segment is so in its group; names in UTF-8 order break ties.
+        name = pc.rank(terms.cast(pa.binary()), "ascending").to_numpy()[at]
+        order = np.lexsort((name, -values, own))
+        own, at, values = own[order], at[order], values[order]
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        place = np.arange(len(own)) - np.repeat(new, np.diff(np.append(new, len(own))))
+        own, at, values = own[place < top], at[place < top], values[place < top]
+    out.append(table(own, None, terms.take(pa.array(at)), values))
+    return pa.concat_tables(out)

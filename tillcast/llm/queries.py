@@ -107,7 +107,7 @@ def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
-    audit = divergence.Audit(read(spark, sf, "documents"))
+    audit = divergence.Audit(read(spark, sf, "documents"), top=200)
     pairs = divergence.ranked(audit.pairs().withColumnRenamed("other", "item"), "item")
     terms = divergence.ranked(audit.terms().withColumnRenamed("term", "item"), "item", 200)
     columns = ["lang", "source", "part", "item", "value", "rank"]
