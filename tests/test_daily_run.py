@@ -97,4 +97,5 @@ def test_rows_without_a_date_are_kept_aside(spark, tmp_path):
     assert sorted((r.date_text or "", r.reason) for r in rejects) == [("", "invalid_date"), ("soon", "invalid_date")]
     status = spark.read.parquet(f"{root}/sales_status").first()
     assert (status.sales_rows_loaded, status.rows_rejected) == (4, 2)
-    assert spark.read.parquet(f"{root}/sales").count() == status.sales_rows_loaded - status.rows_rejected
+    assert status.rows_used == 2
+    assert spark.read.parquet(f"{root}/file_sales").count() == status.sales_rows_loaded - status.rows_rejected

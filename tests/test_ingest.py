@@ -39,7 +39,8 @@ def test_validation_reasons_in_order(spark):
 
 def test_split_is_complete(spark):
     rows = [(i, 0, "r", "l", D + "1", "5" if i % 2 else "x") for i in range(10)]
-    good, bad = ingest.validate_uploads(raw(spark, rows))
+    classified = ingest.classify_uploads(raw(spark, rows))
+    good, bad = ingest.accepted_rows(classified), ingest.rejected_rows(classified)
     assert (good.count(), bad.count()) == (5, 5)
     assert {r.reason for r in bad.collect()} == {"invalid_sales"}
 

@@ -10,6 +10,7 @@ from tillcast.operators.ingest import accepted_rows, latest_by_key, upsert_count
 from tillcast.session import shared_checkpoint_dir
 from tillcast.sources import tables
 from tillcast.sources.sales_files import read_upload
+from tillcast.sources.scratch import Scratch
 from tillcast.streaming import totals, uploads
 
 FILES = [
@@ -49,7 +50,7 @@ def test_feed_equals_batch(spark, tmp_path):
     feed(spark, inbox, root, tmp_path / "cp")
     feed(spark, inbox, root, tmp_path / "cp")
 
-    classified, _ = read_upload(spark, str(inbox))
+    classified, _ = read_upload(spark, str(inbox), Scratch(spark, "test"))
     numbered = classified.withColumn("batch", F.substring("file_name", 2, 1).cast("int"))
     assert as_state(tables.sales_state(spark, str(root))) == as_state(latest_by_key(accepted_rows(numbered)))
     batch_counts = {r.batch: (r.inserted, r.updated, r.skipped) for r in upsert_counts(numbered).collect()}

@@ -67,12 +67,6 @@ def rejected_rows(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("reason").isNotNull()).drop("date", "daily_sales_total")
 
 
-def validate_uploads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split an upload into accepted rows and rejects with a reason."""
-    classified = classify_uploads(raw)
-    return accepted_rows(classified), rejected_rows(classified)
-
-
 def arrival_order(rows: DataFrame, batch: str = "batch", seq: str = "ingest_seq") -> Column:
     """One sortable value for (batch, seq).
 
@@ -86,13 +80,15 @@ def arrival_order(rows: DataFrame, batch: str = "batch", seq: str = "ingest_seq"
     return F.struct(batch, seq)
 
 
-def latest_by_key(rows: DataFrame, batch: str = "batch", seq: str = "ingest_seq") -> DataFrame:
+def latest_by_key(
+    rows: DataFrame, batch: str = "batch", seq: str = "ingest_seq", keys: list[str] = SALES_KEY
+) -> DataFrame:
     """Sales state after applying all rows in arrival order: the last row of a key wins.
 
     ``max_by`` combines on the map side, so a key repeated any number of times sends one row per
     map task through the shuffle.
     """
-    return rows.groupBy(*SALES_KEY).agg(
+    return rows.groupBy(*keys).agg(
         F.max_by("daily_sales_total", arrival_order(rows, batch, seq)).alias("daily_sales_total")
     )
 
@@ -182,13 +178,3 @@ def apply_batch(accepted: DataFrame, is_upload: Column, seq: str = "ingest_seq")
         return F.max_by(F.when(rows, F.col("daily_sales_total")), F.when(rows, F.col(seq)))
 
     return accepted.groupBy(*SALES_KEY).agg(F.coalesce(last(is_upload), last(~is_upload)).alias("daily_sales_total"))
-
-
-def typed_sales(sales: DataFrame) -> DataFrame:
-    """The four sales columns with their table types."""
-    return sales.select(
-        "restaurant_id",
-        "location_id",
-        F.col("date").cast("date").alias("date"),
-        F.col("daily_sales_total").cast(MONEY).alias("daily_sales_total"),
-    )

@@ -62,20 +62,20 @@ def fit_average_current_or_all(lines: DataFrame) -> DataFrame:
     ).where(F.col("avg_daily_sales").isNotNull())
 
 
-def tenant_profiles(sales: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
-    """Average model and latest sales of each tenant in one pass over the sales table.
+def tenant_profiles(sales: DataFrame, days: int = RECENT_DAYS, keys: list[str] = TENANT) -> DataFrame:
+    """Average model and latest sales of each tenant (or other key) in one pass over the sales table.
 
-    ``sales`` holds one row per tenant and date, so a tenant's window is never longer than the
-    calendar. Everything a forecast or a prompt needs is on the tenant's one row afterwards.
+    ``sales`` holds one row per key and date, so a window is never longer than the calendar.
+    Everything a forecast or a prompt needs is on the key's one row afterwards.
     """
     amount = F.col("daily_sales_total").cast("decimal(18,2)")
-    latest = Window.partitionBy(*TENANT).orderBy(F.col("date").desc())
+    latest = Window.partitionBy(*keys).orderBy(F.col("date").desc())
     ranked = numeric_rows(sales).select(
-        *TENANT, "date", amount.alias("daily_sales_total"), F.row_number().over(latest).alias("rank")
+        *keys, "date", amount.alias("daily_sales_total"), F.row_number().over(latest).alias("rank")
     )
     recent = F.when(F.col("rank") <= days, F.struct("date", "daily_sales_total"))
     rows = F.count(F.lit(1))
-    return ranked.groupBy(*TENANT).agg(
+    return ranked.groupBy(*keys).agg(
         F.round(F.sum("daily_sales_total") / rows, 4).cast(RATE).alias("avg_daily_sales"),
         rows.alias("training_rows"),
         F.sort_array(F.collect_list(recent)).alias("recent_sales"),
@@ -186,16 +186,21 @@ def prior_curve(spark: SparkSession, days: int = PRIOR_DAYS) -> DataFrame:
 
 
 def fit_trend_with_prior(tenants: DataFrame, sales: DataFrame, spark: SparkSession) -> DataFrame:
-    """Trend per tenant; tenants with too little history take the line of the prior curve.
+    """Trend per tenant; tenants with too little history take the line of the prior curve."""
+    return with_prior(tenants.join(fit_trend(sales), TENANT, "left"), spark)
+
+
+def with_prior(fitted: DataFrame, spark: SparkSession) -> DataFrame:
+    """Tenants with their trend, or the line of the prior curve where there is too little behind it.
 
     The prior is fitted once and enters as a scalar subquery, so no tenant is multiplied by the days
     of the curve and nothing is joined for it.
     """
-    fitted = ["intercept", "slope", "std_error", "rows"]
-    prior = _fit(prior_curve(spark), ["training_source"]).select(F.struct(*fitted)).scalar()
+    line = ["intercept", "slope", "std_error", "rows"]
+    prior = _fit(prior_curve(spark), ["training_source"]).select(F.struct(*line)).scalar()
     cold = F.coalesce(F.col("rows"), F.lit(0)) < MIN_HISTORY
-    return tenants.join(fit_trend(sales), TENANT, "left").select(
+    return fitted.select(
         *TENANT,
-        *[F.when(cold, prior.getField(c)).otherwise(F.col(c)).alias(c) for c in fitted],
+        *[F.when(cold, prior.getField(c)).otherwise(F.col(c)).alias(c) for c in line],
         F.when(cold, F.lit(PRIOR_SOURCE)).otherwise(F.lit(REAL_SOURCE)).alias("training_source"),
     )

@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.constants import TENANT
-from tillcast.functions.values import iso_date
 from tillcast.operators import features, insight, models
 from tillcast.operators.dashboard import dashboard_days, dashboard_records
 from tillcast.operators.forecast import forecast_days, inventory_plan, staffing_plan, with_forecast
-from tillcast.operators.ingest import latest_by_key
-from tillcast.sources.sales_files import load_tenant_sales
+from tillcast.sources.sales_files import dated_file_rows, keyed_file_sales, load_tenant_sales, of_tenants, read_text
+from tillcast.sources.scratch import Scratch
 from tillcast.sources.tables import (
     append_features,
     append_model_version,
@@ -61,34 +60,6 @@ class _Steps:
         )
 
 
-def dated_rows(served: DataFrame) -> DataFrame:
-    """Served file rows with their date, NULL where the text is none."""
-    return served.select(
-        F.col("for_restaurant_id").alias("restaurant_id"),
-        F.col("for_location_id").alias("location_id"),
-        iso_date(F.col("date_text")).alias("date"),
-        "date_text",
-        "daily_sales_total",
-        F.col("ingest_seq.start").alias("batch"),
-        F.col("ingest_seq.n").alias("ingest_seq"),
-    )
-
-
-def keyed_sales(dated: DataFrame) -> DataFrame:
-    """The keyed sales table of the tenants that rows were served to.
-
-    A tenant is served one file, so the place of a row in its file is its whole arrival order.
-    """
-    return latest_by_key(dated.where(F.col("date").isNotNull()))
-
-
-def undated_rows(dated: DataFrame) -> DataFrame:
-    """Rows that the sales table cannot hold, with the reason."""
-    return dated.where(F.col("date").isNull()).select(
-        *TENANT, "date_text", "daily_sales_total", F.lit("invalid_date").alias("reason")
-    )
-
-
 def daily_run(
     spark: SparkSession,
     sales_path: str,
@@ -114,27 +85,34 @@ def daily_run(
         df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
 
     def ingest() -> None:
-        served, status = load_tenant_sales(spark, sales_path, tenants)
-        store(dated_rows(served), "served_sales")
-        dated = table("served_sales")
-        store(keyed_sales(dated), "sales")
-        store(undated_rows(dated), "sales_rejects")
-        rejected = table("sales_rejects").groupBy(*TENANT).agg(F.count(F.lit(1)).alias("rows_rejected"))
-        counted = status.join(rejected, TENANT, "left").withColumn("rows_rejected", F.coalesce("rows_rejected", F.lit(0)))
-        store(counted, "sales_status")
+        with Scratch(spark, "sales-files") as scratch:
+            rows, status = load_tenant_sales(read_text(spark, sales_path, scratch), tenants, scratch)
+            store(dated_file_rows(rows), "file_rows")
+            dated = table("file_rows")
+            store(keyed_file_sales(dated), "file_sales")
+            store(dated.where(F.col("reason").isNotNull()), "sales_rejects")
+            per_file = dated.groupBy("file_name").agg(
+                F.count_if(F.col("reason").isNotNull()).alias("rows_rejected"), F.count_if(F.col("reason").isNull()).alias("rows_used"))
+            counts = {c: F.coalesce(c, F.lit(0)) for c in ("rows_rejected", "rows_used")}
+            store(of_tenants(status, per_file).withColumns(counts), "sales_status")
+
+    def served() -> DataFrame:
+        """Tenants with usable sales, and their file."""
+        return table("sales_status").where("rows_used > 0").select(*TENANT, "file_name")
 
     def warehouse() -> None:
-        loaded = {"sales": table("sales"), "inventory": inventory, "attendance": attendance}
+        loaded = {"sales": table("file_sales"), "inventory": inventory, "attendance": attendance}
         store(features.register_tables({k: v for k, v in loaded.items() if v is not None}), "loaded_tables")
 
     def build_features() -> None:
-        store(features.feature_lists(table("sales").select(*TENANT).distinct()), "features")
+        store(features.feature_lists(served().select(*TENANT)), "features")
 
     def sync_features() -> None:
         append_features(features.feature_store_rows(table("features")), f"{root}/feature_store")
 
     def register_models() -> None:
-        profiles = models.tenant_profiles(table("sales"))
+        sales = table("file_sales")  # models are fitted once per file, and handed to its tenants
+        profiles = of_tenants(served(), models.tenant_profiles(sales, keys=["file_name"]))
         append_model_version(
             profiles.withColumn("model_name", F.lit(models.AVERAGE_MODEL_NAME)),
             f"{root}/average_models",
@@ -142,7 +120,7 @@ def daily_run(
         )
         write_model_json(models.average_model_records(this_version("average_models")), f"{root}/average_models_json", version)
         append_model_version(
-            trend_model_records(models.fit_trend_with_prior(tenants, table("sales"), spark)),
+            trend_model_records(models.with_prior(of_tenants(table("sales_status").select(*TENANT, "file_name"), models.fit_trend(sales, ["file_name"])), spark)),
             f"{root}/trend_models",
             version,
         )

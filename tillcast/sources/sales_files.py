@@ -1,18 +1,24 @@
-"""Sales CSV files: scan by header name, verdict per file, file per tenant."""
+"""Sales CSV files: scan by header name, verdict per file, file per tenant.
+
+The text of all files is read once, into a staged table of lines, which feeds the headers, the verdicts,
+the rows and the status.
+"""
 
 from __future__ import annotations
 
-import csv
+from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillcast.constants import DEFAULT_SALES_FILE, MONEY, TENANT
 from tillcast.functions.text import base_name, first_filled, safe_id
-from tillcast.functions.values import money
-from tillcast.operators.ingest import classify_uploads, tenant_columns
+from tillcast.functions.values import finite_number, iso_date, money
+from tillcast.operators.ingest import classify_uploads, latest_by_key
+from tillcast.sources.scratch import Scratch
 
 Paths = str | list[str]
 
@@ -22,8 +28,20 @@ CSV_SOURCE = "csv_file"
 FALLBACK_SOURCE = "simulated_fallback"
 NO_UPLOAD = "upload_sales.csv_not_found"
 BAD_HEADERS = "invalid_csv_headers"
+OUT_OF_RANGE = "amount_out_of_range"
 
 UPLOAD_STATUS_SCHEMA = "file_name string, ingestion_status string, reason string"
+MAX_RECORD_CHARS = 1 << 20  # a quoted cell that never ends would otherwise gather the rest of its file
+
+CELL_OPTIONS = {"escape": '"', "emptyValue": "", "mode": "PERMISSIVE"}
+
+# Whether a quoted cell is still open at the end of a line, for a line that begins outside of one and for one that
+# begins inside. A quote opens a cell only as its first sign; behind a closed one anything goes up to the comma.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_CELL = rf'(?:"{_QUOTED}"[^,]*+|[^",][^,]*+)?'
+_OPENS = rf'(?:{_CELL},)*+"{_QUOTED}$'
+OPENS = rf"(?s)^{_OPENS}"
+STAYS_OPEN = rf'(?s)^{_QUOTED}(?:$|"[^,]*+,{_OPENS})'
 
 
 def file_name_of(encoded_path: Column) -> Column:
@@ -31,119 +49,170 @@ def file_name_of(encoded_path: Column) -> Column:
     return F.url_decode(F.replace(base_name(encoded_path), F.lit("+"), F.lit("%2B")))
 
 
+def bare_path(path: Column) -> Column:
+    """A path without its scheme, which listing and scan spell differently (file:/ and file:///)."""
+    return F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+
+
 def list_files(spark: SparkSession, path: Paths) -> DataFrame:
-    """Names of the files at a path, also of empty ones. The content is not read.
+    """Names of the files at a path, also of empty ones, which no scan ever opens. The content is not read.
 
-    A scan never opens a file of zero bytes, so the names come from the file index that Spark builds
-    on the driver for any read of the path.
+    The names are those of the file index that Spark builds on the driver for any read of the path.
     """
     listed = spark.read.text(path).inputFiles()
     if not listed:
         return spark.createDataFrame([], "file_path string, file_name string")
     found = spark.createDataFrame(pd.DataFrame({"file_path": listed}))
-    return found.withColumn("file_name", file_name_of(F.col("file_path")))
+    return found.select(bare_path(F.col("file_path")).alias("file_path"), file_name_of(F.col("file_path")).alias("file_name"))
 
 
-def file_headers(spark: SparkSession, path: Paths) -> DataFrame:
-    """The first line of every file. Combines on the map side to one row per file."""
-    return (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
+@dataclass(frozen=True)
+class SalesText:
+    """The files at a path and their staged lines.
+
+    ``files`` has ``file_path, file_name`` of every file, also of empty ones. ``lines`` has the text line by line with
+    ``at`` (when its file was written, the file's name, where the block begins, a number that grows in a block).
+    """
+
+    files: DataFrame
+    lines: DataFrame
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """``file_path, file_name, at, record``: the lines, or several joined where a quoted cell goes on.
+
+        Only files in which a cell is left open take the second way. A record that is longer than
+        ``MAX_RECORD_CHARS`` is NULL.
+        """
+        opened = self.lines.where("opens").select("file_path").distinct()
+        whole = self.lines.join(opened, "file_path", "left_anti").select("file_path", "file_name", "at", F.col("value").alias("record"))
+        split = joined_records(self.lines.join(opened, "file_path", "left_semi"))
+        return whole.unionByName(split).where(F.col("record").isNull() | (F.trim("record") != ""))
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        """``file_path, header, header_at``: the first record of every file; combines to one row per file on the map side."""
+        first = F.struct("at", F.coalesce("record", F.lit("")).alias("header"))
+        found = self.records.where(F.col("at.start") == 0).groupBy("file_path").agg(F.min(first).alias("first"))
+        return found.select("file_path", "first.header", F.col("first.at.n").alias("header_at"))
+
+
+def read_text(spark: SparkSession, path: Paths, scratch: Scratch) -> SalesText:
+    """Stage the lines of all files at a path. Blocks of a file are read by different tasks."""
+    listed = list_files(spark, path)
+    quoted = F.col("value").contains('"')
+    lines = spark.read.text(path).select(
+        bare_path(F.col("_metadata.file_path")).alias("file_path"),
+        file_name_of(F.col("_metadata.file_path")).alias("file_name"),
+        F.struct(
+            F.col("_metadata.file_modification_time").alias("written"),
+            F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("start"),
-            "value",
             F.monotonically_increasing_id().alias("n"),
-        )
-        .where((F.col("start") == 0) & (F.trim("value") != ""))
-        .groupBy("file_path")
-        .agg(F.min_by("value", "n").alias("header"))
+        ).alias("at"),
+        "value",
+        F.when(quoted, F.col("value").rlike(OPENS)).otherwise(F.lit(False)).alias("opens"),
+        F.when(quoted, F.col("value").rlike(STAYS_OPEN)).otherwise(F.lit(True)).alias("stays_open"),
     )
+    return SalesText(scratch.stage(listed, "files"), scratch.stage(lines, "lines"))
 
 
-def header_places(headers: DataFrame, width: int, columns: list[str]) -> DataFrame:
-    """Position of each wanted column in each file, from 1; 0 where a file lacks it.
+def _running(df: DataFrame, keys: list[str], order: Column, sets: Column, flips: Column) -> DataFrame:
+    """Adds ``known`` and ``flipped``: the last state that a row sets, and whether the rows flip it since (over all rows if none does).
 
-    The last of several columns with the same name counts.
+    The state after a row is ``known`` (else the state before the first row) turned by ``flipped``.
     """
-    cells = F.from_csv("header", _cell_schema(width), {"escape": '"'})
-    backwards = F.array(*[F.coalesce(cells[f"c{i}"], F.lit("")) for i in reversed(range(width))])
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turned = df.withColumn("turns", F.sum(flips.cast("int")).over(so_far) % 2 == 1)
+    return turned.withColumn("known", F.last(F.when(sets.isNotNull(), sets != F.col("turns")), ignorenulls=True).over(so_far)) \
+        .withColumnRenamed("turns", "flipped")
 
-    def place(name: str) -> Column:
-        found = F.array_position(backwards, F.lit(name))
-        return F.when(found > 0, width + 1 - found).otherwise(F.lit(0)).cast("int")
 
-    return headers.select("file_path", *[place(c).alias(f"at_{c}") for c in columns])
+def joined_records(lines: DataFrame) -> DataFrame:
+    """Lines joined to records where a quoted cell holds line breaks.
+
+    What a line does to the state (open or not) depends on the state before it, so lines are composed:
+    first inside each block of a file, then over the few rows that sum up the blocks. No file is read by one task.
+    """
+    block, order = ["file_path", "start"], F.col("n")
+    rows = lines.select("file_path", "file_name", "at", "at.start", "at.n", "value", "opens", "stays_open")
+    sets = F.when(F.col("opens") == F.col("stays_open"), F.col("opens"))
+    inside = _running(rows, block, order, sets, F.col("opens") & ~F.col("stays_open"))
+    ends = inside.groupBy(*block).agg(F.max_by(F.struct("known", "flipped"), "n").alias("e")).select(*block, "e.known", "e.flipped")
+    by_file = Window.partitionBy("file_path").orderBy("start")
+    over = _running(ends.withColumnsRenamed({"known": "sets", "flipped": "turned"}), ["file_path"], F.col("start"),
+                    F.when(F.col("sets").isNotNull(), F.col("sets") != F.col("turned")), F.col("sets").isNull() & F.col("turned"))
+    after = F.coalesce("known", F.lit(False)) != F.col("flipped")
+    carried = over.withColumn("after", after).select(*block, F.lag("after", 1, False).over(by_file).alias("carried"))
+
+    entered = inside.join(carried, block)
+    state = F.coalesce("known", "carried") != F.col("flipped")
+    before = F.lag(state).over(Window.partitionBy(*block).orderBy(order))
+    begun = entered.withColumn("begins", ~F.coalesce(before, F.col("carried")))
+    so_far = Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = begun.withColumn("in_block", F.sum(F.col("begins").cast("bigint")).over(so_far))
+    earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counted.groupBy(*block).agg(F.max("in_block").alias("records"))
+    firsts = firsts.select(*block, F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("first"))
+    numbered = counted.join(firsts, block).withColumn("number", F.col("first") + F.col("in_block"))
+
+    one = ["file_path", "number"]
+    held = F.sum(F.length("value") + 1).over(Window.partitionBy(*one).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    measured = numbered.withColumn("held", held)
+    fits = F.col("held") <= MAX_RECORD_CHARS
+    parts = F.sort_array(F.collect_list(F.when(fits, F.struct("start", "n", "value"))))
+    text = F.array_join(F.transform(parts, lambda p: p["value"]), "\n")
+    return measured.groupBy(*one).agg(
+        F.first("file_name").alias("file_name"), F.min("at").alias("at"), F.when(F.bool_and(fits), text).alias("record")
+    ).select("file_path", "file_name", "at", "record")
 
 
 def _cell_schema(width: int) -> str:
     return ", ".join(f"c{i} string" for i in range(width))
 
 
-def header_shape(headers: DataFrame) -> tuple[int, str | None]:
-    """An upper bound of the columns in any file, and the header if all files share one.
+def header_places(headers: DataFrame, width: int, columns: list[str]) -> DataFrame:
+    """Position of each wanted column in each file, from 1; 0 where a file lacks it.
 
-    Both come from one aggregate; the driver sees a number and a line.
+    The last of several columns with the same name counts.
     """
-    commas = F.length("header") - F.length(F.replace(F.col("header"), F.lit(","), F.lit("")))
-    widest, first, last = headers.agg(F.max(commas), F.min("header"), F.max("header")).first()
-    return (widest or 0) + 1, first if first == last else None
+    cells = F.from_csv("header", _cell_schema(width), CELL_OPTIONS)
+    backwards = F.array(*[F.coalesce(cells[f"c{i}"], F.lit("")) for i in reversed(range(width))])
+
+    def place(name: str) -> Column:
+        found = F.array_position(backwards, F.lit(name))
+        return F.when(found > 0, width + 1 - found).otherwise(F.lit(0)).cast("int")
+
+    return headers.select("file_path", "header_at", *[place(c).alias(f"at_{c}") for c in columns])
 
 
-def shared_places(header: str, columns: list[str]) -> dict[str, int]:
-    names = next(csv.reader([header]), [])
-    return {c: len(names) - names[::-1].index(c) if c in names else 0 for c in columns}
+def header_width(headers: DataFrame) -> int:
+    """An upper bound of the columns in any file; the driver sees one number."""
+    commas = F.length("header") - F.length(F.replace(F.col("header"), F.lit(","), F.lit("")))
+    return (headers.agg(F.max(commas)).first()[0] or 0) + 1
 
 
-def scan_by_name(
-    spark: SparkSession, path: Paths, columns: list[str] = SALES_COLUMNS, multi_line: bool = False
-) -> DataFrame:
+def scan_by_name(text: SalesText, columns: list[str] = SALES_COLUMNS) -> DataFrame:
     """Rows of CSV files with the wanted columns found by header name, whatever their order.
 
-    Spark maps a user schema by position, so the files are read by position once. Where all files
-    share one header the wanted columns are known up front and only they are parsed. Otherwise each
-    row picks its cells through its own file's header, which takes a join on the file but still one
-    pass for any number of header shapes. Every wanted column comes as text, together with
-    ``has_<column>`` telling an absent column from an empty cell.
-
-    With ``multi_line`` quoted cells may hold line breaks; a file is then read by one task.
+    Each row picks its cells through its own file's header: one join on the file, for any number of header
+    shapes, and Spark broadcasts the headers where they are small. Every wanted column comes as text, together
+    with ``has_<column>`` telling an absent column from an empty cell.
     """
-    headers = file_headers(spark, path)
-    width, shared = header_shape(headers)
-    rows = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", True)
-        .option("emptyValue", "")
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .schema(_cell_schema(width))
-        .csv(path)
+    width = header_width(text.headers)
+    places = header_places(text.headers, width, columns)
+    rows = text.records.join(places, "file_path").where(F.col("at.n") != F.col("header_at"))
+    cells = F.from_csv("record", _cell_schema(width), CELL_OPTIONS)
+    # A one-row inline keeps the parse at one evaluation per row.
+    parsed = rows.select(
+        "file_path", "file_name", F.col("at").alias("ingest_seq"), *[f"at_{c}" for c in columns],
+        F.inline(F.array(F.struct(F.array(*[cells[f"c{i}"] for i in range(width)]).alias("cells")))),
     )
-    cells = [f"c{i}" for i in range(width)]
-    file = [
-        F.col("_metadata.file_path").alias("file_path"),
-        file_name_of(F.col("_metadata.file_path")).alias("file_name"),
-        F.struct(
-            F.col("_metadata.file_modification_time").alias("written"),
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("n"),
-        ).alias("ingest_seq"),
-    ]
-    if shared is not None:
-        at = shared_places(shared, columns)
-        absent = F.lit(None).cast("string")
-        return rows.select(
-            *file,
-            *[(F.col(cells[at[c] - 1]) if at[c] else absent).alias(c) for c in columns],
-            *[F.lit(at[c] > 0).alias(f"has_{c}") for c in columns],
-        )
 
     def cell(name: str) -> Column:
         return F.when(F.col(f"at_{name}") > 0, F.get(F.col("cells"), F.col(f"at_{name}") - 1))
 
-    places = header_places(headers, width, columns)
-    return rows.select(*file, F.array(*cells).alias("cells")).join(places, "file_path").select(
+    return parsed.select(
         "file_path",
         "file_name",
         "ingest_seq",
@@ -152,34 +221,37 @@ def scan_by_name(
     )
 
 
-def amount_or_zero(amount: Column, has_column: Column) -> Column:
-    """The amount; zero where the file has no such column, NULL where the cell is bad."""
-    return F.when(has_column, money(amount)).otherwise(F.lit(0).cast(MONEY))
-
+def read_sales_rows(text: SalesText) -> DataFrame:
+    """Typed rows of sales files.
 
-def read_sales_rows(spark: SparkSession, path: Paths, multi_line: bool = False) -> DataFrame:
-    """Typed rows of sales files; ``valid`` is false where the amount is not a finite number."""
-    amount = amount_or_zero(F.col("daily_sales_total"), F.col("has_daily_sales_total"))
-    return scan_by_name(spark, path, multi_line=multi_line).select(
+    ``valid`` is false where the amount is not a finite number. A finite amount that does not fit the table is
+    NULL, with a reason: it is refused by itself, not with its file. A file without an amount column has zeros.
+    """
+    given, has_amount = F.col("daily_sales_total"), F.col("has_daily_sales_total")
+    amount = F.when(has_amount, money(given)).otherwise(F.lit(0).cast(MONEY))
+    valid = ~has_amount | finite_number(given).isNotNull()
+    return scan_by_name(text).select(
         "file_path",
         "file_name",
         "ingest_seq",
         "restaurant_id",
         "location_id",
         F.col("date").alias("date_text"),
+        F.when(amount.isNull(), given).alias("sales_text"),
         amount.alias("daily_sales_total"),
-        amount.isNotNull().alias("valid"),
+        valid.alias("valid"),
+        F.when(valid & amount.isNull(), F.lit(OUT_OF_RANGE)).alias("reason"),
     )
 
 
 def file_verdicts(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Whether each file is used: one bad row refuses the whole file, and so does having no rows."""
+    """Whether each file is used: one bad row refuses the whole file, and so does having no usable rows."""
     found = rows.groupBy("file_name").agg(
-        F.bool_and("valid").alias("good"), F.count(F.lit(1)).alias("n")
+        F.bool_and("valid").alias("good"), F.count_if(F.col("daily_sales_total").isNotNull()).alias("n")
     )
     if files is not None:
         found = files.select("file_name").join(found, "file_name", "left")
-    good = F.coalesce(F.col("good"), F.lit(False))
+    good = F.coalesce(F.col("good") & (F.col("n") > 0), F.lit(False))
     return found.select(
         "file_name",
         F.when(good, F.lit(CSV_SOURCE)).otherwise(F.lit(FALLBACK_SOURCE)).alias("sales_source"),
@@ -227,53 +299,63 @@ def resolve_tenant_files(tenants: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def load_tenant_sales(
-    spark: SparkSession, path: Paths, tenants: DataFrame, multi_line: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Sales rows served to every tenant, and the source verdict per tenant.
+def load_tenant_sales(text: SalesText, tenants: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of the good files, once each, and for every tenant its file and what became of it.
 
-    A row keeps the tenant ids it carries itself; missing ones are those of the tenant it is served
-    to (``for_restaurant_id, for_location_id``).
+    A tenant's sales are those of its file (``file_name`` in the second relation). Tenants are not multiplied by
+    rows here: what is computed of sales is computed per file, and handed to its tenants by ``of_tenants``.
     """
-    files = list_files(spark, path)
-    resolved = resolve_tenant_files(tenants, files)
-    rows = read_sales_rows(spark, path, multi_line)
-    verdicts = file_verdicts(rows, files)
-    served = resolved.select(
-        "file_name",
-        F.col("restaurant_id").alias("for_restaurant_id"),
-        F.col("location_id").alias("for_location_id"),
-    )
-    sales = (
-        rows_of_good_files(rows, verdicts)
-        .join(served, "file_name")
-        .select(
-            "for_restaurant_id",
-            "for_location_id",
-            *tenant_columns(
-                F.col("restaurant_id"),
-                F.col("location_id"),
-                F.col("for_restaurant_id"),
-                F.col("for_location_id"),
-            ),
-            "date_text",
-            "daily_sales_total",
-            "file_name",
-            "ingest_seq",
-        )
-    )
-    status = resolved.join(verdicts, "file_name", "left").select(
+    resolved = resolve_tenant_files(tenants, text.files)
+    rows = scratch.stage(read_sales_rows(text), "rows")
+    verdicts = file_verdicts(rows, text.files)
+    status = of_tenants(resolved, verdicts).select(
         *TENANT,
+        "file_name",
         F.coalesce("file_name", F.lit(DEFAULT_SALES_FILE)).alias("sales_file_path"),
         F.coalesce("sales_source", F.lit(FALLBACK_SOURCE)).alias("sales_source"),
         F.coalesce("sales_rows_loaded", F.lit(0)).alias("sales_rows_loaded"),
         F.when(F.col("file_name").isNull(), F.lit("file_not_found")).alias("error"),
     )
-    return sales, status
+    return rows_of_good_files(rows, verdicts), status
+
+
+def of_tenants(resolved: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Each tenant with the one row of its file, NULLs where that is missing.
+
+    The row of the default file, which any number of tenants may share, enters as a scalar subquery, so that
+    they do not meet in one join key.
+    """
+    shared = F.coalesce(F.col("file_name") == DEFAULT_SALES_FILE, F.lit(False))
+    values = [c for c in per_file.columns if c != "file_name"]
+    default = per_file.where(F.col("file_name") == DEFAULT_SALES_FILE).agg(F.first(F.struct(*values))).scalar()
+    of_file = per_file.select(F.col("file_name").alias("own_file"), F.struct(*values).alias("own"))
+    joined = resolved.withColumn("own_file", F.when(~shared, F.col("file_name"))).join(of_file, "own_file", "left")
+    chosen = joined.withColumn("chosen", F.when(shared, default).otherwise(F.col("own")))
+    return chosen.select(*resolved.columns, *[F.col(f"chosen.{c}").alias(c) for c in values])
+
+
+def dated_file_rows(rows: DataFrame) -> DataFrame:
+    """Rows of good files with their date, NULL where the text is none, and why a row is not used, if it is not."""
+    date = iso_date(F.col("date_text"))
+    return rows.select(
+        "file_name",
+        date.alias("date"),
+        "date_text",
+        "sales_text",
+        "daily_sales_total",
+        F.coalesce("reason", F.when(date.isNull(), F.lit("invalid_date"))).alias("reason"),
+        F.col("ingest_seq.start").alias("batch"),
+        F.col("ingest_seq.n").alias("ingest_seq"),
+    )
+
+
+def keyed_file_sales(dated: DataFrame) -> DataFrame:
+    """The last amount of each file and date; the place of a row in its file is its arrival order."""
+    return latest_by_key(dated.where(F.col("reason").isNull()), keys=["file_name", "date"])
 
 
 def read_upload(
-    spark: SparkSession, path: Paths, restaurant_id: str = "", location_id: str = "", multi_line: bool = False
+    spark: SparkSession, path: Paths, scratch: Scratch, restaurant_id: str = "", location_id: str = ""
 ) -> tuple[DataFrame, DataFrame]:
     """Classified rows of uploaded files, and a status per file.
 
@@ -281,8 +363,7 @@ def read_upload(
     at all the status relation has the one row that says so.
     """
     try:
-        files = list_files(spark, path)
-        scanned = scan_by_name(spark, path, multi_line=multi_line)
+        text = read_text(spark, path, scratch)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -291,7 +372,7 @@ def read_upload(
         return classify_uploads(empty), status
 
     headed = F.col("has_date") & F.col("has_daily_sales_total")
-    raw = scanned.where(headed).select(
+    raw = scan_by_name(text).where(headed).select(
         "file_name",
         "ingest_seq",
         F.coalesce(first_filled(F.col("restaurant_id")), F.lit(restaurant_id)).alias("restaurant_id"),
@@ -299,27 +380,20 @@ def read_upload(
         F.col("date").alias("date_text"),
         F.col("daily_sales_total").alias("sales_text"),
     )
-    return classify_uploads(raw), upload_status(spark, path, files)
+    return classify_uploads(raw), upload_status(text)
 
 
-def upload_status(spark: SparkSession, path: Paths, files: DataFrame) -> DataFrame:
+def upload_status(text: SalesText) -> DataFrame:
     """Header check per uploaded file; a file without a header line fails it."""
-    headers = file_headers(spark, path)
-    places = header_places(headers, header_shape(headers)[0], ["date", "daily_sales_total"])
+    places = header_places(text.headers, header_width(text.headers), ["date", "daily_sales_total"])
     checked = places.select(
         "file_path", ((F.col("at_date") > 0) & (F.col("at_daily_sales_total") > 0)).alias("complete")
     )
-    # Listing and scan spell a path differently (file:/ and file:///), so compare it without scheme.
-    bare = F.regexp_replace("file_path", "^[a-z0-9]+:/+", "/")
     ok = F.coalesce(F.col("complete"), F.lit(False))
-    return (
-        files.withColumn("file_path", bare)
-        .join(checked.withColumn("file_path", bare), "file_path", "left")
-        .select(
-            "file_name",
-            F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("ingestion_status"),
-            F.when(~ok, F.lit(BAD_HEADERS)).alias("reason"),
-        )
+    return text.files.join(checked, "file_path", "left").select(
+        "file_name",
+        F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("ingestion_status"),
+        F.when(~ok, F.lit(BAD_HEADERS)).alias("reason"),
     )
 
 

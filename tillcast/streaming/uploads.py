@@ -12,6 +12,7 @@ from tillcast.constants import SALES_KEY
 from tillcast.operators.ingest import accepted_rows, count_against, rejected_rows
 from tillcast.session import shared_checkpoint_dir
 from tillcast.sources.sales_files import read_upload
+from tillcast.sources.scratch import Scratch
 from tillcast.sources.tables import read_batches, sales_batches, store_sales_batch, write_batch
 
 # Only the path of a new file is taken from the stream; its content is read by the batch reader.
@@ -24,9 +25,9 @@ def apply_upload(spark: SparkSession, paths: list[str], root: str, batch_id: int
     Counts compare with batches stored before this one only, so a repeat after a lost driver counts
     what the first attempt counted.
     """
-    classified, status = read_upload(spark, paths)
-    classified = classified.persist()
-    try:
+    with Scratch(spark, "upload") as scratch:
+        classified, status = read_upload(spark, paths, scratch)
+        classified = scratch.stage(classified, "classified")
         # Two scalars; they let Parquet skip row groups outside the dates of this upload.
         span = classified.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
         earlier = (
@@ -39,8 +40,6 @@ def apply_upload(spark: SparkSession, paths: list[str], root: str, batch_id: int
         write_batch(status, f"{root}/status", batch_id)
         accepted = accepted_rows(classified)
         store_sales_batch(accepted.select(*SALES_KEY, "daily_sales_total", "ingest_seq"), root, batch_id)
-    finally:
-        classified.unpersist()
 
 
 class ForeignRoot(ValueError):
