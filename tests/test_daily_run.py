@@ -7,7 +7,7 @@ from test_models import PLAN
 import local_provider
 from tillcast.operators import insight, runlog
 from tillcast.plans.daily_run import daily_run
-from tillcast.sources.tables import latest_models
+from tillcast.sources.tables import latest_models, read_committed, read_runs
 
 STEPS = ["1_data_ingestion", "2_data_warehouse", "3_feature_engineering", "4_feature_store_sync",
          "model_registry", "5_ml_prediction", "gpt_insight", "6_optimization", "8_dashboard_update"]
@@ -28,7 +28,7 @@ def test_nine_steps_end_ok(spark, tmp_path):
     rows = steps.collect()
     assert [r.step for r in rows] == STEPS
     assert [r.errors for r in rows] == [[]] * 9 and all(r.duration_ms >= 0 for r in rows)
-    assert spark.read.parquet(f"{root}/run_log").count() == 9
+    assert read_runs(spark, f"{root}/run_log").count() == 9
     got = runlog.run_summary(steps).first()
     assert (got.ok_count, got.error_count, got.has_errors) == (9, 0, False)
 
@@ -44,7 +44,7 @@ def test_nine_steps_end_ok(spark, tmp_path):
     assert loaded == {"sales": 11}
     trend = {r.restaurant_id: (r.rows, r.training_source) for r in latest_models(spark, f"{root}/trend_models").collect()}
     assert trend == {"restaurant_001": (10, "real_pipeline_sales"), "r2": (365, "synthetic_fallback")}
-    assert spark.read.parquet(f"{root}/feature_store").count() == 2
+    assert read_committed(spark, f"{root}/feature_store").count() == 2
 
 
 def test_repeat_is_stable_and_external_provider_works(spark, tmp_path):
@@ -62,9 +62,10 @@ def test_repeat_is_stable_and_external_provider_works(spark, tmp_path):
     assert sorted(second.collect()) == sorted(r[:-1] for r in first)
     assert spark.read.parquet(f"{root}/answers").count() == 4
     assert latest_models(spark, f"{root}/average_models").count() == 2
-    logged = spark.read.parquet(f"{root}/run_log")
+    logged = read_runs(spark, f"{root}/run_log")
     assert {(r.run_id, r.n) for r in logged.groupBy("run_id").count().withColumnRenamed("count", "n").collect()} == {
-        ("run_1", 18), ("run_2", 9)}
+        ("run_1", 9), ("run_2", 9)}
+    assert read_committed(spark, f"{root}/feature_store").count() == 4
 
 
 def test_failed_stage_is_reported(spark, tmp_path):
@@ -99,3 +100,17 @@ def test_rows_without_a_date_are_kept_aside(spark, tmp_path):
     assert (status.sales_rows_loaded, status.rows_rejected) == (4, 2)
     assert status.rows_used == 2
     assert spark.read.parquet(f"{root}/file_sales").count() == status.sales_rows_loaded - status.rows_rejected
+
+
+def test_a_failed_step_is_made_up_for_by_the_dashboard(spark, tmp_path, monkeypatch):
+    tenants, root = inputs(spark, tmp_path / "in"), str(tmp_path / "out")
+
+    def broken(*_):
+        raise RuntimeError("no plan")
+
+    monkeypatch.setattr("tillcast.plans.daily_run.staffing_plan", broken)
+    steps = {r.step: r.status for r in daily_run(spark, str(tmp_path / "in"), tenants, root, "run_1", "v1",
+                                                 provider=local_provider.rule_provider).collect()}
+    assert steps["6_optimization"] == "error" and steps["8_dashboard_update"] == "ok"
+    board = spark.read.parquet(f"{root}/dashboard").where("restaurant_id = 'restaurant_001'").orderBy("day_index").collect()
+    assert [(r.day_index, str(r.predicted_sales), r.recommended_staff, str(r.ingredients_needed), str(r.estimated_meals)) for r in board] == PLAN

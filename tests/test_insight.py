@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SAMPLE
@@ -9,7 +11,7 @@ from tillcast.constants import INSIGHT_KEYS
 from tillcast.functions import payload
 import local_provider
 from tillcast.operators import dashboard, insight
-from tillcast.operators.forecast import forecast, with_forecast
+from tillcast.operators.forecast import daily_plan, forecast, with_forecast
 from tillcast.operators.models import tenant_profiles
 
 T = ("r", "l")
@@ -127,8 +129,29 @@ def test_dashboard_without_insight(make_sales):
     assert (got.insight_status, got.risk_level, got.n_actions) == (None, None, 0)
 
 
-def test_current_or_recomputed(spark):
-    now = spark.createDataFrame([(1, None), (2, "now")], "k int, v string")
-    other = spark.createDataFrame([(1, "old"), (3, "old")], "k int, v string")
-    got = {r.k: r.v for r in dashboard.current_or_recomputed(now, other, ["k"]).collect()}
-    assert got == {1: None, 2: "now", 3: "old"}
+@pytest.mark.parametrize("provider", [None, local_provider.rule_provider])
+def test_parts_of_a_run_or_recomputed(spark, make_sales, provider):
+    names = [f"t{i}" for i in range(8)]
+    profiles = tenant_profiles(make_sales({("r", n): SAMPLE for n in names}))
+    at = F.substring("location_id", 2, 1).cast("int")
+    fresh = daily_plan(forecast(profiles))
+    plan = {r.day_index: r for r in fresh.where("location_id = 't0'").collect()}
+    forecasts = profiles.where(at % 2 == 1).select("restaurant_id", "location_id", F.array(*[F.lit(d).cast("decimal(18,2)") for d in (600, 1300)]).alias("forecast"))
+    staffing = profiles.where(at % 4 >= 2).select("restaurant_id", "location_id", F.expr("array(named_struct('day_index', 2, 'recommended_staff', 9))").alias("staffing_plan"))
+    insights = profiles.where(at >= 4).select("restaurant_id", "location_id", F.lit("ok").alias("insight_status"), F.lit("x").alias("risk_level"), F.array(F.lit("a")).alias("actions"))
+    asked = []
+
+    def counting(prompts):
+        asked.append({r.location_id for r in prompts.select("location_id").collect()})
+        return provider(prompts)
+
+    board = dashboard.dashboard_from_run(profiles, forecasts, staffing, insights, counting if provider else None)
+    got = {(r.location_id, r.day_index): r for r in board.collect()}
+    assert not provider or asked == [{"t0", "t1", "t2", "t3"}]
+    for i, n in enumerate(names):
+        days = {1: ("600.00", 1), 2: ("1300.00", 2)} if i % 2 else {d: (str(r.predicted_sales), r.recommended_staff) for d, r in plan.items()}
+        for d, (amount, staff) in days.items():
+            r = got.pop((n, d))
+            assert (str(r.predicted_sales), r.recommended_staff) == (amount, 9 if i % 4 >= 2 and d == 2 else staff)
+            assert (r.insight_status, r.n_actions) == (("ok", 1) if i >= 4 else ("ok", 3) if provider else ("skipped", 0))
+    assert not got

@@ -149,15 +149,40 @@ def test_summary_covers_planned_runs(spark):
     assert got == {"a": (1, 1, 2, 3, True), "dry": (0, 0, 0, 2, False)}
 
 
-def test_model_from_latest_stored_run(spark):
+def test_models_from_latest_stored_runs(spark):
     from conftest import SAMPLE
-    from tillcast.operators.ingest import typed_sales
-    from tillcast.operators.models import fit_average
+    from tillcast.operators.models import fit_average, fit_trend
 
     sales = [{"date": f"2025-01-{i + 1:02d}", "daily_sales_total": a} for i, a in enumerate(SAMPLE)]
-    df = runs(spark, [{"results": [step([A])]}, {"result": {"results": [step(sales, restaurant_id="r")]}}])
-    model = fit_average(typed_sales(runlog.sales_of_latest_run(df))).first()
-    assert (model.restaurant_id, model.location_id, float(model.avg_daily_sales)) == ("r", "location_001", 1519.0)
+    text = [{"date": "2025-01-01", "daily_sales_total": "5"}]
+    df = runs(spark, [
+        {"results": [step([A])]},  # the default tenant
+        {"result": {"results": [step(sales, restaurant_id="r")]}},
+        {"results": [step([], restaurant_id="r")]},  # newer, but without usable sales: passed over
+        {"results": [step(text, restaurant_id="r")]},
+        {"results": [step([7, *sales], restaurant_id="s")]},  # strict reading refuses it, lenient reading drops the 7
+    ])
+    strict, lenient = runlog.latest_stored_sales(df), runlog.latest_stored_sales(df, strict=False)
+    assert {r.restaurant_id: float(r.avg_daily_sales) for r in fit_average(strict).collect()} == {"restaurant_001": float(A["daily_sales_total"]), "r": 1519.0}
+    trend = {r.restaurant_id: (round(r.slope, 6), r.rows) for r in fit_trend(lenient).collect()}
+    assert trend["r"] == trend["s"] == (14.339394, 10)
+    assert {r.restaurant_id for r in strict.select("restaurant_id").distinct().collect()} == {"restaurant_001", "r"}
+
+
+def test_percentile_is_exact_and_keeps_no_values(spark):
+    import numpy as np
+    from plan_text import formatted
+
+    rng = np.random.default_rng(1)
+    rows = [(f"s{s}", "step_done", int(ms)) for s, n in ((1, 1), (2, 2), (3, 997)) for ms in rng.integers(0, 90, n)]
+    rows += [("s1", "step_start", 10**6), ("s9", "step_done", None)]
+    df = spark.createDataFrame(rows, "step string, event string, duration_ms bigint")
+    got = runlog.step_durations(df)
+    for r in got.collect():
+        values = [ms for s, e, ms in rows if s == r.step and e == "step_done"]
+        assert (r.runs, r.max_ms) == (len(values), max(values))
+        assert abs(r.p95_ms - np.percentile(values, 95)) < 1e-9 and abs(r.avg_ms - np.mean(values)) < 1e-9
+    assert got.count() == 3 and "ObjectHashAggregate" not in formatted(got)
 
 
 def test_tenant_filter_reaches_the_scan(spark, tmp_path):

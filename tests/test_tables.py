@@ -61,9 +61,10 @@ def test_uncommitted_compaction_is_ignored(spark, tmp_path):
 def test_feature_store(spark, tmp_path):
     tenants = spark.createDataFrame([T], "restaurant_id string, location_id string")
     path = str(tmp_path / "fs")
-    tables.append_features(features.feature_store_rows(features.feature_lists(tenants)), path)
-    tables.append_features(features.feature_store_rows(features.feature_lists(tenants, [])), path)
-    rows = spark.read.parquet(path).collect()
+    tables.append_features(features.feature_store_rows(features.feature_lists(tenants)), path, "run/1")
+    tables.append_features(features.feature_store_rows(features.feature_lists(tenants)), path, "run/1")
+    tables.append_features(features.feature_store_rows(features.feature_lists(tenants, [])), path, "run/2")
+    rows = tables.read_committed(spark, path).collect()
     assert [r.features_json for r in rows] == [
         '["daily_sales_total","hourly_sales_profile","inventory_usage_rate","waste_rate","labor_hours"]'
     ]
@@ -112,10 +113,10 @@ def test_run_log_grows_columns(spark, tmp_path):
     path = str(tmp_path / "runs")
     live = spark.createDataFrame([(1, "a", "ok"), (2, "b", None)], "seq bigint, run_id string, status string")
     live = tables.run_payload(live, ["run_id", "status"])
-    tables.append_runs(live, path, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    tables.append_runs(live, path, "a", F.lit("2025-01-01 00:00:00").cast("timestamp"))
     wide = live.limit(1).withColumn("restaurant_id", F.lit("r")).withColumn("location_id", F.lit("l"))
     wide = wide.withColumn("duration_ms", F.lit(None).cast("bigint")).withColumn("payload_json", F.lit("{broken"))
-    tables.append_runs(wide, path, F.lit("2025-01-02 00:00:00").cast("timestamp"))
+    tables.append_runs(wide, path, "b", F.lit("2025-01-02 00:00:00").cast("timestamp"))
     rows = tables.read_runs(spark, path).orderBy("stored_at", "seq").collect()
     assert [(r.status, r.restaurant_id, r.duration_ms) for r in rows] == [
         ("ok", None, None), ("unknown", None, None), ("ok", "r", 0),
@@ -135,3 +136,25 @@ def test_model_json_round_trip(spark, tmp_path, make_sales):
     columns = ["restaurant_id", "location_id", "avg_daily_sales", "training_rows"]
     assert sorted(back.select(columns).collect()) == sorted(models_.select(columns).collect())
     assert {(r.version, r.reason) for r in back.collect()} == {("1.0", None)}
+
+
+def test_an_append_without_its_commit_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    one = spark.createDataFrame([(1,)], "x int")
+    for key in ("007", "a b", "1.0"):
+        tables.append_keyed(one, path, key)
+    one.write.parquet(f"{path}/rows/appended_by=cut")
+    assert sorted(r.appended_by for r in tables.read_committed(spark, path).collect()) == ["007", "1.0", "a b"]
+    tables.append_keyed(one.union(one), path, "007")
+    assert tables.read_committed(spark, path).where("appended_by = '007'").count() == 2
+
+
+def test_newest_models_read_no_history(spark, tmp_path, make_sales):
+    path = str(tmp_path / "models")
+    for version, series in (("v1", {T: [1], ("r", "old"): [2], ("r", "gone"): [3]}), ("v2", {T: [10], ("r", "gone"): [30]}), ("v3", {T: [20]})):
+        tables.append_model_version(models.fit_average(make_sales(series)), path, version)
+    tables.append_model_version(models.fit_average(make_sales({T: [11]})), path, "v2")  # repeated, without one tenant
+    df = tables.latest_models(spark, path)
+    assert {r.location_id: (float(r.avg_daily_sales), r.model_version) for r in df.collect()} == {
+        "l": (20.0, "v3"), "old": (2.0, "v1"), "gone": (3.0, "v1")}
+    assert "/versions" not in formatted(df)

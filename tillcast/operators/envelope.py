@@ -60,7 +60,7 @@ def coerce_output(outputs: DataFrame, raw: str = "raw_json") -> DataFrame:
     """Normalise raw step outputs held as JSON text.
 
     An object gives its ``data``, or everything outside the envelope keys; any other value, also
-    text that is not JSON, is wrapped as ``{"value": ...}``.
+    text that is not JSON, is wrapped as ``{"value": ...}``. The text is parsed once; all parts come from its variant.
     """
     text, value, data = F.col(raw), F.col("_value"), F.col("_data")
     staged = (
@@ -68,7 +68,7 @@ def coerce_output(outputs: DataFrame, raw: str = "raw_json") -> DataFrame:
         .withColumn("_object", payload.object_or_null(value))
         .withColumn("_data", payload.field(F.col("_object"), "$.data", "variant"))
     )
-    members = F.from_json(text, "map<string,variant>")
+    members = F.col("_object").cast("map<string,variant>")
     rest = F.map_filter(members, lambda k, _: ~k.isin([*ENVELOPE_KEYS, "data"]))
     wrapped = F.when(
         value.isNotNull(), F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}"))

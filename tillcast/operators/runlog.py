@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.constants import (
@@ -13,6 +13,7 @@ from tillcast.constants import (
     TENANT,
 )
 from tillcast.functions import payload
+from tillcast.functions.staging import computed_once
 from tillcast.functions.text import filled
 
 RUN_DEFAULT_STATUS = "unknown"
@@ -205,16 +206,52 @@ def sales_of_latest_run(runs: DataFrame, strict: bool = True, order: str = "seq"
     return extract_sales(latest_run(runs, order), strict)
 
 
-def step_durations(lines: DataFrame) -> DataFrame:
-    """Durations per step from parsed log lines."""
-    took = F.when(F.col("event") == "step_done", F.col("duration_ms"))
+def latest_stored_sales(runs: DataFrame, strict: bool = True, order: str = "seq") -> DataFrame:
+    """Sales rows of each tenant's newest run that holds usable ones; runs without are passed over.
+
+    A usable entry has an amount stored as a number. Rows keep their place in the list (``ingest_seq``). Payloads are
+    read once: a run's sales stay one array until the newest run is known, and the ranking is cut to one
+    run per tenant before the shuffle.
+    """
+    found = stored_sales(decode_payload(runs), strict)
+    entries = F.transform("sales", lambda e: F.struct(payload.field(e, "$.date").alias("date"), _amount(e).alias("daily_sales_total")))
+    read = computed_once(found, ["run_id", order], {"tenant": F.struct(*_step_tenant(F.col("step"))), "entries": entries})
+    usable = read.where(F.exists("entries", lambda e: e["daily_sales_total"].isNotNull()))
+    newest = F.row_number().over(Window.partitionBy("tenant").orderBy(F.col(order).desc()))
+    chosen = usable.withColumn("newest", newest).where("newest = 1")
+    return chosen.select("run_id", "tenant.*", F.posexplode("entries").alias("ingest_seq", "entry")).select(
+        "run_id", *TENANT, "ingest_seq", "entry.date", "entry.daily_sales_total"
+    )
+
+
+def step_durations(lines: DataFrame, share: float = 0.95) -> DataFrame:
+    """Durations per step from parsed log lines.
+
+    Lines are first counted by step and duration, so that the percentile, which is exact and interpolated, is taken
+    from the running count over distinct durations; no step gathers its values.
+    """
+    took = lines.where((F.col("event") == "step_done") & F.col("duration_ms").isNotNull())
+    counts = took.groupBy("step", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    step = Window.partitionBy("step")
+    ranked = counts.select(
+        "step", "duration_ms", "n",
+        F.sum("n").over(step.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("through"),
+        F.sum("n").over(step.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("runs"),
+    )
+    place = (F.col("runs") - 1) * F.lit(share)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("through") > rank) & (F.col("through") - F.col("n") <= rank), F.col("duration_ms")))
+
+    total = F.sum(F.col("duration_ms").cast("decimal(38,0)") * F.col("n"))
     return (
-        lines.groupBy("step")
+        ranked.groupBy("step")
         .agg(
-            F.count(took).alias("runs"),
-            F.avg(took).alias("avg_ms"),
-            F.max(took).alias("max_ms"),
-            F.percentile(took, 0.95).alias("p95_ms"),
+            F.first("runs").alias("runs"),
+            (total.cast("double") / F.first("runs")).alias("avg_ms"),
+            F.max("duration_ms").alias("max_ms"),
+            at(F.floor(place)).alias("low"),
+            at(F.ceil(place)).alias("high"),
         )
-        .where(F.col("runs") > 0)
+        .select("step", "runs", "avg_ms", "max_ms", (F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))).alias("p95_ms"))
     )

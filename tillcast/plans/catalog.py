@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tillcast.constants import MONEY, TENANT
 from tillcast.functions import payload
-from tillcast.functions.values import money
+from tillcast.functions.values import finite_number, money
 from tillcast.operators import envelope, features, insight, models, requests, runlog
-from tillcast.operators.dashboard import dashboard_from_profiles
+from tillcast.operators.dashboard import dashboard_from_profiles, dashboard_from_run
 from tillcast.operators.forecast import (
     DAY,
     daily_plan,
@@ -37,7 +37,7 @@ from tillcast.operators.ingest import (
 )
 from tillcast.sources import testbed
 from tillcast.sources.logs import parse_log_lines
-from tillcast.sources.sales_files import file_verdicts, resolve_tenant_files
+from tillcast.sources.sales_files import file_verdicts, of_tenants, resolve_tenant_files
 from tillcast.streaming.totals import daily_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +67,9 @@ def upload_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 def upload_file_verdict(spark: SparkSession, sf: str) -> DataFrame:
     rows = testbed.upload_files(spark, sf).select(
-        "file_name", money(F.col("sales_text")).isNotNull().alias("valid")
+        "file_name",
+        money(F.col("sales_text")).alias("daily_sales_total"),
+        finite_number(F.col("sales_text")).isNotNull().alias("valid"),
     )
     return file_verdicts(rows)
 
@@ -385,8 +387,37 @@ def step_output_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def step_payload_coerce(spark: SparkSession, sf: str) -> DataFrame:
-    coerced = envelope.coerce_output(testbed.run_log(spark, sf), "payload_json")
-    return coerced.select("seq", "data_json", "status", F.size("errors").alias("n_errors"))
+    coerced = envelope.coerce_output(testbed.raw_outputs(spark, sf))
+    return coerced.select("seq", "data_json", "status", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), "metrics_json")
+
+
+def dashboard_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The dashboard of a run that has some parts of some tenants."""
+    profiles = models.tenant_profiles(testbed.sales(spark, sf))
+    return dashboard_from_run(profiles, *testbed.run_parts(profiles)).select(
+        *DAY, _double("predicted_sales"), "recommended_staff", _double("ingredients_needed"), _double("estimated_meals"),
+        "insight_status", "risk_level", "n_actions")
+
+
+def file_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Models fitted once per sales file and handed to the tenants of the file."""
+    sales = testbed.file_sales(spark, sf)
+    resolved = resolve_tenant_files(testbed.tenants(spark, sf), sales.select("file_name").distinct())
+    fitted = models.tenant_profiles(sales, keys=["file_name"]).select("file_name", "avg_daily_sales", "training_rows")
+    fitted = fitted.join(models.fit_trend(sales, ["file_name"]).drop("rows"), "file_name")
+    return of_tenants(resolved, fitted).select(
+        *TENANT, "file_name", _double("avg_daily_sales"), "training_rows", _double("slope", 4), _double("intercept", 4))
+
+
+def stored_run_average(spark: SparkSession, sf: str) -> DataFrame:
+    """The average model from the newest stored run of each tenant with usable sales."""
+    return models.fit_average(runlog.latest_stored_sales(testbed.raw_runs(spark, sf))).select(*TENANT, _double("avg_daily_sales"), "training_rows")
+
+
+def stored_run_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """The trend model from the same, with entries that are no objects left out of a run."""
+    sales = runlog.latest_stored_sales(testbed.raw_runs(spark, sf), strict=False)
+    return models.fit_trend(sales).select(*TENANT, _double("intercept", 4), _double("slope", 4), _double("std_error", 4), "rows")
 
 
 QUERIES: dict[str, Query] = {
@@ -436,4 +467,8 @@ QUERIES: dict[str, Query] = {
     "step_durations": step_durations,
     "step_output_normalise": step_output_normalise,
     "step_payload_coerce": step_payload_coerce,
+    "dashboard_parts": dashboard_parts,
+    "file_models": file_models,
+    "stored_run_average": stored_run_average,
+    "stored_run_trend": stored_run_trend,
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillcast.constants import TENANT
 from tillcast.operators import features, insight, models
-from tillcast.operators.dashboard import dashboard_days, dashboard_records
+from tillcast.operators.dashboard import dashboard_from_run, dashboard_records
 from tillcast.operators.forecast import forecast_days, inventory_plan, staffing_plan, with_forecast
 from tillcast.sources.sales_files import dated_file_rows, keyed_file_sales, load_tenant_sales, of_tenants, read_text
 from tillcast.sources.scratch import Scratch
@@ -23,6 +23,7 @@ from tillcast.sources.tables import (
     append_features,
     append_model_version,
     append_runs,
+    read_model_versions,
     trend_model_records,
     write_model_json,
 )
@@ -42,11 +43,13 @@ class _Steps:
         self.run_id = run_id
         self.rows: list[tuple] = []
 
+    def ended_well(self, step: str) -> bool:
+        return any(row[1] == step and row[2] == "ok" for row in self.rows)
+
     def run(self, step: str, stage: Callable[[], None], *needs: str) -> None:
         """Run a stage if those it needs ended well in this run; otherwise skip it and say why."""
         started, clock = datetime.now(timezone.utc), time.monotonic()
-        done = {row[1] for row in self.rows if row[2] == "ok"}
-        missing = [f"needs {n}" for n in needs if n not in done]
+        missing = [f"needs {n}" for n in needs if not self.ended_well(n)]
         errors: list[str] = []
         if not missing:
             try:
@@ -108,7 +111,7 @@ def daily_run(
         store(features.feature_lists(served().select(*TENANT)), "features")
 
     def sync_features() -> None:
-        append_features(features.feature_store_rows(table("features")), f"{root}/feature_store")
+        append_features(features.feature_store_rows(table("features")), f"{root}/feature_store", run_id)
 
     def register_models() -> None:
         sales = table("file_sales")  # models are fitted once per file, and handed to its tenants
@@ -126,7 +129,7 @@ def daily_run(
         )
 
     def this_version(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}/model_version={version}")
+        return read_model_versions(spark, f"{root}/{name}").where(F.col("model_version") == version).drop("model_version")
 
     def predict() -> None:
         store(with_forecast(this_version("average_models")), "forecasts")
@@ -144,10 +147,20 @@ def daily_run(
         store(staffing_plan(days), "staffing_plan")
         store(inventory_plan(days), "inventory_plan")
 
+    def part(step: str, name: str, schema: str) -> DataFrame:
+        """What a step of this run gave, or nothing where it did not end well."""
+        return table(name) if steps.ended_well(step) else spark.createDataFrame([], schema)
+
     def update_dashboard() -> None:
-        forecasts, advice = table("forecasts"), table("insights")
-        store(dashboard_days(forecast_days(forecasts), advice), "dashboard")
-        store(dashboard_records(forecasts, advice), "dashboard_records")
+        ids = "restaurant_id string, location_id string"
+        forecasts = part("5_ml_prediction", "forecasts", f"{ids}, forecast array<decimal(18,2)>").select(*TENANT, "forecast")
+        staffing = part("6_optimization", "staffing_plan", f"{ids}, day_index int, predicted_sales decimal(18,2), recommended_staff int")
+        nested = F.sort_array(F.collect_list(F.struct("day_index", "recommended_staff"))).alias("staffing_plan")
+        advice = part("gpt_insight", "insights", f"{ids}, insight_status string, risk_level string, actions array<string>")
+        board = dashboard_from_run(this_version("average_models"), forecasts, staffing.groupBy(*TENANT).agg(nested), advice, provider)
+        store(board, "dashboard")
+        if steps.ended_well("5_ml_prediction") and steps.ended_well("gpt_insight"):
+            store(dashboard_records(table("forecasts"), table("insights")), "dashboard_records")
 
     steps.run("1_data_ingestion", ingest)
     steps.run("2_data_warehouse", warehouse, "1_data_ingestion")
@@ -157,8 +170,8 @@ def daily_run(
     steps.run("5_ml_prediction", predict, "model_registry")
     steps.run("gpt_insight", advise, "5_ml_prediction")
     steps.run("6_optimization", optimise, "5_ml_prediction")
-    steps.run("8_dashboard_update", update_dashboard, "5_ml_prediction", "gpt_insight")
+    steps.run("8_dashboard_update", update_dashboard, "model_registry")
 
     envelopes = spark.createDataFrame(steps.rows, STEP_SCHEMA)
-    append_runs(envelopes, f"{root}/run_log")
+    append_runs(envelopes, f"{root}/run_log", run_id)
     return envelopes

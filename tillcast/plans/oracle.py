@@ -488,11 +488,79 @@ select event_id as step_id, case when event_type = 'error' then 'error' else 'ok
   'ok' as demoted_status,
   cast(event_type = 'error' as integer) + cast(event_id % 10 = 0 as integer) as demoted_warnings
 from events""",
-    "step_payload_coerce": f"""with {_RUN_LOG}
-select seq,
-  case when not json_valid(payload_json) then concat('{{"value":', cast(to_json(payload_json) as varchar), '}}')
-       when json_type(payload_json) = 'OBJECT' then cast(json(replace(payload_json, ' ', '')) as varchar)
-       else concat('{{"value":', payload_json, '}}') end as data_json,
-  'ok' as status, cast(0 as integer) as n_errors
-from run_log""",
+    "step_payload_coerce": """with outputs as (
+  select event_id as seq, case event_id % 8
+    when 0 then concat('{"data":{"k":"', event_type, '"},"errors":[],"step":"s"}')
+    when 1 then concat('{"errors":["', event_type, '",{"type":"E"}],"a":1,"status":"x"}')
+    when 2 then concat('{"errors":"', event_type, '","warnings":["w",2],"metrics":{"rows":3}}')
+    when 3 then concat('{"data":null,"errors":null,"b":["', event_type, '",null]}')
+    when 4 then concat('["', event_type, '"]') when 5 then concat('!', event_type) when 6 then props
+    else '{"data":7,"metrics":[1]}' end as raw from events),
+j as (select seq, raw, case when json_valid(raw) then cast(raw as json) end as j from outputs),
+typed as (select *, json_type(j) = 'OBJECT' as is_object, case when json_type(j) = 'OBJECT' then json_extract(j, '$.data') end as data,
+    case when json_type(j) = 'OBJECT' then json_extract(j, '$.errors') end as e,
+    case when json_type(j) = 'OBJECT' then json_extract(j, '$.warnings') end as w,
+    case when json_type(j) = 'OBJECT' then json_extract(j, '$.metrics') end as m from j),
+members as (select seq, string_agg(concat(to_json(k), ':', json_extract(j, concat('$.', k))), ',' order by k) as rest
+  from (select seq, j, unnest(json_keys(j)) as k from typed where is_object)
+  where k not in ('errors', 'warnings', 'metrics', 'status', 'step', 'data') group by seq),
+counted as (select *,
+    case when e is null or json_type(e) = 'NULL' then 0 when json_type(e) = 'ARRAY' then json_array_length(e) else 1 end as n_e,
+    case when w is null or json_type(w) = 'NULL' then 0 when json_type(w) = 'ARRAY' then json_array_length(w) else 1 end as n_w from typed)
+select seq, case when data is not null and json_type(data) <> 'NULL' then cast(data as varchar)
+    when is_object then concat('{', coalesce(rest, ''), '}')
+    when j is not null then concat('{"value":', cast(j as varchar), '}') else concat('{"value":', cast(to_json(raw) as varchar), '}') end as data_json,
+  case when n_e = 0 then 'ok' else 'error' end as status, cast(n_e as integer) as n_errors, cast(n_w as integer) as n_warnings,
+  case when json_type(m) = 'OBJECT' then cast(m as varchar) else '{}' end as metrics_json
+from counted left join members using (seq)""",
+    "dashboard_parts": f"""{_PLANNED},
+parts as (
+  select f.restaurant_id, f.location_id, f.day_index, length(f.location_id) % 2 = 1 as has_plan, ascii(f.location_id) % 2 = 1 as has_insight,
+    case when length(f.restaurant_id) % 2 = 1 then cast(cast(round(avg4, 2) as decimal(18,2)) + f.day_index as decimal(18,2)) else predicted_sales end as predicted_sales
+  from forecast f join avg_model using (restaurant_id, location_id)),
+planned as (select restaurant_id, location_id, day_index, has_plan, has_insight, {_PLAN_COLUMNS} from parts)
+select restaurant_id, location_id, day_index, predicted_sales,
+  cast(case when has_plan then day_index + 10 else recommended_staff end as integer) as recommended_staff, ingredients_needed, estimated_meals,
+  case when has_insight then 'ok' else 'skipped' end as insight_status, case when has_insight then 'high' end as risk_level,
+  cast(case when has_insight then 2 else 0 end as integer) as n_actions
+from planned""",
+    "file_models": f"""with {_SALES},
+of_file as (
+  select case when length(restaurant_id) % 2 = 1 then concat(replace(restaurant_id, ' ', '_'), '__sales.csv') else 'upload_sales.csv' end as file_name,
+    restaurant_id, location_id, date, daily_sales_total from sales),
+days as (
+  select case when length(restaurant_id) % 2 = 1 then concat(restaurant_id, '__sales.csv') else 'upload_sales.csv' end as file_name, date,
+    sum(daily_sales_total) as total from sales group by 1, 2),
+named as (select distinct n_name as restaurant_id, c_mktsegment as location_id, replace(n_name, ' ', '_') as safe from customer join nation on c_nationkey = n_nationkey),
+chosen as (select restaurant_id, location_id, case when concat(safe, '__sales.csv') in (select file_name from days) then concat(safe, '__sales.csv')
+    else 'upload_sales.csv' end as file_name from named),
+points as (select file_name, cast(total as double) as y, total, row_number() over (partition by file_name order by date) - 1 as x from days),
+fits as (select file_name, count(*) as n, sum(cast(total * 10000 as hugeint)) as s, coalesce(regr_slope(y, x), 0) as slope, coalesce(regr_intercept(y, x), avg(y)) as intercept
+  from points group by 1)
+select restaurant_id, location_id, file_name, cast(cast((2 * s + n) // (2 * n) as decimal(22,0)) * cast(0.0001 as decimal(5,4)) as double) as avg_daily_sales,
+  n as training_rows, round(slope, 4) as slope, round(intercept, 4) as intercept
+from chosen left join fits using (file_name)""",
+    "stored_run_average": f"""with {_STORED},
+whole as (
+  select *, row_number() over (partition by seq order by i) as r from steps
+  where len(list_filter(entries, lambda e: json_type(e) <> 'OBJECT')) = 0),
+firsts as (select seq, any_value(restaurant_id order by i) as restaurant_id from steps group by seq),
+usable as (select seq, restaurant_id, e from (select seq, unnest(entries) as e from whole where r = 1) join firsts using (seq)),
+priced as (select seq, restaurant_id, {_ENTRY} from usable),
+newest as (select restaurant_id, max(seq) as seq from priced where daily_sales_total is not null group by 1),
+sales as (select p.restaurant_id, 'location_001' as location_id, cast(daily_sales_total as decimal(18,2)) as daily_sales_total
+  from priced p join newest using (restaurant_id, seq) where daily_sales_total is not null),
+{_average('sales')}
+select restaurant_id, location_id, cast(avg4 as double) as avg_daily_sales, training_rows from avg_model""",
+    "stored_run_trend": f"""with {_STORED},
+firsts as (select *, row_number() over (partition by seq order by i) as r from steps),
+entries_ as (select seq, restaurant_id, unnest(range(1, len(entries) + 1)) as place, entries as l from firsts where r = 1),
+priced as (select seq, restaurant_id, place, {_ENTRY} from (select seq, restaurant_id, place, l[place] as e from entries_) where json_type(e) = 'OBJECT'),
+newest as (select restaurant_id, max(seq) as seq from priced where daily_sales_total is not null group by 1),
+points as (select restaurant_id, daily_sales_total as y, row_number() over (partition by restaurant_id order by date, place) - 1 as x
+  from priced join newest using (restaurant_id, seq) where daily_sales_total is not null),
+fits as (select restaurant_id, count(*) as n, case when count(*) > 1 then regr_slope(y, x) else 0 end as slope, case when count(*) > 1 then regr_intercept(y, x) else avg(y) end as intercept from points group by 1)
+select restaurant_id, 'location_001' as location_id, round(any_value(intercept), 4) as intercept, round(any_value(slope), 4) as slope,
+  round(stddev_pop(y - (intercept + slope * x)), 4) as std_error, any_value(n) as rows
+from points join fits using (restaurant_id) group by 1""",
 }

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tillcast.session import shared_checkpoint_dir
+from tillcast.sources.tables import remove_folder
 
 
 class Scratch:
@@ -26,8 +27,7 @@ class Scratch:
 
     def drop(self) -> None:
         """Delete the folder; tables read from it are no longer usable."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(self.spark, self.path)
 
     def __enter__(self) -> "Scratch":
         return self

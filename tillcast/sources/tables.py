@@ -7,6 +7,9 @@ the state is the last row per key. Nothing already stored is rewritten by an upl
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +92,41 @@ def compact_sales(spark: SparkSession, root: str, through: int) -> None:
     write_batch(rows, f"{root}/base_commits", through)
 
 
-def append_features(rows: DataFrame, path: str, created_at: Column | None = None) -> None:
+def _part_name(key: str) -> str:
+    return quote(key, safe="")
+
+
+def append_keyed(rows: DataFrame, path: str, key: str, by: list[str] | None = None) -> None:
+    """Append what one run gives, under its key; running it again replaces the rows instead of adding to them.
+
+    A commit row is written last. An append that was cut short is not read, and neither is one that is being repeated
+    seen half: its commit goes first.
+    """
+    spark = rows.sparkSession
+    commit = f"{path}/commits/appended_by=k_{_part_name(key)}"
+    remove_folder(spark, commit)
+    writer = rows.drop("appended_by").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/rows/appended_by=k_{_part_name(key)}")
+    spark.range(1).select(F.current_timestamp().alias("committed_at")).coalesce(1).write.mode("overwrite").parquet(commit)
+
+
+def read_committed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of all committed appends, with the key as ``appended_by``; a given schema avoids merging footers of all files."""
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    commits = spark.read.parquet(f"{path}/commits").select("appended_by").distinct()
+    # The mark in front keeps keys of digits from being read as numbers.
+    return reader.parquet(f"{path}/rows").join(commits, "appended_by", "left_semi").withColumn("appended_by", F.substr("appended_by", F.lit(3)))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def append_features(rows: DataFrame, path: str, run_id: str, created_at: Column | None = None) -> None:
+    """Append feature lists of one run to the feature store."""
     stamp = F.current_timestamp() if created_at is None else created_at
-    rows.withColumn("created_at", stamp).write.mode("append").parquet(path)
+    append_keyed(rows.withColumn("created_at", stamp), path, run_id)
 
 
 def model_version(trained_at: Column, suffix: Column | None = None) -> Column:
@@ -107,8 +142,40 @@ def new_run_id(at: Column, suffix: Column | None = None) -> Column:
 
 
 def append_model_version(models: DataFrame, path: str, version: str) -> None:
-    """Store one training run of all its tenants; the same version again replaces it."""
-    models.drop("model_version").write.mode("overwrite").parquet(f"{path}/model_version={version}")
+    """Store one training run of all its tenants; the same version again replaces it.
+
+    The newest model of every tenant is kept beside the versions, so that reading it reads no history: the last
+    table of newest models and the new version are folded into the next one, and a commit row names it.
+    """
+    spark = models.sparkSession
+    stored = models.drop("model_version")
+    stored.write.mode("overwrite").parquet(f"{path}/versions/model_version={_part_name(version)}")
+    mine = spark.read.schema(stored.schema).parquet(f"{path}/versions/model_version={_part_name(version)}").withColumn("model_version", F.lit(version))
+    current = _newest_table(spark, path)
+    if current is None:
+        newest = mine
+    else:
+        kept = spark.read.parquet(current).where(F.col("model_version") != version)
+        # A repeated version may have lost tenants, whose earlier models then count again.
+        lost = read_model_versions(spark, path).where(F.col("model_version") != version) \
+            .join(_lost_tenants(spark, current, version, mine), TENANT, "left_semi")
+        newest = _of_last_version(kept.unionByName(lost, allowMissingColumns=True).unionByName(mine, allowMissingColumns=True))
+    name = f"{uuid.uuid4().hex}"
+    newest.write.parquet(f"{path}/newest/{name}")
+    order = spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("committed_at"))
+    order.coalesce(1).write.mode("append").parquet(f"{path}/newest_commits")
+
+
+def _newest_table(spark: SparkSession, path: str) -> str | None:
+    commits = read_batches(spark, f"{path}/newest_commits", "name string, committed_at timestamp")
+    last = commits.agg(F.max_by("name", "committed_at").alias("name")).first()
+    return f"{path}/newest/{last.name}" if last.name else None
+
+
+def _lost_tenants(spark: SparkSession, current: str, version: str, mine: DataFrame) -> DataFrame:
+    """Tenants whose newest model was of this version before it was repeated without them."""
+    before = spark.read.parquet(current).where(F.col("model_version") == version)
+    return before.select(*TENANT).join(mine.select(*TENANT), TENANT, "left_anti")
 
 
 def trend_model_records(models: DataFrame, trained_at: Column | None = None) -> DataFrame:
@@ -122,7 +189,7 @@ def trend_model_records(models: DataFrame, trained_at: Column | None = None) ->
 def read_model_versions(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.option("mergeSchema", True)
-        .parquet(path)
+        .parquet(f"{path}/versions")
         .withColumn("model_version", F.col("model_version").cast("string"))
     )
 
@@ -134,8 +201,9 @@ def _of_last_version(versions: DataFrame) -> DataFrame:
 
 
 def latest_models(spark: SparkSession, path: str) -> DataFrame:
-    """The model each tenant trained last. Older versions stay readable by their version."""
-    return _of_last_version(read_model_versions(spark, path))
+    """The model each tenant trained last, from the table of newest models. Older versions stay readable by their version."""
+    current = _newest_table(spark, path)
+    return _of_last_version(read_model_versions(spark, path)) if current is None else spark.read.parquet(current)
 
 
 def write_model_json(records: DataFrame, path: str, version: str) -> None:
@@ -174,19 +242,14 @@ def read_model_json(spark: SparkSession, path: str) -> DataFrame:
     return _of_last_version(rows.where(named)).unionByName(rows.where(~named)).drop("model_version")
 
 
-def append_runs(runs: DataFrame, path: str, stored_at: Column | None = None) -> None:
-    """Append to the run log, partitioned by day so that lookups of recent runs prune.
+def append_runs(runs: DataFrame, path: str, key: str, stored_at: Column | None = None) -> None:
+    """Append to the run log under the run's (or batch's) key, partitioned by day so that lookups of recent runs prune.
 
     Columns may be added over time; older files read as NULL there.
     """
     stamp = F.current_timestamp() if stored_at is None else stored_at
     stored = with_run_defaults(runs).withColumn("stored_at", stamp)
-    (
-        stored.withColumn("stored_day", F.col("stored_at").cast("date"))
-        .write.mode("append")
-        .partitionBy("stored_day")
-        .parquet(path)
-    )
+    append_keyed(stored.withColumn("stored_day", F.col("stored_at").cast("date")), path, key, by=["stored_day"])
 
 
 def run_payload(runs: DataFrame, columns: list[str]) -> DataFrame:
@@ -195,6 +258,6 @@ def run_payload(runs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The run log with decoded payloads; a given schema avoids merging footers of all files."""
-    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
-    return decode_payload(reader.parquet(path))
+    """The committed run log with decoded payloads, where it has any."""
+    runs = read_committed(spark, path, schema)
+    return decode_payload(runs) if "payload_json" in runs.columns else runs

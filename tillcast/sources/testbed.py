@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.constants import MONEY, TENANT
+from tillcast.constants import DEFAULT_SALES_FILE, MONEY, TENANT
 from tillcast.operators.features import daily_sales
 
 FILE_ROWS = 4
@@ -373,3 +373,41 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("ok")),
         ).alias("value")
     )
+
+
+def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw outputs of steps: with ``data`` or without, errors as list, scalar or nothing, warnings, metrics, or no object."""
+    event, kind = F.col("event_id"), F.col("event_type")
+    quoted = F.concat(F.lit('"'), kind, F.lit('"'))
+    text = (
+        F.when(event % 8 == 0, F.concat(F.lit('{"data":{"k":'), quoted, F.lit('},"errors":[],"step":"s"}')))
+        .when(event % 8 == 1, F.concat(F.lit('{"errors":['), quoted, F.lit(',{"type":"E"}],"a":1,"status":"x"}')))
+        .when(event % 8 == 2, F.concat(F.lit('{"errors":'), quoted, F.lit(',"warnings":["w",2],"metrics":{"rows":3}}')))
+        .when(event % 8 == 3, F.concat(F.lit('{"data":null,"errors":null,"b":['), quoted, F.lit(',null]}')))
+        .when(event % 8 == 4, F.concat(F.lit("["), quoted, F.lit("]")))
+        .when(event % 8 == 5, F.concat(F.lit("!"), kind))
+        .when(event % 8 == 6, F.col("props"))
+        .otherwise(F.lit('{"data":7,"metrics":[1]}'))
+    )
+    return table(spark, sf_dir, "events").select(event.alias("seq"), text.alias("raw_json"))
+
+
+def run_parts(profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts of a run, each for some of the tenants: forecasts, staffing plans and insights, in all eight combinations."""
+    day = F.sequence(F.lit(1), F.lit(7))
+    base = F.round("avg_daily_sales", 2).cast(MONEY)
+    forecasts = profiles.where(F.length("restaurant_id") % 2 == 1).select(
+        *TENANT, F.transform(day, lambda d: (base + d).cast(MONEY)).alias("forecast"))
+    staffing = profiles.where(F.length("location_id") % 2 == 1).select(
+        *TENANT, F.transform(day, lambda d: F.struct(d.alias("day_index"), (d + 10).alias("recommended_staff"))).alias("staffing_plan"))
+    insights = profiles.where(F.ascii("location_id") % 2 == 1).select(
+        *TENANT, F.lit("ok").alias("insight_status"), F.lit("high").alias("risk_level"), F.array(F.lit("a"), F.lit("b")).alias("actions"))
+    return forecasts, staffing, insights
+
+
+def file_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed sales of files: nations whose name has an odd length have one of their own, all others are in the default file."""
+    name = F.concat("restaurant_id", F.lit("__sales.csv"))
+    own = F.when(F.length("restaurant_id") % 2 == 1, name).otherwise(F.lit(DEFAULT_SALES_FILE))
+    lines = order_lines(spark, sf_dir).select(own.alias("file_name"), "date", "amount")
+    return lines.groupBy("file_name", "date").agg(F.sum("amount").cast(MONEY).alias("daily_sales_total"))
