@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tillcast.llm.topk import integer_vector, top_k
 
 
-def brute(vectors, k):
-    out = set()
-    for q, v in vectors.items():
+def brute(rows, k):
+    """``rows``: (id, vector), ids may repeat."""
+    found = {}
+    for q, v in rows:
         if q % 50 == 0:
-            others = [(-int(np.dot(v, w)), i) for i, w in vectors.items() if i != q and len(w) == len(v)]
-            out |= {(q, n, i, -s) for n, (s, i) in enumerate(sorted(others)[:k], 1)}
-    return out
+            found.setdefault(q, []).extend((-int(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+    return sorted((q, n, i, -s) for q, others in found.items() for n, (s, i) in enumerate(sorted(others)[:k], 1))
 
 
 @pytest.mark.parametrize("block,query_block", [(8192, 512), (37, 2)])
@@ -23,9 +23,12 @@ def test_against_brute_force(spark, block, query_block):
     vectors |= {400 + i: vectors[50].copy() for i in range(60)}  # a common vector, ids tie
     vectors |= {1000 + i: np.array([i, -i, 10**12]) for i in range(60)}  # another length, large components
     vectors[2000] = np.array([1])  # nothing to compare with
-    df = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in vectors.items()], "id long, v array<long>").repartition(3)
+    rows = list(vectors.items())
+    rows += [(7, vectors[50])] * 9 + [(50, vectors[50])] * 3  # repeated rows, of a candidate and of a query
+    rows += [(100, vectors[100] * n) for n in range(2, 12)] + [(9, vectors[100] * n) for n in range(2, 5)]  # one id, many vectors
+    df = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in rows], "id long, v array<long>").repartition(3)
     got = top_k(df, F.col("id") % 50 == 0, 5, block=block, query_block=query_block)
-    assert {tuple(r) for r in got.collect()} == brute(vectors, 5)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
 
 
 def test_odd_rows(spark):
@@ -33,5 +36,6 @@ def test_odd_rows(spark):
             (5, [-0.001, 1.0]), (None, [1.0, 1.0]), (50, []), (100, [])]
     df = spark.createDataFrame(rows, "id long, e array<float>").select("id", integer_vector(F.col("e")).alias("v"))
     got = sorted(tuple(r) for r in top_k(df, F.col("id") % 50 == 0, 5).collect())
-    assert got == [(0, 1, 5, 128 * -1 + 256 * 256), (50, 1, 100, 0), (100, 1, 50, 0)]
+    best = 128 * -1 + 256 * 256
+    assert got == [(0, 1, 5, best), (0, 2, 5, best), (50, 1, 100, 0), (100, 1, 50, 0)]
     assert top_k(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0

@@ -7,12 +7,12 @@ vectors are then read in the order of their bounds, best first, until the k-th e
 of the next, so nothing that could be among the best is left out. Bests of blocks are merged per query.
 
 Equal vectors are met once: a distinct vector carries its k + 1 smallest ids, enough for any query with
-its own id left out, as ties go to the smaller id. Work is blocks of queries times blocks of vectors,
+its own id left out, as ties go to the smaller id, each as often as its rows have it, up to k times. Work is blocks of queries times blocks of vectors,
 joined on the block number; no pair of rows is ever formed by a join.
 
 Vectors that are null or hold null, NaN or infinite components take no part; vectors are compared only with
-vectors of the same length. A repeated id counts once, with its least vector. A query with fewer than k
-candidates gets all. Empty tables give empty results. Scores are exact 64-bit integers.
+vectors of the same length. Every row is a candidate, also those of a repeated id, but never for a query of the same
+id; a query id with several rows gets the best of all of them. A query with fewer than k candidates gets all. Empty tables give empty results. Scores are exact 64-bit integers.
 """
 
 from __future__ import annotations
@@ -40,9 +40,12 @@ def integer_vector(embedding: Column, factor: int = 256) -> Column:
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """``v, ids``: distinct vectors with their k + 1 smallest ids. ``vectors`` has ``id, v``."""
+    """``v, ids``: distinct vectors with their k + 1 smallest ids, each up to k times. ``vectors`` has ``id, v``."""
+    counted = vectors.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    return vectors.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    few = counted.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    ids = F.array_sort(F.collect_list(F.struct("id", "n")))
+    return few.groupBy("v").agg(F.flatten(F.transform(ids, lambda x: F.array_repeat(x["id"], x["n"]))).alias("ids"))
 
 
 def _packed(rows: DataFrame, size: int, cells: dict[int, tuple[np.ndarray, np.ndarray]] | None) -> DataFrame:
@@ -94,7 +97,10 @@ def _best_of_block(queries: np.ndarray, own: np.ndarray, exact: np.ndarray, code
     """(query row, score, id) of the k best of this block for each query, read in the order of upper bounds."""
     upper, lower = _bounds(queries, codes, *cells)
     found = []
-    some = min(k + 1, upper.shape[1])  # one of them may be the query itself
+    only = np.array([i[0] if i[0] == i[-1] else -1 for i in ids], np.int64)
+    alone = np.array([i[0] == i[-1] for i in ids])
+    lower = np.where(alone & (own[:, None] == only), -np.inf, lower)  # rows of the query's own id are no candidates
+    some = min(k, upper.shape[1])
     floor_ = np.partition(lower, upper.shape[1] - some, axis=1)[:, upper.shape[1] - some]
     for r in range(len(queries)):
         if upper.shape[1] <= some:
@@ -120,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, block: int = BLOC
 
     ``vectors`` has ``id`` (long) and ``v`` (array of long); rows with a null ``v`` or ``id`` take no part.
     """
-    clean = staged(vectors.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    clean = staged(vectors.where("id is not null and v is not null").select("id", "v"), "vectors")
     distinct = staged(distinct_vectors(clean, k), "distinct-vectors")
     # Cells by component: least value and width. One row per length and component.
     ranges = distinct.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
