@@ -18,6 +18,7 @@ one result each, empty tables give empty results; columns called ``lang_pred`` o
 from __future__ import annotations
 
 import re
+from itertools import groupby
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm.tables import held_out, staged, without
+from tillcast.llm.tables import free_name, held_out, staged, without
 
 WORD = re.compile(r"[^\W\d_]{1,256}")
 START = "▁"  # marks the begin of a word in the vocabulary
@@ -52,6 +53,14 @@ def letter_pieces(path: str) -> list[str]:
     return sorted(p for p in pieces if p == START or p.removeprefix(START).isalpha())
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters in lower case; signs such as fractions and Roman numerals are no letters."""
+    found = []
+    for word in WORD.findall(text.lower()):
+        found += [word] if word.isalpha() else ["".join(run) for letters, run in groupby(word, str.isalpha) if letters]
+    return found
+
+
 class Trie:
     """The vocabulary's pieces by their letters: sorted keys (node, letter), looked up for many places at once."""
 
@@ -233,7 +242,7 @@ class Model:
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append(WORD.findall((text or "").lower()))
+            held.append(letter_runs(text or ""))
             size += len(held[-1])
             if size > WORDS_AT_ONCE:
                 yield from self._scored(held)
@@ -272,7 +281,7 @@ def fit(docs: DataFrame, path: str | None = None, *, docs_per_language: int = 20
 
     @F.udf("array<string>", useArrow=True)
     def words_of(value):
-        return WORD.findall(value.lower())
+        return letter_runs(value)
 
     drawn = rows.where(wanted).select("lang", F.explode(words_of("text")).alias("word"))
     counted = drawn.groupBy("word").agg(*[F.count_if(F.col("lang") == name).cast("double").alias(f"n{i}") for i, name in enumerate(langs)])
@@ -326,7 +335,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.text_scores(texts), columns=["lang_pred", "score"])
 
-    return docs.withColumn("_judged", judge(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_judged.lang_pred", "_judged.score")
+    judged = free_name(docs, "judged")
+    return docs.withColumn(judged, judge(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], f"{judged}.lang_pred", f"{judged}.score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
