@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tables import ascii_lower, staged
+from tillcast.llm.tables import ascii_lower, free_name, staged, with_row_id
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # What one broadcast of windows may take.
@@ -40,48 +40,62 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
             .select(F.xxhash64("window").alias("h"), F.size("window").alias("length"), "window", "items"))
 
 
-def _occurrences(docs: DataFrame, windows: DataFrame, lengths: list[int], keep_all: bool) -> DataFrame:
-    """Verified hits (``_row, start, length, items``) and, with ``keep_all``, one row per document without a hit."""
-    def hashes(length: int) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.xxhash64(F.slice("w", i, length)))
-        return F.when(F.size("w") >= length, some).otherwise(F.array().cast("array<bigint>"))
-
-    end = F.array(F.lit(None).cast("bigint"))  # one element that matches nothing: the document itself
-    grams = docs.select("*", F.posexplode(F.concat(*[hashes(n) for n in lengths], end)).alias("_at", "h"))
-    joined = grams.join(F.broadcast(windows), "h", "left" if keep_all else "inner")
-    # The place in the concatenated arrays tells the length and the start.
-    start, before = F.lit(None).cast("int"), F.lit(0)
-    for n in lengths:
-        n_windows = F.greatest(F.size("w") - n + 1, F.lit(0))
-        here = (F.col("_at") >= before) & (F.col("_at") < before + n_windows) & (F.col("length") == n)
-        start = F.when(here, F.col("_at") - before + 1).otherwise(start)
-        before = before + n_windows
-    hit = start.isNotNull() & (F.slice("w", F.coalesce(start, F.lit(1)), F.coalesce("length", F.lit(1))) == F.col("window"))
-    hit = F.coalesce(hit, F.lit(False))
-    kept = joined.select("_row", "_id", F.size("w").alias("n_words"), F.col("h").isNull().alias("whole"),
-                         F.when(hit, F.struct(start.alias("start"), F.col("length"))).alias("hit"), F.when(hit, F.col("items")).alias("items"))
-    return kept.where("whole or hit is not null")
+def _candidates(rows: DataFrame, windows: DataFrame, lengths: list[int], keep_all: bool) -> DataFrame:
+    """``row, id, start, length, window, items`` where a hash is met and, with ``keep_all``, per document a row whose ``start`` is its number of words.
+
+    A row has a hash and a place, never the words, so the work grows with the length of a text.
+    """
+    def hashes(w: Column, n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1),
+                           lambda i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("h"), i.alias("start"), F.lit(n).alias("length")))
+        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<struct<h:bigint,start:int,length:int>>"))
+
+    def elements(w: Column) -> Column:
+        none = F.lit(None)
+        whole = F.array(F.struct(none.cast("bigint").alias("h"), F.size(w).alias("start"), none.cast("int").alias("length")))
+        return F.concat(*[hashes(w, n) for n in lengths], whole)
+
+    grams = rows.select("row", "id", F.explode(F.transform(F.array(words_of(F.col("text"))), elements)[0]).alias("x")).select("row", "id", "x.*")
+    met = grams.join(F.broadcast(windows), ["h", "length"], "left" if keep_all else "inner")
+    return met.where("h is null or window is not null").select("row", "id", "start", "length", "window", "items")
+
+
+def _verified(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``row, hit, items`` of the candidates whose words are those of the window; only documents with some are read again."""
+    each = staged(candidates.groupBy("row").agg(F.collect_list(F.struct("start", "length", "window", "items")).alias("found")), "benchmark-candidates")
+    words = F.flatten(F.transform("found", lambda c: c["window"]))
+    size = each.agg(F.sum(64 + 8 * F.size(words) + F.octet_length(F.array_join(words, "")))).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES // 2:
+        each = F.broadcast(each)
+    true = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("found", lambda c: F.slice(w, c["start"], c["length"]) == c["window"]))[0]
+    hits = rows.select("row", "text").join(each, "row").select("row", F.explode(true).alias("x"))
+    return hits.select("row", F.struct("x.start", "x.length").alias("hit"), "x.items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, doc_id: str = "doc_id", text: str = "text",
                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, hit_words`` (places from 0), ``items``, ``contaminated``.
 
-    Contaminated: some word is inside a window, and these words are at least a twentieth of all.
+    Contaminated: some word is inside a window, and these words are at least a twentieth of all. Long texts are
+    read whole; other columns are not read.
     """
     windows = staged(benchmark_windows(benchmark, n), "benchmark-windows")
     facts = windows.agg(F.collect_set("length").alias("lengths"),
                         F.sum(64 + 2 * F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " "))).alias("bytes")).first()
     lengths = sorted(facts.lengths) or [n]
     chunks = max(1, math.ceil((facts.bytes or 0) / max_broadcast_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{doc_id}`").alias("_id"), words_of(F.col(f"`{text}`")).alias("w"))
+    row = free_name(docs, "row")
+    rows = with_row_id(docs, row).select(F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     found = None
     for i in range(chunks):
         part = windows if chunks == 1 else windows.where(F.pmod("h", F.lit(chunks)) == i)
-        hits = _occurrences(rows, part, lengths, keep_all=i == 0)
-        found = hits if found is None else found.union(hits)
-    grouped = found.groupBy("_row").agg(
-        F.any_value("_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"),
+        met = _candidates(rows, part, lengths, keep_all=i == 0)
+        found = met if found is None else found.union(met)
+    found = staged(found, "benchmark-found")
+    hits = _verified(rows, found.where("window is not null"))
+    every = found.where("window is null").select("row", "id", F.col("start").alias("n_words")).unionByName(hits, allowMissingColumns=True)
+    grouped = every.groupBy("row").agg(
+        F.any_value("id", ignoreNulls=True).alias("doc_id"), F.max("n_words").cast("long").alias("n_words"),
         F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"] - 1, x["start"] + x["length"] - 2))))
     n_hit = F.size("hit_words")
@@ -89,7 +103,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, doc_id:
         "contaminated", (n_hit > 0) & (n_hit * 20 >= F.col("n_words")))
 
 
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 13) -> DataFrame:
     """``docs`` without contaminated documents; every other row and all columns stay."""
     texts = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("key"), "text")
