@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillcast.llm.tables import staged, without
+from tillcast.llm.tables import free_name, staged, without
 
 STEPS = 1 << 24  # alpha is a multiple of 1 / STEPS
 PROBES = 64
@@ -112,12 +112,13 @@ def mix(docs: DataFrame, *, source: str = "source", text: str = "text", doc_id:
     plan = staged(mix_plan(docs, source=source, key=key, tokens=token_count(F.col(f"`{text}`")), blocks=blocks,
                            target_entropy=target_entropy, repetition_limit=repetition_limit, budget_tokens=budget_tokens), "mix-plan")
     size = plan.agg(F.sum(64 + F.coalesce(F.octet_length("src"), F.lit(0)) + 16 * F.size("uses"))).first()[0] or 0
-    plan = plan.select(F.col("src").alias("_src"), F.col("block").alias("_block"), "uses", "weight", "alpha")
+    src, of_block, use = (free_name(docs, n) for n in ("src", "of_block", "use"))
+    plan = plan.select(F.col("src").alias(src), F.col("block").alias(of_block), "uses", "weight", "alpha")
     if size <= MAX_BROADCAST_BYTES:
         plan = F.broadcast(plan)
     rows = docs.withColumn("block", key)
-    met = rows.join(plan, rows[source].eqNullSafe(plan["_src"]) & (rows["block"] == plan["_block"]))
+    met = rows.join(plan, rows[source].eqNullSafe(plan[src]) & (rows["block"] == plan[of_block]))
     columns = [rows[c] for c in docs.columns]
-    return met.select(*columns, "block", "weight", "alpha", F.explode("uses").alias("_use")).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("_use.epoch").alias("epoch"), "block",
-        F.col("_use.rank").alias("block_rank"), "weight", "alpha")
+    return met.select(*columns, rows["block"], plan["weight"], plan["alpha"], F.explode(plan["uses"]).alias(use)).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(f"{use}.epoch").alias("epoch"), "block",
+        F.col(f"{use}.rank").alias("block_rank"), "weight", "alpha")

@@ -148,10 +148,14 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "secrets") -> DataFrame:
-    """``docs`` with an array column ``out`` of (kind, start, end), by start and then order of the rules."""
+    """``docs`` with an array column ``out`` of (kind, start, end), by start and then order of the rules.
+
+    A column called ``out`` in any case is replaced, all others are kept as they are. Empty tables give empty results.
+    """
     @F.udf(SPANS, useArrow=True)
     def spans(value):
         scan = scanner(rules)
         return [(rules[r].kind, s, e) for s, r, e in sorted((s, r, e) for r, s, e in scan.spans(value))]
 
-    return docs.withColumn(out, spans(F.col(text)))
+    found = spans(F.col(f"`{text}`")).alias(out)
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], found)

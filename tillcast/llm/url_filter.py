@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tables import ascii_lower, staged
+from tillcast.llm.tables import ascii_lower, free_name, staged
 
 # Bits of one level that may be shipped with the plan (8 MB). A list that needs more is cut into
 # segments by hash, and rows meet their segment in an equi-join.
@@ -145,7 +145,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
                max_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """``pages`` with ``host, path, rule, listed, verdict``.
 
-    ``listed`` has one string column ``host``. The key universe is every distinct host of ``pages``.
+    ``listed`` has one string column ``host``. The key universe is every distinct host of ``pages``. Columns called like
+    a result, in any case, are replaced, all others are kept as they are; long urls and pages are carried whole.
     """
     own = ["host", "path", "rule", "listed", "verdict"]
     kept = [c for c in pages.columns if c.lower() not in own]
@@ -155,6 +156,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     universe = hosts.join(on_list, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
     marked = Cascade(universe, max_bits=max_bits).mark(parts, "host", "listed")
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    return marked.withColumn("_rule", rule).select(
-        *[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_rule.rule").alias("rule"), "listed",
-        F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    fits = free_name(marked, "fits")
+    return marked.withColumn(fits, rule).select(
+        *[F.col(f"`{c}`") for c in kept], "host", "path", F.col(f"{fits}.rule").alias("rule"), "listed",
+        F.coalesce(F.col(f"{fits}.verdict"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
