@@ -6,6 +6,9 @@ import hashlib
 import re
 import time
 
+import numpy as np
+import pandas as pd
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -86,7 +89,7 @@ def test_operators_on_odd_rows(spark):
     docs = spark.createDataFrame([(*r, "old", "old") for r in rows], DOCS)
     found = secrets_scan.find_secrets(docs.drop("Secrets")).collect()
     assert [[tuple(s) for s in r.secrets] for r in found] == [[], [], [("assign", 2, 20)], [("assign", 2, 20)], []]
-    found = pii.find_personal_data(docs, pii.unfitted())
+    found = pii.find_personal_data(docs, pii.prior())
     assert found.columns == ["doc_id", "text", "Secrets", "personal"]
     assert [[tuple(s) for s in r.personal] for r in found.collect()] == [
         [], [], [("email", 21, 28, True)], [("email", 21, 28, True)], [("ip", 200_001, 200_009, True)]]
@@ -95,13 +98,70 @@ def test_operators_on_odd_rows(spark):
 
 
 def test_field_labels_similar_mentions():
-    weights = pii.unfitted()
+    weights = pii.prior()
     weights.node[:] = 0
-    weights.skip[range(4), range(4)] = 4.0
     text = "Write to anna.bell7@mail.org. Later anna.bell7 wrote, and carl9 did not."
     assert [(text[s:e], pii.KINDS[k], base) for s, k, e, base in pii.spans_of(text, weights)][:2] == [
         ("anna.bell7@mail.org", "email", True), ("anna.bell7", "email", False)]
-    assert all(b for *_, b in pii.spans_of(text, pii.unfitted()))
+    weights.skip[:] = 0
+    weights.node[:, pii.OTHER] = 1
+    assert all(b for *_, b in pii.spans_of(text, weights))
+
+
+def test_messages_with_skip_edges_against_all_labellings():
+    rng = np.random.default_rng(8)
+    agreed = tried = 0
+    for case in range(40):
+        field = pii.Field(rng.normal(size=(pii.N_FEATURES, pii.LABELS)), 0.3 * rng.normal(size=(pii.LABELS,) * 2), 0.5 * rng.normal(size=(pii.LABELS,) * 2))
+        field.chain, field.skip = field.chain + field.chain.T, field.skip + field.skip.T + 2 * np.eye(pii.LABELS)
+        known = [int(rng.integers(0, pii.LABELS)) if rng.random() < 0.3 else -1 for _ in range(5)]
+        skips = [(i, j) for i in range(5) for j in range(i + 2, 5) if rng.random() < 0.3]
+        graph = pii.Graph([(i, i + 1) for i in range(5)], known, [[int(x) for x in rng.integers(0, pii.N_FEATURES, 2)] for _ in range(5)], skips)
+        mass = np.zeros((5, pii.LABELS))
+        for labels in np.ndindex(*(pii.LABELS,) * 5):
+            if all(k in (-1, x) for k, x in zip(known, labels)):
+                value = sum(field.node[f].sum(axis=0)[k] for f, k in zip(graph.features, labels))
+                value += sum(field.chain[a, b] for a, b in zip(labels, labels[1:])) + sum(field.skip[labels[i], labels[j]] for i, j in skips)
+                mass[np.arange(5), labels] += np.exp(value)
+        got = field.label(graph)
+        assert all(k in (-1, x) for k, x in zip(known, got))
+        agreed += sum(g == b for g, b, k in zip(got, mass.argmax(axis=1), known) if k < 0)
+        tried += sum(k < 0 for k in known)
+    assert agreed >= 0.95 * tried  # messages on loops are near to the exact marginals
+
+
+def test_gradient_is_that_of_the_pseudo_likelihood():
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"label": rng.integers(0, pii.LABELS, 30), "features": list(rng.integers(0, pii.N_FEATURES, (30, 10))),
+                          "chain": list(rng.integers(0, 2, (30, pii.LABELS))), "skip": list(rng.integers(0, 2, (30, pii.LABELS))), "n": rng.integers(1, 9, 30)})
+    share = rng.random(pii.LABELS)
+    weights = [rng.normal(size=x) for x in ((pii.N_FEATURES, pii.LABELS), (pii.LABELS,) * 2, (pii.LABELS,) * 2)]
+
+    def likelihood():
+        total = 0.0
+        for r in frame.itertuples():
+            v = weights[0][r.features].sum(axis=0) + r.chain @ weights[1] + r.skip @ weights[2]
+            total += r.n * share[r.label] * (v[r.label] - np.log(np.exp(v).sum()))
+        return total
+
+    for w, g in zip(weights, pii.gradient_of(frame, weights, share)):
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(10)]:
+            before = likelihood()
+            w[at] += 1e-6
+            assert abs((likelihood() - before) / 1e-6 - g[at]) < 1e-4
+            w[at] -= 1e-6
+
+
+def test_every_document_takes_part_in_the_fit(spark):
+    plain = [(i, f"see item {i}1234567 and note ab{i}") for i in range(300)]
+    rare = [(1000, "mail kim.lee9@mail.org"), (1001, "mail jo.day8@mail.org")]
+    docs = spark.createDataFrame(plain + rare, "doc_id long, text string")
+    with_, without_ = pii.fit(docs), pii.fit(docs.where("doc_id < 1000"))
+    at = 20 + 1  # the feature of an "@"
+    assert with_.node[at, 0] > without_.node[at, 0] + 0.1
+    long_token = "x" * 300 + "9@" + "y" * 100
+    spans = pii.spans_of(f"{long_token}.org then {long_token[:301]} again", with_)
+    assert [(k, b) for _, k, _, b in spans][0] == (0, True) and len(spans) == 2
 
 
 def test_messages_are_exact_on_trees():
@@ -124,7 +184,7 @@ def test_messages_are_exact_on_trees():
 @pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "1." * 60_000, "+1(((" * 30_000, "a@" * 60_000, "1 " * 60_000, ("x" * 5000 + "@") * 40])
 def test_long_texts_take_linear_time(text):
     began = time.time()
-    pii.spans_of(text, pii.unfitted())
+    pii.spans_of(text, pii.prior())
     secrets_scan.scanner(secrets_scan.RULES).spans(text)
     assert time.time() - began < 20
 

@@ -7,12 +7,15 @@ similar: same last seven digits, same address, same name before ``@`` (skip edge
 messages over these edges give each unknown node a label that agrees with its mentions elsewhere in the
 document; a node whose likeliest label is a kind, and not "other", becomes an added span. Base spans stay.
 
-Weights are fitted by pseudo-likelihood (each node given its neighbours' labels) on at most ``sample_docs``
-texts, drawn by a hash of the id, whole. Unknown nodes with a similar base span are hidden from the fit:
-whether they are personal data is what the field is to tell.
+Weights are fitted by pseudo-likelihood (each node given its neighbours' labels) on the nodes of all documents.
+Nodes that look alike are counted together; a step of the ascent sums gradients over these counts in Spark, and
+the driver sees one vector of fixed length per part. Unknown nodes with a similar base span are hidden from the
+fit: whether they are personal data is what the field is to tell. A prior draws nodes to "other" and skip edges
+to agreement, at any size of the corpus.
 
 Null and empty texts have no spans. Texts are read whole, in time linear in their length; edges are at most
-three a node. Repeated rows have one result each; empty tables give empty results, and an unfitted field.
+three a node. Repeated rows have one result each; empty tables give empty results, and a field that is the prior.
+A column called like the result, in any case, is replaced, all others are kept as they are.
 Positions are code points, ends exclusive.
 """
 
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tables import without
+from tillcast.llm.tables import staged, without
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -45,10 +48,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"(?<![0-9(])\(?[0-9][0-9().\x20-]*+")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 EDGE = "\"'`,;:!?()[]{}<>.=*#%&/\\|~^"
-LONGEST = 64  # longer tokens outside base spans are no candidates
 CONTEXTS = 128
 ROUNDS = 12
 AGREEMENT = 4.0  # prior weight of equal kinds on a skip edge
+RESERVE = 0.5  # prior weight of "other" for each feature
+EXAMPLES_PER_PART = 100_000
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -109,15 +113,14 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     rivals = []
     for m in RUN.finditer(text):
         s, e = m.start(), m.start() + len(m[0].rstrip("(). -"))
-        if 7 <= e - s <= LONGEST and len(_digits(text[s:e])) >= 7:
+        if e - s >= 7 and len(_digits(text[s:e])) >= 7:
             rivals.append((s, e))
     for m in TOKEN.finditer(text):
         piece = m[0]
-        if len(piece) <= LONGEST:
-            s = m.start() + len(piece) - len(piece.lstrip(EDGE))
-            e = m.end() - (len(piece) - len(piece.rstrip(EDGE)))
-            if e - s >= 3:
-                rivals.append((s, e))
+        s = m.start() + len(piece) - len(piece.lstrip(EDGE))
+        e = m.end() - (len(piece) - len(piece.rstrip(EDGE)))
+        if e - s >= 3:
+            rivals.append((s, e))
     # Neither base spans nor an earlier candidate may overlap.
     free, i, last = [], 0, 0
     for s, e in sorted(rivals, key=lambda x: (x[0], -x[1])):
@@ -224,34 +227,77 @@ def _sum_to(sent: np.ndarray, order: np.ndarray, starts: np.ndarray, degree: np.
     return out
 
 
-def unfitted() -> Field:
-    """No field: unknown nodes are "other"."""
-    node = np.zeros((N_FEATURES, LABELS))
-    node[:, OTHER] = 5.0
-    return Field(node, np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
+def prior() -> Field:
+    """The field that nothing was learned from: "other", unless a similar node is known."""
+    node, skip = np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS))
+    node[:, OTHER] = RESERVE
+    skip[range(OTHER), range(OTHER)] = AGREEMENT
+    return Field(node, np.zeros((LABELS, LABELS)), skip)
+
+
+EXAMPLES = "label int, features array<int>, chain array<int>, skip array<int>"
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 8000, steps: int = 150) -> Field:
-    """Fit the weights; the driver reads the nodes of the sampled texts only, equal ones counted together."""
-    n = docs.count()
-    grain = 1 << 20
-    chance = int(min(1.0, sample_docs / n) * grain) if n else 0
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("string")), F.lit(grain)) < chance).select(F.col(f"`{text}`").alias("text"))
+def fit(docs: DataFrame, *, text: str = "text", steps: int = 60, rate: float = 0.2, ridge: float = 1e-3) -> Field:
+    """Fit the weights by gradient ascent on the mean log-likelihood of each node's label given its neighbours' labels.
 
+    The labels count alike in the mean, so that frequent "other" nodes don't drown the kinds.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [r for value in frame["text"] if value for r in _examples(value)]
             yield pd.DataFrame(rows, columns=["label", "features", "chain", "skip"])
 
-    seen = drawn.mapInPandas(run, "label int, features array<int>, chain array<int>, skip array<int>")
-    table = seen.groupBy("label", "features", "chain", "skip").agg(F.count("*").alias("n")).collect()
-    if len({r.label for r in table}) < 2:
-        return unfitted()
-    return _pseudo_likelihood(table, steps)
+    seen = docs.select(F.col(f"`{text}`").alias("text")).mapInPandas(run, EXAMPLES)
+    table = staged(seen.groupBy("label", "features", "chain", "skip").agg(F.count("*").alias("n")), "pii-examples")
+    sizes = table.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    share = np.zeros(LABELS)
+    for r in sizes:
+        share[r.label] = 1.0 / (r.n * len(sizes))
+    parts = table.coalesce(1 + sum(r.rows for r in sizes) // EXAMPLES_PER_PART)
+    base = prior()
+    centre = [base.node, base.chain, base.skip]
+    weights, speed = [w.copy() for w in centre], [np.zeros_like(w) for w in centre]
+    for _ in range(steps if sizes else 0):
+        for i, sums in enumerate(_gradient(parts, weights, share)):
+            step = sums - ridge * (weights[i] - centre[i])
+            if i:  # an edge has no direction
+                step = (step + step.T) / 2
+            speed[i] = 0.9 * speed[i] + step
+            weights[i] = weights[i] + rate * speed[i]
+    return Field(*weights)
+
+
+def _gradient(parts: DataFrame, weights: list[np.ndarray], share: np.ndarray) -> list[np.ndarray]:
+    """Sums over all examples, one row of fixed length from each part."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros_like(w) for w in weights]
+        for frame in frames:
+            if len(frame):
+                for t, g in zip(total, gradient_of(frame, weights, share)):
+                    t += g
+        yield pd.DataFrame({"g": [np.concatenate([t.ravel() for t in total])]})
+
+    flat = np.sum([r.g for r in parts.mapInPandas(run, "g array<double>").collect()], axis=0)
+    ends = np.cumsum([w.size for w in weights])
+    return [part.reshape(w.shape) for part, w in zip(np.split(flat, ends[:-1]), weights)]
+
+
+def gradient_of(frame: pd.DataFrame, weights: list[np.ndarray], share: np.ndarray) -> list[np.ndarray]:
+    features = np.stack(frame["features"].to_numpy())
+    chain, skip = np.stack(frame["chain"].to_numpy()), np.stack(frame["skip"].to_numpy())
+    label = frame["label"].to_numpy()
+    value = weights[0][features].sum(axis=1) + chain @ weights[1] + skip @ weights[2]
+    p = np.exp(value - value.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    miss = (np.eye(LABELS)[label] - p) * (frame["n"].to_numpy() * share[label])[:, None]
+    each = np.repeat(miss, features.shape[1], axis=0)
+    node = np.stack([np.bincount(features.ravel(), each[:, k], N_FEATURES) for k in range(LABELS)], axis=1)
+    return [node, chain.T @ miss, skip.T @ miss]
 
 
 def _examples(text: str) -> list[tuple]:
-    """(label, features, labels of the chain, labels over skip edges) of the nodes that the fit may see."""
+    """(label, features, counts of labels along the chain, the same over skip edges) of the nodes that the fit may see."""
     graph = graph_of(text, base_spans(text))
     near: list[list[int]] = [[] for _ in graph.spans]
     for i, j in graph.skips:
@@ -259,50 +305,16 @@ def _examples(text: str) -> list[tuple]:
         near[j].append(i)
     label = [OTHER if k < 0 else k for k in graph.known]
     hidden = [k < 0 and any(graph.known[j] >= 0 for j in near[i]) for i, k in enumerate(graph.known)]
-    out = []
-    for i, k in enumerate(label):
-        if not hidden[i]:
-            chain = [label[j] for j in (i - 1, i + 1) if 0 <= j < len(label) and not hidden[j]]
-            skip = [label[j] for j in near[i] if not hidden[j]]
-            out.append((k, graph.features[i], chain, skip))
-    return out
 
+    def counts(neighbours: list[int]) -> list[int]:
+        out = [0] * LABELS
+        for j in neighbours:
+            if not hidden[j]:
+                out[label[j]] += 1
+        return out
 
-def _pseudo_likelihood(table: list, steps: int, ridge: float = 1e-3, rate: float = 2.0) -> Field:
-    """Gradient ascent on the mean log-likelihood of each node's label given its neighbours' labels.
-
-    The labels count alike in the mean, so that frequent "other" nodes don't drown the kinds.
-    """
-    y = np.array([r.label for r in table])
-    count = np.array([r.n for r in table], np.float64)
-    count /= np.bincount(y, count, LABELS)[y] * len(set(y.tolist()))
-    features = np.zeros((len(table), N_FEATURES), np.float32)
-    chain, skip = np.zeros((len(table), LABELS), np.float32), np.zeros((len(table), LABELS), np.float32)
-    for i, r in enumerate(table):
-        features[i, r.features] = 1
-        for k in r.chain:
-            chain[i, k] += 1
-        for k in r.skip:
-            skip[i, k] += 1
-    blocks = [features, chain, skip]
-    # Repeated base spans are rare, so the fit starts from, and is drawn to, agreement over skip edges.
-    prior = [np.zeros((b.shape[1], LABELS)) for b in blocks]
-    prior[2][range(OTHER), range(OTHER)] = AGREEMENT
-    weights = [w.copy() for w in prior]
-    target = np.eye(LABELS)[y]
-    speed = [np.zeros_like(w) for w in weights]
-    for _ in range(steps):
-        value = sum(b @ w for b, w in zip(blocks, weights))
-        p = np.exp(value - value.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        miss = (target - p) * count[:, None]
-        for i, b in enumerate(blocks):
-            gradient = b.T @ miss - ridge * (weights[i] - prior[i])
-            if i:  # an edge has no direction
-                gradient = (gradient + gradient.T) / 2
-            speed[i] = 0.9 * speed[i] + gradient
-            weights[i] = weights[i] + rate * speed[i] / 10
-    return Field(*weights)
+    return [(k, graph.features[i], counts([j for j in (i - 1, i + 1) if 0 <= j < len(label)]), counts(near[i]))
+            for i, k in enumerate(label) if not hidden[i]]
 
 
 def spans_of(text: str | None, weights: Field) -> list[tuple[int, int, int, bool]]:
