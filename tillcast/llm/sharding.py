@@ -1,15 +1,15 @@
 """Sharding by histogram sort: equal shards of bytes, found by counting, and one exchange of the rows.
 
-Every row has a 64-bit key, a hash of the chosen columns and of its file and place in it, so that
-copies of a row, however many, have keys of their own. Splitters are found by passes over a narrow table
+Every row has a 64-bit key, a hash of the chosen columns and of its file's name and its place in it, so that
+copies of a row, however many, have keys of their own, and a table copied to another folder is dealt alike. Splitters are found by passes over a narrow table
 of (key, size): a pass counts the exact bytes below each probe, keeps for every splitter the gap between
 two probes that holds its target, and the next pass puts its probes into these gaps only. A splitter is
 settled once the bytes in its gap are within the tolerance, or the gap cannot be divided. The rows are then
-sent once: a shard consists of pieces (parts of its key range), sorted and numbered in their tasks.
+sent once: a shard consists of pieces (parts of its key range), each of which is sorted and numbered in a task of its own.
 
 Rows are read twice; a table that is not read from Parquet files is written first. Null texts count one byte.
 Repeated rows are all kept, an empty table gives an empty result; columns called ``shard``, ``slot`` or
-``size`` are replaced.
+``size``, in any case, are replaced, all others are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tillcast.llm.tables import staged, with_row_id, without
+from tillcast.llm.tables import free_name, staged, with_row_id, without
 
 LOW, HIGH = -(1 << 63), (1 << 63)
+MAX_BROADCAST_PIECES = 1 << 20
 
 
 def row_size(text: Column) -> Column:
@@ -31,7 +32,7 @@ def row_size(text: Column) -> Column:
 
 
 def row_key(columns: list[str], row: str) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in [*columns, row]])
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns], F.col(f"`{row}`.name"), F.col(f"`{row}`.place"))
 
 
 def splitters(sizes: DataFrame, shards: int, tolerance: float = 0.0005, bits: int = 8) -> list[int]:
@@ -93,22 +94,27 @@ def shard_rows(docs: DataFrame, shards: int = 16, *, key_columns: list[str], tex
                tolerance: float = 0.0005, piece_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot`` (the row's place in its shard, from 0, in key order)."""
     docs = without(docs, *({"size", "shard", "slot"} - {text.lower()}))
-    keyed = with_row_id(docs, "_row").withColumn("_key", row_key(key_columns, "_row")).drop("_row").withColumn("size", row_size(F.col(f"`{text}`")))
-    sizes = staged(keyed.select(F.col("_key").alias("key"), "size"), "shard-sizes")
-    cuts = splitters(sizes, shards, tolerance)
+    key, row, piece, at = (free_name(docs, n) for n in ("key", "row", "piece", "at"))
+    keyed = with_row_id(docs, row).withColumn(key, row_key(key_columns, row)).drop(row).withColumn("size", row_size(F.col(f"`{text}`")))
+    sizes = staged(keyed.select(key, "size"), "shard-sizes")
+    cuts = splitters(sizes.withColumnRenamed(key, "key"), shards, tolerance)
     total = sizes.agg(F.sum("size")).first()[0] or 0
     # Keys are hashes, so equal parts of the key range hold about equal bytes.
-    piece_bits = math.ceil(math.log2(max(1, total / max(1, piece_bytes))))
-
-    def placed(df: DataFrame, key: str) -> DataFrame:
-        piece = F.shiftright(key, 64 - piece_bits) if piece_bits else F.lit(0).cast("long")
-        return df.withColumn("shard", shard_of(F.col(key), cuts)).withColumn("_piece", piece)
-
-    counts = placed(sizes, "key").groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    in_piece = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_key"))
-    numbered = placed(keyed, "_key").withColumn("_in_piece", in_piece)
-    return numbered.join(offsets, ["shard", "_piece"]).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "size", "shard",
-        (F.col("_first") + F.col("_in_piece") - 1).cast("long").alias("slot"))
+    bits = math.ceil(math.log2(max(1, total / max(1, piece_bytes))))
+    pieces = shards + (1 << bits)
+
+    def placed(df: DataFrame) -> DataFrame:
+        # Shard and part both grow with the key, so their sum tells the pieces apart.
+        part = F.shiftright(key, 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0)
+        return df.withColumn("shard", shard_of(F.col(key), cuts)).withColumn(piece, (F.col("shard") + part).cast("int"))
+
+    counts = placed(sizes).groupBy("shard", piece).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    first = free_name(docs, "first")
+    offsets = counts.select(piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    if pieces <= MAX_BROADCAST_PIECES:
+        offsets = F.broadcast(offsets)
+    dealt = placed(keyed).repartitionById(pieces, F.col(piece)).sortWithinPartitions(key)
+    # The lower 33 bits of this number are the row's place in its partition, which is a piece.
+    numbered = dealt.withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return numbered.join(offsets, piece).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "shard", (F.col(first) + F.col(at)).cast("long").alias("slot"))

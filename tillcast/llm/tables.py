@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local_dirs: dict[str, str] = {}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,11 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Only a session within one process may go without: it has a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tillcast-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        path = _local_dirs.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='tillcast-')}"
+        _local_dirs[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
@@ -40,17 +43,20 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` with the identity of each row, which stays the same however often ``df`` is read.
 
     A row of plain Parquet files is named by file and place, which do not depend on how files are split. Any
-    other table is written once, with its numbers.
+    other table is written once, with its numbers. ``file`` and ``place`` tell rows apart; ``name`` and ``place`` stay as they are
+    when the files are copied to another folder.
     """
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().apply(0)
     if plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
         try:
-            return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+            return df.withColumn(name, F.struct(
+                F.xxhash64("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("place"), F.xxhash64("_metadata.file_path").alias("file")))
         except AnalysisException:  # files without row numbers
             pass
-    return staged(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), "numbered")
+    none = F.lit(0).cast("long")
+    return staged(df.withColumn(name, F.struct(none.alias("name"), F.monotonically_increasing_id().alias("place"), none.alias("file"))), "numbered")
 
 
 def ascii_lower(text: Column) -> Column:
