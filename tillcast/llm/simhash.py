@@ -29,9 +29,9 @@ sets of the texts that fingerprints propose and links only those that reach the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tables import staged, with_row_id
+from tillcast.llm.tables import free_name, staged, with_row_id
 
 BUDGET = 4
 SIMILARITY = 0.8
@@ -48,6 +48,7 @@ DEEPER = 8  # levels by which a large unit is split at a time
 FRONTIER = 200_000  # node pairs held at once
 HASH_BLOCK = 1 << 16
 MAX_BROADCAST_BYTES = 32 << 20
+HUB_PAIRS = 512  # pairs of one text that are compared in one task
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -90,16 +91,25 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(parts[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
 
 
-def fingerprints(text: str | None, width: int = 4, prints: int = 1) -> list[int]:
-    """The fingerprints as signed 64-bit numbers."""
+def _prints_of(blocks: Iterable[np.ndarray], prints: int) -> list[int]:
     counts, n = np.zeros((prints, 64), np.int64), 0
-    for hashes in shingle_hashes(text or "", width):
-        for i in range(prints):
-            counts[i] += _bit_counts(_mixed(hashes, i))
+    for hashes in blocks:
+        if len(hashes) < 512:
+            mixed = np.stack([_mixed(hashes, i) for i in range(prints)])
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little")
+            counts += bits.sum(axis=1, dtype=np.uint16)
+        else:
+            for i in range(prints):
+                counts[i] += _bit_counts(_mixed(hashes, i))
         n += len(hashes)
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.int64)[:, 0].tolist() if n else [0] * prints
 
 
+def fingerprints(text: str | None, width: int = 4, prints: int = 1) -> list[int]:
+    """The fingerprints as signed 64-bit numbers."""
+    return _prints_of(shingle_hashes(text or "", width), prints)
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     return fingerprints(text, width)[0]
 
@@ -117,14 +127,19 @@ def hex_of(fp: Column) -> Column:
 
 
 class Layout:
-    """The tries of a budget: each has two blocks in front, the others below, so that the root's level is bit 63."""
+    """Tries over the bits of fingerprints, cut into ``blocks``: ``front`` of them lead, the others follow; the root's level is bit 63.
 
-    def __init__(self, budget: int = BUDGET):
-        self.budget, n = budget, budget + 2
+    With ``budget + front`` blocks (the default) fingerprints within the budget agree on ``front`` whole blocks, so one of
+    the tries has them in one subtrie. Fewer blocks are wider: fewer subtries a fingerprint, and pairs that differ in
+    every block are missed, for which several independent fingerprints make up.
+    """
+
+    def __init__(self, budget: int = BUDGET, blocks: int | None = None, front: int = 2):
+        self.budget, n = budget, blocks or budget + front
         self.widths = [64 // n + (i < 64 % n) for i in range(n)]  # from the lowest bit
         self.offsets = [sum(self.widths[:i]) for i in range(n)]
-        self.tries = list(combinations(range(n), 2))
-        self.front = [self.widths[a] + self.widths[b] for a, b in self.tries]
+        self.tries = list(combinations(range(n), front))
+        self.front = [sum(self.widths[b] for b in trie) for trie in self.tries]
 
     def _moves(self, trie: int) -> Iterator[tuple[int, int, int]]:
         """(from, mask, to) of every block."""
@@ -205,40 +220,46 @@ def _split(units: DataFrame, layout: Layout, depth: int, unit_rows: int) -> tupl
 FOUND = "unit bigint, print int, a bigint, b bigint"
 
 
-def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
-    """Links found in each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``.
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, put together so that no unit is in two of them."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        unit = now.column(0).to_numpy()
+        # The last unit may go on in the next batch.
+        done = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+        rest = now.slice(done)
+        if done:
+            yield now.slice(0, done)
+    if rest is not None and len(rest):
+        yield rest
 
-    With columns ``lo`` and ``hi``, the least and greatest component of a fingerprint's texts, all pairs that
-    are not of one component are given; otherwise the links of a spanning forest.
-    """
-    names = units.columns
 
+def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
+    """Links of a spanning forest of each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            # The last unit may go on in the next batch.
-            done = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            rest = [x[done:] for x in now]
-            if done:
-                yield from _links_of([x[:done] for x in now], layout)
-        if rest is not None and len(rest[0]):
-            yield from _links_of(rest, layout)
+        for table in _whole_units(batches):
+            unit, walk, side, fp = (table.column(i).to_numpy() for i in range(4))
+            order, pairs = _pairs_of_units(unit, walk, side, fp, layout)
+            unit, walk, fp, label = unit[order], walk[order], fp[order], np.arange(len(order))
+            for i, j in pairs:
+                i, j = _union(label, i, j)
+                which = (walk[i] // len(layout.tries)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(unit[i]), pa.array(which), pa.array(fp[i]), pa.array(fp[j])], names=["unit", "print", "a", "b"])
 
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, FOUND)
 
 
-def _links_of(columns: list[np.ndarray], layout: Layout) -> Iterator[pa.RecordBatch]:
-    unit, walk, side, fp, *spans = columns
-    fp = fp.view(np.uint64) if fp.dtype == np.int64 else fp.astype(np.uint64)
-    moved = np.empty_like(fp)
+def _pairs_of_units(unit: np.ndarray, walk: np.ndarray, side: np.ndarray, fp: np.ndarray, layout: Layout):
+    """An order of the rows, and places in it of all pairs within the budget, unit by unit. Rows are distinct."""
+    bits = fp.view(np.uint64)
+    moved = np.empty_like(bits)
     for i in range(len(layout.tries)):
         of = walk % len(layout.tries) == i
-        moved[of] = layout.moved(fp[of], i)
+        moved[of] = layout.moved(bits[of], i)
     order = np.lexsort((moved, side, unit))
-    unit, walk, side, fp, moved, *spans = (x[order] for x in (unit, walk, side, fp, moved, *spans))
+    unit, side, moved = unit[order], side[order], moved[order]
     change = np.flatnonzero((unit[1:] != unit[:-1]) | (side[1:] != side[:-1])) + 1
     low = np.concatenate(([0], change))
     high = np.concatenate((change, [len(unit)]))
@@ -250,16 +271,69 @@ def _links_of(columns: list[np.ndarray], layout: Layout) -> Iterator[pa.RecordBa
     first = np.flatnonzero(paired)
     begin = np.concatenate((np.stack((low[alone], high[alone], low[alone], high[alone])),
                             np.stack((low[first], high[first], low[first + 1], high[first + 1]))), axis=1)
-    label = np.arange(len(fp))
-    for i, j in linked_pairs(moved, begin, layout.budget):
-        if spans:
-            lo, hi = spans
-            apart = np.minimum(lo[i], lo[j]) != np.maximum(hi[i], hi[j])
-            i, j = i[apart], j[apart]
-        else:
-            i, j = _union(label, i, j)
-        which = (walk[i] // len(layout.tries)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(unit[i]), pa.array(which), pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["unit", "print", "a", "b"])
+    return order, linked_pairs(moved, begin, layout.budget)
+
+
+def _compare_units(units: DataFrame, layout: Layout, similarity: float) -> DataFrame:
+    """``a, b``: nodes of different roots that are within the budget in a unit and truly similar.
+
+    ``units`` has ``unit, walk, side, fp, node, root, fps, s``. A pair is compared where its texts lie together, in the first
+    unit in which it meets, so no list of pairs is ever written.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_units(batches):
+            unit, walk, side, fp, node, root = (table.column(i).to_numpy() for i in range(6))
+            prints = np.stack(table.column("fps").to_numpy()).view(np.uint64)
+            lists = table.column("s").combine_chunks()
+            size = np.diff(lists.offsets.to_numpy())
+            sets: dict[int, frozenset[int]] = {}
+            # Nodes of one fingerprint are one row of the traversal.
+            row = np.lexsort((node, fp, side, unit))
+            new = np.ones(len(row), bool)
+            new[1:] = (unit[row[1:]] != unit[row[:-1]]) | (side[row[1:]] != side[row[:-1]]) | (fp[row[1:]] != fp[row[:-1]])
+            first = np.flatnonzero(new)
+            held = np.diff(np.append(first, len(row)))
+            heads = row[first]
+            order, pairs = _pairs_of_units(unit[heads], walk[heads], side[heads], fp[heads], layout)
+            own = np.flatnonzero((held > 1) & (side[heads] == 0))
+
+            def expanded(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                n = held[i] * held[j]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                wide = np.repeat(held[j], n)
+                return row[np.repeat(first[i], n) + at // wide], row[np.repeat(first[j], n) + at % wide]
+
+            for i, j in chain([(own, own)], ((order[i], order[j]) for i, j in pairs)):
+                for part in range(0, len(i), 4096):
+                    x, y = expanded(i[part:part + 4096], j[part:part + 4096])
+                    open_ = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+                    open_ &= node[x] != node[y]
+                    x, y = x[open_], y[open_]
+                    fresh = ~_met_before(prints, x, y, walk[x], layout)
+                    a, b = [], []
+                    for p, q in zip(x[fresh].tolist(), y[fresh].tolist()):
+                        for k in (p, q):
+                            if node[k] not in sets:
+                                sets[node[k]] = frozenset(lists[k].as_py())
+                        common = len(sets[node[p]] & sets[node[q]])
+                        if common >= similarity * (size[p] + size[q] - common) - 1e-9:
+                            a.append(node[p])
+                            b.append(node[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint")
+
+
+def _met_before(prints: np.ndarray, x: np.ndarray, y: np.ndarray, walk: np.ndarray, layout: Layout) -> np.ndarray:
+    """Whether a pair is in one subtrie and within the budget under an earlier print and trie than ``walk``."""
+    out, n = np.zeros(len(x), bool), len(layout.tries)
+    for p in range(prints.shape[1]):
+        apart = prints[x, p] ^ prints[y, p]
+        near = np.bitwise_count(apart) <= layout.budget
+        for t, front in enumerate(layout.tries):
+            mask = np.uint64(sum(((1 << layout.widths[b]) - 1) << layout.offsets[b] for b in front))
+            out |= near & ((apart & mask) == 0) & (p * n + t < walk)
+    return out
 
 
 def linked_pairs(keys: np.ndarray, roots: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -372,8 +446,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET,
                     prints: int = 1, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its identity), ``doc_id``, ``fp``, ``root``, ``component_id``."""
-    numbered = with_row_id(docs, "_row")
-    narrow = numbered.select(F.col("_row").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    row = free_name(docs, "row_id")
+    narrow = with_row_id(docs, row).select(F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     taken = staged(with_fingerprints(narrow, "text", width, prints).select("row", "doc_id", F.col("fps")[0].alias("fp"), "fps"), "fingerprints")
     # A first fingerprint stands for its texts: those of equal fingerprints are linked anyhow.
     distinct = staged(taken.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
@@ -395,22 +469,41 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    parts = list(shingle_hashes(text or "", width))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return _set_of(list(shingle_hashes(text or "", width)))
+
+
+def _set_of(blocks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts``: ``node, text``."""
+def shingle_sets(ends: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node, size, s`` of the nodes in ``ends``; ``texts`` has ``node, text``."""
     @F.udf("array<bigint>", useArrow=True)
     def shingles(value):
         return shingle_set(value, width).view(np.int64).tolist()
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = staged(texts.join(ends, "node", "left_semi").select("node", shingles("text").alias("s")), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    sets = texts.join(ends, "node", "left_semi").select("node", shingles("text").alias("s"))
+    return staged(sets.select("node", F.size("s").alias("size"), "s"), "shingle-sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Sets of too unlike sizes are not compared. A node of many pairs meets them in parts of ``HUB_PAIRS``.
+    """
+    sizes = sets.select("node", "size")
+    near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    near = staged(near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 30)).alias("draw")), "pairs-of-like-size")
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).join(parts, "a")
+    left = left.select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = near.join(parts, "a").select("a", "b", (F.col("draw") % F.col("parts")).cast("int").alias("part"))
+    right = right.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = right.join(left, ["a", "part"])
     common = F.size(F.array_intersect("sa", "sb"))
-    sizes = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("n"))
-    return staged(sizes.where(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b"), "similar")
+    counted = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("n"))
+    return staged(counted.where(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b"), "similar")
 
 
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -418,19 +511,18 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return staged(nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
 
 
-def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, budget: int, similarity: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, layout: Layout, similarity: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """``node, root``: components of the texts that are within the budget under any print and truly similar.
 
     ``nodes`` has ``node, fps``, ``texts`` has ``node, text``. Three rounds compare texts exactly: every node with
     the root of its unchecked component, which settles most of a dense group; then links of spanning forests
-    between what is still apart; then all pairs that are still apart, in the units in which a link was refuted.
-    So a refuted link hides no true one, and pairs of one component are never listed.
+    between what is still apart; then, inside the units in which a link was refuted, all pairs that are still apart.
+    So a refuted link hides no true one, and neither pairs of one component nor refuted ones are ever listed.
     """
     def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
         ends = pairs.join(rooted.toDF("a", "root_a"), "a").join(rooted.toDF("b", "root_b"), "b").where("root_a <> root_b")
         return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    layout = Layout(budget)
     of = staged(nodes.select("node", F.posexplode("fps").alias("print", "fp")), "print-members")
     heads = staged(of.groupBy("print", "fp").agg(F.min("node").alias("head")), "print-heads")
     parts = _units(heads.select("print", "fp"), layout, unit_rows)
@@ -441,50 +533,55 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, budget: int,
     edges = staged(across.union(within).toDF("a", "b").where("a <> b").distinct(), "unchecked")
     if edges.isEmpty():
         return nodes.select("node", F.col("node").alias("root"))
+    sets = shingle_sets(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, width)
     first = staged(components(edges).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "checked")
-    true = similar_pairs(first, texts, width, similarity)
+    true = similar_pairs(first, sets, similarity)
     rooted = _rooted(nodes, true)
     second = staged(apart(edges, rooted).join(first, ["a", "b"], "left_anti"), "checked")
-    true = true.union(similar_pairs(second, texts, width, similarity))
+    true = true.union(similar_pairs(second, sets, similarity))
     rooted = _rooted(nodes, true)
 
     spans = staged(of.join(rooted, "node").groupBy("print", "fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "print-spans")
     sa, sb = spans.toDF("print", "a", "lo_a", "hi_a"), spans.toDF("print", "b", "lo_b", "hi_b")
     open_ = found.join(sa, ["print", "a"]).join(sb, ["print", "b"]).where(F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b"))
-    open_ = staged(open_.select("unit").distinct(), "open-units")
-    again = [u.join(open_, "unit", "left_semi").withColumn("print", (F.col("walk") / len(layout.tries)).cast("int"))
-             .join(spans, ["print", "fp"]).select("unit", "walk", "side", "fp", "lo", "hi") for u in parts]
-    met = reduce(DataFrame.union, [_traverse(u, layout) for u in again]).select("print", "a", "b")
-    met = met.union(spans.where("lo <> hi").select("print", F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
-    oa, ob = of.toDF("node_a", "print", "a"), of.toDF("node_b", "print", "b")
-    pairs = met.join(oa, ["print", "a"]).join(ob, ["print", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    third = apart(pairs, rooted).join(first.union(second), ["a", "b"], "left_anti")
-    return _rooted(nodes, true.union(similar_pairs(staged(third, "checked"), texts, width, similarity)))
+    open_ = open_.select("unit")
+    print_of = (F.col("walk") / len(layout.tries)).cast("int").alias("print")
+    mixed = reduce(DataFrame.union, [u.select("unit", print_of, "fp") for u in parts]).join(spans.where("lo <> hi"), ["print", "fp"], "left_semi")
+    open_ = staged(open_.union(mixed.select("unit")).distinct(), "open-units")
+    held = of.join(rooted, "node").join(nodes.select("node", "fps"), "node").join(sets.select("node", "s"), "node")
+    again = [u.join(open_, "unit", "left_semi").withColumn("print", print_of).join(held, ["print", "fp"])
+             .select("unit", "walk", "side", "fp", "node", "root", "fps", "s") for u in parts]
+    true = true.union(staged(reduce(DataFrame.union, [_compare_units(u, layout, similarity) for u in again]), "similar"))
+    return _rooted(nodes, true)
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET, prints: int = 1,
-                     similarity: float = SIMILARITY) -> DataFrame:
+                     blocks: int | None = None, front: int = 2, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of every group of near copies: the smallest id, the first row of that id.
 
-    Fingerprints propose pairs; texts are linked only if their sets of word shingles have a Jaccard
-    similarity of ``similarity`` or more, and links are joined transitively. Texts of equal sets are one node.
+    Fingerprints propose pairs, ``blocks`` and ``front`` as in ``Layout``; texts are linked only if their sets of word
+    shingles have a Jaccard similarity of ``similarity`` or more, and links are joined transitively. Texts of equal sets
+    are one node. Rows of one id are ordered by their content. All columns are kept as they are, whatever they are called.
     """
     @F.udf("struct<digest:binary,fps:array<bigint>>", useArrow=True)
     def marks(value):
-        return hashlib.blake2b(shingle_set(value, width).tobytes(), digest_size=16).digest(), fingerprints(value, width, prints)
-
-    numbered = with_row_id(docs, "_row")
-    narrow = numbered.select(F.col("_row").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    taken = staged(narrow.select("row", "doc_id", marks("text").alias("m")).select("row", "doc_id", "m.*"), "fingerprints")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "fps"))
+        hashes = list(shingle_hashes(value or "", width))
+        return hashlib.blake2b(_set_of(hashes).tobytes(), digest_size=16).digest(), _prints_of(hashes, prints)
+
+    row = free_name(docs, "row_id")
+    numbered = with_row_id(docs, row)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    taken = numbered.select(F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), content.alias("content"), marks(F.col(f"`{text}`")).alias("m"))
+    taken = staged(taken.select("row", "doc_id", "content", "m.*"), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row", "fps"))
     nodes = staged(taken.groupBy("digest").agg(best.alias("best")).select(
         F.monotonically_increasing_id().alias("node"), "digest", "best", F.col("best.fps").alias("fps"), F.col("best.row").alias("row")), "shingle-nodes")
-    texts = narrow.select("row", "text").join(nodes.select("row", "node"), "row").select("node", "text")
-    groups = similar_groups(nodes, texts, width, budget, similarity)
+    texts = numbered.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text")).join(nodes.select("row", "node"), "row").select("node", "text")
+    groups = similar_groups(nodes, texts, width, Layout(budget, blocks, front), similarity)
     rooted = nodes.select("node", "digest", "best").join(groups, "node")
     first = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept"))
     kept = staged(rooted.select("digest", "root").join(first, "root").select("digest", "kept"), "near-duplicates")
     gone = staged(taken.select("row", "digest").join(kept, "digest").where("row <> kept").select("row"), "near-duplicates-gone")
-    if gone.count() * 32 <= MAX_BROADCAST_BYTES:
+    if gone.count() * 40 <= MAX_BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return numbered.join(gone, numbered["_row"] == gone["row"], "left_anti").drop("_row")
+    return numbered.join(gone, numbered[row] == gone["row"], "left_anti").drop(row)
