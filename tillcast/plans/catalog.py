@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.constants import MONEY, TENANT
+from tillcast.constants import DEFAULT_LOCATION_ID, DEFAULT_RESTAURANT_ID, MONEY, TENANT
 from tillcast.functions import payload
+from tillcast.functions.text import stripped_or
 from tillcast.functions.values import finite_number, money
 from tillcast.operators import envelope, features, insight, models, requests, runlog
 from tillcast.operators.dashboard import dashboard_from_profiles, dashboard_from_run
@@ -322,6 +323,19 @@ def latest_run_overall(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.latest_run(testbed.tenant_runs(spark, sf)).select(*TENANT, "run_id", "status")
 
 
+def runs_of_one_tenant(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of one tenant, with the defaults of ids, status and duration where those are missing."""
+    seq = F.col("seq")
+    runs = testbed.tenant_runs(spark, sf).withColumns({
+        "restaurant_id": stripped_or(F.when(seq % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "restaurant_id")), DEFAULT_RESTAURANT_ID),
+        "location_id": stripped_or(F.col("location_id"), DEFAULT_LOCATION_ID),
+        "status": F.when(seq % 9 == 1, F.lit("")).when(seq % 9 != 0, F.col("status")),
+        "duration_ms": F.when(seq % 4 != 0, F.col("duration_ms")),
+    })
+    found = runlog.runs_of_tenant(runlog.with_run_defaults(runs), "restaurant_1", "location_1")
+    return found.select("seq", "run_id", "status", "duration_ms")
+
+
 def run_tenants(spark: SparkSession, sf: str) -> DataFrame:
     decoded = runlog.decode_payload(testbed.wrapped_runs(spark, sf))
     return runlog.run_tenants(decoded).select("run_id", *TENANT)
@@ -458,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "run_summary": run_summary,
     "latest_run": latest_run,
     "latest_run_overall": latest_run_overall,
+    "runs_of_one_tenant": runs_of_one_tenant,
     "run_tenants": run_tenants,
     "run_sales_extract": run_sales_extract,
     "latest_run_sales": latest_run_sales,

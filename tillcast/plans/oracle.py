@@ -449,6 +449,10 @@ select concat('run_', cast(event_id as varchar)) as run_id,
   case when event_id % 4 = 0 then concat('location_', cast(user_id % 3 as varchar))
        else 'location_001' end as location_id
 from events""",
+    "runs_of_one_tenant": f"""with {_RUN_LOG}
+select seq, run_id, case when seq % 9 in (0, 1) then 'unknown' else status end as status,
+  cast(case when seq % 4 = 0 then 0 else duration_ms end as bigint) as duration_ms
+from run_log where user_id % 5 = 1 and user_id % 3 = 1 and seq % 5 <> 0""",
     "run_sales_extract": f"""with {_STORED},
 whole as (
   select *, row_number() over (partition by seq order by i) as r from steps
