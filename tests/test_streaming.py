@@ -130,6 +130,28 @@ def test_running_totals_drop_late_rows(spark, tmp_path):
     assert {r.date.day: int(r.daily_sales_total) for r in totals.daily_totals(on_time).collect()} == {1: 11, 2: 4, 9: 16}
 
 
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    from decimal import Decimal
+
+    source, root, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    batches = [
+        [(1, 1, Decimal(1)), (1, 23, Decimal(2)), (2, 5, Decimal(4))],
+        [(1, 12, Decimal(8)), (9, 0, Decimal(16))],
+        [(1, 13, Decimal(32)), (9, 1, Decimal(64))],
+        [(20, 0, Decimal(1))],
+    ]
+    for rows in batches:
+        frame = events(spark, rows)
+        frame.union(frame.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(source)
+        totals.totals_feed(spark.readStream.schema(EVENTS).parquet(source), root, cp).awaitTermination()
+    closed = {r.date.day: (int(r.daily_sales_total), r.n) for r in totals.closed_totals(spark, root).collect()}
+    assert closed == {1: (11, 3), 2: (4, 1), 9: (80, 2)}
+    aside = {(r.date.day if r.date else None, r.reason): r.n for r in totals.late_counts(spark, root).collect()}
+    assert aside == {(1, "late"): 1, (None, "no_time"): 4}
+    open_rows = 1  # day 20
+    assert sum(n for _, n in closed.values()) + sum(aside.values()) + open_rows == sum(map(len, batches)) + 4
+
+
 def test_another_checkpoint_is_refused(spark, tmp_path):
     inbox, root = tmp_path / "in", tmp_path / "out"
     inbox.mkdir()
