@@ -286,3 +286,19 @@ def test_text_is_read_once(spark, tmp_path, text):
     data = sf.read_sales_rows(found)
     assert data.count() == 10 and sf.file_verdicts(data, found.files).count() == 1 and sf.upload_status(found).count() == 1
     assert "text" not in formatted(data).split("Scan")[1].split("\n")[0]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from tillcast.sources.scratch import scratch_root
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError):
+        scratch_root(Session)
+    Session.sparkContext.master = "local[2]"
+    assert scratch_root(Session).startswith("file:///")
