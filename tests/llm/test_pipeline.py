@@ -50,4 +50,4 @@ def test_stages_take_odd_tables(spark, sf_small):
 
 def test_every_query_is_registered():
     names = list(contract.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
