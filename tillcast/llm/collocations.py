@@ -45,7 +45,7 @@ _FOLD = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if
 _FIRST, _NEXT, _LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[list[bytes], list[str]]]:
     texts: list[bytes] = []
     langs: list[str] = []
     held = 0
@@ -53,11 +53,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], li
         for lang, text in zip(batch.column(0), batch.column(1)):
             lang, folded, first = lang.as_py(), text.as_py().translate(_FOLD), 0
             while first < len(folded):
-                last = folded.find(b"\n", first + CHUNK_BYTES) + 1 or len(folded)
+                last = folded.find(b"\n", first + chunk_bytes) + 1 or len(folded)
                 texts.append(folded[first:last])
                 langs.append(lang)
                 held, first = held + last - first, last
-                if held >= CHUNK_BYTES:
+                if held >= chunk_bytes:
                     yield texts, langs
                     texts, langs, held = [], [], 0
     if texts:
@@ -106,37 +106,43 @@ class Tokens:
         first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else order
         return places[order[first]], np.diff(np.append(first, len(code)))
 
-    def spelled(self, places: np.ndarray, length: int) -> tuple[pa.Array, pa.Array]:
-        lang, word = np.divmod(self.ids[places], len(self.words))
+    def keys(self, places: np.ndarray, length: int) -> pa.Array:
+        """Language and phrase, parted by a line break, which no phrase holds."""
+        lang = self.lang_names().take(pa.array(self.ids[places] // len(self.words)))
         parts = [self.words.take(pa.array(self.ids[places + k] % len(self.words))) for k in range(length)]
         phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-        return pa.array(self.langs[lang], pa.string()), phrase.cast(pa.string())
+        return pc.binary_join_element_wise(lang, phrase, pa.scalar(b"\n", pa.binary())).cast(pa.string())
 
+    def lang_names(self) -> pa.Array:
+        return pa.array([x.encode() for x in self.langs], pa.binary())
 
-def slots_of(hashes: np.ndarray) -> np.ndarray:
+
+def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     mixed = (hashes ^ hashes >> np.uint64(31)) * _LAST
-    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-COUNTS = "lang string, length tinyint, phrase string, since int, n bigint"
+# ``key`` is language, line break, phrase; ``tag`` is 16 times the step of activation, plus the length.
+COUNTS = "key string, tag int, n bigint"
+TAGS = 16
 
 
-def count_step(docs: DataFrame, step: int, shards: int, longest: int, reached) -> DataFrame:
-    """``COUNTS`` of the active phrases in ``docs`` (``lang, text``); length 0 is the number of words, ``since`` the step of activation.
+def count_step(docs: DataFrame, step: int, shards: int, longest: int, slot_bits: int, chunk_bytes: int, reached) -> DataFrame:
+    """``COUNTS``, in parts, of the active phrases in ``docs`` (``lang, text``); length 0 is the number of words.
 
     ``reached`` is a broadcast array: per slot the step from which its phrases count as frequent.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(reached.value, np.uint8)
-        for texts, langs in _chunks(batches):
+        for texts, langs in _chunks(batches, chunk_bytes):
             tokens = Tokens(texts, langs)
             if not len(tokens.ids):
                 continue
             if step < shards:
                 lang, n = np.unique(tokens.ids // len(tokens.words), return_counts=True)
-                yield _rows(pa.array(tokens.langs[lang], pa.string()), 0, pa.array([""] * len(lang)), np.zeros(len(lang)), n)
+                yield _rows(pa.array([tokens.langs[i] + "\n" for i in lang], pa.string()), np.zeros(len(lang)), n)
                 places, n = tokens.counted(np.arange(len(tokens.ids)), 1)
-                yield _rows(*_named(tokens, places, 1), np.zeros(len(n)), n)
+                yield _rows(tokens.keys(places, 1), np.ones(len(n)), n)
             shorter = None
             for k, hashes in enumerate(tokens.phrase_hashes(longest), 1):
                 if k > 1:
@@ -145,66 +151,63 @@ def count_step(docs: DataFrame, step: int, shards: int, longest: int, reached) -
                     places = np.flatnonzero(whole & (since <= step) & (step < since.astype(np.int64) + shards) & (since != NEVER))
                     if len(places):
                         found, n = tokens.counted(places, k)
-                        yield _rows(*_named(tokens, found, k), since[found], n)
+                        yield _rows(tokens.keys(found, k), since[found].astype(np.int64) * TAGS + k, n)
                 if k < longest:
-                    shorter = table[slots_of(hashes)]
-
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "length", "phrase", "since").agg(F.sum("n").alias("n"))
+                    shorter = table[slots_of(hashes, slot_bits)]
 
+    return docs.mapInArrow(run, COUNTS)
 
-def _named(tokens: Tokens, places: np.ndarray, length: int) -> tuple[pa.Array, int, pa.Array]:
-    lang, phrase = tokens.spelled(places, length)
-    return lang, length, phrase
 
+def _rows(key: pa.Array, tag: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, pa.array(tag.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "tag", "n"])
 
-def _rows(lang: pa.Array, length: int, phrase: pa.Array, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(n), length, np.int8)), phrase, pa.array(since.astype(np.int32)), pa.array(n.astype(np.int64))],
-                                      names=["lang", "length", "phrase", "since", "n"])
 
-
-def _slots(phrases: DataFrame, longest: int) -> np.ndarray:
-    """The distinct slots of ``lang, phrase``: at most ``2 ** SLOT_BITS`` numbers."""
+def _slots(phrases: DataFrame, longest: int, bits: int) -> np.ndarray:
+    """The distinct slots of the phrases in ``key``: at most ``2 ** bits`` numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), [x.encode() for x in batch.column(1).to_pylist()]
-            tokens = Tokens(texts, langs)
+            parts = [x.rsplit("\n", 1) for x in batch.column(0).to_pylist()]
+            tokens = Tokens([phrase.encode() for _, phrase in parts], [lang for lang, _ in parts])
             begin = np.flatnonzero(np.diff(tokens.piece, prepend=-1))
             length = np.diff(np.append(begin, len(tokens.ids)))
-            found = [slots_of(h[begin[length == k]]) for k, h in enumerate(tokens.phrase_hashes(longest), 1) if (length == k).any()]
+            found = [slots_of(h[begin[length == k]], bits) for k, h in enumerate(tokens.phrase_hashes(longest), 1) if (length == k).any()]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int32) if found else [], pa.int32())], names=["slot"])
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "slot int").distinct().toArrow().column(0).to_numpy()
+    return phrases.select("key").mapInArrow(run, "slot int").distinct().toArrow().column(0).to_numpy()
 
 
 def frequent_phrases(docs: DataFrame, *, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST,
-                     shards: int = SHARDS) -> DataFrame:
+                     shards: int = SHARDS, slot_bits: int = SLOT_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``lang, length, phrase, n``: all phrases up to ``longest`` words with ``min_count`` occurrences or more; length 0 has all words of a language."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     dealt = staged(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "phrase-shards", by="shard")
-    table = np.full(1 << SLOT_BITS, NEVER, np.uint8)
+    table = np.full(1 << slot_bits, NEVER, np.uint8)
     complete, running, step, last = [], None, 0, 0
     while step < last + shards:
         reached = spark.sparkContext.broadcast(table.tobytes())
         scanned = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-        found = count_step(scanned, step, shards, longest, reached).withColumn("before", F.lit(0).cast("long"))
-        if running is not None:
-            found = found.unionByName(running.withColumnRenamed("n", "before").withColumn("n", F.lit(0).cast("long"))) \
-                .groupBy("lang", "length", "phrase", "since").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
-        found = staged(found.withColumn("n", F.col("n") + F.col("before")), "phrase-counts")
+        found = count_step(scanned, step, shards, longest, slot_bits, chunk_bytes, reached)
+        # One exchange a step: what was found joins the running totals before either is added up.
+        found = found if running is None else found.union(running)
+        found = staged(found.groupBy("key", "tag").agg(F.sum("n").alias("n")), "phrase-counts")
         reached.destroy()
         step += 1
-        ended = F.col("since") + shards <= step
-        complete.append(found.where(ended & ((F.col("n") >= min_count) | (F.col("length") == 0))).select("lang", "length", "phrase", "n"))
-        running = found.where(~ended).select("lang", "length", "phrase", "since", "n")
-        slots = _slots(found.where(f"length between 1 and {longest - 1} and before < {min_count} and n >= {min_count}"), longest)
+        length, since = F.col("tag") % TAGS, F.floor(F.col("tag") / TAGS)
+        ended = since + shards <= step
+        complete.append(found.where(ended & ((F.col("n") >= min_count) | (length == 0))))
+        running = found.where(~ended)
+        slots = _slots(found.where(length.between(1, longest - 1) & (F.col("n") >= min_count)), longest, slot_bits)
         fresh = slots[table[slots] == NEVER]
         if len(fresh):
             table[fresh] = last = step
     out = complete[0]
     for more in complete[1:]:
         out = out.union(more)
-    return staged(out, "frequent-phrases")
+    phrase = F.substring_index("key", "\n", -1)
+    named = out.select(phrase.alias("phrase"), "key", (F.col("tag") % TAGS).alias("length"), "n")
+    name = F.substr("key", F.lit(1), F.length("key") - F.length("phrase") - 1)
+    return staged(named.select(name.alias("lang"), "length", "phrase", "n"), "frequent-phrases")
 
 
 def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST,
