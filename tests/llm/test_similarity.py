@@ -59,6 +59,35 @@ def test_only_similar_texts_are_dropped(spark, monkeypatch, budget, blocks, fron
     assert blocks or got == want
 
 
+def test_sets_travel_to_members_of_open_pairs_only(spark, monkeypatch):
+    shared = [f"s{i}" for i in range(62)]
+    rows = [(d, " ".join(shared + [f"own{d}x{i}" for i in range(16)])) for d in range(40)]  # close, but no pair reaches 0.8
+    rows += [(100 + d, " ".join([f"c{i}" for i in range(200)] + [f"end{d}"])) for d in range(40)]  # near copies
+    layout, seen, compare = simhash.Layout(10, 4, 1), [], simhash._compare_units
+
+    def recorded(units, *args):
+        seen.extend(units.select("unit", "walk", "node", "root", "fps", "s").collect())
+        return compare(units, *args)
+
+    monkeypatch.setattr(simhash, "_compare_units", recorded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_of_each(docs, width=5, budget=10, prints=4, blocks=4, front=1).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(40), 100]
+
+    def fronts(x):
+        return [t for t in range(4) if not x >> layout.offsets[t] & ((1 << layout.widths[t]) - 1)]
+
+    nodes = list({r.node: r for r in seen}.values())
+    want = set()
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            apart = [(x ^ y) & (2**64 - 1) for x, y in zip(a.fps, b.fps)]
+            walks = [4 * p + t for p, x in enumerate(apart) if x.bit_count() <= 10 for t in fronts(x)]
+            if walks and a.root != b.root:
+                want |= {(walks[0], a.node), (walks[0], b.node)}
+    assert len(want) > 40 and {(r.walk, r.node) for r in seen} == want and len(seen) == len(want)
+
+
 def recall_at(similarity, prints, layout, width, pairs=400):
     """Share of random pairs at about the similarity that a fingerprint proposes."""
     rng = np.random.default_rng(8)

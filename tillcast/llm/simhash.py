@@ -274,52 +274,75 @@ def _pairs_of_units(unit: np.ndarray, walk: np.ndarray, side: np.ndarray, fp: np
     return order, linked_pairs(moved, begin, layout.budget)
 
 
+MEMBERS = "unit bigint, walk int, side int, fp bigint, node bigint"
+
+
+def _open_pairs(table: pa.Table, layout: Layout, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``table`` of the pairs that may still be linked: within the budget, of different roots and like sizes.
+
+    ``table`` holds whole units with ``unit, walk, side, fp, node, root, size, fps``. A pair is given in the first unit in which it meets.
+    """
+    unit, walk, side, fp, node, root, size = (table.column(i).to_numpy() for i in range(7))
+    prints = np.stack(table.column("fps").to_numpy()).view(np.uint64)
+    # Nodes of one fingerprint are one row of the traversal.
+    row = np.lexsort((node, fp, side, unit))
+    new = np.ones(len(row), bool)
+    new[1:] = (unit[row[1:]] != unit[row[:-1]]) | (side[row[1:]] != side[row[:-1]]) | (fp[row[1:]] != fp[row[:-1]])
+    first = np.flatnonzero(new)
+    held = np.diff(np.append(first, len(row)))
+    heads = row[first]
+    order, pairs = _pairs_of_units(unit[heads], walk[heads], side[heads], fp[heads], layout)
+    own = np.flatnonzero((held > 1) & (side[heads] == 0))
+
+    def expanded(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = held[i] * held[j]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(held[j], n)
+        return row[np.repeat(first[i], n) + at // wide], row[np.repeat(first[j], n) + at % wide]
+
+    for i, j in chain([(own, own)], ((order[i], order[j]) for i, j in pairs)):
+        for part in range(0, len(i), 4096):
+            x, y = expanded(i[part:part + 4096], j[part:part + 4096])
+            open_ = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+            open_ &= node[x] != node[y]
+            x, y = x[open_], y[open_]
+            fresh = ~_met_before(prints, x, y, walk[x], layout)
+            yield x[fresh], y[fresh]
+
+
+def _open_members(units: DataFrame, layout: Layout, similarity: float) -> DataFrame:
+    """``MEMBERS`` that are part of an open pair in their unit; ``units`` as in ``_open_pairs``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_units(batches):
+            some = np.zeros(len(table), bool)
+            for x, y in _open_pairs(table, layout, similarity):
+                some[x] = some[y] = True
+            yield from table.select(range(5)).filter(pa.array(some)).to_batches()
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, MEMBERS)
+
+
 def _compare_units(units: DataFrame, layout: Layout, similarity: float) -> DataFrame:
-    """``a, b``: nodes of different roots that are within the budget in a unit and truly similar.
+    """``a, b``: the open pairs that are truly similar; ``units`` as in ``_open_pairs``, and ``s``.
 
-    ``units`` has ``unit, walk, side, fp, node, root, fps, s``. A pair is compared where its texts lie together, in the first
-    unit in which it meets, so no list of pairs is ever written.
+    A pair is compared where its texts lie together, so no list of pairs is ever written.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_units(batches):
-            unit, walk, side, fp, node, root = (table.column(i).to_numpy() for i in range(6))
-            prints = np.stack(table.column("fps").to_numpy()).view(np.uint64)
+            node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
             lists = table.column("s").combine_chunks()
-            size = np.diff(lists.offsets.to_numpy())
             sets: dict[int, frozenset[int]] = {}
-            # Nodes of one fingerprint are one row of the traversal.
-            row = np.lexsort((node, fp, side, unit))
-            new = np.ones(len(row), bool)
-            new[1:] = (unit[row[1:]] != unit[row[:-1]]) | (side[row[1:]] != side[row[:-1]]) | (fp[row[1:]] != fp[row[:-1]])
-            first = np.flatnonzero(new)
-            held = np.diff(np.append(first, len(row)))
-            heads = row[first]
-            order, pairs = _pairs_of_units(unit[heads], walk[heads], side[heads], fp[heads], layout)
-            own = np.flatnonzero((held > 1) & (side[heads] == 0))
-
-            def expanded(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                n = held[i] * held[j]
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                wide = np.repeat(held[j], n)
-                return row[np.repeat(first[i], n) + at // wide], row[np.repeat(first[j], n) + at % wide]
-
-            for i, j in chain([(own, own)], ((order[i], order[j]) for i, j in pairs)):
-                for part in range(0, len(i), 4096):
-                    x, y = expanded(i[part:part + 4096], j[part:part + 4096])
-                    open_ = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
-                    open_ &= node[x] != node[y]
-                    x, y = x[open_], y[open_]
-                    fresh = ~_met_before(prints, x, y, walk[x], layout)
-                    a, b = [], []
-                    for p, q in zip(x[fresh].tolist(), y[fresh].tolist()):
-                        for k in (p, q):
-                            if node[k] not in sets:
-                                sets[node[k]] = frozenset(lists[k].as_py())
-                        common = len(sets[node[p]] & sets[node[q]])
-                        if common >= similarity * (size[p] + size[q] - common) - 1e-9:
-                            a.append(node[p])
-                            b.append(node[q])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for x, y in _open_pairs(table, layout, similarity):
+                a, b = [], []
+                for p, q in zip(x.tolist(), y.tolist()):
+                    for k in (p, q):
+                        if node[k] not in sets:
+                            sets[node[k]] = frozenset(lists[k].as_py())
+                    common = len(sets[node[p]] & sets[node[q]])
+                    if common >= similarity * (size[p] + size[q] - common) - 1e-9:
+                        a.append(node[p])
+                        b.append(node[q])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint")
 
@@ -476,13 +499,15 @@ def _set_of(blocks: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
-def shingle_sets(ends: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``node, size, s`` of the nodes in ``ends``; ``texts`` has ``node, text``."""
+def shingle_sets(ends: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node, size, s`` of the nodes in ``ends``; ``nodes`` has ``node, row``, ``texts`` has ``row, text``."""
     @F.udf("array<bigint>", useArrow=True)
     def shingles(value):
         return shingle_set(value, width).view(np.int64).tolist()
 
-    sets = texts.join(ends, "node", "left_semi").select("node", shingles("text").alias("s"))
+    # Only the rows that are wanted travel: their names to the texts, not all texts to their nodes.
+    wanted = _broadcast_if_small(staged(nodes.join(ends, "node", "left_semi").select("row", "node"), "shingle-rows"))
+    sets = texts.join(wanted, "row").select("node", shingles("text").alias("s"))
     return staged(sets.select("node", F.size("s").alias("size"), "s"), "shingle-sets")
 
 
@@ -506,6 +531,10 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return staged(counted.where(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b"), "similar")
 
 
+def _broadcast_if_small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() * 40 <= MAX_BROADCAST_BYTES else rows
+
+
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, root`` for all nodes."""
     return staged(nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
@@ -514,9 +543,10 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, layout: Layout, similarity: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """``node, root``: components of the texts that are within the budget under any print and truly similar.
 
-    ``nodes`` has ``node, fps``, ``texts`` has ``node, text``. Three rounds compare texts exactly: every node with
+    ``nodes`` has ``node, row, fps``, ``texts`` has ``row, text``. Three rounds compare texts exactly: every node with
     the root of its unchecked component, which settles most of a dense group; then links of spanning forests
-    between what is still apart; then, inside the units in which a link was refuted, all pairs that are still apart.
+    between what is still apart; then, inside units, all pairs that are still apart. Units are traversed twice for that: first
+    without the shingle sets, which go only to members of such a pair.
     So a refuted link hides no true one, and neither pairs of one component nor refuted ones are ever listed.
     """
     def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -533,7 +563,7 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, layout: Layou
     edges = staged(across.union(within).toDF("a", "b").where("a <> b").distinct(), "unchecked")
     if edges.isEmpty():
         return nodes.select("node", F.col("node").alias("root"))
-    sets = shingle_sets(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, width)
+    sets = shingle_sets(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, width)
     first = staged(components(edges).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "checked")
     true = similar_pairs(first, sets, similarity)
     rooted = _rooted(nodes, true)
@@ -541,17 +571,15 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, layout: Layou
     true = true.union(similar_pairs(second, sets, similarity))
     rooted = _rooted(nodes, true)
 
-    spans = staged(of.join(rooted, "node").groupBy("print", "fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "print-spans")
-    sa, sb = spans.toDF("print", "a", "lo_a", "hi_a"), spans.toDF("print", "b", "lo_b", "hi_b")
-    open_ = found.join(sa, ["print", "a"]).join(sb, ["print", "b"]).where(F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b"))
-    open_ = open_.select("unit")
+    # A node without an edge is within the budget of none.
+    live = staged(sets.select("node", "size").join(rooted, "node").join(nodes.select("node", "fps"), "node"), "open-nodes")
+    held = live.select("node", "root", "size", "fps", F.posexplode("fps").alias("print", "fp"))
     print_of = (F.col("walk") / len(layout.tries)).cast("int").alias("print")
-    mixed = reduce(DataFrame.union, [u.select("unit", print_of, "fp") for u in parts]).join(spans.where("lo <> hi"), ["print", "fp"], "left_semi")
-    open_ = staged(open_.union(mixed.select("unit")).distinct(), "open-units")
-    held = of.join(rooted, "node").join(nodes.select("node", "fps"), "node").join(sets.select("node", "s"), "node")
-    again = [u.join(open_, "unit", "left_semi").withColumn("print", print_of).join(held, ["print", "fp"])
-             .select("unit", "walk", "side", "fp", "node", "root", "fps", "s") for u in parts]
-    true = true.union(staged(reduce(DataFrame.union, [_compare_units(u, layout, similarity) for u in again]), "similar"))
+    parts = _units(held.select("print", "fp").distinct(), layout, unit_rows)
+    again = [u.withColumn("print", print_of).join(held, ["print", "fp"]).select("unit", "walk", "side", "fp", "node", "root", "size", "fps") for u in parts]
+    members = staged(reduce(DataFrame.union, [_open_members(u, layout, similarity) for u in again]), "open-members")
+    compared = members.join(live.join(sets.select("node", "s"), "node"), "node").select("unit", "walk", "side", "fp", "node", "root", "size", "fps", "s")
+    true = true.union(staged(_compare_units(compared, layout, similarity), "similar"))
     return _rooted(nodes, true)
 
 
@@ -576,12 +604,10 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row", "fps"))
     nodes = staged(taken.groupBy("digest").agg(best.alias("best")).select(
         F.monotonically_increasing_id().alias("node"), "digest", "best", F.col("best.fps").alias("fps"), F.col("best.row").alias("row")), "shingle-nodes")
-    texts = numbered.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text")).join(nodes.select("row", "node"), "row").select("node", "text")
+    texts = numbered.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
     groups = similar_groups(nodes, texts, width, Layout(budget, blocks, front), similarity)
     rooted = nodes.select("node", "digest", "best").join(groups, "node")
     first = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept"))
     kept = staged(rooted.select("digest", "root").join(first, "root").select("digest", "kept"), "near-duplicates")
-    gone = staged(taken.select("row", "digest").join(kept, "digest").where("row <> kept").select("row"), "near-duplicates-gone")
-    if gone.count() * 40 <= MAX_BROADCAST_BYTES:
-        gone = F.broadcast(gone)
+    gone = _broadcast_if_small(staged(taken.select("row", "digest").join(kept, "digest").where("row <> kept").select("row"), "near-duplicates-gone"))
     return numbered.join(gone, numbered[row] == gone["row"], "left_anti").drop(row)
