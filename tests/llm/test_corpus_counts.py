@@ -13,6 +13,7 @@ from oracle_check import rows_of
 from tillcast.llm import collocations, divergence
 from tillcast.llm.oracle import ORACLE
 from tillcast.llm.queries import QUERIES
+from tillcast.llm.tables import staged
 
 import duckdb
 
@@ -71,6 +72,35 @@ def test_phrase_counts_for_any_cycle_and_table(spark, odd, shards, longest, bits
     assert len(got) == len(want) and {(r.lang, r.phrase): r.n for r in got} == want
 
 
+def test_complete_rare_phrases_are_not_written(spark, odd, monkeypatch):
+    docs, written = spark.read.parquet(f"{odd}/documents.parquet"), []
+
+    def recorded(df, name, by=None):
+        out = staged(df, name, by)
+        if name == "phrase-counts":
+            written.append(out)
+        return out
+
+    monkeypatch.setattr(collocations, "staged", recorded)
+    collocations.frequent_phrases(docs, min_count=7, shards=2)
+    for step, found in enumerate(written, 1):
+        assert found.where(f"tag % 16 > 0 and n < 7 and floor(tag / 16) + 2 <= {step}").isEmpty()
+
+
+def test_later_cycles_tell_only_used_words_apart():
+    texts, langs = [b"a bb  a, ccc\nbb a", b"", b" bb ccc ", b"a"], ["en", "de", "de", "en"]
+    texts = [t.translate(collocations._FOLD) for t in texts]
+    whole, part = collocations.Tokens(texts, langs), collocations.Tokens(texts, langs, whole=False)
+    assert (whole.hashes == part.hashes).all() and (whole.piece == part.piece).all()
+    # Equal hashes for equal language and word, wherever they lie.
+    assert len(set(whole.hashes)) == len(set(whole.ids)) == 5 and len(set(zip(whole.hashes, whole.ids))) == 5
+    places = np.array([0, 4])  # "a bb" in the first piece, "bb a" in the third
+    part.encode(np.array([0, 1, 4, 5]))
+    found, n = part.counted(places, 2)
+    assert len(part.words) == 2 and sorted(zip(part.keys(found, 2).to_pylist(), n)) == [("en\na bb", 1), ("en\nbb a", 1)]
+    assert not len(collocations.Tokens([b"", b" "], ["en", "en"], whole=False).hashes)
+
+
 def test_phrases_are_told_apart_beyond_64_bits(monkeypatch):
     texts = [" ".join(f"w{i}" for i in range(5000)).encode()]
     tokens = collocations.Tokens(texts, ["en"])

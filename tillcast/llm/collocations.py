@@ -10,7 +10,8 @@ No candidates are listed. The step at which a phrase reached the threshold is ke
 slots by its hash, the only thing that is broadcast, of the same size for any corpus. Phrases that share a slot take the
 earlier step: such a phrase is counted sooner, or though it is rare, but for one cycle as any other, and no count
 changes. Phrases themselves are compared as strings. Counts that are complete leave the running totals: frequent ones
-are kept, rare ones dropped, so a step adds up open phrases only.
+are kept, rare ones dropped before they are written, so a step adds up open phrases only. From the second cycle on
+a step gives ids only to the words of active phrases.
 
 Null texts have no words; a null language is ``und``. Repeated rows count each. Ties are broken by phrase in UTF-8 order.
 Empty tables give an empty result. Texts are read whole, long ones in pieces cut at separators. Only language and text are read.
@@ -43,6 +44,7 @@ CHUNK_BYTES = 4 << 20
 # A-Z in lower case, separators of pieces as line breaks, tabs as blanks.
 _FOLD = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FIRST, _NEXT, _LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_POWER = 0x9E3779B1
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -65,32 +67,54 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
 
 
 class Tokens:
-    """The words of some texts: ``ids`` (equal for equal language and word), ``piece`` and hashes of phrases."""
-
-    def __init__(self, texts: list[bytes], langs: list[str]):
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        is_word = (data != 10) & (data != 32)
-        edge = np.diff(is_word.view(np.int8), prepend=0, append=0)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
-        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[is_word])])
+    """The words of some texts: ``ids`` (equal for equal language and word), ``piece`` and hashes of phrases.
+
+    Hashes are taken from the bytes and need no dictionary. Without ``whole`` there are no ids until ``encode`` gives them
+    to the words at some places.
+    """
+
+    def __init__(self, texts: list[bytes], langs: list[str], whole: bool = True):
+        self.data = np.frombuffer(b"\n".join(texts), np.uint8)
+        is_word = (self.data != 10) & (self.data != 32)
+        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+        bounds = np.concatenate(([0] if is_word[:1].any() else [], edge, [len(is_word)] if is_word[-1:].any() else [])).astype(np.int64)
+        self.starts, self.ends = bounds[::2], bounds[1::2]
+        breaks = np.flatnonzero(self.data == 10)
+        self.piece = np.searchsorted(breaks, self.starts)
+        self.langs, of_text = np.unique(np.array(langs, object), return_inverse=True)
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.lang = np.repeat(of_text.reshape(-1), np.diff(np.searchsorted(self.starts, begin)))
+        lang_hash = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
+        self.hashes = lang_hash[self.lang] * _FIRST ^ self._word_hashes() if len(self.starts) else np.zeros(0, np.uint64)
+        if whole:
+            self.encode(np.arange(len(self.starts)))
+
+    def _word_hashes(self) -> np.ndarray:
+        """Polynomials in the bytes of each word, from running sums that wrap at 32 bits, then mixed."""
+        power, back = (np.multiply.accumulate(np.full(len(self.data), x, np.uint32), dtype=np.uint32) for x in (_POWER, pow(_POWER, -1, 1 << 32)))
+        upto = np.zeros(len(self.data) + 1, np.uint32)
+        np.cumsum((self.data + np.uint32(1)) * power, dtype=np.uint32, out=upto[1:])
+        # As if every word began where the data begin.
+        whole = ((upto[self.ends] - upto[self.starts]) * back[self.starts]).astype(np.uint64) * _LAST
+        return (whole ^ whole >> np.uint64(32)) * _NEXT
+
+    def encode(self, places: np.ndarray) -> None:
+        """``ids`` of the words at ``places``, which are distinct; other words have none."""
+        starts, length = self.starts[places], self.ends[places] - self.starts[places]
+        offsets = np.concatenate(([0], np.cumsum(length)))
+        letters = self.data[np.repeat(starts - offsets[:-1], length) + np.arange(offsets[-1])]
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)])
         coded = words.dictionary_encode()
         self.words = coded.dictionary
-        self.langs, of_text = np.unique(np.array(langs, object), return_inverse=True)
-        begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-        lang = of_text.reshape(-1)[np.searchsorted(begin, starts, side="right") - 1]
-        self.ids = lang * len(self.words) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids = np.full(len(self.starts), -1)
+        self.ids[places] = self.lang[places] * len(self.words) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.n_ids = max(1, len(self.langs) * len(self.words))
-        self.piece = np.cumsum(data == 10)[starts]
-        word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
-        lang_hash = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
-        self.hashes = (lang_hash[:, None] * _FIRST ^ word_hash).reshape(-1)[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
 
     def phrase_hashes(self, longest: int) -> Iterator[np.ndarray]:
         """For lengths 1, 2, ...: the hash of the phrase that begins at each place."""
         whole = self.hashes
         for k in range(1, longest + 1):
-            yield whole[:max(0, len(self.ids) - k + 1)]
+            yield whole[:max(0, len(self.hashes) - k + 1)]
             whole = (whole[:-1] ^ whole[:-1] >> np.uint64(29)) * _NEXT + self.hashes[k:]
 
     def counted(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,25 +159,34 @@ def count_step(docs: DataFrame, step: int, shards: int, longest: int, slot_bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(reached.value, np.uint8)
         for texts, langs in _chunks(batches, chunk_bytes):
-            tokens = Tokens(texts, langs)
-            if not len(tokens.ids):
+            tokens = Tokens(texts, langs, whole=step < shards)
+            if not len(tokens.hashes):
                 continue
             if step < shards:
-                lang, n = np.unique(tokens.ids // len(tokens.words), return_counts=True)
+                lang, n = np.unique(tokens.lang, return_counts=True)
                 yield _rows(pa.array([tokens.langs[i] + "\n" for i in lang], pa.string()), np.zeros(len(lang)), n)
                 places, n = tokens.counted(np.arange(len(tokens.ids)), 1)
                 yield _rows(tokens.keys(places, 1), np.ones(len(n)), n)
-            shorter = None
+            shorter, active = None, []
             for k, hashes in enumerate(tokens.phrase_hashes(longest), 1):
                 if k > 1:
                     since = np.maximum(shorter[:-1], shorter[1:])
-                    whole = tokens.piece[:len(since)] == tokens.piece[k - 1:]
-                    places = np.flatnonzero(whole & (since <= step) & (step < since.astype(np.int64) + shards) & (since != NEVER))
+                    places = np.flatnonzero((since <= step) & (since > step - shards) & (since != NEVER))
+                    places = places[tokens.piece[places] == tokens.piece[places + k - 1]]
                     if len(places):
-                        found, n = tokens.counted(places, k)
-                        yield _rows(tokens.keys(found, k), since[found].astype(np.int64) * TAGS + k, n)
+                        active.append((k, places, since))
                 if k < longest:
                     shorter = table[slots_of(hashes, slot_bits)]
+            if active and step >= shards:
+                # Once words are counted, only those of active phrases are told apart.
+                used = np.zeros(len(tokens.hashes), bool)
+                for k, places, _ in active:
+                    for i in range(k):
+                        used[places + i] = True
+                tokens.encode(np.flatnonzero(used))
+            for k, places, since in active:
+                found, n = tokens.counted(places, k)
+                yield _rows(tokens.keys(found, k), since[found].astype(np.int64) * TAGS + k, n)
 
     return docs.mapInArrow(run, COUNTS)
 
@@ -167,9 +200,9 @@ def _slots(phrases: DataFrame, longest: int, bits: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [x.rsplit("\n", 1) for x in batch.column(0).to_pylist()]
-            tokens = Tokens([phrase.encode() for _, phrase in parts], [lang for lang, _ in parts])
+            tokens = Tokens([phrase.encode() for _, phrase in parts], [lang for lang, _ in parts], whole=False)
             begin = np.flatnonzero(np.diff(tokens.piece, prepend=-1))
-            length = np.diff(np.append(begin, len(tokens.ids)))
+            length = np.diff(np.append(begin, len(tokens.hashes)))
             found = [slots_of(h[begin[length == k]], bits) for k, h in enumerate(tokens.phrase_hashes(longest), 1) if (length == k).any()]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int32) if found else [], pa.int32())], names=["slot"])
 
@@ -190,14 +223,16 @@ def frequent_phrases(docs: DataFrame, *, lang: str = "lang", text: str = "text",
         found = count_step(scanned, step, shards, longest, slot_bits, chunk_bytes, reached)
         # One exchange a step: what was found joins the running totals before either is added up.
         found = found if running is None else found.union(running)
-        found = staged(found.groupBy("key", "tag").agg(F.sum("n").alias("n")), "phrase-counts")
-        reached.destroy()
         step += 1
         length, since = F.col("tag") % TAGS, F.floor(F.col("tag") / TAGS)
-        ended = since + shards <= step
-        complete.append(found.where(ended & ((F.col("n") >= min_count) | (length == 0))))
+        ended, enough = since + shards <= step, (F.col("n") >= min_count) | (length == 0)
+        found = staged(found.groupBy("key", "tag").agg(F.sum("n").alias("n")).where(~ended | enough), "phrase-counts")
+        reached.destroy()
+        # The few that matter from here on are read from a table of their own.
+        frequent = staged(found.where(enough), "phrase-frequent")
+        complete.append(frequent.where(ended))
         running = found.where(~ended)
-        slots = _slots(found.where(length.between(1, longest - 1) & (F.col("n") >= min_count)), longest, slot_bits)
+        slots = _slots(frequent.where(length.between(1, longest - 1)), longest, slot_bits)
         fresh = slots[table[slots] == NEVER]
         if len(fresh):
             table[fresh] = last = step
