@@ -118,3 +118,41 @@ def test_columns_and_content_decide_nothing_by_chance(spark, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "b"))
     kept = [simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / x))).collect() for x in "ab"]
     assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0].asDict().keys() == {"doc_id", "text", "_row", "row_id"}
+
+
+@pytest.mark.parametrize("unit_rows", [2048, 30])
+def test_later_prints_add_links_only_between_what_is_apart(spark, unit_rows):
+    rng = np.random.default_rng(11)
+    layout, rows = simhash.Layout(4), []
+    for size in [120, *[4] * 20, *[1] * 40]:  # a dense group, small ones, texts on their own
+        centres = [int(x) for x in rng.integers(0, 2**64, 5, dtype=np.uint64)]
+        for _ in range(size):
+            rows.append([c ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for c in centres])
+    rows += [[int(x) for x in rng.integers(0, 2**64, 4, dtype=np.uint64)] + [5] for _ in range(6)]  # equal under the last print only
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and any(met(x ^ y, layout) for x, y in zip(rows[i], rows[j])):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    of = spark.createDataFrame([(i, p, int(np.uint64(x).view(np.int64))) for i, fps in enumerate(rows) for p, x in enumerate(fps)], "node long, print int, fp long")
+    edges, roots = simhash.proposed(of, layout, unit_rows)
+    for got in roots, simhash.components(edges):
+        got = {r.node: r.root for r in got.collect()}
+        assert [got.get(i, i) for i in range(len(rows))] == root
+
+
+def test_a_dense_group_brings_no_forest_for_every_print(spark, monkeypatch):
+    shared = [f"s{i}" for i in range(62)]
+    rows = [(d, " ".join(shared + [f"own{d}x{i}" for i in range(12)])) for d in range(80)]  # close, but no pair reaches 0.8
+    given, components = [], simhash.components
+
+    def recorded(edges):
+        given.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", recorded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_of_each(docs, width=5, budget=10, prints=10, blocks=4, front=1)
+    assert kept.count() == 80
+    assert 79 <= max(given) <= 5 * 80  # four tries of one print, not forty of ten

@@ -168,15 +168,15 @@ def links(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> D
     return reduce(DataFrame.union, [_traverse(u, layout) for u in _units(fps, layout, unit_rows)])
 
 
-def _units(fps: DataFrame, layout: Layout, unit_rows: int) -> list[DataFrame]:
-    """``unit, walk, side, fp``: units of at most ``unit_rows`` fingerprints, in parts."""
+def _units(fps: DataFrame, layout: Layout, unit_rows: int, *carried: str) -> list[DataFrame]:
+    """``unit, walk, side, fp`` and the columns ``carried``: units of at most ``unit_rows`` fingerprints, in parts."""
     n = len(layout.tries)
     nodes = [F.struct(F.lit(i).alias("trie"), F.shiftrightunsigned(layout.moved_column(F.col("fp"), i), 64 - layout.front[i]).alias("node"))
              for i in range(n)]
-    members = fps.select("print", "fp", F.explode(F.array(*nodes)).alias("x"))
+    members = fps.select("print", "fp", *carried, F.explode(F.array(*nodes)).alias("x"))
     # A unit is a subtrie, or a pair of them: sides 0 and 1 are their members. ``walk`` tells print and trie.
     walk = (F.col("print") * n + F.col("x.trie")).cast("int")
-    units = members.select(F.xxhash64(walk, "x.node").alias("unit"), walk.alias("walk"), F.lit(0).alias("side"), "fp")
+    units = members.select(F.xxhash64(walk, "x.node").alias("unit"), walk.alias("walk"), F.lit(0).alias("side"), "fp", *carried)
     counts = units.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > unit_rows)
     large = staged(counts.select("unit"), "simhash-large")
     parts = [units.join(large, "unit", "left_anti")]
@@ -213,7 +213,7 @@ def _split(units: DataFrame, layout: Layout, depth: int, unit_rows: int) -> tupl
             F.struct(F.lit(0).alias("to"), F.lit(0).alias("side"), F.col("a").alias("child")),
             F.struct(F.lit(1).alias("to"), F.col("sb").alias("side"), F.col("b").alias("child"))))).alias("e"))
     ends = ends.select("unit", "pair", "n", "e.*")
-    dealt = staged(rows.join(ends, ["unit", "side", "child"]).select(F.col("pair").alias("unit"), "walk", F.col("to").alias("side"), "fp", "n"), "simhash-units")
+    dealt = staged(rows.join(ends, ["unit", "side", "child"]).select(F.col("pair").alias("unit"), "walk", F.col("to").alias("side"), "fp", *units.columns[4:], "n"), "simhash-units")
     return dealt.where(F.col("n") <= unit_rows).drop("n"), dealt.where(F.col("n") > unit_rows).drop("n")
 
 
@@ -237,12 +237,17 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
-    """Links of a spanning forest of each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``."""
+    """Links of a spanning forest of each unit; the rows of a unit meet in one task and are at most ``UNIT_ROWS``.
+
+    If the units carry a ``root``, fingerprints of one root are joined already and only links between roots are given.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_units(batches):
             unit, walk, side, fp = (table.column(i).to_numpy() for i in range(4))
             order, pairs = _pairs_of_units(unit, walk, side, fp, layout)
             unit, walk, fp, label = unit[order], walk[order], fp[order], np.arange(len(order))
+            if table.num_columns > 4:
+                label = _first_of_root(unit, table.column(4).to_numpy()[order])
             for i, j in pairs:
                 i, j = _union(label, i, j)
                 which = (walk[i] // len(layout.tries)).astype(np.int32)
@@ -251,6 +256,16 @@ def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, FOUND)
 
 
+def _first_of_root(unit: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For every place the first one of its unit and root."""
+    order = np.lexsort((root, unit))  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = (unit[order[1:]] != unit[order[:-1]]) | (root[order[1:]] != root[order[:-1]])
+    label = np.empty(len(order), np.int64)
+    label[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return label
+
+
 def _pairs_of_units(unit: np.ndarray, walk: np.ndarray, side: np.ndarray, fp: np.ndarray, layout: Layout):
     """An order of the rows, and places in it of all pairs within the budget, unit by unit. Rows are distinct."""
     bits = fp.view(np.uint64)
@@ -449,21 +464,55 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node with an edge ``a, b``: the smallest node it can reach.
 
-    Alternating large-star and small-star steps; each round is a written table.
+    Alternating large-star and small-star steps, each of them a written table, until all is stars.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(state) == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(state)
+    while not _beside_stars(edges).isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select("v", "m").where("v <> m").distinct().toDF("u", "v")
+        large = staged(both.join(least, "u").where("v > u").select("v", "m").where("v <> m").distinct().toDF("u", "v"), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         edges = staged(small.union(least.select("u", "m")).distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _beside_stars(edges: DataFrame) -> DataFrame:
+    """Nodes that have two smaller neighbours, or a smaller and a larger one; without such a node every ``b`` is the root of its ``a``."""
+    up, down = edges.selectExpr("a AS node", "1 AS up", "0 AS down"), edges.selectExpr("b", "0", "1")
+    return up.union(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
+
+
+def proposed(of: DataFrame, layout: Layout, unit_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` that connect all nodes within the budget under any print, and their ``components``.
+
+    ``of`` has distinct ``node, print, fp``, print 0 of every node. The links of print 0 are contracted, then those of
+    the next prints, then those of the rest; each time only links between what was still apart are given. So a dense
+    group does not bring a forest for every print and trie.
+    """
+    last = of.agg(F.max("print")).first()[0] or 0
+    links = roots = None
+    begin, end = 0, 1
+    while begin <= last:
+        some = of.where((F.col("print") >= begin) & (F.col("print") < end))
+        heads, carried = some.groupBy("print", "fp").agg(F.min("node").alias("head")), []
+        if roots is not None:
+            roots = _broadcast_if_small(roots)
+            heads = heads.join(roots.toDF("head", "root"), "head", "left").select("print", "fp", "head", F.coalesce("root", "head").alias("root"))
+            carried = ["root"]
+        heads = staged(heads, "print-heads")
+        parts = _units(heads.select("print", "fp", *carried), layout, unit_rows, *carried)
+        found = staged(reduce(DataFrame.union, [_traverse(u, layout) for u in parts]), "simhash-links").select("print", "a", "b").distinct()
+        a, b = (heads.select("print", F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+        across = found.join(a, ["print", "a"]).join(b, ["print", "b"]).select("head_a", "head_b")
+        within = some.join(heads, ["print", "fp"]).where("node <> head")
+        if carried:
+            within = within.join(roots.toDF("node", "own"), "node", "left").where(F.coalesce("own", "node") != F.col("root"))
+        new = staged(across.union(within.select("node", "head")).toDF("a", "b").where("a <> b").distinct(), "unchecked")
+        links = links.union(new) if carried else new
+        roots = components(roots.toDF("a", "b").union(new) if carried else new)
+        begin, end = end, 4 * end
+    return links, roots
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET,
@@ -475,16 +524,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # A first fingerprint stands for its texts: those of equal fingerprints are linked anyhow.
     distinct = staged(taken.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     if prints == 1:
-        edges = links(distinct.select(F.lit(0).alias("print"), "fp"), budget, unit_rows).select("a", "b")
+        roots = components(links(distinct.select(F.lit(0).alias("print"), "fp"), budget, unit_rows).select("a", "b"))
     else:
         of = staged(taken.select(F.col("fp").alias("node"), F.posexplode("fps").alias("print", "fp")).distinct(), "print-members")
-        heads = staged(of.groupBy("print", "fp").agg(F.min("node").alias("head")), "print-heads")
-        found = links(heads.select("print", "fp"), budget, unit_rows)
-        a, b = heads.toDF("print", "a", "head_a"), heads.toDF("print", "b", "head_b")
-        across = found.join(a, ["print", "a"]).join(b, ["print", "b"]).select("head_a", "head_b")
-        within = of.join(heads, ["print", "fp"]).where("node <> head").select("node", "head")
-        edges = across.union(within).toDF("a", "b")
-    roots = components(edges).withColumnRenamed("node", "fp")
+        _, roots = proposed(of, Layout(budget), unit_rows)
+    roots = roots.withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root")
@@ -554,17 +598,11 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, width: int, layout: Layou
         return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     of = staged(nodes.select("node", F.posexplode("fps").alias("print", "fp")), "print-members")
-    heads = staged(of.groupBy("print", "fp").agg(F.min("node").alias("head")), "print-heads")
-    parts = _units(heads.select("print", "fp"), layout, unit_rows)
-    found = staged(reduce(DataFrame.union, [_traverse(u, layout) for u in parts]), "simhash-links")
-    a, b = heads.toDF("print", "a", "head_a"), heads.toDF("print", "b", "head_b")
-    across = found.select("print", "a", "b").distinct().join(a, ["print", "a"]).join(b, ["print", "b"]).select("head_a", "head_b")
-    within = of.join(heads, ["print", "fp"]).where("node <> head").select("node", "head")
-    edges = staged(across.union(within).toDF("a", "b").where("a <> b").distinct(), "unchecked")
+    edges, roots = proposed(of, layout, unit_rows)
     if edges.isEmpty():
         return nodes.select("node", F.col("node").alias("root"))
     sets = shingle_sets(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, width)
-    first = staged(components(edges).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "checked")
+    first = staged(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "checked")
     true = similar_pairs(first, sets, similarity)
     rooted = _rooted(nodes, true)
     second = staged(apart(edges, rooted).join(first, ["a", "b"], "left_anti"), "checked")
