@@ -48,6 +48,8 @@ DEEPER = 8  # levels by which a large unit is split at a time
 FRONTIER = 200_000  # node pairs held at once
 HASH_BLOCK = 1 << 16
 MAX_BROADCAST_BYTES = 32 << 20
+FIRST_PRINTS = 2  # prints whose links are drawn together before the others are traversed
+NO_ROOT = -1  # a node that happens to be called so is only linked more often than needed
 HUB_PAIRS = 512  # pairs of one text that are compared in one task
 
 
@@ -257,10 +259,10 @@ def _traverse(units: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _first_of_root(unit: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """For every place the first one of its unit and root."""
+    """For every place the first one of its unit and root, with ``NO_ROOT`` the place itself."""
     order = np.lexsort((root, unit))  # stable
     new = np.ones(len(order), bool)
-    new[1:] = (unit[order[1:]] != unit[order[:-1]]) | (root[order[1:]] != root[order[:-1]])
+    new[1:] = (unit[order[1:]] != unit[order[:-1]]) | (root[order[1:]] != root[order[:-1]]) | (root[order[1:]] == NO_ROOT)
     label = np.empty(len(order), np.int64)
     label[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     return label
@@ -466,17 +468,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps, each of them a written table, until all is stars.
     """
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = _downward(edges)
     while not _beside_stars(edges).isEmpty():
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.join(least, "u").where("v > u").select("v", "m").where("v <> m").distinct().toDF("u", "v"), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = staged(small.union(least.select("u", "m")).distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+        edges = _nearer_stars(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _downward(edges: DataFrame, name: str = "edges") -> DataFrame:
+    return staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+
+
+def _nearer_stars(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step; ``b`` is the smaller node of an edge, before and after."""
+    both = edges.union(edges.select("b", "a")).toDF("u", "v")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = staged(both.join(least, "u").where("v > u").select("v", "m").where("v <> m").distinct().toDF("u", "v"), "edges")
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _downward(small.union(least.select("u", "m")))
+
+
 def _beside_stars(edges: DataFrame) -> DataFrame:
     """Nodes that have two smaller neighbours, or a smaller and a larger one; without such a node every ``b`` is the root of its ``a``."""
     up, down = edges.selectExpr("a AS node", "1 AS up", "0 AS down"), edges.selectExpr("b", "0", "1")
@@ -486,33 +497,32 @@ def _beside_stars(edges: DataFrame) -> DataFrame:
 def proposed(of: DataFrame, layout: Layout, unit_rows: int) -> tuple[DataFrame, DataFrame]:
     """Links ``a, b`` that connect all nodes within the budget under any print, and their ``components``.
 
-    ``of`` has distinct ``node, print, fp``, print 0 of every node. The links of print 0 are contracted, then those of
-    the next prints, then those of the rest; each time only links between what was still apart are given. So a dense
-    group does not bring a forest for every print and trie.
+    ``of`` has distinct ``node, print, fp``. The links of the first prints are drawn together before the other prints are
+    traversed, which then give only links between what is still apart: a dense group does not bring a forest for every
+    print and trie.
     """
-    last = of.agg(F.max("print")).first()[0] or 0
-    links = roots = None
-    begin, end = 0, 1
-    while begin <= last:
-        some = of.where((F.col("print") >= begin) & (F.col("print") < end))
-        heads, carried = some.groupBy("print", "fp").agg(F.min("node").alias("head")), []
+    def new_links(of: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        heads, carried = of.groupBy("print", "fp").agg(F.min("node").alias("head")), []
         if roots is not None:
-            roots = _broadcast_if_small(roots)
-            heads = heads.join(roots.toDF("head", "root"), "head", "left").select("print", "fp", "head", F.coalesce("root", "head").alias("root"))
-            carried = ["root"]
+            heads, carried = heads.join(roots.toDF("head", "root"), "head", "left"), ["root"]
         heads = staged(heads, "print-heads")
-        parts = _units(heads.select("print", "fp", *carried), layout, unit_rows, *carried)
+        parts = _units(heads.fillna(NO_ROOT, carried), layout, unit_rows, *carried)
         found = staged(reduce(DataFrame.union, [_traverse(u, layout) for u in parts]), "simhash-links").select("print", "a", "b").distinct()
         a, b = (heads.select("print", F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
         across = found.join(a, ["print", "a"]).join(b, ["print", "b"]).select("head_a", "head_b")
-        within = some.join(heads, ["print", "fp"]).where("node <> head")
-        if carried:
-            within = within.join(roots.toDF("node", "own"), "node", "left").where(F.coalesce("own", "node") != F.col("root"))
-        new = staged(across.union(within.select("node", "head")).toDF("a", "b").where("a <> b").distinct(), "unchecked")
-        links = links.union(new) if carried else new
-        roots = components(roots.toDF("a", "b").union(new) if carried else new)
-        begin, end = end, 4 * end
-    return links, roots
+        within = of.join(heads, ["print", "fp"]).where("node <> head")
+        if roots is not None:
+            within = within.join(roots.toDF("node", "own"), "node", "left").where(~F.coalesce("own", "node").eqNullSafe(F.col("root")))
+        return _downward(across.union(within.select("node", "head")).toDF("a", "b"), "unchecked")
+
+    first, rest = new_links(of.where(F.col("print") < FIRST_PRINTS)), of.where(F.col("print") >= FIRST_PRINTS)
+    if rest.isEmpty():
+        return first, components(first)
+    near = _nearer_stars(_nearer_stars(first))
+    # Not yet the smallest node that can be reached, but nodes of one root are connected. Nodes without a link are not listed.
+    roots = _broadcast_if_small(near.union(near.select("b", "b")).groupBy("a").agg(F.min("b").alias("b")))
+    second = new_links(rest, roots)
+    return first.union(second), components(near.union(second))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, budget: int = BUDGET,
